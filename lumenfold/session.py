@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, which may not have the driver's path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenfold_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lumenfold-")) / "lumenfold.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    sc.addPyFile(str(target))
+    sc._lumenfold_shipped = True
