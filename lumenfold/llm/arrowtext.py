@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.session import ship_package
+
 #: The separators of words: space, and \t \n \v \f \r.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one step of NumPy work takes at most, but for single longer documents.
@@ -31,6 +33,7 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list
     ``make`` runs once per task and gives a function from the Arrow array of texts to the arrays
     of the new columns. A column of ``docs`` that has the name of a new one gives way to it.
     """
+    ship_package(docs.sparkSession)
     new = T._parse_datatype_string(fields)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
     schema = T.StructType([docs.schema[c] for c in kept] + list(new))

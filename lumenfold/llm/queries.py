@@ -3,16 +3,36 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, token_count
+from lumenfold.llm import bpe, language_id, quality_model, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo ``n``: the folds of the trained operators."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.identify(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~held_out)
+    weights = quality_model.train(docs, labels, "quality")
+    return quality_model.score(docs.withColumn("held_out", held_out), weights, keep=["doc_id", "held_out"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
@@ -23,6 +43,8 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ppm_language": op2_ppm_language,
+    "op3_ftrl_quality": op3_ftrl_quality,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
