@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, language_id, quality_model, token_count
+from lumenfold.llm import bpe, language_id, mixing, quality_model, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,46 @@ def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs.withColumn("held_out", held_out), weights, keep=["doc_id", "held_out"])
 
 
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source
+), numbered AS (
+  SELECT *, (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS w,
+         source_size * 2.0::DOUBLE AS cap FROM totals
+), run AS (
+  SELECT *, cap / w AS filled, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget,
+         coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+         sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM numbered
+), level AS (
+  SELECT (budget - before) / open AS level FROM run WHERE (budget - before) / open <= filled ORDER BY filled, level LIMIT 1
+), aims AS (
+  SELECT r.source, r.source_size, coalesce(least(r.w * l.level, r.cap), r.cap) AS target FROM run r LEFT JOIN level l ON true
+), drawn AS (
+  SELECT b.doc_id, b.source, b.size, a.source_size, a.target,
+         CASE WHEN a.source_size > 0 THEN least(2.0::DOUBLE, a.target / a.source_size::DOUBLE) ELSE 0.0::DOUBLE END AS expected,
+         (('0x' || substr(md5('17:' || b.doc_id || ':' || b.size), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM base b JOIN aims a ON b.source IS NOT DISTINCT FROM a.source
+), sure AS (
+  SELECT *, floor(expected + 1e-9::DOUBLE) AS sure, greatest(0.0::DOUBLE, expected - floor(expected + 1e-9::DOUBLE)) AS rest FROM drawn
+), ranked AS (
+  SELECT *, CASE WHEN rest > 1e-9::DOUBLE THEN (u / (1 - u)) / (rest / (1 - rest)) END AS odds,
+         target - sum(size * sure) OVER (PARTITION BY source) AS gap FROM sure
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+       ((sure + CASE WHEN odds IS NOT NULL AND upto + size / 2 <= gap THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM placed
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
@@ -45,8 +85,11 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_ftrl_quality": op3_ftrl_quality,
+    "op4_pareto_mix": op4_pareto_mix,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_pareto_mix": OP4_SQL,
+}
