@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, language_id, mixing, quality_model, token_count
+from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ FROM placed
 """
 
 
+def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints_with_edits(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_pareto_mix": op4_pareto_mix,
+    "op7_exact_digest": op7_exact_digest,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
