@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, token_count
+from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, robust_stats, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = robust_stats.quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
@@ -87,6 +92,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mcd_quality": op1_mcd_quality,
     "op2_ppm_language": op2_ppm_language,
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_pareto_mix": op4_pareto_mix,
