@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, robust_stats, token_count
+from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, robust_stats, signature_tree, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,10 @@ FROM placed
 """
 
 
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints_with_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_signature_tree_join": op5_signature_tree_join,
     "op7_exact_digest": op7_exact_digest,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
