@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, digest, language_id, mixing, quality_model, robust_stats, signature_tree, token_count
+from lumenfold.llm import bpe, digest, disclosure, language_id, line_templates, mixing, quality_model, robust_stats, signature_tree, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,21 @@ def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints_with_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_personal(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(disclosure.span_text("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, disclosure.KINDS), base, disclosure.span_text(F.concat("base", "terms")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
@@ -101,7 +112,9 @@ QUERIES = {
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_signature_tree_join": op5_signature_tree_join,
+    "op6_line_templates": op6_line_templates,
     "op7_exact_digest": op7_exact_digest,
+    "op8_disclosure": op8_disclosure,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
