@@ -1,4 +1,4 @@
-"""All registered queries of the catalog engine with their SQL."""
+"""All registered queries of the catalog engine with their SQL for a second engine."""
 
 from __future__ import annotations
 
@@ -11,3 +11,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "completeness_by_bin"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+from lumenfold.plans import expressions, joins, rules, summaries  # noqa: E402,F401
