@@ -117,15 +117,15 @@ def _cover(s: str, d: str) -> str:
 
 _OVER = f"""covered AS (SELECT n.band, n.a, n.b, n.d, {_cover('s', 't')} AS in_b, {_cover('t', 's')} AS in_a, s.area AS a_area, t.area AS b_area
 FROM near n JOIN sources s ON s.source_id = n.a JOIN sources t ON t.source_id = n.b WHERE n.a < n.b),
-overlaps AS (SELECT *, least(greatest(0.5::DOUBLE * (in_b * a_area + in_a * b_area) / (a_area + b_area - 0.5::DOUBLE * (in_b * a_area + in_a * b_area)), 0), 1) AS iou FROM covered)"""
+ious AS (SELECT *, least(greatest(0.5::DOUBLE * (in_b * a_area + in_a * b_area) / (a_area + b_area - 0.5::DOUBLE * (in_b * a_area + in_a * b_area)), 0), 1) AS iou FROM covered)"""
 
 
-@query("ellipse_overlap_join", with_tables(S, "SELECT a, b, round(iou, 6) AS iou FROM overlaps", SELF, _GRID, _OVER))
+@query("ellipse_overlap_join", with_tables(S, "SELECT a, b, round(iou, 6) AS iou FROM ious", SELF, _GRID, _OVER))
 def ellipse_overlap_join(spark, sf):
     return J.ellipse_overlap_join(sources(spark, sf), RADIUS, ["band"]).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-@query("ellipse_contains_join", with_tables(S, "SELECT a, b, round(in_a, 6) AS in_a, round(in_b, 6) AS in_b FROM overlaps", SELF, _GRID, _OVER))
+@query("ellipse_contains_join", with_tables(S, "SELECT a, b, round(in_a, 6) AS in_a, round(in_b, 6) AS in_b FROM ious", SELF, _GRID, _OVER))
 def ellipse_contains_join(spark, sf):
     return J.ellipse_overlap_join(sources(spark, sf), RADIUS, ["band"]).select("a", "b", F.round("in_a", 6).alias("in_a"), F.round("in_b", 6).alias("in_b"))
 
@@ -153,7 +153,7 @@ def priority_dedup(spark, sf):
 _REACH = "reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"
 
 
-@query("cluster_sources", with_tables(S, "SELECT s.source_id, least(s.source_id, coalesce(min(r.b), s.source_id)) AS cluster FROM sources s LEFT JOIN reach r ON r.a = s.source_id GROUP BY s.source_id", SELF, _GRID, _OVER, "links AS (SELECT a, b FROM overlaps WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200 UNION SELECT b, a FROM overlaps WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200)", _REACH))
+@query("cluster_sources", with_tables(S, "SELECT s.source_id, least(s.source_id, coalesce(min(r.b), s.source_id)) AS cluster FROM sources s LEFT JOIN reach r ON r.a = s.source_id GROUP BY s.source_id", SELF, _GRID, _OVER, "links AS (SELECT a, b FROM ious WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200 UNION SELECT b, a FROM ious WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200)", _REACH))
 def cluster_sources(spark, sf):
     s = sources(spark, sf)
     return J.cluster_sources(stash(J.ellipse_overlap_join(s, RADIUS, ["band"]), "overlaps"), s, 0.05, 1200.0)
@@ -269,7 +269,7 @@ def visit_difference(spark, sf):
     return W.visit_difference(d.filter("det_id % 2 = 0"), d.filter("det_id % 2 = 1"), RADIUS, ["band"], "det_id")
 
 
-@query("isolated_flag", with_tables(S, "SELECT source_id, coalesce(max(m), 0) <= 0.05 AS isolated FROM sources LEFT JOIN (SELECT a AS source_id, iou AS m FROM overlaps UNION ALL SELECT b, iou FROM overlaps) USING (source_id) GROUP BY source_id", SELF, _GRID, _OVER))
+@query("isolated_flag", with_tables(S, "SELECT source_id, coalesce(max(m), 0) <= 0.05 AS isolated FROM sources LEFT JOIN (SELECT a AS source_id, iou AS m FROM ious UNION ALL SELECT b, iou FROM ious) USING (source_id) GROUP BY source_id", SELF, _GRID, _OVER))
 def isolated_flag(spark, sf):
     s = sources(spark, sf)
     o = J.ellipse_overlap_join(s, RADIUS, ["band"])
