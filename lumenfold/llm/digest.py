@@ -44,18 +44,6 @@ def _compositions() -> tuple[tuple[str, str, str], ...]:
     return tuple((m, "".join(a for a, _ in by[m]), "".join(b for _, b in by[m])) for m in order)
 
 
-def _char_class(characters: str) -> str:
-    """A regular expression class of ``characters``, by ranges."""
-    codes, out, i = sorted(map(ord, characters)), [], 0
-    while i < len(codes):
-        j = i
-        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
-            j += 1
-        out.append(f"\\x{{{codes[i]:x}}}-\\x{{{codes[j]:x}}}")
-        i = j + 1
-    return "[" + "".join(out) + "]"
-
-
 def _composed(text: Column) -> Column:
     """``text`` with each mark joined to the character before it, where there is a joined one."""
     table = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(a).alias("bases"), F.lit(b).alias("joined")) for m, a, b in _compositions()])
@@ -74,27 +62,40 @@ def _composed(text: Column) -> Column:
     return F.aggregate(table, text, join_mark)
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _unusual(text: Column) -> Column:
+    wide, plain = _plain_forms()
+    spelled = functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), _EXPANDED.items(), text)
+    return _bind(F.translate(spelled, wide, plain), lambda t: F.when(t.rlike(r"\p{M}"), _composed(t)).otherwise(t))
+
+
+# White space but for the plain space, and the characters below U+0100 with another NFKC form.
+_OTHER_SPACE = r"\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_UNUSUAL = r"[\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\x{10ffff}]"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty.
 
-    Marks in canonical order are composed as in NFC; characters with a compatibility form of one
-    character, and the listed ones with more, take it; letters are lower case, ß is ss and a final
+    Characters with a compatibility form of one character, and the listed ones with more, take it;
+    marks in canonical order are composed as in NFC; letters are lower case, ß is ss and a final
     sigma a plain one; runs of white space are one space, and none at the ends.
     """
     out = F.coalesce(text, F.lit(""))
-    out = F.when(out.rlike(r"\p{M}"), _composed(out)).otherwise(out)
-    wide, plain = _plain_forms()
-    listed = "[" + "".join(_EXPANDED) + "]"
-    spelled = functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), _EXPANDED.items(), out)
-    out = F.when(out.rlike(listed), spelled).otherwise(out)
-    out = F.when(out.rlike(_char_class(wide)), F.translate(out, wide, plain)).otherwise(out)
+    out = F.when(out.rlike(_UNUSUAL), _unusual(out)).otherwise(out)
     folded = F.replace(F.replace(F.lower(out), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    return F.trim(F.regexp_replace(folded, r"[\s\x1c-\x1f\x{85}\p{Z}]+", " "))
+    # What is a single plain space already stays untouched.
+    runs = f" ?[{_OTHER_SPACE}][ {_OTHER_SPACE}]*| {{2,}}[ {_OTHER_SPACE}]*"
+    return F.trim(F.regexp_replace(folded, runs, " "))
 
 
 def fingerprint(canon: Column) -> Column:
     """32 hexadecimal digits: xxhash64 of a canonical text under two seeds."""
-    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in (1, 2)]))
+    return _bind(canon, lambda c: F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), c)), 16, "0") for seed in (1, 2)])))
 
 
 def slice_bounds(docs: DataFrame, id_col: str) -> list[int]:
@@ -117,10 +118,10 @@ def slice_of(ids: Column, bounds: list[int]) -> Column:
     return F.when(ids.isNull(), -1).when(k == 0, 0).otherwise((k - 1) * step + within)
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with next_<c> for each of ``columns``: its value in the next row by descending id.
+def with_next(docs: DataFrame, text_col: str, extra: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``extra`` and next_<c> for it and ``text_col``: the value in the next row by descending id.
 
-    After the last row comes the first. Null ids come last; equal ids are in order of ``columns``.
+    After the last row comes the first. Null ids come last; equal ids are in order of their texts.
     Rows are dealt out by slices of the order, and each slice also gets the first row of the next
     one, so that no task sees the whole order.
     """
@@ -129,29 +130,28 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     heads = docs.select(id_col).groupBy(slice_of(F.col(id_col), bounds).alias("__s")).agg(F.max(id_col).alias("__head"))
     # At most MOST_SLICES + 1 rows: one a slice.
     heads = heads.withColumn("__to", F.coalesce(F.lag("__s").over(Window.orderBy(F.desc("__s"))), F.first("__s").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    first = cut.join(F.broadcast(heads), (F.col("__slice") == F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__head")))
-    ghosts = first.groupBy("__to").agg(F.min(F.struct(*columns)).alias("__row"))
-    rest = [c for c in docs.columns if c not in columns]
-    ghosts = ghosts.select(F.col("__to").alias("__slice"), F.lit(1).alias("__ghost"), "__row.*")
-    both = cut.select("__slice", "__ghost", *columns, *rest).unionByName(ghosts, allowMissingColumns=True)
-    order = Window.partitionBy("__slice").orderBy("__ghost", F.desc_nulls_last(id_col), *columns)
-    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    first = docs.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("__head")))
+    ghosts = first.groupBy("__to").agg(F.min(text_col).alias(text_col)).select(F.col("__to").alias("__slice"), F.lit(1).alias("__ghost"), text_col)
+    both = cut.unionByName(ghosts, allowMissingColumns=True).withColumns(extra)
+    order = Window.partitionBy("__slice").orderBy("__ghost", F.desc_nulls_last(id_col), text_col)
+    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in [text_col, *extra]})
     return led.filter(F.col("__ghost") == 0).drop("__slice", "__ghost")
 
 
-def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", repeated: DataFrame | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, prints: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(fingerprint, canon_sha256, canonical_id) of each group of at least two rows with one canonical text.
 
-    ``repeated``: the fingerprints that occur twice or more, where they are known. Inside a
-    fingerprint's bucket rows are grouped by their canonical bytes, so that a collision gives several
-    groups; the partial aggregation keeps one copy of a text a task. ``canonical_id``: the least id.
+    ``prints``: id_col and fingerprint of every row. Inside the bucket of a repeated fingerprint rows
+    are grouped by their canonical bytes, so that a collision gives several groups; the partial
+    aggregation keeps one copy of a text a task. ``canonical_id``: the least id.
     """
-    canon = docs.select(F.col(id_col).alias("__id"), canonical(F.col(text_col)).alias("__canon")).withColumn("fingerprint", fingerprint(F.col("__canon")))
-    if repeated is None:
-        repeated = stash(canon.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "repeated")
-    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    same = canon.join(small, "fingerprint", "left_semi").groupBy("fingerprint", "__canon").agg(F.min("__id").alias("canonical_id"))
-    return same.select("fingerprint", F.sha2(F.col("__canon").cast("binary"), 256).alias("canon_sha256"), "canonical_id")
+    repeated = stash(prints.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "repeated")
+    ids = stash(prints.join(repeated, "fingerprint", "left_semi").select(F.col(id_col).alias("__id")).distinct(), "ids")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    rows = docs.join(small, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    canon = rows.select(F.col(id_col).alias("__id"), canonical(F.col(text_col)).alias("__canon")).groupBy("__canon").agg(F.min("__id").alias("canonical_id"), F.count("*").alias("__n"))
+    named = canon.withColumn("fingerprint", fingerprint(F.col("__canon")))
+    return named.join(repeated, "fingerprint", "left_semi").select("fingerprint", F.sha2(F.col("__canon").cast("binary"), 256).alias("canon_sha256"), "canonical_id")
 
 
 def fingerprints_with_edits(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -163,8 +163,7 @@ def fingerprints_with_edits(docs: DataFrame, text_col: str = "text", id_col: str
     among documents with the same canonical bytes. Repeated rows stay; an empty table gives none.
     """
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    base = base.withColumn("fingerprint", fingerprint(canonical(F.col("__text"))))
-    led = with_next(base, ["__text", "fingerprint"], id_col)
+    led = with_next(base, "__text", {"fingerprint": fingerprint(canonical(F.col("__text")))}, id_col)
     n = F.length("__text").cast("long")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("__text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next___text"), F.lit(1), cut))
@@ -173,8 +172,7 @@ def fingerprints_with_edits(docs: DataFrame, text_col: str = "text", id_col: str
     out = led.withColumn("edited_fingerprint", fingerprint(canonical(F.col("__edited"))))
     out = out.withColumns({"near_edited": same("fingerprint", "edited_fingerprint"), "near_next": same("fingerprint", "next_fingerprint")})
     out = stash(out.select(id_col, "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"), "fingerprints")
-    repeated = stash(out.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "repeated")
-    groups = stash(exact_groups(docs, text_col, id_col, repeated), "groups")
+    groups = stash(exact_groups(docs, out.select(id_col, "fingerprint"), text_col, id_col), "groups")
     apart = groups.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
     if not apart.isEmpty():  # a collision: these buckets go by their bytes
         ids = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("__canon")).withColumn("fingerprint", fingerprint(F.col("__canon"))).join(apart, "fingerprint", "left_semi")
