@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from lumenfold.functions import expr as E
 from lumenfold.operators import jobs
 from lumenfold.operators import joins as J
+from lumenfold.operators import objects as O  # noqa: N812
+from lumenfold.operators import pixels as P
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
 from lumenfold.plans.registry import query
 from lumenfold.plans.rules import r, rich
-from lumenfold.plans.tables import detections, out, samples, sfin, sources, sout, weights, with_tables
+from lumenfold.plans.tables import detections, out, pixels, samples, sfin, sources, sout, weights, with_tables
 from lumenfold.session import stash
 
 C = F.col
@@ -88,3 +90,69 @@ def remeasure_rescue(spark, sf):
     guard = ~E.finite("diff") | (C("area") > 1200) | (C("ratio") > 6)
     cls = F.when(guard, "ignore").when((d < 0.3) & (C("fill") >= 0.3), "clean").when(d <= 0.6, "center_only").otherwise("ignore")
     return rich(spark, sf).select("source_id", cls.alias("class"))
+
+
+def _runs(spark, sf):
+    return stash(P.regions(pixels(spark, sf).filter(E.mask_bit(C("mask"), 0)), ["band"]), "runs")
+
+
+def _points(spark, sf, bit):
+    return pixels(spark, sf).filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "x AS px", "y AS py", "x * 64 + y AS id")
+
+
+@query("footprint_span_join", with_tables("pixels", "SELECT c.band, c.x * 64 + c.y AS id, p.x, p.y, round(p.image) AS image FROM pixels c JOIN pixels p ON p.band = c.band AND p.y = c.y AND p.x BETWEEN c.x - 2 AND c.x + 1 WHERE (c.mask & 4) <> 0"))
+def footprint_span_join(spark, sf):
+    spans = pixels(spark, sf).filter(E.mask_bit(C("mask"), 2)).selectExpr("band", "x * 64 + y AS id", "y", "x - 2 AS x0", "x + 1 AS x1")
+    return O.footprint_span_join(spans, pixels(spark, sf), ["band"]).withColumn("image", F.round("image"))
+
+
+@query("disk_offsets", with_tables("pixels", "SELECT c.id, count(*) AS n FROM (SELECT x * 64 + y AS id, x, y FROM pixels WHERE band = 'A' AND (mask & 1) <> 0) c JOIN pixels p ON p.band = 'A' AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 12.25 GROUP BY c.id"))
+def disk_offsets(spark, sf):
+    a = pixels(spark, sf).filter("band = 'A'").select("band", "x", "y")
+    return P.at_offsets(_points(spark, sf, 0).filter("band = 'A'"), a, P.disk_offsets(3.5), ["band"]).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("ap2_snr_measure")
+def ap2_snr_measure(spark, sf):
+    p = pixels(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 1))
+    found = O.ap2_snr_measure(_points(spark, sf, 2), p, 1.0, 2.0, 4.0, ["band"])
+    return found.select("band", "id", F.round("flux").alias("flux"), out("snr", 4).alias("snr"), "internal", "trusted")
+
+
+@query("link_metrics")
+def link_metrics(spark, sf):
+    s, bands = sources(spark, sf), ["click", "error", "purchase", "signup", "view"]
+    linked = J.band_link(s.selectExpr("source_id AS id", "band", "x", "y", "1 AS one"), bands, 6.0, ["one"])
+    members = linked.join(s.select(C("source_id").alias("id"), C("band"), (C("user_id") % 50).alias("source_id")), "id").select("object", "band", F.when(C("id") % 4 > 0, C("source_id")).alias("source_id"))
+    return O.link_metrics(members, s.select((C("user_id") % 50).alias("source_id"), "band"))
+
+
+@query("seeded_component_centers")
+def seeded_component_centers(spark, sf):
+    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 0), _points(spark, sf, 0).filter("id % 9 = 0"), ["band"], 64, 64, 3)
+    return found.select("band", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
+
+
+@query("nested_component_centers")
+def nested_component_centers(spark, sf):
+    parents = _points(spark, sf, 2).filter("id % 5 = 0").selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
+    centers = _points(spark, sf, 1).filter("id % 11 = 0").selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
+    found = O.nested_component_centers(_runs(spark, sf), parents, centers, 2.0, ["band"])
+    return found.select("band", "parent", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@query("component_bright_labels")
+def component_bright_labels(spark, sf):
+    found = O.component_bright_labels(_points(spark, sf, 2), _runs(spark, sf), _points(spark, sf, 1).filter("id % 6 = 0"), ["band"], 3.0, 60.0, C("pixels") < 5)
+    return found.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("kron_refit", with_tables("pixels refit", """SELECT m.id, round(moment / total * 2.0::DOUBLE, 6) AS radius, round(moment / total * 2.0::DOUBLE / r.radius, 6) AS ratio FROM (SELECT id, sum(image) AS total, sum(d * image) AS moment FROM (SELECT c.x * 64 + c.y AS id, p.image, sqrt((p.x - c.x) * (p.x - c.x) / 4.0::DOUBLE + (p.y - c.y) * (p.y - c.y) / 4.0::DOUBLE) AS d FROM pixels c JOIN pixels p ON p.band = 'N' AND p.y = c.y AND p.x BETWEEN c.x - 4 AND c.x + 4 WHERE c.band = 'N' AND (c.mask & 2) <> 0) WHERE d <= 6 GROUP BY id) m JOIN refit r ON r.source_id = m.id AND r.good AND r.radius > 0"""))
+def kron_refit(spark, sf):
+    from lumenfold.plans.tables import refit
+
+    c = _points(spark, sf, 1).filter("band = 'N'")
+    spans = c.selectExpr("band", "id", "py AS y", "px - 4 AS x0", "px + 4 AS x1")
+    shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "2D AS a", "2D AS b", "0D AS theta")
+    m = P.kron_moment(spans, pixels(spark, sf), shape, ["band"]).join(refit(spark, sf).filter("good AND radius > 0").select(C("source_id").alias("id"), C("radius").alias("official")), "id")
+    return m.select("id", out("radius").alias("radius"), out(C("radius") / C("official")).alias("ratio"))
