@@ -37,8 +37,10 @@ def binned(df: DataFrame, value: str, low: float, high: float, width: float) ->
 
 def completeness_by_bin(reference: DataFrame, by: str, low: float, high: float, width: float) -> DataFrame:
     """(by, bin, lo, hi, total, matched, completeness): also of empty bins. ``reference`` has mag and matched."""
-    bins = mag_bins(reference.sparkSession, low, high, width)
-    grid = reference.select(by).distinct().join(F.broadcast(bins))  # a few bins a group
+    n = int((high + width * 0.5 - low) / width)
+    i = F.col("bin").cast("double")
+    grid = reference.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    grid = grid.withColumns({"lo": low + i * width, "hi": low + (i + 1) * width})
     counts = binned(reference, "mag", low, high, width).groupBy(by, "bin").agg(F.count("*").alias("total"), F.count_if("matched").alias("matched"))
     out = grid.join(counts, [by, "bin"], "left").na.fill(0, ["total", "matched"])
     return out.select(by, "bin", "lo", "hi", "total", "matched", ratio(F.col("matched"), F.col("total")).alias("completeness"))
@@ -188,8 +190,8 @@ def tile_grid(spark: SparkSession, width: int, height: int, size: int, stride: i
         out[-1] = max(0, n - size) if len(out) > 1 else out[-1]
         return out
 
-    axis = lambda n, a, b: spark.createDataFrame(list(enumerate(starts(n))), f"{a} int, {b} int")
-    both = axis(height, "row", "y0").join(F.broadcast(axis(width, "col", "x0")))
+    axis = lambda n: F.posexplode(F.array(*map(F.lit, starts(n))))
+    both = spark.range(1).select(axis(height).alias("row", "y0")).select("row", "y0", axis(width).alias("col", "x0"))
     return both.select(F.format_string("r%02d_c%02d_x%d_y%d", "row", "col", "x0", "y0").alias("name"), "x0", "y0", "row", "col")
 
 

@@ -98,7 +98,7 @@ _TILES = "tiles AS (SELECT 'r' || r || '_c' || q AS name, (q * 300)::DOUBLE AS x
 
 
 def tiles(spark):
-    return spark.range(3).withColumnRenamed("id", "r").crossJoin(spark.range(3).withColumnRenamed("id", "q")).selectExpr("concat('r', r, '_c', q) AS name", "CAST(q * 300 AS DOUBLE) AS x0", "CAST(r * 300 AS DOUBLE) AS y0", "400 AS size")
+    return spark.range(9).selectExpr("concat('r', id div 3, '_c', id % 3) AS name", "CAST(id % 3 * 300 AS DOUBLE) AS x0", "CAST(id div 3 * 300 AS DOUBLE) AS y0", "400 AS size")
 
 
 @query("source_in_tile", with_tables(S, "SELECT source_id, name, x - x0 AS lx, y - y0 AS ly FROM sources JOIN tiles ON x >= x0 - 5 AND x < x0 + size + 5 AND y >= y0 - 5 AND y < y0 + size + 5", _TILES))

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from lumenfold.plans import composed, expressions, joins, rules, summaries  # noqa: E402,F401
+from lumenfold.plans import composed, expressions, files, joins, rules, summaries  # noqa: E402,F401
