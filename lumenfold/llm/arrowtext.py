@@ -31,22 +31,42 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list
     """``docs`` (or its columns ``keep``) with the columns ``fields``, a DDL string.
 
     ``make`` runs once per task and gives a function from the Arrow array of texts to the arrays
-    of the new columns. A column of ``docs`` that has the name of a new one gives way to it.
+    of the new columns, whose attribute close(), if there is one, is called at the task's end. A column of ``docs`` that has the name of a new one gives way to it.
     """
     ship_package(docs.sparkSession)
     new = T._parse_datatype_string(fields)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    text = F.col(f"`{text_col}`").cast("string")
+
+    def arrays(columns: list) -> list[pa.Array]:
+        return [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+
+    if text_col in kept:
+        # The text stays on the JVM's side; only the new columns come back.
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            work = make()
+            for some in texts:
+                yield pa.StructArray.from_arrays(arrays(work(some)), names=new.names)
+                pa.default_memory_pool().release_unused()
+            getattr(work, "close", int)()
+
+        run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        # Not to be computed once more for each filter on a new column.
+        made = F.arrow_udf(run, new).asNondeterministic()
+        return docs.select(*[F.col(f"`{c}`") for c in kept], made(text).alias("__new")).select(*[F.col(f"`{c}`") for c in kept], "__new.*")
+
     schema = T.StructType([docs.schema[c] for c in kept] + list(new))
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    names, types = kept + new.names, [None] * len(kept)
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__text"))
+    n = len(kept)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            columns = work(batch.column(len(types)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(types))] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + arrays(work(batch.column(n))), names=kept + new.names)
+            pa.default_memory_pool().release_unused()
+        getattr(work, "close", int)()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run_batches, schema)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

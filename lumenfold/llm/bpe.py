@@ -23,9 +23,9 @@ from lumenfold.llm.arrowtext import append_columns
 from lumenfold.llm.token_count import byte_of_symbol
 
 #: Entries of a worker's dictionary of encoded words, after which it starts anew.
-DICTIONARY_SIZE = 400_000
+DICTIONARY_SIZE = 120_000
 #: Entries of the table of tested token pairs, likewise.
-PAIRS_SIZE = 1_000_000
+PAIRS_SIZE = 150_000
 _NEVER = 1 << 62
 
 
@@ -104,10 +104,11 @@ class PrefixBpe:
         def fits(k: int, length: int, token: int) -> bool:
             if length == k:
                 return True
-            pair = (ends[k - length][1], token)
+            before = ends[k - length][1]
+            pair = before << 20 | token
             ok = apart.get(pair)
             if ok is None:
-                ok = apart[pair] = self.stays_apart(*pair)
+                ok = apart[pair] = self.stays_apart(before, token)
             return ok
 
         for end, (length, token) in self.inner.iter(symbols[:-1]):
@@ -152,11 +153,16 @@ class PrefixBpe:
             ids.append(found[0])
             shown.append(found[1])
         if len(known) > self.size:
-            keep = {k: known[k] for k in self.specials}
-            known.clear()
-            known.update(keep)
+            self.forget()
         return b"".join(ids), " ".join(shown)
 
+    def forget(self) -> None:
+        """Empty the dictionaries but for special strings: they would outlast the task in its worker."""
+        keep = {k: self.known[k] for k in self.specials}
+        self.known.clear()
+        self.known.update(keep)
+        self.apart.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a list of ids: as the file names no decoder, its tokens with spaces between."""
         return " ".join([self.names[int(i)] for i in ids])
@@ -184,6 +190,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
             found = [bpe.encode(text) if (text := value.as_py()) else (b"", "") for value in texts]
             return [pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([i for i, _ in found], pa.binary()), pa.array([s for _, s in found], pa.string())]
 
+        work.close = bpe.forget
         return work
 
     return append_columns(docs, make, "n_tokens long, token_ids binary, decoded string", text_col, keep)

@@ -24,7 +24,7 @@ TRAIN_DOCS = 2000
 #: Languages (those with the most training documents), context nodes and bytes that the model holds.
 MAX_LANGUAGES, MAX_CONTEXTS, MAX_BYTES = 256, 20_000, 160
 #: Bytes scored in one step.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class PpmModel:
