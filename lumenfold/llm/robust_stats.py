@@ -22,15 +22,15 @@ WINDOW = 8
 COVERAGE, STEPS, LEAST_ROWS = 0.75, 3, 60
 #: Standard deviations that no coordinate's scatter falls below: they keep bulks that agree in a
 #: statistic (no symbols at all, say) from rejecting every departure.
-FLOORS = (0.5, 0.12, 0.15, 0.15, 0.15, 0.15)
-#: Distances beyond this are rejected. The squared distance of a normal vector with six coordinates
-#: passes it with probability 1e-6; statistics of texts have longer tails than that.
-CUTOFF = 6.5
+FLOORS = (0.5, 0.12, 0.15, 0.15, 0.15, 0.15, 0.15)
+#: Distances beyond this are rejected. The squared distance of a normal vector with seven coordinates
+#: passes it with probability 1e-5; statistics of texts have longer tails than that.
+CUTOFF = 6.0
 #: Steps of the grids on which quantiles are taken.
 GRID, DISTANCE_GRID = 0.01, 0.02
 #: Groups up to which their table of estimates is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
-FEATURES = ("f_words", "f_length", "f_symbols", "f_dup_lines", "f_repeats", "f_caps")
+FEATURES = ("f_words", "f_length", "f_symbols", "f_dup_lines", "f_repeats", "f_caps", "f_adjacent")
 
 
 def _repeat_marks(hashes: Column) -> Column:
@@ -62,9 +62,9 @@ def _repeat_marks(hashes: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without ``text_col``, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and caps (long).
+    """``docs`` without ``text_col``, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, caps and n_adjacent (long).
 
-    Null texts count as empty. ``caps``: letters A to Z.
+    Null texts count as empty. ``caps``: letters A to Z; ``n_adjacent``: words equal to the one before.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if c != text_col]
@@ -74,9 +74,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.select(*rest, words.alias("__words"), lines.alias("__lines"), F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length(F.regexp_replace("__text", "[^A-Z]+", "")).cast("long").alias("caps"))
     out = out.select(*rest, "n_symbols", "caps", F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
     window = F.when(F.size("__hashes") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__hashes") - WINDOW), lambda i: F.xxhash64(*[F.get("__hashes", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<long>"))
-    out = out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "caps", window.alias("__windows"))
+    adjacent = F.size(F.filter("__hashes", lambda h, i: F.coalesce(h == F.get("__hashes", i - 1), F.lit(False)))).cast("long")
+    out = out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "caps", adjacent.alias("n_adjacent"), window.alias("__windows"))
     repeats = F.when(F.size(F.array_distinct("__windows")) == F.size("__windows"), F.lit(0).cast("long")).otherwise(_repeat_marks(F.col("__windows")))
-    return out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "caps")
+    return out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "caps", "n_adjacent")
 
 
 def features() -> dict[str, Column]:
@@ -90,6 +91,7 @@ def features() -> dict[str, Column]:
         "f_dup_lines": spread(F.col("n_dup_lines"), n, 20.0),
         "f_repeats": spread(F.col("n_repeat_words"), n, 2.0),
         "f_caps": spread(F.col("caps"), chars, 4.0),
+        "f_adjacent": spread(F.col("n_adjacent"), n, 10.0),
     }
 
 
@@ -145,9 +147,9 @@ def _concentrate(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
     inside = near.select("__group", "__cell", *FEATURES).join(F.broadcast(reach) if n <= BROADCAST_ROWS else reach, "__group").filter(F.col("__cell") <= F.col("__last"))
     p = range(len(FEATURES))
     sums = inside.groupBy("__group").agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("__n"), *[F.avg(FEATURES[i]).alias(f"m{i}") for i in p], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in p for j in range(i + 1)])
-    # The scatter of the nearest share is less than that of all; for six coordinates and three quarters
-    # of a normal cloud by about 0.6.
-    scatter = {f"s{i}{j}": (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) / 0.6 + (FLOORS[i] ** 2 if i == j else 0.0) for i in p for j in range(i + 1)}
+    # The scatter of the nearest share is less than that of all; for seven coordinates and three
+    # quarters of a normal cloud by about 0.75.
+    scatter = {f"s{i}{j}": (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) / 0.75 + (FLOORS[i] ** 2 if i == j else 0.0) for i in p for j in range(i + 1)}
     return _cholesky(sums.withColumns(scatter))
 
 
@@ -186,4 +188,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = stash(rows.withColumns(features()).withColumn("base_failed", failed), "statistics")
     measured = outliers(rows.filter(~F.col("base_failed")), lang_col, source_col)
     out = measured.unionByName(rows.filter("base_failed"), allowMissingColumns=True)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).drop(*FEATURES, "caps")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).drop(*FEATURES, "caps", "n_adjacent")

@@ -40,7 +40,7 @@ def test_rules_on_odd_rows(odd, empty):
 
 
 def test_concentration_finds_planted_outliers(spark):
-    rows = [(i, (i * 37 % 101) / 50 + 5, (i * 53 % 97) / 100 + 1.5, 0.0, 0.0, 0.0, (i * 29 % 89) / 200, "en", "a") for i in range(400)] + [(1000 + i, 6.0, 1.9, 3.0, 0.0, 0.0, 0.2, "en", "a") for i in range(60)]
+    rows = [(i, (i * 37 % 101) / 50 + 5, (i * 53 % 97) / 100 + 1.5, 0.0, 0.0, 0.0, (i * 29 % 89) / 200, 0.0, "en", "a") for i in range(400)] + [(1000 + i, 6.0, 1.9, 3.0, 0.0, 0.0, 0.2, 0.0, "en", "a") for i in range(60)]
     table = spark.createDataFrame(rows, ["doc_id", *robust_stats.FEATURES, "lang", "source"])
     found = {r.doc_id: r.distance for r in robust_stats.outliers(table).collect()}
     assert max(found[i] for i in range(400)) < robust_stats.CUTOFF < min(found[1000 + i] for i in range(60))
