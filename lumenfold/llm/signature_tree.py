@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.arrowtext import ASCII_LOWER, combine, mix, shingle_hashes, steps, word_bounds, word_hashes
 from lumenfold.operators.graph import connected_components
-from lumenfold.session import ship_package, stash
+from lumenfold.session import release, ship_package, stash
 
 #: Sets of one in-task tree, sets of a tree's leaf, and 64-bit words of a bitmap.
 GROUP_SETS, LEAF_SETS, WORDS = 512, 8, 32
@@ -29,6 +29,8 @@ FILTER_BITS = 1 << 26
 #: Hash families tried for a set whose parts are too often empty, before it goes to its band's common part.
 FAMILIES = 8
 _SEGMENTS = 1024
+#: Rows of the table of candidate sets up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Threshold:
@@ -48,15 +50,15 @@ class Threshold:
     def band(self, k: int) -> tuple[int, int]:
         """Largest symmetric difference of a link whose smaller set is in size class ``k``, and its parts.
 
-        So many parts that even the smallest set of the band nearly always has something in more
-        of them than may differ.
+        So many parts that even the smallest set of the band mostly has something in more of them than
+        may differ; the few others try further families. Small sets keep a few elements a part.
         """
         largest = self.edges[k + 1] - 1
         most = (largest + largest * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         s, parts = self.edges[k], most + 1
-        while most and parts < 64 * (most + 1):
+        while most and parts < 2 * (most + 1):
             empty = parts * math.exp(-s / parts)
-            if parts - empty - 4 * math.sqrt(empty) > most:
+            if parts - empty - 2 * math.sqrt(empty) > most:
                 break
             parts += max(1, parts // 64)
         return most, parts
@@ -156,6 +158,16 @@ class Components:
         self.up[self.find(i)] = self.find(j)
 
 
+def connect(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in ``pairs``, in order, and the least value that pairs connect each with."""
+    members, at = np.unique(pairs, return_inverse=True)
+    parts = Components(len(members))
+    for i, j in at.reshape(-1, 2).tolist():
+        i, j = parts.find(i), parts.find(j)
+        parts.up[max(i, j)] = min(i, j)
+    return members, members[[parts.find(i) for i in range(len(members))]] if len(members) else members
+
+
 class SignatureTree:
     """Nodes over sets in order of size: OR-combined bitmap, least and largest size, most bits lost to collisions."""
 
@@ -278,6 +290,7 @@ def _group_links(sets: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
 
     def work(batches):
         for rows in by_group(batches, width):
+            rows = [r for i, r in enumerate(rows) if not i or rows[i - 1][width] != r[width]]
             if len(rows) > 1:
                 found = tree_links([np.frombuffer(r[width + 1], np.uint64) for r in rows], t)
                 if found:
@@ -359,21 +372,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 owner, keys = part_keys(hashes, begin, t)
                 if not len(keys):
                     continue
-                # Copies, and sets that meet in this batch already, are joined here: only the least set of a
-                # part goes on, and the others share a key with it that is their own.
+                # Copies, and sets that meet in this batch already, are joined here: the least set of those
+                # that parts connect stands for them in their parts, and each shares one key with it.
                 ids = ids[owner]
                 order = np.lexsort((ids, keys))
                 keys, ids = keys[order], ids[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
                 head = np.repeat(ids[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
-                meet = np.unique(np.stack([head[head != ids], ids[head != ids]], 1), axis=0)
-                own = combine(meet[:, 0].view(np.uint64), meet[:, 1].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], own, own])), pa.array(np.concatenate([ids[new], meet[:, 0], meet[:, 1]]))], names=["key", "id"])
+                members, labels = connect(np.unique(np.stack([head[head != ids], ids[head != ids]], 1), axis=0))
+                stands = ids[new]
+                if len(members):
+                    place = np.minimum(np.searchsorted(members, stands), len(members) - 1)
+                    stands = np.where(members[place] == stands, labels[place], stands)
+                other = members != labels
+                members, labels = members[other], labels[other]
+                own = combine(labels.view(np.uint64), members.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], own, own])), pa.array(np.concatenate([stands, labels, members]))], names=["key", "id"])
 
     keys = source.select("text").mapInArrow(route, "key long, id long")
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
-    meets = stash(keys.withColumn("b", before).filter("b is not null and b <> id").select(F.col("id").alias("a"), "b").distinct(), "meets")
+    # Every set of a part meets the least one: most parts of a large group have one of few least sets.
+    least = F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    meets = stash(keys.withColumn("b", least).filter("b <> id").select(F.col("id").alias("a"), "b").distinct(), "meets")
+    del keys
+    release(spark)  # the shuffled keys are the largest files of this operator
     groups = connected_components(meets).withColumnRenamed("component", "g")
     counted = groups.join(groups.groupBy("g").agg(F.count("*").alias("__n")), "g")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("__n") / group_sets)).cast("long")
@@ -392,9 +414,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([hashes[begin[d] : begin[d + 1]].tobytes() for d in hit], pa.binary())], names=["id", "tokens"])
 
     sets = source.select("text").mapInArrow(gather, "id long, tokens binary")
-    sets = stash(members.join(sets, "id").dropDuplicates(["id"]), "sets")
+    # Copies of a text may send a set once a task: the groups skip them.
+    small = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    sets = stash(sets.join(small, "id"), "sets")
     links = stash(_group_links(sets, ["g", "leaf"], t), "links")
-    large = sets.filter("leaves > 1")
+    release(spark)
+    large = stash(sets.filter("leaves > 1").dropDuplicates(["id"]), "large")
     if not large.isEmpty():
         links = _large_groups(large, links, t, group_sets)
     # Rows with one id are one document, whatever their texts.
