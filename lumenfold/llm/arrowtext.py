@@ -15,7 +15,7 @@ from lumenfold.session import ship_package
 #: The separators of words: space, and \t \n \v \f \r.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one step of NumPy work takes at most, but for single longer documents.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False

@@ -21,6 +21,8 @@ from lumenfold.session import ship_package, stash
 LEAST_TOKENS, EVIDENCE = 3, 24
 #: Tokens of a line that may take every third one as a variable field.
 GENERAL_TOKENS = 12
+#: Rows whose texts are rebuilt in one step.
+OUT_ROWS = 1024
 _FIELD = np.uint64(0x1F83D9ABFB41BD6B)
 
 
@@ -94,7 +96,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     at = columns.index(text_col)
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(k, OUT_ROWS) for b in batches for k in range(0, b.num_rows, OUT_ROWS)):
             texts, drops = batch.column(at), batch.column(len(columns)).to_pylist()
             out, n, gone = [], [], []
             for text, drop in zip(texts, drops, strict=True):
