@@ -1,9 +1,9 @@
 """Personal data: pattern spans, and terms that disclose protected entities.
 
 Base spans are addresses, card and phone numbers by pattern. Each value found is a protected entity.
-Over the corpus, a term's pointwise mutual information with an entity, from document counts of
-either and both, says how much of the entity's information content the term gives away; terms near
-an entity that give away more than a threshold are spans too, to be generalised or removed.
+Over the corpus, a term's pointwise mutual information with an entity, from counts of whole documents
+with either and both, says how much of the entity's information content the term gives away; all
+places of terms that give away more than a threshold are spans too, to be generalised or removed.
 """
 
 from __future__ import annotations
@@ -16,17 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.arrowtext import ASCII_LOWER, append_columns, combine, steps, word_hashes
+from lumenfold.llm.arrowtext import ASCII_LOWER, _powers, append_columns, mix, steps, word_hashes
 from lumenfold.session import ship_package, stash
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on either side of an entity that are looked at.
-NEAR_TERMS = 8
+#: Code points of a term at least.
+LEAST_LETTERS = 3
 #: Share of an entity's information content that a term may not give away, and the differing
-#: surroundings that must show the two together.
+#: texts that must show the two together.
 DISCLOSED, LEAST_CONTEXTS = 0.9, 3
 #: Bits of the filter that keeps words which are no candidate from being counted.
 FILTER_BITS = 1 << 24
+#: Rows of keys up to which they are broadcast; more are joined by shuffle, each dealt over SALTS tasks.
+BROADCAST_ROWS, SALTS = 200_000, 32
+#: Counts of terms that a task holds before it hands them on.
+COUNTED_TERMS = 500_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,8 +38,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}")
 _DIGITS = re.compile("[0-9]")
+# A term is a run of letters, or of anything outside ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def luhn(digits: str) -> bool:
@@ -81,56 +87,75 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(_DIGITS.findall(value))}"
 
 
-def _lower(term: str) -> str:
-    return term.encode().translate(bytes(ASCII_LOWER)).decode()
+def term_bounds(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the terms in ``body``, of any length, and the index of each one's document."""
+    inside = _LETTER[body]
+    first = np.zeros(len(body) + 1, bool)
+    first[at] = True
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]) | inside & first[:-1])
+    ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]]) | inside & first[1:]) + 1
+    return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def term_hashes(terms: list[str]) -> np.ndarray:
-    """The hash of each term that counting over bytes gives it."""
-    coded = [t.encode() for t in terms]
-    ends = np.cumsum(np.array([len(c) for c in coded], np.int64))
-    return word_hashes(np.frombuffer(b"".join(coded), np.uint8), ends - np.diff(ends, prepend=0), ends, ASCII_LOWER).view(np.int64)
+def code_points(body: np.ndarray) -> np.ndarray:
+    """Of every byte offset up to the end: the code points that begin before it."""
+    return np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, surroundings) of the terms near each span."""
-    out = []
-    taken = [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        reach = 40 * NEAR_TERMS
-        left = [m.span() for m in _TERM.finditer(text, max(0, a - reach), a)][-NEAR_TERMS:]
-        right = [m.span() for m in _TERM.finditer(text, b, b + reach)][:NEAR_TERMS]
-        near = [(s, e) for s, e in left + right if not any(s < y and e > x for x, y in taken)]
-        if near:
-            terms = [_lower(text[s:e]) for s, e in near]
-            around = int(combine(*[h.reshape(1) for h in term_hashes(terms).view(np.uint64)]).view(np.int64)[0])
-            entity = _entity(kind, text[a:b])
-            out += [(entity, t, s, e, around) for t, (s, e) in zip(terms, near, strict=True)]
-    return out
+def terms_of(text: str) -> tuple[np.ndarray, int]:
+    """The distinct hashes of all terms of a text, and a hash of their sequence, which copies share."""
+    body = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = term_bounds(body, np.array([0, len(body)]))
+    points = code_points(body)
+    long = points[ends] - points[starts] >= LEAST_LETTERS
+    hashes = word_hashes(body, starts[long], ends[long], ASCII_LOWER)
+    sequence = mix(np.sum(hashes * _powers(len(hashes)), keepdims=True) + np.uint64(len(hashes)))
+    return np.unique(hashes.view(np.int64)), int(sequence.view(np.int64)[0])
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_CONTEXT = "array<struct<entity:string,term:string,hash:long,start:int,end:int,around:long>>"
-_CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
 
 
 def _find(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def make():
         def work(texts: pa.Array) -> list:
-            spans, near = [], []
+            spans, entities, terms, sequences = [], [], [], []
             for value in texts:
                 text = value.as_py() or ""
                 found = base_spans(text)
-                rows = contexts(text, found) if found else []
-                hashes = term_hashes([r[1] for r in rows]) if rows else ()
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near.append([{"entity": r[0], "term": r[1], "hash": int(h), "start": r[2], "end": r[3], "around": r[4]} for r, h in zip(rows, hashes, strict=True)])
-            return [pa.array(spans, _SPAN_TYPE), pa.array(near, _CONTEXT_TYPE)]
+                entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
+                hashes, sequence = terms_of(text) if found else ((), 0)
+                terms.append(hashes)
+                sequences.append(sequence)
+            return [pa.array(spans, _SPAN_TYPE), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64())), pa.array(sequences, pa.int64())]
 
         return work
 
-    return append_columns(docs, make, f"base {_SPAN}, __near {_CONTEXT}", text_col, keep)
+    return append_columns(docs, make, f"base {_SPAN}, __entities array<string>, __terms array<long>, __sequence long", text_col, keep)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap with the places of ``hashes`` (hash)."""
+    cells = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).cast("int").alias("cell")).distinct()
+    wanted = np.zeros(FILTER_BITS, bool)
+    # At most FILTER_BITS numbers, whatever the size of the corpus.
+    wanted[cells.toArrow().column(0).to_numpy()] = True
+    return np.packbits(wanted, bitorder="little")
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & (FILTER_BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``, which has each once; a frequent key is dealt over SALTS tasks."""
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    salted = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left_semi").drop("__salt")
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -140,68 +165,109 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
     removes its false hits.
     """
     ship_package(docs.sparkSession)
-    cells = terms.select(F.pmod("hash", F.lit(FILTER_BITS)).cast("int").alias("cell")).distinct()
-    wanted = np.zeros(FILTER_BITS, bool)
-    # At most FILTER_BITS numbers, whatever the size of the corpus.
-    wanted[cells.toArrow().column(0).to_numpy()] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted, bitorder="little"))
-    letter = np.zeros(256, bool)
-    letter[65:91] = letter[97:123] = letter[128:] = True
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
     def count(batches):
         bits = sent.value
+        found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, body, at in steps(batch.column(0)):
-                inside = letter[body]
-                first = np.zeros(len(body) + 1, bool)
-                first[at] = True
-                starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]) | inside & first[:-1])
-                ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]]) | inside & first[1:]) + 1
-                doc = np.searchsorted(at, starts, "right") - 1
+                starts, ends, doc = term_bounds(body, at)
                 hashes = word_hashes(body, starts, ends, ASCII_LOWER).view(np.int64)
-                place = hashes & (FILTER_BITS - 1)
-                hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                hit = _marked(bits, hashes)
                 pairs = np.unique(np.stack([hashes[hit], doc[hit]], 1), axis=0)
-                found, n = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["hash", "n"])
+                more, times = np.unique(pairs[:, 0], return_counts=True)
+                found, place = np.unique(np.concatenate([found, more]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([n, times]), len(found)).astype(np.int64)
+                if len(found) > COUNTED_TERMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["hash", "n"])
+                    found, n = found[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["hash", "n"])
 
     counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "hash long, n long")
     return counted.groupBy("hash").agg(F.sum("n").alias("n")).join(terms.select("hash").distinct(), "hash")
 
 
-def disclosing_terms(near: DataFrame, docs: DataFrame, text_col: str = "text", disclosed: float = DISCLOSED, least: int = LEAST_CONTEXTS) -> DataFrame | None:
-    """(entity, hash) of terms that give away at least ``disclosed`` of an entity's information; None if none can.
+def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(__row, terms): every place of ``terms`` (hash) in the texts of ``docs`` (__row and text_col) outside base spans."""
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
-    ``near``: rows (row key, entity, hash, around). Copies of a text show one surrounding only.
+    def search(batches):
+        bits = sent.value
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for i, _, body, at in steps(batch.column(1)):
+                starts, ends, doc = term_bounds(body, at)
+                hashes = word_hashes(body, starts, ends, ASCII_LOWER).view(np.int64)
+                hit = _marked(bits, hashes)
+                starts, ends, doc, hashes = starts[hit], ends[hit], doc[hit], hashes[hit]
+                out = []
+                for d in np.unique(doc):
+                    own = slice(*np.searchsorted(doc, [d, d + 1]))
+                    text = body[at[d] : at[d + 1]]
+                    points = code_points(text)
+                    a, b = points[starts[own] - at[d]], points[ends[own] - at[d]]
+                    free = np.ones(len(a), bool)
+                    base = sorted((x, y) for _, x, y in base_spans(text.tobytes().decode()))
+                    if base:
+                        reach = np.concatenate([[0], np.maximum.accumulate([y for _, y in base])])
+                        free = reach[np.searchsorted([x for x, _ in base], b)] <= a
+                    out.append((np.full(int(free.sum()), rows[i + d]), hashes[own][free], a[free], b[free]))
+                if out:
+                    row, found, a, b = map(np.concatenate, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["__row", "hash", "start", "end"])
+
+    hits = docs.select("__row", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(search, "__row long, hash long, start int, end int")
+    spans = _having(hits, terms, "hash").select("__row", F.struct(F.lit("term").alias("kind"), "start", "end").alias("s"))
+    return spans.groupBy("__row").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", disclosed: float = DISCLOSED, least: int = LEAST_CONTEXTS) -> DataFrame | None:
+    """(hash) of terms that give away at least ``disclosed`` of an entity's information; None if none can.
+
+    ``found``: rows (__at, __entities, __terms, __sequence), one a text. Entity and term are together in a
+    text wherever they stand in it. Copies of a text, with one sequence of terms, show one surrounding
+    only. An entity of all texts has no information to give away.
     """
-    pairs = near.groupBy("entity", "hash").agg(F.countDistinct("around").alias("kinds"), F.countDistinct("__row").alias("both")).filter(F.col("kinds") >= least)
-    pairs = stash(pairs, "pairs")
-    if pairs.isEmpty():
+    held = found.select("__at", "__sequence", F.explode("__entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
+    # Texts with one sequence have the same terms, so one of them stands for all.
+    kinds = stash(held.groupBy("entity", "__sequence").agg(F.count("*").alias("n"), F.min("__at").alias("__at")), "kinds")
+    entities = stash(kinds.groupBy("entity").agg(F.sum("n").alias("of_entity"), F.count("*").alias("kinds")).filter(F.col("kinds") >= least).drop("kinds"), "entities")
+    if entities.isEmpty():
         return None
+    shown = _having(kinds, entities.select("entity"), "entity").select("__at", "entity", "n")
+    texts = found.filter(F.size("__entities") > 0).select("__at", "__terms")
+    pairs = shown.join(texts, "__at").select("entity", "n", F.explode("__terms").alias("hash"))
+    pairs = pairs.groupBy("entity", "hash").agg(F.count("*").alias("kinds"), F.sum("n").alias("both")).filter(F.col("kinds") >= least)
     n = docs.count()
-    entities = near.groupBy("entity").agg(F.countDistinct("__row").alias("of_entity"))
+    mutual = F.log2(F.col("both") * F.lit(float(n)) / (F.col("of_entity") * F.col("of_term")))
+    told = mutual >= disclosed * F.log2(F.lit(float(n)) / F.col("of_entity"))
+    pairs = pairs.join(entities.filter(F.col("of_entity") < n), "entity").select("entity", "hash", "both", "of_entity")
+    # A term is in as many texts at least as in those with any entity: what is too frequent there need not be counted.
+    least_of = texts.select(F.explode("__terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("of_term"))
+    pairs = stash(pairs.join(least_of, "hash").filter(told).drop("of_term"), "pairs")
+    if pairs.isEmpty():
+        return None
     terms = term_documents(docs, pairs, text_col).withColumnRenamed("n", "of_term")
-    told = pairs.join(entities, "entity").join(terms, "hash")
-    mutual = F.log2(F.col("both") * F.lit(float(n)) / (F.col("of_entity") * F.greatest("of_term", "both")))
-    content = F.log2(F.lit(float(n)) / F.col("of_entity"))
-    return told.filter(mutual >= disclosed * content).select("entity", "hash")
+    told = stash(pairs.join(terms, "hash").filter(told).select("hash").distinct(), "disclosing")
+    return None if told.isEmpty() else told
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, least: int = LEAST_CONTEXTS) -> DataFrame:
     """One row a row of ``docs``: id_col, base and terms, arrays of (kind, start, end) in code points.
 
-    Base spans are in the order of KINDS, then start; terms (kind ``term``) by start. Null texts are
-    empty. Rows that repeat an id keep their own spans; an empty table gives none.
+    Base spans are in the order of KINDS, then start; terms (kind ``term``) by start, in every text that
+    holds one, also without the entity. Null texts are empty. Rows that repeat an id keep their own
+    spans; an empty table gives none.
     """
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    found = stash(_find(docs.withColumn("__row", row), text_col, [id_col, "__row"]), "spans")
-    near = found.select("__row", F.explode("__near").alias("x")).select("__row", "x.*")
-    told = disclosing_terms(near, docs, text_col, disclosed, least)
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = stash(_find(keyed, text_col, [id_col, "__row"]).withColumn("__at", F.monotonically_increasing_id()), "spans")
+    told = disclosing_terms(found, docs, text_col, disclosed, least)
     base = found.select(id_col, "__row", "base")
     if told is None:
         return base.select(id_col, "base", F.expr(f"cast(array() as {_SPAN})").alias("terms"))
-    spans = near.distinct().join(told, ["entity", "hash"], "left_semi").select("__row", F.struct(F.lit("term").alias("kind"), "start", "end").alias("s"))
-    spans = spans.groupBy("__row").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    spans = term_spans(keyed, told, text_col)
     return base.join(spans, "__row", "left").select(id_col, "base", F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
 
 

@@ -146,3 +146,14 @@ def test_disclosing_terms_are_found_and_removed(spark, empty):
     assert all("zebulon" not in clean[i] and "kwarx" not in clean[i] and "bob@x.com" not in clean[i] and "about" in clean[i] for i in range(5))
     assert all(clean[k] == t for k, t in rows if k >= 100)
     assert disclosure.find_personal(empty).count() == 0
+
+
+def test_disclosing_terms_anywhere_in_any_text(spark):
+    """A term far from the entity, at other places of the text and in texts without the entity; é and an emoji before it."""
+    far = " ".join(f"w{'abcdefghij'[k % 10]}x" for k in range(40))
+    rows = [(i, f"é\U0001f600 Zebulon {'wrote ' * (i + 1)}\n{far} bob@x.com\n{far} {'zebulon ' * 2}") for i in range(4)]
+    rows += [(50, f"zebulon stayed. {far}"), *[(100 + i, f"wrote nothing {far} {i}") for i in range(80)]]
+    found = {r.doc_id: r for r in disclosure.find_personal(spark.createDataFrame(rows, "doc_id long, text string"), disclosed=0.8).collect()}
+    for k, text in rows:
+        want = [m.span() for m in re.finditer("zebulon", text.lower())]
+        assert [(s["start"], s["end"]) for s in found[k].terms] == want
