@@ -7,9 +7,6 @@ fingerprint form a bucket, and inside a bucket their canonical bytes are compare
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,58 +16,14 @@ from lumenfold.session import stash
 SLICE_ROWS, MOST_SLICES = 4096, 128 * 128
 #: Rows up to which a list of repeated fingerprints is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-# Characters whose compatibility form has several characters.
-_EXPANDED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "‥": "..", "™": "tm", "№": "no"}
-
-
-@functools.cache
-def _plain_forms() -> tuple[str, str]:
-    """Characters whose NFKC form is another single character, and those forms."""
-    pairs = [(chr(c), n) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c) and not n.isspace()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-@functools.cache
-def _compositions() -> tuple[tuple[str, str, str], ...]:
-    """By combining mark, in canonical order: the characters that it joins, and the joined ones."""
-    by: dict[str, list[tuple[str, str]]] = {}
-    for c in range(0xA0, 0x2000):
-        parts = unicodedata.decomposition(chr(c)).split()
-        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(c)) == chr(c):
-            base, mark = (chr(int(p, 16)) for p in parts)
-            if unicodedata.combining(mark):
-                by.setdefault(mark, []).append((base, chr(c)))
-    order = sorted(by, key=lambda m: (unicodedata.combining(m), m))
-    return tuple((m, "".join(a for a, _ in by[m]), "".join(b for _, b in by[m])) for m in order)
-
-
-def _composed(text: Column) -> Column:
-    """``text`` with each mark joined to the character before it, where there is a joined one."""
-    table = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(a).alias("bases"), F.lit(b).alias("joined")) for m, a, b in _compositions()])
-
-    def join_mark(acc: Column, m: Column) -> Column:
-        pieces = F.split(acc, m["mark"])
-
-        def piece(p: Column, i: Column) -> Column:
-            last = F.substring(p, -1, 1)
-            joined = F.call_function("translate", last, m["bases"], m["joined"])
-            rejoined = F.when((F.length(p) > 0) & (joined != last), F.concat(F.substring(p, F.lit(1), F.length(p) - 1), joined)).otherwise(F.concat(p, m["mark"]))
-            return F.when(i < F.size(pieces) - 1, rejoined).otherwise(p)
-
-        return F.when(F.instr(acc, m["mark"]) > 0, F.array_join(F.transform(pieces, piece), "")).otherwise(acc)
-
-    return F.aggregate(table, text, join_mark)
-
-
 def _bind(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _unusual(text: Column) -> Column:
-    wide, plain = _plain_forms()
-    spelled = functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), _EXPANDED.items(), text)
-    return _bind(F.translate(spelled, wide, plain), lambda t: F.when(t.rlike(r"\p{M}"), _composed(t)).otherwise(t))
+def _nfkc(text: Column) -> Column:
+    """NFKC over all planes, by the ICU library that Spark has for its collations."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
 
 # White space but for the plain space, and the characters below U+0100 with another NFKC form.
@@ -81,12 +34,11 @@ _UNUSUAL = r"[\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty.
 
-    Characters with a compatibility form of one character, and the listed ones with more, take it;
-    marks in canonical order are composed as in NFC; letters are lower case, ß is ss and a final
+    NFKC (compatibility forms, marks in canonical order, composed; Hangul too); letters are lower case, ß is ss and a final
     sigma a plain one; runs of white space are one space, and none at the ends.
     """
     out = F.coalesce(text, F.lit(""))
-    out = F.when(out.rlike(_UNUSUAL), _unusual(out)).otherwise(out)
+    out = F.when(out.rlike(_UNUSUAL), _nfkc(out)).otherwise(out)
     folded = F.replace(F.replace(F.lower(out), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     # What is a single plain space already stays untouched.
     runs = f" ?[{_OTHER_SPACE}][ {_OTHER_SPACE}]*| {{2,}}[ {_OTHER_SPACE}]*"

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 from oracle import difference
@@ -101,6 +102,18 @@ def test_canonical_texts(spark, empty):
     assert digest.fingerprints_with_edits(empty).count() == 0
 
 
+def test_copies_in_every_script_share_a_digest(spark):
+    """Jamo, kana with voicing marks, Vietnamese with dot below last, marks out of order, and forms of several characters."""
+    texts = ["한국어 텍스트", "ガギグ パピプ", "Việt Nam ệ Ộ ự", "q\u0307\u0323 \U0001d15e", "㌔ ㈱ ½ ﷺ Ǆ", "\u0958 \u0f73 ΐ"]
+    forms = [lambda t, f=f: unicodedata.normalize(f, t) for f in ("NFC", "NFD", "NFKC", "NFKD")]
+    groups = [{t, *(form(t) for form in forms)} for t in texts]
+    groups[1].add("ｶﾞｷﾞｸﾞ ﾊﾟﾋﾟﾌﾟ")
+    groups[2].add("Vi\u00ea\u0323t Nam \u00ea\u0323 \u00d4\u0323 \u01b0\u0323")
+    rows = [(i * 100 + k, t) for i, g in enumerate(groups) for k, t in enumerate(sorted(g))]
+    got = {r.doc_id: r for r in digest.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.canonical_id == k // 100 * 100 for k, r in got.items()) and len({r.fingerprint for r in got.values()}) == len(groups)
+
+
 def test_colliding_fingerprints_are_told_apart_by_bytes(monkeypatch, spark):
     monkeypatch.setattr(digest, "fingerprint", lambda canon: F.lit("0" * 32))
     table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c"), (5, "b")], "doc_id long, text string")
