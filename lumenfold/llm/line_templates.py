@@ -18,7 +18,7 @@ from lumenfold.llm.arrowtext import _powers, combine, mix, steps, word_bounds, w
 from lumenfold.session import ship_package, stash
 
 #: Tokens that a template keeps at least; a template with w of them recurs in EVIDENCE / w documents, two at least.
-LEAST_TOKENS, EVIDENCE = 3, 24
+LEAST_TOKENS, EVIDENCE = 1, 24
 #: Tokens of a line that may take every third one as a variable field.
 GENERAL_TOKENS = 12
 #: Rows whose texts are rebuilt in one step.

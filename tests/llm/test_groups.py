@@ -131,6 +131,14 @@ def test_variable_fields_meet_in_one_template(spark, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def test_short_lines_that_recur_in_many_documents(spark):
+    """Two tokens in 12 documents and one in 24 go from all but the first; in one document fewer they stay."""
+    most = {"Read more": 12, "See also": 11, "Share": 24, "Print": 23}
+    rows = [(i, "\n".join([f"Own words of text {'abcdefghijklmnopqrstuvwxyz'[i]} here."] + [line for line, n in most.items() if i < n])) for i in range(25)]
+    got = {r.doc_id: r.text.split("\n")[1:] for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [x for x, n in most.items() if i < n and (i == 0 or x in ("See also", "Print"))] for i in range(25)}
+
+
 def test_pipeline_stages_against_plain_versions(spark, sf, docs):
     """Each stage on its predecessor's rows: lines and near duplicates plainly, languages and mixing by their promises."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
