@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -41,28 +40,44 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Shuffle files of a query go when it has ended, not when the driver happens to collect its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below :func:`shared_dir` and read it back.
 
-    Cuts the lineage, so that a lost executor costs a re-read and no recomputation. The files go
-    when the driver's JVM ends.
+    Cuts the lineage, so that a lost executor costs a re-read and no recomputation, and drops the
+    shuffle files of the write. The table goes with :func:`discard`, at last when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are written and whose frames are gone.
-
-    They go when the driver's JVM collects its garbage, which a driver with little to do puts off.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenfold_stash = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`stash` gave and whose last reader is done."""
+    for df in tables:
+        path = getattr(df, "_lumenfold_stash", None)
+        if path is not None:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            _file_system(df.sparkSession, path).delete(place.getParent(), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def ship_package(spark: SparkSession) -> None:
