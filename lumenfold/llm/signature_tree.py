@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm.arrowtext import ASCII_LOWER, combine, mix, shingle_hashes, steps, word_bounds, word_hashes
-from lumenfold.operators.graph import connected_components
-from lumenfold.session import release, ship_package, stash
+from lumenfold.operators.graph import connected_components, forest
+from lumenfold.session import discard, ship_package, stash
 
 #: Sets of one in-task tree, sets of a tree's leaf, and 64-bit words of a bitmap.
 GROUP_SETS, LEAF_SETS, WORDS = 512, 8, 32
@@ -29,6 +30,8 @@ FILTER_BITS = 1 << 26
 #: Hash families tried for a set whose parts are too often empty, before it goes to its band's common part.
 FAMILIES = 8
 _SEGMENTS = 1024
+#: Pairs that a task holds before it shrinks them, and sets whose parts are keyed in one step.
+_HELD_PAIRS, _SIGN_ROWS = 1_000_000, 256
 #: Rows of the table of candidate sets up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -158,16 +161,6 @@ class Components:
         self.up[self.find(i)] = self.find(j)
 
 
-def connect(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values in ``pairs``, in order, and the least value that pairs connect each with."""
-    members, at = np.unique(pairs, return_inverse=True)
-    parts = Components(len(members))
-    for i, j in at.reshape(-1, 2).tolist():
-        i, j = parts.find(i), parts.find(j)
-        parts.up[max(i, j)] = min(i, j)
-    return members, members[[parts.find(i) for i in range(len(members))]] if len(members) else members
-
-
 class SignatureTree:
     """Nodes over sets in order of size: OR-combined bitmap, least and largest size, most bits lost to collisions."""
 
@@ -299,33 +292,65 @@ def _group_links(sets: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def _cross_links(sets: DataFrame, labels: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
-    """Links between different components of the groups in ``sets`` (g, leaf, leaves, id, tokens).
+def _spanning(pairs: DataFrame) -> DataFrame:
+    """For pairs (a, b): edges from each value to the least one that the pairs of a task connect it with."""
+
+    def shrink(batches):
+        held = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)])
+            if len(held) > _HELD_PAIRS:
+                yield cut(held)
+                held = held[:0]
+        yield cut(held)
+
+    def cut(held):
+        ids, least = forest(np.unique(held, axis=0))
+        return pa.RecordBatch.from_arrays([pa.array(ids[ids != least], pa.int64()), pa.array(least[ids != least], pa.int64())], names=_PAIR)
 
-    Pairs of leaves are traversed on bitmaps alone; the pairs of sets that remain are then decided by
-    the sets. Called for groups that are too large for a task and have several components yet.
+    return pairs.mapInArrow(shrink, "a long, b long")
+
+
+def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
+    """Links between sets (id, component, tokens) of different components that agree in a part.
+
+    Sets meet by the keys of their parts, but for keys that have sets of one component only. A key
+    with more than ``group_sets`` sets has several leaves, and pairs of leaves are traversed on bitmaps
+    alone; the pairs of sets that remain are then decided by the sets. Called for what large groups
+    still have apart after all else.
     """
-    known = sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def sign(batches):
         for batch in batches:
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(list(map(len, tokens)), pa.int64()), pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())], names=["g", "leaf", "leaves", "id", "component", "n", "signature"])
-
-    signed = stash(known.select("g", "leaf", "leaves", "id", "component", "tokens").mapInArrow(sign, "g long, leaf long, leaves long, id long, component long, n long, signature binary"), "signatures")
-    pairs = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
-    pairs = pairs.select("g", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature").filter("i <> j")
-    dealt = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "second", "id")
+            for k in range(0, batch.num_rows, _SIGN_ROWS):
+                part = batch.slice(k, _SIGN_ROWS)
+                tokens = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+                sizes = np.array(list(map(len, tokens)), np.int64)
+                owner, keys = part_keys(np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)]), t)
+                signature = pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at), pa.array(sizes[owner]), signature.take(at)], names=["key", "id", "component", "n", "signature"])
+
+    signed = stash(sets.select("id", "component", "tokens").mapInArrow(sign, "key long, id long, component long, n long, signature binary").dropDuplicates(["key", "id"]), "signatures")
+    mixed = signed.groupBy("key").agg(F.count("*").alias("__n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    leaves = mixed.select("key", F.ceil(F.col("__n") / group_sets).cast("long").alias("leaves"))
+    leafed = signed.join(leaves, "key").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")))
+    pairs = leafed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
+    pairs = pairs.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
+    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "id")
 
     def work(batches):
         for rows in by_group(batches, 3):
             halves = [[r for r in rows if r[3] == side] for side in (False, True)]
             trees = [SignatureTree(np.array([r[6] for r in half], np.int64), np.array([np.frombuffer(r[7], np.uint64) for r in half], np.uint64).reshape(-1, WORDS)) for half in halves]
+            if rows[0][1] == rows[0][2]:  # a leaf with itself
+                halves[1], trees[1] = halves[0], trees[0]
             found = [(halves[0][i][4], halves[1][j][4]) for i, j in candidate_pairs(*trees, t) if halves[0][i][5] != halves[1][j][5]]
             if found:
                 yield _pairs(found)
 
-    candidates = dealt.mapInArrow(work, "a long, b long")
+    candidates = stash(dealt.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    discard(signed)
     both = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def decide(batches):
@@ -333,22 +358,28 @@ def _cross_links(sets: DataFrame, labels: DataFrame, t: Threshold, group_sets: i
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             yield _pairs([(a[i], b[i]) for i in range(len(a)) if linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), t)])
 
-    return both.mapInArrow(decide, "a long, b long")
+    links = stash(both.mapInArrow(decide, "a long, b long"), "links")
+    discard(candidates)
+    return links
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id", group_sets: int = GROUP_SETS) -> DataFrame:
-    """One row a row of ``docs``: id_col, n_shingles long, component_id (least id that links reach).
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id", group_sets: int = GROUP_SETS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a row of ``docs``: id_col, columns ``keep``, n_shingles long, component_id (least id that links reach), set_group long.
 
-    Words are runs of other than space and \\t to \\r, with A-Z in lower case; the set holds the distinct
-    ``width``-word shingles, or the whole sequence of a shorter text. Sets link when
-    den * intersection >= num * union. Null texts and texts without words have no shingles and no links.
-    Equal sets are one node from the start, so copies cost no pairs; rows that repeat an id are one
-    document. An empty table gives an empty one.
+    Words are runs of other than space and \t to \r, with A-Z in lower case; the set holds the distinct
+    ``width``-word shingles, or the whole sequence of a shorter text, however long the text is. Sets link
+    when den * intersection >= num * union. Null texts and texts without words have no shingles, no
+    links and no ``set_group``; rows of one component agree in it. Equal sets are one node from the
+    start, so copies cost no pairs. An id that repeats, or is null, neither links rows nor parts them:
+    each row goes by its text, and a component without any id has a null one. Columns of ``docs`` other
+    than id_col and text_col are not read, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     t = Threshold(num, den)
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"__keep{k}") for k, c in enumerate(keep)])
+    kept = [f"__keep{k}" for k in range(len(keep))]
+    described = T.StructType([*T._parse_datatype_string("doc long, n_shingles long, id long, check long").fields, *[source.schema[c] for c in kept]])
 
     for seed in range(8):
 
@@ -357,12 +388,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 for i, j, body, at in steps(batch.column(1)):
                     hashes, begin = sets_of(body, at, width)
                     one, two = set_digests(hashes, begin, seed)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(one), pa.array(two)], names=["doc", "n_shingles", "id", "check"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(one), pa.array(two), *[batch.column(2 + k).slice(i, j - i) for k in range(len(kept))]], names=described.names)
 
-        nodes = stash(source.mapInArrow(describe, "doc long, n_shingles long, id long, check long"), "nodes")
+        nodes = stash(source.mapInArrow(describe, described), "nodes")
         # A 64-bit digest names a set; should two sets ever share one, another seed is used.
-        if nodes.groupBy("id").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").isEmpty():
+        kinds = stash(nodes.filter("n_shingles > 0").groupBy("id").agg(F.min("doc").alias("least"), F.count("*").alias("rows"), (F.min("check") != F.max("check")).alias("clash")), "kinds")
+        if kinds.filter("clash").isEmpty():
             break
+        discard(nodes, kinds)
 
     def route(batches):
         for batch in batches:
@@ -380,7 +413,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
                 head = np.repeat(ids[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
-                members, labels = connect(np.unique(np.stack([head[head != ids], ids[head != ids]], 1), axis=0))
+                members, labels = forest(np.unique(np.stack([head[head != ids], ids[head != ids]], 1), axis=0))
                 stands = ids[new]
                 if len(members):
                     place = np.minimum(np.searchsorted(members, stands), len(members) - 1)
@@ -391,12 +424,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], own, own])), pa.array(np.concatenate([stands, labels, members]))], names=["key", "id"])
 
     keys = source.select("text").mapInArrow(route, "key long, id long")
-    # Every set of a part meets the least one: most parts of a large group have one of few least sets.
+    # Every set of a part meets the least one, in a running window that holds no more than that.
     least = F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    meets = stash(keys.withColumn("b", least).filter("b <> id").select(F.col("id").alias("a"), "b").distinct(), "meets")
-    del keys
-    release(spark)  # the shuffled keys are the largest files of this operator
-    groups = connected_components(meets).withColumnRenamed("component", "g")
+    meets = keys.withColumn("b", least).filter("b <> id").select(F.col("id").alias("a"), "b")
+    meets = stash(_spanning(meets).distinct(), "meets")
+    groups = connected_components(meets)
+    discard(meets)
+    groups = groups.withColumnRenamed("component", "g")
     counted = groups.join(groups.groupBy("g").agg(F.count("*").alias("__n")), "g")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("__n") / group_sets)).cast("long")
     members = stash(counted.select("id", "g", leaves.alias("leaves")).withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves"))), "members")
@@ -417,39 +451,44 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     # Copies of a text may send a set once a task: the groups skip them.
     small = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     sets = stash(sets.join(small, "id"), "sets")
+    sent.unpersist()
     links = stash(_group_links(sets, ["g", "leaf"], t), "links")
-    release(spark)
     large = stash(sets.filter("leaves > 1").dropDuplicates(["id"]), "large")
+    discard(members, sets)
     if not large.isEmpty():
         links = _large_groups(large, links, t, group_sets)
-    # Rows with one id are one document, whatever their texts.
-    last = F.lag("id").over(Window.partitionBy("doc").orderBy("id"))
-    twice = nodes.filter("n_shingles > 0 and doc is not null").withColumn("b", last).filter("b is not null and b <> id").select(F.col("id").alias("a"), "b")
-    labels = connected_components(links.unionByName(twice))
-    named = nodes.join(labels, "id", "left").withColumn("__set", F.coalesce("component", "id"))
-    least = named.filter("n_shingles > 0").groupBy("__set").agg(F.min("doc").alias("__least"))
-    out = named.join(least, (named["__set"] == least["__set"]) & (named["n_shingles"] > 0), "left")
-    return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("__least", "doc").alias("component_id"))
+    labels = connected_components(links)
+    discard(large)
+    # Only sets that link, or that several rows have, can have a least id that is not the row's own.
+    named = kinds.join(labels, "id", "left").filter("rows > 1 or component is not null").select("id", "least", F.coalesce("component", "id").alias("set_group"))
+    least = named.groupBy("set_group").agg(F.min("least").alias("component_id"))
+    named = stash(named.join(least, "set_group").select("id", "set_group", "component_id"), "named")
+    discard(kinds, labels)
+    rest = [F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)]
+    full = nodes.filter("n_shingles > 0").join(named, "id", "left").select(F.col("doc").alias(id_col), *rest, "n_shingles", F.when(F.col("set_group").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("set_group", "id").alias("set_group"))
+    return full.unionByName(nodes.filter("n_shingles = 0").select(F.col("doc").alias(id_col), *rest, "n_shingles", F.col("doc").alias("component_id"), F.lit(None).cast("long").alias("set_group")))
 
 
 def _large_groups(large: DataFrame, links: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
     """``links`` with those between the leaves of groups that are too large for one task.
 
     First one set of each component meets the others of its group, again and again in groups that a
-    task can hold, while that joins anything. Groups that are one component then are done; in the others all
-    pairs of leaves are traversed.
+    task can hold, while that joins anything. Groups that are one component then are done; in the others
+    sets of different components meet by their parts.
     """
     while True:
         labels = connected_components(links)
-        known = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = stash(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
+        discard(labels)
         kinds = known.select("g", "component").distinct()
-        counts = kinds.groupBy("g").agg(F.count("*").alias("__k")).filter("__k > 1")
+        counts = stash(kinds.groupBy("g").agg(F.count("*").alias("__k")).filter("__k > 1"), "counts")
         heads = known.filter("id = component").join(counts, "g").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("__k") / group_sets)))
         more = stash(_group_links(heads, ["g", "part"], t), "links")
         if more.isEmpty():
             break
         links = links.unionByName(more)
-    rest = large.join(counts.select("g"), "g", "left_semi")
-    if rest.isEmpty():
-        return links
-    return links.unionByName(stash(_cross_links(rest.select("g", "leaf", "leaves", "id", "tokens"), labels, t, group_sets), "links"))
+        discard(known, counts)
+    rest = known.join(counts.select("g"), "g", "left_semi")
+    if not rest.isEmpty():
+        links = links.unionByName(_cross_links(rest, t, group_sets))
+    return links
