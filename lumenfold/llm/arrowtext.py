@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from lumenfold.session import ship_package
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one step of NumPy work takes at most, but for single longer documents.
 STEP_BYTES = 1 << 20
+#: Rows whose new columns go back to Spark at once, where the text itself does not.
+STEP_ROWS = 2048
 
 _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False
@@ -27,6 +30,16 @@ _BYTE_KEYS = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + n
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return the memory of what a worker is done with to the system: workers outlast their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def append_columns(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the columns ``fields``, a DDL string.
 
@@ -47,8 +60,9 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list
             work = make()
             for some in texts:
                 yield pa.StructArray.from_arrays(arrays(work(some)), names=new.names)
-                pa.default_memory_pool().release_unused()
+                give_back()
             getattr(work, "close", int)()
+            give_back()
 
         run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
         # Not to be computed once more for each filter on a new column.
@@ -61,10 +75,13 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + arrays(work(batch.column(n))), names=kept + new.names)
-            pa.default_memory_pool().release_unused()
+        for whole in batches:
+            for k in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(k, STEP_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + arrays(work(batch.column(n))), names=kept + new.names)
+            give_back()
         getattr(work, "close", int)()
+        give_back()
 
     return source.mapInArrow(run_batches, schema)
 

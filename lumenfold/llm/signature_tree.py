@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.arrowtext import ASCII_LOWER, combine, mix, shingle_hashes, steps, word_bounds, word_hashes
+from lumenfold.llm.arrowtext import ASCII_LOWER, combine, give_back, mix, shingle_hashes, steps, word_bounds, word_hashes
 from lumenfold.operators.graph import connected_components, forest
 from lumenfold.session import discard, ship_package, stash
 
@@ -320,22 +320,28 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
     still have apart after all else.
     """
 
-    def sign(batches):
+    def key(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, _SIGN_ROWS):
                 part = batch.slice(k, _SIGN_ROWS)
                 tokens = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
                 sizes = np.array(list(map(len, tokens)), np.int64)
                 owner, keys = part_keys(np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)]), t)
-                signature = pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())
                 at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at), pa.array(sizes[owner]), signature.take(at)], names=["key", "id", "component", "n", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at)], names=["key", "id", "component"])
+
+    def sign(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, tokens)), pa.int64()), pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())], names=["id", "n", "signature"])
 
-    signed = stash(sets.select("id", "component", "tokens").mapInArrow(sign, "key long, id long, component long, n long, signature binary").dropDuplicates(["key", "id"]), "signatures")
-    mixed = signed.groupBy("key").agg(F.count("*").alias("__n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    keyed = stash(sets.select("id", "component", "tokens").mapInArrow(key, "key long, id long, component long"), "keys")
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("__n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     leaves = mixed.select("key", F.ceil(F.col("__n") / group_sets).cast("long").alias("leaves"))
-    leafed = signed.join(leaves, "key").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")))
-    pairs = leafed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
+    # Only now do signatures travel: with the keys at which sets of different components meet.
+    met = stash(keyed.join(leaves, "key").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves"))).distinct(), "met")
+    signed = stash(sets.select("id", "tokens").mapInArrow(sign, "id long, n long, signature binary"), "signatures")
+    pairs = met.join(signed, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
     pairs = pairs.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
     dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "id")
 
@@ -350,7 +356,7 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
                 yield _pairs(found)
 
     candidates = stash(dealt.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    discard(signed)
+    discard(keyed, met, signed)
     both = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def decide(batches):
@@ -389,6 +395,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                     hashes, begin = sets_of(body, at, width)
                     one, two = set_digests(hashes, begin, seed)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(one), pa.array(two), *[batch.column(2 + k).slice(i, j - i) for k in range(len(kept))]], names=described.names)
+                give_back()
 
         nodes = stash(source.mapInArrow(describe, described), "nodes")
         # A 64-bit digest names a set; should two sets ever share one, another seed is used.
@@ -422,6 +429,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 members, labels = members[other], labels[other]
                 own = combine(labels.view(np.uint64), members.view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], own, own])), pa.array(np.concatenate([stands, labels, members]))], names=["key", "id"])
+            give_back()
 
     keys = source.select("text").mapInArrow(route, "key long, id long")
     # Every set of a part meets the least one, in a running window that holds no more than that.
@@ -446,6 +454,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 hit = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 hit = hit[np.unique(ids[hit], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([hashes[begin[d] : begin[d + 1]].tobytes() for d in hit], pa.binary())], names=["id", "tokens"])
+            give_back()
 
     sets = source.select("text").mapInArrow(gather, "id long, tokens binary")
     # Copies of a text may send a set once a task: the groups skip them.
