@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from lumenfold.llm.arrowtext import append_columns
 from lumenfold.llm.token_count import byte_of_symbol
 
-#: Entries of a worker's dictionary of encoded words, after which it starts anew.
+#: Words in either half of a worker's dictionary: what was not asked for while one half filled goes.
 DICTIONARY_SIZE = 120_000
 #: Entries of the table of tested token pairs, likewise.
 PAIRS_SIZE = 150_000
@@ -67,9 +67,8 @@ class PrefixBpe:
                 self.inner.add_word(plain, (len(plain), i))
         self.inner.make_automaton()
         self.longest = max(map(len, self.last))
-        self.size, self.known, self.apart = size, {}, {}
-        for text, i in specials.items():
-            self.known[text] = (np.uint32(i).tobytes(), text)
+        self.special_ids = {text: np.array([i], "<u4").tobytes() for text, i in specials.items()}
+        self.size, self.known, self.older, self.apart = size, {}, {}, {}
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether BPE of both tokens' symbols in a row gives these two tokens.
@@ -99,31 +98,37 @@ class PrefixBpe:
         whole = self.last.get(symbols)
         if whole is not None and (whole in self.born or n == 1):
             return [whole]
-        ends: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # by prefix: length and id of its last token
-
-        def fits(k: int, length: int, token: int) -> bool:
-            if length == k:
-                return True
-            before = ends[k - length][1]
-            pair = before << 20 | token
-            ok = apart.get(pair)
-            if ok is None:
-                ok = apart[pair] = self.stays_apart(before, token)
-            return ok
-
+        # By prefix: length and id of its last token.
+        lengths, tokens = [0] * (n + 1), [0] * (n + 1)
         for end, (length, token) in self.inner.iter(symbols[:-1]):
             k = end + 1
-            if not ends[k][0] and fits(k, length, token):
-                ends[k] = (length, token)
+            if lengths[k]:
+                continue
+            if length < k:
+                pair = tokens[k - length] << 20 | token
+                ok = apart.get(pair)
+                if ok is None:
+                    ok = apart[pair] = self.stays_apart(tokens[k - length], token)
+                if not ok:
+                    continue
+            lengths[k], tokens[k] = length, token
+        get = self.last.get
         for length in range(min(n, self.longest), 0, -1):
-            token = self.last.get(symbols[n - length :])
-            if token is not None and fits(n, length, token):
-                ends[n] = (length, token)
+            token = get(symbols[n - length :])
+            if token is not None:
+                if length < n:
+                    pair = tokens[n - length] << 20 | token
+                    ok = apart.get(pair)
+                    if ok is None:
+                        ok = apart[pair] = self.stays_apart(tokens[n - length], token)
+                    if not ok:
+                        continue
+                lengths[n], tokens[n] = length, token
                 break
         out, k = [], n
         while k:
-            out.append(ends[k][1])
-            k -= ends[k][0]
+            out.append(tokens[k])
+            k -= lengths[k]
         if len(apart) > PAIRS_SIZE:
             apart.clear()
         return out[::-1]
@@ -142,30 +147,30 @@ class PrefixBpe:
         """NFC and lower case, character by character (the library knows no final sigma)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def ids_of(self, word: str) -> bytes:
+        """Ids of a word that the newer half of the dictionary does not hold."""
+        found = self.older.get(word) or self.special_ids.get(word)
+        if found is None:
+            found = np.array(self.encode_word(word), "<u4").tobytes()
+        if len(self.known) >= self.size:
+            self.older, self.known = self.known, {}
+        self.known[word] = found
+        return found
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text."""
-        known, ids, shown = self.known, [], []
-        for word in self.split(text):
-            found = known.get(word)
-            if found is None:
-                tokens = self.encode_word(word)
-                found = known[word] = (np.array(tokens, "<u4").tobytes(), " ".join([self.names[t] for t in tokens]))
-            ids.append(found[0])
-            shown.append(found[1])
-        if len(known) > self.size:
-            self.forget()
-        return b"".join(ids), " ".join(shown)
+        get, other = self.known.get, self.ids_of
+        ids = b"".join([get(word) or other(word) for word in self.split(text)])
+        return ids, self.decode(np.frombuffer(ids, "<u4"))
 
     def forget(self) -> None:
-        """Empty the dictionaries but for special strings: they would outlast the task in its worker."""
-        keep = {k: self.known[k] for k in self.specials}
-        self.known.clear()
-        self.known.update(keep)
+        """Empty the dictionaries: they would outlast the task in its worker."""
+        self.known, self.older = {}, {}
         self.apart.clear()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a list of ids: as the file names no decoder, its tokens with spaces between."""
-        return " ".join([self.names[int(i)] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
 @functools.cache
