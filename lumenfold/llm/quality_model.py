@@ -7,6 +7,8 @@ same token stood last, within a few (2). An n-gram's value is its share of the t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,8 @@ from lumenfold.session import ship_package
 BUCKETS = 1 << 20
 #: The model is fitted on about so many labelled rows, taken by a hash of doc_id.
 TRAIN_ROWS = 20_000
-SHARDS, EPOCHS = 4, 3
+#: Rows of a shard, and passes over them.
+SHARD_ROWS, EPOCHS = 5_000, 3
 #: Follow the regularised leader: learning rate, its smoothing, L1 and L2 strengths.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 SCALE = 24.0
@@ -104,44 +107,69 @@ class Ftrl:
         self.n[at] = old + gradient**2
 
 
+def examples_of(texts: pa.Array, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(buckets, values, label) of each text with a token; the last bucket is the intercept's."""
+    for i, j, body, at in steps(texts):
+        buckets, begin = ngrams(body, at)
+        for d in range(i, j):
+            own = buckets[begin[d - i] : begin[d - i + 1]]
+            if len(own):
+                found, n = np.unique(own, return_counts=True)
+                yield np.append(found, BUCKETS), np.append(n * (SCALE / len(own)), 1.0), float(labels[d])
+
+
+def fit(examples: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """The weights of one shard, from its examples in order, ``EPOCHS`` times."""
+    model = Ftrl()
+    for _ in range(EPOCHS):
+        for example in examples:
+            model.learn(*example)
+    return model.weights()
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", most: int = TRAIN_ROWS) -> np.ndarray:
     """Weights over the buckets and, last, the intercept; all zero without labelled rows.
 
-    About ``most`` labelled rows are taken by a hash of ``id_col``. Each of ``SHARDS`` shards learns on
-    its rows in the order of that hash, ``EPOCHS`` times; the weights are their mean by rows.
+    About ``most`` labelled rows are taken by a hash of ``id_col``; of labels that conflict the larger
+    counts. A shard has about ``SHARD_ROWS`` of them, and learns in the order of that hash, whatever
+    task it is in; the weights are the shards' mean by rows. A shard of one task is bounded by
+    ``most`` rows and its texts' length. Null labels, ids and texts teach nothing; texts of rows that
+    repeat an id all count.
     """
     ship_package(docs.sparkSession)
     labels = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
     order = F.xxhash64(F.lit("quality sample"), F.col("__id"))
-    share = most / max(1, labels.count())
+    known = labels.count()
+    share = most / max(1, known)
+    shards = max(1, round(min(most, known) / SHARD_ROWS))
     sample = labels.filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), "__label", order.alias("__order"), F.pmod(F.xxhash64(F.lit("shard"), F.col("__id")), F.lit(SHARDS)).alias("__shard"))
-    dealt = rows.repartition(SHARDS, "__shard").sortWithinPartitions("__shard", "__order", "text")
+    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), "__label", order.alias("__order"), F.pmod(F.xxhash64(F.lit("shard"), F.col("__id")), F.lit(shards)).alias("__shard"))
+    dealt = rows.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", "text")
 
     def learn(batches):
-        examples = []
+        shard, examples = None, []
         for batch in batches:
-            label = batch.column(1).to_numpy()
-            for i, j, body, at in steps(batch.column(0)):
-                buckets, begin = ngrams(body, at)
-                for d in range(i, j):
-                    own = buckets[begin[d - i] : begin[d - i + 1]]
-                    if len(own):
-                        found, n = np.unique(own, return_counts=True)
-                        examples.append((np.append(found, BUCKETS), np.append(n * (SCALE / len(own)), 1.0), label[d]))
-        if not examples:
-            return
-        model = Ftrl()
-        for _ in range(EPOCHS):
-            for example in examples:
-                model.learn(*example)
-        yield pa.RecordBatch.from_arrays([pa.array([len(examples)], pa.int64()), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
-
-    parts = dealt.mapInArrow(learn, "n long, weights binary").collect()
+            label, of = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i < j and of[i] != shard:
+                    yield from model(shard, examples)
+                    shard, examples = of[i], []
+                examples.extend(examples_of(batch.column(0).slice(i, j - i), label[i:j]))
+        yield from model(shard, examples)
+
+    def model(shard, examples):
+        if examples:
+            weights = fit(examples).astype(np.float32)
+            at = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int64()), pa.array([len(examples)], pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights[at].tobytes()], pa.binary())], names=["shard", "n", "at", "weights"])
+
+    # So many shards as the bound on training rows gives, each with the weights that are not zero.
+    parts = sorted(dealt.mapInArrow(learn, "shard long, n long, at binary, weights binary").collect(), key=lambda p: p["shard"])
     total = sum(p["n"] for p in parts)
     out = np.zeros(BUCKETS + 1)
     for p in parts:
-        out += np.frombuffer(p["weights"], np.float32) * (p["n"] / total)
+        out[np.frombuffer(p["at"], "<i4")] += np.frombuffer(p["weights"], np.float32) * (p["n"] / total)
     return out.astype(np.float32)
 
 
