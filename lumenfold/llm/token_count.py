@@ -1,9 +1,10 @@
 """Token counts from distinct pre-tokens.
 
 The byte-level BPE vocabulary splits a text into pre-tokens that are merged on their own, so the
-number of tokens of a text is the sum, over its distinct pre-tokens, of pieces times frequency.
-Each worker keeps a dictionary of the pre-tokens that it has met, with their number of pieces; a
-piece count is made once for each of them, and no list of ids is built for a document.
+number of tokens of a text is the sum, over its distinct pre-tokens, of pieces times frequency. Each
+document becomes a list of its pre-tokens with their frequencies; the table of distinct pre-tokens of
+the corpus gets a number of pieces, once for each; and a join of the two gives the sums. No document
+has a list of ids at any time.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.arrowtext import append_columns
+from lumenfold.session import discard, ship_package, stash
 
-#: Entries of a worker's dictionary, after which it starts anew: bounds memory, not results.
-DICTIONARY_SIZE = 800_000
+#: Pre-tokens, the most frequent ones, that are broadcast; documents meet the others by shuffle.
+COMMON_ROWS = 200_000
+#: Texts whose frequencies are turned into an Arrow array in one step.
+STEP_TEXTS = 256
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -31,69 +35,118 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class PieceCounts:
-    """Pieces of each distinct pre-token of one byte-level BPE file of the tokenizers library."""
+class PreTokens:
+    """Pre-tokens of texts, and their pieces, by one byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, size: int = DICTIONARY_SIZE):
+    def __init__(self, path: str):
         import public_tokenizers
-        import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        specials = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+            self.file = json.load(f)
+        self.path, self.pattern = path, public_tokenizers.PATTERN
+        self.specials = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.find = regex.compile(self.pattern).findall
+
+    def frequencies(self, text: str) -> Counter:
+        """How often each pre-token is in ``text``; special strings are pre-tokens of their own."""
+        if self.special is None or not self.special.search(text):
+            return Counter(self.find(text))
+        out: Counter = Counter()
+        for part in self.special.split(text):
+            out.update([part] if part in self.specials else self.find(part))
+        return out
+
+    @functools.cached_property
+    def encode(self):
+        import tiktoken
+
         to_byte = byte_of_symbol()
-        ranks = {bytes(map(to_byte.__getitem__, piece)): i for piece, i in file["model"]["vocab"].items() if piece not in specials}
-        self.pieces = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.size, self.known = size, {}
-
-    def count(self, text: str) -> int:
-        """Tokens of ``text`` as the library's encode() without added tokens gives them."""
-        total, parts = 0, [text]
-        if self.special is not None and self.special.search(text):
-            parts = self.special.split(text)
-            total = len(parts) - 1
-        known = self.known
-        for part in parts:
-            frequency = Counter(self.pattern.findall(part))
-            for piece in frequency:
-                if piece not in known:
-                    known[piece] = len(self.pieces(piece))
-            total += sum([known[piece] * n for piece, n in frequency.items()])
-            if len(known) > self.size:
-                known.clear()
-        return total
+        ranks = {bytes(map(to_byte.__getitem__, piece)): i for piece, i in self.file["model"]["vocab"].items() if piece not in self.specials}
+        return tiktoken.Encoding(self.path, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def pieces(self, token: str) -> int:
+        """Tokens of one pre-token as the library's encode() without added tokens gives them."""
+        return 1 if token in self.specials else len(self.encode(token))
 
 
 @functools.cache
-def piece_counts(path: str) -> PieceCounts:
-    """One dictionary for all tasks of a Python worker."""
-    return PieceCounts(path)
+def pre_tokens(path: str) -> PreTokens:
+    """One for all tasks of a Python worker."""
+    return PreTokens(path)
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens (long) and over_limit (n_tokens > ``limit``).
+_ENTRY = pa.struct([("token", pa.string()), ("times", pa.int32())])
 
-    ``vocabulary``: path of a byte-level BPE file of the tokenizers library. Null and empty texts
-    count 0 bytes and 0 tokens. Special strings in a text count one token each, as the library
-    does by default. Rows are independent: repeated rows and ids stay as they are, and columns of
-    ``docs`` named like a new one give way.
-    """
+
+def _lists(found: list[Counter]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in found])])
+    entries = pa.StructArray.from_arrays([pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int32())], fields=list(_ENTRY))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+def frequencies(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or ``keep``) with n_bytes long and frequencies, an array of (token, times)."""
 
     def make():
-        counts = piece_counts(vocabulary)
+        tokens = pre_tokens(vocabulary)
 
         def work(texts: pa.Array) -> list:
-            sizes = np.zeros(len(texts), np.int64)
-            tokens = np.zeros(len(texts), np.int64)
-            for i, value in enumerate(texts):
-                if text := value.as_py():
+            sizes, lists = np.zeros(len(texts), np.int64), []
+            for a in range(0, len(texts), STEP_TEXTS):
+                found = []
+                for i, value in enumerate(texts.slice(a, STEP_TEXTS), a):
+                    text = value.as_py() or ""
                     sizes[i] = len(text.encode())
-                    tokens[i] = counts.count(text)
-            return [sizes, tokens]
+                    found.append(tokens.frequencies(text))
+                lists.append(_lists(found))
+            return [sizes, pa.concat_arrays(lists) if lists else pa.array([], pa.list_(_ENTRY))]
 
         return work
 
-    out = append_columns(docs, make, "n_bytes long, n_tokens long", text_col, keep)
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    return append_columns(docs, make, "n_bytes long, frequencies array<struct<token:string,times:int>>", text_col, keep)
+
+
+def piece_table(seen: DataFrame, vocabulary: str) -> DataFrame:
+    """(token, docs, pieces) of each distinct token of ``seen``, a row a document and token."""
+    ship_package(seen.sparkSession)
+
+    def count(batches):
+        tokens = pre_tokens(vocabulary)
+        for batch in batches:
+            n = np.fromiter((tokens.pieces(t) for t in batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["token", "docs", "pieces"])
+
+    return seen.groupBy("token").agg(F.count("*").alias("docs")).mapInArrow(count, "token string, docs long, pieces long")
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text", keep: list[str] | None = None, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_bytes, n_tokens (long) and over_limit (n_tokens > ``limit``).
+
+    ``vocabulary``: path of a byte-level BPE file of the tokenizers library. Null and empty texts
+    count 0 bytes and 0 tokens. Special strings in a text count one token each, as the library
+    does by default. Texts count whole, however long. Rows are independent: repeated rows and ids
+    stay as they are, and columns of ``docs`` named like a new one give way. At most ``common_rows``
+    pre-tokens, of the most documents, are broadcast.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
+    own = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
+    rows = docs.select(own.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    counted = stash(frequencies(rows, vocabulary, "text", ["row"]).withColumn("n", F.monotonically_increasing_id()), "frequencies")
+    seen = counted.select("n", F.inline("frequencies"))
+    table = stash(piece_table(seen, vocabulary), "pieces")
+    kinds = table.count()
+    common = table
+    if kinds > common_rows:
+        least = table.agg(F.percentile_approx("docs", 1 - common_rows / kinds, 100_000)).first()[0]
+        common = table.filter(F.col("docs") > least)
+        common = common if common.count() <= common_rows else table.limit(0)
+    met = seen.join(F.broadcast(common.select("token", "pieces")), "token", "left")
+    sums = met.filter("pieces is not null").groupBy("n").agg(F.sum(F.col("times") * F.col("pieces")).alias("tokens"))
+    if common is not table:
+        rare = met.filter("pieces is null").select("n", "token", "times").join(table.select("token", "pieces"), "token")
+        sums = sums.unionByName(rare.groupBy("n").agg(F.sum(F.col("times") * F.col("pieces")).alias("tokens"))).groupBy("n").agg(F.sum("tokens").alias("tokens"))
+    sums = stash(sums, "sums")
+    discard(table)
+    out = counted.select("row", "n_bytes", "n").join(sums, "n", "left").withColumn("n_tokens", F.coalesce("tokens", F.lit(0)).cast("long"))
+    return out.select(*(["row.*"] if names else []), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
