@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenfold.llm import line_templates, queries, signature_tree
@@ -95,46 +96,80 @@ def test_equal_parts_lose_no_link():
 
 
 def plain_lines(rows):
-    """Template keys as tuples, and the rules of the operator, line by line."""
-    found = []
+    """Templates of every leaf from its differing lines, and the rule of the operator, line by line."""
+    found, leaves = [], defaultdict(set)
     for n, (k, text) in enumerate(rows):
         for i, line in enumerate((text or "").split("\n")):
-            words = ["#" if re.search("[0-9]", w) else w for w in WORD.findall(line)]
-            if len(words) >= line_templates.LEAST_TOKENS:
-                keys = [(3, tuple(words))]
-                if len(words) >= line_templates.GENERAL_TOKENS:
-                    keys += [(c, len(words), tuple((j, w) for j, w in enumerate(words) if j < 2 or j % 3 != c)) for c in range(3)]
-                found += [(n, k if k is not None else 2**63 - 1, i, len(words), key) for key in keys]
+            words = tuple("#" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+            if words:
+                leaves[len(words), words[:2]].add(words)
+                found.append((n, k if k is not None else 2**63 - 1, i, words))
+    general = {}
+    for lines in leaves.values():
+        support = Counter((j, w) for words in lines for j, w in enumerate(words))
+        for words in lines:
+            n, by = len(words), [support[j, w] for j, w in enumerate(words)]
+            least = -(-2 * n // 3)
+            reached = sorted(by, reverse=True)[least - 1]
+            kept = tuple(w if 2 * c >= max(reached, 4) else None for w, c in zip(words, by, strict=True))
+            size = n - kept.count(None)
+            if reached >= 2 and size < n and size >= max(line_templates.GENERAL_KEPT, least):
+                general[words] = kept
     seen = defaultdict(set)
-    for _, k, _, _, key in found:
-        seen[key].add(k)
+    for _, k, _, words in found:
+        seen[words].add(k)
+        if words in general:
+            seen["general", general[words]].add(k)
     drop = defaultdict(set)
-    for n, k, i, tokens, key in found:
-        kept = tokens if key[0] == 3 else tokens * 2 // 3
-        if len(seen[key]) >= max(2, -(-line_templates.EVIDENCE // kept)) and k > min(seen[key]):
-            drop[n].add(i)
+    for n, k, i, words in found:
+        for key, shown in [(words, words)] + [(("general", general[w]), general[w]) for w in [words] if w in general]:
+            if len(seen[key]) >= max(2, -(-line_templates.EVIDENCE // (len(shown) - shown.count(None)))) and k > min(seen[key]):
+                drop[n].add(i)
     return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop[n]), len(drop[n])) for n, (k, t) in enumerate(rows)]
 
 
+def cut_lines(table, **kwargs):
+    return Counter((r.doc_id, r.text, r.n_dropped) for r in line_templates.drop_recurring(table, **kwargs).collect())
+
+
 def test_line_templates_equal_plain_version(spark, sf, docs, odd):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter((r.doc_id, r.text, r.n_dropped) for r in queries.op6_line_templates(spark, sf).collect()) == Counter(plain_lines(rows))
-    got = line_templates.drop_recurring(odd).collect()
-    assert Counter((r.doc_id, r.text, r.n_dropped) for r in got) == Counter(plain_lines([(r.doc_id, r.text) for r in odd.collect()]))
-
-
-def test_variable_fields_meet_in_one_template(spark, empty):
+    clash = odd.selectExpr("*", "1 AS lines", "2 AS row", "3 AS doc", "4 AS __lines", "5 AS n_lines")
+    assert cut_lines(clash) == Counter(plain_lines([(r.doc_id, r.text) for r in odd.collect()]))
+
+
+@pytest.mark.parametrize("leaf_tokens", [line_templates.LEAF_TOKENS, 0])
+def test_templates_of_random_logs(spark, empty, leaf_tokens):
+    """Messages with fields of one or two words at any place, and prose; leaves merged in tasks and by joins."""
+    rnd = random.Random(8)
+    names = [f"{a}{b}" for a in ("al", "be", "ka", "mi", "zo") for b in ("na", "ric", "lo", "th", "x")]
+    forms = ["user {} logged in from the {} office", "posted by {} in News", "the backup of {} to {} ended after {} minutes without an error", "posted by {} at noon on {} in the Sports pages"]
+    rows = []
+    for i in range(120):
+        lines = [rnd.choice(forms).format(*(rnd.choice([*names, str(rnd.randint(0, 99))]) for _ in range(3))) for _ in range(rnd.randint(0, 3))]
+        lines += [" ".join(rnd.choice(["the", "of", "posted", "by", *names]) for _ in range(rnd.randint(1, 9))) for _ in range(3)]
+        rows.append((i, "\n".join(lines)))
+    want = Counter(plain_lines(rows))
+    assert sum(n * c for (_, _, n), c in want.items()) > 100
+    assert cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_tokens=leaf_tokens) == want
+    assert line_templates.drop_recurring(empty, leaf_tokens=leaf_tokens).count() == 0
+
+
+def test_variable_fields_at_any_place_meet_in_one_template(spark):
+    """Words as fields, at places of any kind, in a line of five tokens too; other words of the leaf stay."""
     line = "user {} logged in from the old office with the key number {} and left again after the daily report"
-    rows = [(i, f"Own words of text {'abcdefghij'[i]} here.\n" + line.format(f"id{i}", "abcdefghij"[i])) for i in range(4)]
-    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 1}
-    assert line_templates.drop_recurring(empty).count() == 0
+    people = "Alice Boris Carla Dimas Edith Farid".split()
+    rows = [(i, f"The words {' '.join(people[(i * k) % 7 % 6] for k in range(1, 7))} are its own.\n{line.format(f'id{i}', 'abcdefghij'[i])}\nPosted by {people[i]} in News") for i in range(6)]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1]} | {i: rows[i][1].split("\n")[0] for i in range(1, 6)}
 
 
 def test_short_lines_that_recur_in_many_documents(spark):
     """Two tokens in 12 documents and one in 24 go from all but the first; in one document fewer they stay."""
     most = {"Read more": 12, "See also": 11, "Share": 24, "Print": 23}
-    rows = [(i, "\n".join([f"Own words of text {'abcdefghijklmnopqrstuvwxyz'[i]} here."] + [line for line, n in most.items() if i < n])) for i in range(25)]
+    own = [" ".join(f"{'abcdefghijklmnopqrstuvwxyz'[i]}{x}" for x in ("ub", "ike", "ost", "arn", "ell")) for i in range(25)]
+    rows = [(i, "\n".join([own[i]] + [line for line, n in most.items() if i < n])) for i in range(25)]
     got = {r.doc_id: r.text.split("\n")[1:] for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: [x for x, n in most.items() if i < n and (i == 0 or x in ("See also", "Print"))] for i in range(25)}
 
@@ -158,6 +193,28 @@ def test_pipeline_stages_against_plain_versions(spark, sf, docs):
     assert Counter(r.doc_id for r in coded.collect()) == counts
 
 
+def test_pipeline_on_odd_rows(spark, sf, odd, empty):
+    """Nulls, empty and long texts, repeated rows and ids, and further columns, one stage after another."""
+    for table in (odd, empty):
+        docs = table.withColumn("n_chars", F.lit(1).cast("long")).selectExpr("*", "1 AS row", "2 AS lines", "3 AS size")
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf)
+            rows = docs.collect()
+            assert len(rows) <= 2 * n and (name == "encoding" or docs.columns == corpus_pipeline.COLUMNS), name
+        assert table is odd or not rows
+
+
+def test_near_duplicates_go_by_texts(spark, sf):
+    """An id that repeats removes no other text; of repeated rows, and of copies without ids, one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(5, a), (5, b), (7, near), (9, b), (5, a), (None, c), (None, c), (11, ""), (12, ""), (None, None), (8, c + " x")]
+    table = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, table, sf).collect())
+    assert got == Counter([(5, a), (5, b), (8, c + " x"), (11, ""), (12, ""), (None, None)])
+
+
 def test_run_applies_all_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(len(r.token_ids) == 4 * r.n_tokens for r in rows)

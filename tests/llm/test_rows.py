@@ -5,6 +5,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 from oracle import difference
 from pyspark.sql import functions as F
 
@@ -38,6 +39,9 @@ def test_rules_on_odd_rows(odd, empty):
     rows = robust_stats.quality_rules(odd).collect()
     assert len(rows) == 9 and not any(r.kept for r in rows if r.n_words < 20)
     assert robust_stats.quality_rules(empty).count() == 0
+    clash = odd.selectExpr("*", "1 AS n_words", "'x' AS f_words", "2 AS distance", "3 AS start", "4 AS m0", "5 AS logdet", "6 AS caps", "7 AS base_failed")
+    got = robust_stats.quality_rules(clash)
+    assert got.count() == 9 and len(set(got.columns)) == len(got.columns) and {r.n_words for r in got.collect()} != {1} and {r.start for r in got.collect()} == {3}
 
 
 def test_concentration_finds_planted_outliers(spark):
@@ -47,6 +51,53 @@ def test_concentration_finds_planted_outliers(spark):
     assert max(found[i] for i in range(400)) < robust_stats.CUTOFF < min(found[1000 + i] for i in range(60))
 
 
+def plain_distances(x):
+    """Distances from the same regularised MCD with sorted distances instead of grids, in NumPy."""
+    floor = np.diag(np.square(robust_stats.FLOORS))
+    mid = np.median(x, 0)
+    scale = np.maximum((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349, robust_stats.FLOORS)
+    z = (x - mid) / scale
+    size = (z**2).sum(1)
+    sign = np.einsum("ni,nj->ij", z / np.maximum(size, 1e-300)[:, None], z) / len(x) * x.shape[1]
+    bent = np.tanh(z).T @ np.tanh(z) / len(x)
+    outer = np.outer(scale, scale)
+
+    def distances(m, s):
+        return np.sqrt(np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m))
+
+    def step(m, s):
+        d = distances(m, s)
+        inside = x[d <= np.sort(d)[int(np.ceil(robust_stats.COVERAGE * len(x))) - 1]]
+        return inside.mean(0), np.cov(inside.T, bias=True) / robust_stats.CONSISTENCY + floor
+
+    found = []
+    for s in (np.diag(scale**2), sign * outer + floor, bent * outer + floor):
+        m = mid
+        for _ in range(12):
+            m, s = step(m, s)
+        found.append((np.linalg.slogdet(s)[1], distances(m, s)))
+    return min(found, key=lambda f: f[0])
+
+
+def test_distances_are_those_of_the_least_determinant(spark):
+    """Two clouds of other shape and a tilted bulk, in two groups: distances near a plain version's, and the same verdicts."""
+    rnd = np.random.default_rng(3)
+    rows = []
+    for g, n in (("a", 500), ("b", 300)):
+        bulk = rnd.normal(size=(n, 7)) @ (np.eye(7) + 0.6 * np.eye(7, k=1)) * 0.5
+        far = rnd.normal(size=(n // 8, 7)) * 0.1 + np.array([4.0, -3.0, 3.0, 0, 0, 2.0, 0])
+        rows += [(f"{g}{i}", *map(float, v), "en", g) for i, v in enumerate(np.concatenate([bulk, far]))]
+    table = spark.createDataFrame(rows, ["doc_id", *robust_stats.FEATURES, "lang", "source"])
+    got = {r.doc_id: r.distance for r in robust_stats.outliers(table).collect()}
+    for g in "ab":
+        own = [r for r in rows if r[-1] == g]
+        _, want = plain_distances(np.array([r[1:8] for r in own]))
+        have = np.array([got[r[0]] for r in own])
+        assert np.abs(have / want - 1).max() < 0.05
+        sure = np.abs(want - robust_stats.CUTOFF) > 0.3
+        assert ((have <= robust_stats.CUTOFF) == (want <= robust_stats.CUTOFF))[sure].all() and (want > robust_stats.CUTOFF).any()
+
+
 def test_mix_equals_sql(spark, sf):
     assert difference(queries.op4_pareto_mix(spark, sf), queries.ORACLE_SQL["op4_pareto_mix"], sf) == ""
 

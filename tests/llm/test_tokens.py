@@ -38,6 +38,14 @@ def test_ids_and_decoded_text_equal_the_library(spark, docs, sf, word_library):
         assert r.decoded_sha256 == hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_rare_pre_tokens_meet_by_shuffle(docs, odd):
+    """With few broadcast pre-tokens, or none, the counts are the same."""
+    for table in (docs, odd):
+        want = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.count_tokens(table, BYTES, keep=["doc_id"]).collect())
+        for common in (0, 50):
+            assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.count_tokens(table, BYTES, keep=["doc_id"], common_rows=common).collect()) == want
+
+
 def test_odd_rows(odd, byte_library, word_library):
     counted = token_count.count_tokens(odd, BYTES).collect()
     assert len(counted) == 9 and set(counted[0].asDict()) == {"doc_id", "text", "lang", "source", "kept", "score", "n_bytes", "n_tokens", "over_limit"}
@@ -64,4 +72,3 @@ def test_small_dictionaries_change_nothing():
     tight = bpe.PrefixBpe(WORDS, size=3)
     words = "one two three four five six seven one two three"
     assert [tight.encode(words) for _ in range(3)] == [bpe.prefix_bpe(WORDS).encode(words)] * 3
-    assert token_count.PieceCounts(BYTES, size=2).count(words) == token_count.piece_counts(BYTES).count(words)
