@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.expr import finite, reason_string
+from lumenfold.functions.expr import axis_ratio, finite, reason_string
 from lumenfold.operators import joins as J
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
+from lumenfold.operators.graph import connected_components
+from lumenfold.operators.windows import stars_near_clusters
 from lumenfold.session import stash
 
 C = F.col
@@ -21,17 +23,20 @@ def _marked(df: DataFrame, ids: DataFrame, name: str, id_col: str = "id") -> Dat
 
 
 def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.ClassPolicy(), flags: tuple[str, ...] = ("f_edge", "f_bad")) -> DataFrame:
-    """(source_id, class, reason) by area, fill, brightness, magnitude, shape, flags, close pairs and containment.
+    """(source_id, class, reason) by area, fill, brightness, magnitude, shape, flags, close pairs, containment and overlap.
 
     ``sources``: source_id, x, y, a, b, theta, area, mag, diff, fill, component, valid_kron, in_base and
     the flags. Classes come in the order in which later ones win: outside_base, b_ignore, a_failed,
-    dropped_area, b_ignore for an invalid ellipse, center_only, clean.
+    dropped_area, b_ignore for an invalid ellipse (also one without two positive finite axes), center_only,
+    clean. With ``p.overlap_iou`` sources that would be clean and overlap so much, within
+    ``p.neighbor_radius``, are center_only: both of a pair, or the smaller one by ``p.overlap_marks``.
     """
     flag_hit, flag_names = R.flag_rule({f: C(f) for f in flags})
     dropped, faint = R.a_rule(C("area"), C("mag"), p)
-    base, good = C("in_base"), C("valid_kron")
+    base = C("in_base")
+    good = C("valid_kron") & finite("a") & finite("b") & (C("a") > 0) & (C("b") > 0)
     hard = R.bright_ap2_rule(C("diff"), C("component"), False, p) & R.below(C("mag"), p.bright_mag)
-    s = sources.withColumns({"ratio": F.greatest("a", "b") / F.least("a", "b"), "dropped": base & good & dropped, "failed": base & good & (dropped | faint)})
+    s = sources.withColumns({"ratio": axis_ratio(C("a"), C("b")), "dropped": base & good & dropped, "failed": base & good & (dropped | faint)})
     s = s.withColumn("candidate", base & good & ~C("failed")).withColumn("hollow", C("candidate") & R.fill_center_only(C("area"), C("fill"), p) & ~hard)
     s = s.withColumn("b_candidate", C("candidate") & ~C("hollow"))
     s = s.withColumn("removed", C("b_candidate") & (hard | R.b_rule(C("mag"), C("ratio"), C("diff"), F.lit(True), flag_hit, p)))
@@ -39,13 +44,19 @@ def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Cla
     close = stash(J.close_pair_losers(s.filter("b_candidate AND NOT removed"), p.close_radius, by), "close")
     s = _marked(s, close, "close", "source_id")
     left = s.filter("ordinary AND NOT removed AND NOT close")
-    # One number: the longest axis says how far apart two ellipses can still overlap.
-    reach = left.agg(F.max(F.greatest("a", "b"))).first()[0]
-    held = J.containment_losers(stash(J.ellipse_overlap_join(left, 2.0 * (reach or 1.0), by), "overlaps"), left, p.containment)
+    held = J.containment_losers(stash(J.ellipse_overlap_join(left, None, by), "overlaps"), p.containment)
     s = _marked(s, held, "contains")
     out = C("removed") | C("close") | C("contains")
+    s = s.withColumn("ambiguous", F.lit(False))
+    if p.overlap_iou is not None:
+        s = stash(s, "contained")
+        over = J.ellipse_overlap_join(s.filter(C("b_candidate") & ~out), p.neighbor_radius, by).filter(C("iou") >= p.overlap_iou)
+        smaller = F.when(C("a_area") <= C("b_area"), C("a")).otherwise(C("b"))
+        marked = over.select(smaller.alias("id")) if p.overlap_marks == "smaller" else over.select(F.explode(F.array("a", "b")).alias("id"))
+        s = _marked(s.drop("ambiguous"), marked, "ambiguous")
     cls = (
-        F.when(C("b_candidate") & ~out, "clean")
+        F.when(C("b_candidate") & ~out & ~C("ambiguous"), "clean")
+        .when(C("ambiguous"), "center_only")
         .when(C("hollow"), "center_only")
         .when(base & ~good, "b_ignore")
         .when(C("dropped"), "dropped_area")
@@ -60,6 +71,7 @@ def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Cla
             F.when(C("hard"), "B_bright_ap2_kron"),
             F.when(C("close"), "B_close_center_fainter"),
             F.when(C("contains"), "B_large_contains_small"),
+            F.when(C("ambiguous"), "overlap_iou"),
             F.when(base & ~good, "invalid_kron"),
             F.when(C("b_candidate") & out, "removed_by_B"),
         ),
@@ -70,11 +82,9 @@ def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Cla
 
 def sequential_close_losers(points: DataFrame, radius: float, by: list[str], brighter: bool = False) -> DataFrame:
     """Ids lost pair by pair, in order of ids, to a neighbour nearer than ``radius``: the fainter, or the brighter."""
-    pairs = J.close_pairs(points, radius, by, "source_id").filter(C("d") < radius)
-    mag = lambda p: points.select(C("source_id").alias(p), C("mag").alias(f"{p}_mag"))
-    both = pairs.join(mag("a"), "a").join(mag("b"), "b")
+    both = J.close_pairs(points, radius, by, "source_id", ("mag",)).filter(C("d") < radius)
     lose_a = C("a_mag") < C("b_mag") if brighter else C("a_mag") > C("b_mag")
-    return J.ordered_rounds(both.select("a", "b", F.when(lose_a, C("a")).otherwise(C("b")).alias("loser")), ["a", "b"])
+    return J.ordered_removal(both.select("a", "b", F.when(lose_a, C("a")).otherwise(C("b")).alias("loser")), ["a", "b"])
 
 
 def classify_basics(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.ClassPolicy(), faintest: float = 30.0) -> DataFrame:
@@ -87,7 +97,7 @@ def classify_basics(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Clas
         (dropped, "dropped", "A_area_gt_max"),
         (faint, "dropped", "A_faint_large"),
         (R.above(C("mag"), faintest), "ignore", "B_mag_gt_max"),
-        (R.above(F.greatest("a", "b") / F.least("a", "b"), p.axis_ratio_max), "ignore", "B_axis_ratio"),
+        (R.above(axis_ratio(C("a"), C("b")), p.axis_ratio_max), "ignore", "B_axis_ratio"),
     ]
     state = F.struct(F.when(R.below(C("mag"), p.bright_mag), "bright").otherwise("ordinary").alias("class"), F.lit("").alias("reason"))
     for when, cls, why in reversed(cases):
@@ -117,9 +127,7 @@ def _labels(df: DataFrame) -> DataFrame:
 
 
 def _contained(df: DataFrame, active: Column, by: list[str], share: float) -> DataFrame:
-    s = df.filter(active)
-    reach = s.agg(F.max(F.greatest("a", "b"))).first()[0]
-    return J.containment_losers(stash(J.ellipse_overlap_join(s, 2.0 * (reach or 1.0), by), "overlaps"), s, share)
+    return J.containment_losers(stash(J.ellipse_overlap_join(df.filter(active), None, by), "overlaps"), share)
 
 
 def label_ordinary_hsc(sources: DataFrame, by: list[str], narrow: Column, p: R.ClassPolicy = R.ClassPolicy()) -> DataFrame:
@@ -169,11 +177,8 @@ def label_ordinary_a2744(sources: DataFrame, by: list[str], fwhm: float = 2.0, s
     s = _apply(s, _retained() & ~R.at_least(C("snr"), low), "ignore", "snr_ignore")
     s = _apply(s, _retained() & R.below(C("snr"), high), "weak", "snr_weak")
     s = stash(_apply(s, C("star_mask") & R.at_least(C("mag"), 22.0), "ignore", "star_mask"), "labels")
-    reach = s.agg(F.max(F.greatest("a", "b"))).first()[0]
-    overlaps = stash(J.ellipse_overlap_join(s, 2.0 * (reach or 1.0), by), "overlaps").select("a", "b", "in_a", "in_b")
     # (outer, inner) of pairs whose outer ellipse holds the inner one and is no smaller.
-    area = lambda n: s.select(C("source_id").alias(n), C("area").alias(f"{n}_area"))
-    both = overlaps.join(area("a"), "a").join(area("b"), "b")
+    both = stash(J.ellipse_overlap_join(s, None, by), "overlaps")
     nested = both.filter((C("in_b") >= share) & (C("a_area") <= C("b_area"))).select(C("b").alias("outer"), C("a").alias("inner")).unionByName(both.filter((C("in_a") >= share) & (C("b_area") <= C("a_area"))).select(C("a").alias("outer"), C("b").alias("inner")))
     nested = stash(nested, "nested")
     while True:
@@ -185,23 +190,61 @@ def label_ordinary_a2744(sources: DataFrame, by: list[str], fwhm: float = 2.0, s
         s = stash(_apply(_marked(s.drop("hit"), hit, "hit"), C("hit"), "strict", "contains_ignore"), "labels")
 
 
-def bright_clusters(sources: DataFrame, stars: DataFrame, overlaps: DataFrame, radius: float, by: list[str], iou: float = 0.05, area_cap: float = 1e9) -> DataFrame:
-    """(source_id, cluster, members, label): isolated sources, clusters with a star, clusters without one, and stars added to them.
+def bright_clusters(sources: DataFrame, stars: DataFrame, by: list[str], iou: float = 0.05, distance: float = 50.0, area_cap: float = 1e9, isolated_area: float = 500.0, source_match: float = 6.0, centroid_match: float = 10.0) -> DataFrame:
+    """(by, source_id, cluster, members, label): labels of overlapping sources, and a strict centre for each star of a cluster.
 
-    A star within ``radius`` of a member matches the cluster; its synthetic row has the negative star id.
+    A source alone in its cluster that touches no other is clean, or center_only from ``isolated_area`` on. The members
+    of a cluster that stars (by, star_id, x, y) match are restricted, and every such star is added with the id
+    -star_id - 1 as strict; other clusters are ignored.
     """
-    c = J.cluster_sources(overlaps, sources, iou, area_cap)
-    sizes = c.groupBy("cluster").agg(F.count("*").alias("members"))
-    near = J.pairs_within(stars, sources, radius, by, "star_id", "source_id").join(c.withColumnRenamed("source_id", "b"), "b")
-    best = near.groupBy("a").agg(F.min(F.struct("d", "cluster")).alias("n")).select(C("a").alias("star_id"), C("n.cluster").alias("cluster"))
-    starred = best.groupBy("cluster").agg(F.min("star_id").alias("star_id"))
-    rows = c.join(sizes, "cluster").join(starred, "cluster", "left")
-    label = F.when(C("members") == 1, "isolated").when(C("star_id").isNotNull(), "star_matched").otherwise("unmatched")
-    own = rows.select("source_id", "cluster", "members", label.alias("label"))
-    added = starred.join(sizes.filter("members > 1"), "cluster").select((-C("star_id") - 1).alias("source_id"), "cluster", "members", F.lit("star").alias("label"))
+    pairs = J.ellipse_pairs(sources, by).withColumn("iou", J.pixel_iou(C("s"), C("t"))).filter("iou > 0")
+    over = stash(pairs.select(C("s.id").alias("a"), C("t.id").alias("b"), F.greatest("s.area", "t.area").alias("larger"), "d", "iou"), "overlaps")
+    links = over.filter((C("iou") >= iou) & (C("d") <= distance) & (C("larger") < area_cap))
+    found = connected_components(links).select(C("id").alias("source_id"), "component")
+    touched = over.select(F.explode(F.array("a", "b")).alias("source_id")).distinct().withColumn("touched", F.lit(True))
+    rows = sources.select(*by, "source_id", "x", "y", "area").join(found, "source_id", "left").join(touched, "source_id", "left").withColumn("cluster", F.coalesce("component", "source_id"))
+    rows = stash(rows.join(rows.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").withColumn("isolated", (C("members") == 1) & C("touched").isNull()), "clusters")
+    met = stash(stars_near_clusters(rows.filter("NOT isolated").select(*by, "cluster", "x", "y"), stars, source_match, centroid_match, by), "met")
+    starred = met.select("cluster").distinct().withColumn("starred", F.lit(True))
+    label = F.when(C("isolated"), F.when(C("area") < isolated_area, "clean").otherwise("center_only")).when(C("starred"), "restricted").otherwise("ignore")
+    own = rows.join(starred, "cluster", "left").select(*by, "source_id", "cluster", "members", label.alias("label"))
+    sizes = rows.select("cluster", "members").distinct()
+    added = met.join(sizes, "cluster").select(*by, (-C("star_id") - 1).alias("source_id"), "cluster", "members", F.lit("strict").alias("label"))
     return own.unionByName(added)
 
 
+def remeasure_rescue(sources: DataFrame, by: list[str], p: R.RescuePolicy = R.RescuePolicy()) -> DataFrame:
+    """(source_id, class, reason) of the aperture outliers among ``sources`` after their Kron flux was measured anew.
+
+    ``sources``: source_id, x, y, a, b, theta, area (of the new aperture), n_child, old_diff and new_diff
+    (aperture less Kron magnitude), mag (aperture), fill (footprint in the aperture), ignored, clean and skip.
+    Selected are ignored sources without children whose old difference passes the limit, unless ``skip``
+    holds. Too large ones drop; small fill, faint and large, long, not measured or still far ones, and those
+    that hold a smaller clean or rescued ellipse, are ignored; the others are clean or center_only by the
+    new difference.
+    """
+    old, new = F.abs(C("old_diff")), F.abs(C("new_diff"))
+    chosen = (C("n_child") == 0) & C("ignored") & ~F.coalesce(C("skip"), F.lit(False)) & R.above(old, p.threshold) & finite("x") & finite("y")
+    long = axis_ratio(C("a"), C("b"))
+    reasons = F.array_compact(F.array(
+        F.when(~(finite("a") & finite("b") & finite("theta") & (C("a") > 0) & (C("b") > 0)), "invalid_refit_ellipse"),
+        F.when(R.at_most(new, p.center_max) & R.below(C("fill"), p.least_fill), "small_footprint_large_aperture"),
+        F.when(R.above(C("area"), p.area_max), "area_gt_max"),
+        F.when(R.above(C("mag"), p.faint_mag) & R.above(C("area"), p.faint_area), "faint_and_large"),
+        F.when(R.above(long, p.axis_ratio_max), "axis_ratio"),
+        F.when(~finite(C("new_diff")), "invalid_new_diff").when(new > p.center_max, "new_diff"),
+    ))
+    s = stash(sources.withColumn("chosen", F.coalesce(chosen, F.lit(False))).withColumn("reasons", F.when(C("chosen"), reasons).otherwise(F.array().cast("array<string>"))), "remeasured")
+    free = C("chosen") & (F.size("reasons") == 0)
+    pool = s.filter(free | C("clean"))
+    over = J.ellipse_overlap_join(pool, None, by)
+    larger = F.when((C("a_area") < C("b_area")) & (C("in_b") >= p.containment), C("b")).when((C("b_area") < C("a_area")) & (C("in_a") >= p.containment), C("a"))
+    s = _marked(s.filter("chosen"), over.select(larger.alias("id")).filter("id is not null"), "holds")
+    s = s.withColumn("reasons", F.when(C("holds") & (F.size("reasons") == 0), F.array(F.lit("contains_smaller"))).otherwise(C("reasons")))
+    cls = F.when(F.array_contains("reasons", "area_gt_max"), "drop").when(F.size("reasons") > 0, "ignore").when(new < p.clean_max, "clean").otherwise("center_only")
+    return s.select("source_id", cls.alias("class"), reason_string(C("reasons")).alias("reason"))
+
+
 def photometry_eval(targets: DataFrame, predictions: DataFrame, radius: float, by: str, low: float, high: float, width: float) -> DataFrame:
     """Completeness and purity by bin of predictions matched greedily to targets, per group and for all."""
     m = J.greedy_match(J.pairs_within(predictions, targets, radius, [by], "det_id", "source_id"), [by])

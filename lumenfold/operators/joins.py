@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.expr import finite
+from lumenfold.operators import sequential as Q
 from lumenfold.operators.graph import connected_components
 from lumenfold.session import stash
 
@@ -43,18 +45,21 @@ def _cells(df: DataFrame, radius: float, reach: int) -> DataFrame:
     return df.withColumn("__c", F.explode(around)).select(*df.columns, "__c.cx", "__c.cy")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: list[str], left_id: str = "id", right_id: str = "id") -> DataFrame:
-    """(by, a, b, d): pairs of a left and a right point of one group within ``radius`` (<=)."""
-    a = left.select(*by, F.col(left_id).alias("a"), "x", "y")
-    b = right.select(*by, F.col(right_id).alias("b"), "x", "y")
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: list[str], left_id: str = "id", right_id: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, d): pairs of a left and a right point of one group within ``radius`` (<=).
+
+    Columns ``carry`` of both sides come along as a_<c> and b_<c>, so that they need no join after.
+    """
+    a = left.select(*by, F.col(left_id).alias("a"), "x", "y", *[F.col(c).alias(f"a_{c}") for c in carry])
+    b = right.select(*by, F.col(right_id).alias("b"), "x", "y", *[F.col(c).alias(f"b_{c}") for c in carry])
     joined = _cells(a, radius, 0).withColumnsRenamed({"x": "ax", "y": "ay"}).join(_cells(b, radius, 1), [*by, "cx", "cy"])
     dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
-    return joined.withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= radius).select(*by, "a", "b", "d")
+    return joined.withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= radius).select(*by, "a", "b", "d", *[f"{p}_{c}" for c in carry for p in "ab"])
 
 
-def close_pairs(points: DataFrame, radius: float, by: list[str], id_col: str = "id") -> DataFrame:
+def close_pairs(points: DataFrame, radius: float, by: list[str], id_col: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs a < b of points of one group within ``radius``."""
-    return pairs_within(points, points, radius, by, id_col, id_col).filter("a < b")
+    return pairs_within(points, points, radius, by, id_col, id_col, carry).filter("a < b")
 
 
 def within_any_radius(points: DataFrame, centers: DataFrame, radius: float, by: list[str], id_col: str = "id", center_id: str = "id") -> DataFrame:
@@ -85,20 +90,23 @@ def rank_in_side(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.withColumns({"ra": F.row_number().over(Window.partitionBy(*by, "a").orderBy(*order)), "rb": F.row_number().over(Window.partitionBy(*by, "b").orderBy(*order))})
 
 
-def greedy_match(edges: DataFrame, by: list[str]) -> DataFrame:
+def greedy_match(edges: DataFrame, by: list[str], most: int = Q.MOST_EDGES) -> DataFrame:
     """(by, a, b, d): the one-to-one matching that takes edges by (d, a, b) while both ends are free.
 
-    An edge that is first for both its ends is taken in any case; each round takes all of them and
-    drops the edges that they touch, until none is left.
+    Components of the edges are matched each in its task; those of more than ``most`` edges in rounds,
+    which take every edge that is first for both its ends and drop the edges that they touch.
     """
     cols = [*by, "a", "b", "d"]
-    left, taken = stash(edges.select(*cols), "edges"), None
-    while True:
+    small, large = Q.split_by_component(edges.select(*cols), F.xxhash64(F.lit(0), *by, "a"), F.xxhash64(F.lit(1), *by, "b"), most)
+    taken = stash(Q.apply_in_order(small, ["d", "a", "b"], ["a", "b", "d", *by], Q.matching).select(*cols), "matched")
+    left = stash(large, "edges") if large is not None else None
+    while left is not None:
         first = stash(rank_in_side(left, by).filter("ra = 1 AND rb = 1").select(*cols), "first")
-        taken = first if taken is None else taken.unionByName(first)
         if first.isEmpty():
-            return taken
+            break
+        taken = taken.unionByName(first)
         left = stash(left.join(first.select(*by, "a"), [*by, "a"], "left_anti").join(first.select(*by, "b"), [*by, "b"], "left_anti"), "edges")
+    return taken
 
 
 def greedy_match_nearest(points: DataFrame, targets: DataFrame, radius: float, by: list[str], id_col: str = "id", target_id: str = "id") -> DataFrame:
@@ -136,97 +144,174 @@ def unit_grid(n: int = 9) -> list[tuple[float, float]]:
     return [(u, v) for u in values for v in values if u * u + v * v <= 1.0]
 
 
-def coverage(points: list[tuple[float, float]], s: dict[str, Column], d: dict[str, Column]) -> Column:
-    """Share of the ellipse ``s`` (x, y, a, b, t), sampled at unit points, that lies inside ``d``."""
+def coverage(points: list[tuple[float, float]], s: Column, d: Column) -> Column:
+    """Share of the ellipse ``s``, sampled at unit points, that lies inside ``d``; structs of x, y, a, b, cos and sin.
+
+    An axis of ``d`` counts as 1e-6 at least, so that a flat ellipse holds next to nothing.
+    """
     grid = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in points])
+    da, db = F.greatest(d["a"], F.lit(1e-6)), F.greatest(d["b"], F.lit(1e-6))
 
     def inside(p: Column) -> Column:
-        px = s["x"] + F.cos(s["t"]) * (s["a"] * p["u"]) - F.sin(s["t"]) * (s["b"] * p["v"]) - d["x"]
-        py = s["y"] + F.sin(s["t"]) * (s["a"] * p["u"]) + F.cos(s["t"]) * (s["b"] * p["v"]) - d["y"]
-        u, v = (F.cos(d["t"]) * px + F.sin(d["t"]) * py) / d["a"], (-F.sin(d["t"]) * px + F.cos(d["t"]) * py) / d["b"]
+        px = s["x"] + s["cos"] * (s["a"] * p["u"]) - s["sin"] * (s["b"] * p["v"]) - d["x"]
+        py = s["y"] + s["sin"] * (s["a"] * p["u"]) + s["cos"] * (s["b"] * p["v"]) - d["y"]
+        u, v = (d["cos"] * px + d["sin"] * py) / da, (-d["sin"] * px + d["cos"] * py) / db
         return u * u + v * v <= 1.0
 
     return F.size(F.filter(grid, inside)) / float(len(points))
 
 
-def ellipse_overlap_join(sources: DataFrame, radius: float, by: list[str], points: list[tuple[float, float]] | None = None) -> DataFrame:
-    """(by, a, b, d, in_a, in_b, iou) of pairs a < b within ``radius``: coverages of either by the other, and their IoU.
+def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None) -> DataFrame:
+    """(by, s, t, d): pairs of ellipses as structs with s.id < t.id, within ``radius`` or, without one, with circles that touch.
 
-    ``sources`` has source_id, x, y, a, b, theta and area. Pairs whose bounding circles are apart have none.
+    ``sources`` has source_id, x, y, a, b, theta and area; sines are computed once a source. Without a radius ellipses meet by
+    size: those whose axis is of one power of two share a grid, and smaller ones come to it, so that one
+    large ellipse does not make the cells of all others large. Ellipses without finite axes meet none.
+    """
+    reach = F.greatest("a", "b")
+    e = F.struct(F.col("source_id").alias("id"), "x", "y", "a", "b", "area", "theta", F.cos("theta").alias("cos"), F.sin("theta").alias("sin"), reach.alias("reach"))
+    rows = sources.filter(finite("x") & finite("y") & finite("a") & finite("b") & finite("theta")).select(*by, e.alias("e"))
+    if radius is not None:
+        big = rows.withColumns({"level": F.lit(0), "width": F.lit(float(radius))})
+        small = big
+    else:
+        leveled = rows.withColumn("level", F.ceil(F.log2(F.greatest(F.col("e.reach"), F.lit(0.0625)))).cast("int"))
+        # As many numbers as there are powers of two among the axes.
+        levels = sorted(r[0] for r in leveled.select("level").distinct().collect())
+        width = F.pow(F.lit(2.0), F.col("level") + 1)
+        big = leveled.withColumn("width", width)
+        small = leveled.withColumnRenamed("level", "own").withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("own")))) if levels else leveled.withColumn("own", F.col("level"))
+        small = small.withColumn("width", width)
+    cell = lambda c: F.floor(F.col(f"e.{c}") / F.col("width"))
+    around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = big.select(*by, "level", F.col("e").alias("l"), F.explode(around).alias("c")).select(*by, "level", "l", "c.cx", "c.cy")
+    right = small.select(*by, "level", F.col("e").alias("r"), *([F.col("own")] if "own" in small.columns else []), cell("x").alias("cx"), cell("y").alias("cy"))
+    both = left.join(right, [*by, "level", "cx", "cy"])
+    # Of one level a pair comes up from both sides.
+    once = F.col("l.id") < F.col("r.id") if "own" not in small.columns else (F.col("own") < F.col("level")) | (F.col("l.id") < F.col("r.id"))
+    dx, dy = F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")
+    d = F.sqrt(dx * dx + dy * dy)
+    limit = F.lit(float(radius)) if radius is not None else F.col("l.reach") + F.col("r.reach")
+    first = F.col("l.id") < F.col("r.id")
+    return both.filter(once).withColumn("d", d).filter(F.col("d") <= limit).select(*by, F.when(first, F.col("l")).otherwise(F.col("r")).alias("s"), F.when(first, F.col("r")).otherwise(F.col("l")).alias("t"), "d")
+
+
+def ellipse_overlap_join(sources: DataFrame, radius: float | None, by: list[str], points: list[tuple[float, float]] | None = None) -> DataFrame:
+    """(by, a, b, d, in_a, in_b, iou, a_area, b_area) of pairs a < b: coverages of either by the other, and their IoU.
+
+    Pairs are those of :func:`ellipse_pairs`. Pairs whose bounding circles are apart have no coverage.
     """
     points = points or unit_grid()
-    pairs = close_pairs(sources, radius, by, "source_id")
-    side = lambda p: sources.select(F.col("source_id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "a", "b", "theta", "area")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shape = lambda p: {"x": F.col(f"{p}_x"), "y": F.col(f"{p}_y"), "a": F.col(f"{p}_a"), "b": F.col(f"{p}_b"), "t": F.col(f"{p}_theta")}
-    near = F.col("d") <= F.greatest("a_a", "a_b") + F.greatest("b_a", "b_b")
-    both = both.withColumns({"in_b": F.when(near, coverage(points, shape("a"), shape("b"))).otherwise(0.0), "in_a": F.when(near, coverage(points, shape("b"), shape("a"))).otherwise(0.0)})
+    near = F.col("d") <= F.col("s.reach") + F.col("t.reach")
+    both = ellipse_pairs(sources, by, radius).withColumns({"in_b": F.when(near, coverage(points, F.col("s"), F.col("t"))).otherwise(0.0), "in_a": F.when(near, coverage(points, F.col("t"), F.col("s"))).otherwise(0.0)})
+    both = both.select(*by, F.col("s.id").alias("a"), F.col("t.id").alias("b"), "d", "in_a", "in_b", F.col("s.area").alias("a_area"), F.col("t.area").alias("b_area"))
     shared = 0.5 * (F.col("in_b") * F.col("a_area") + F.col("in_a") * F.col("b_area"))
     union = F.col("a_area") + F.col("b_area") - shared
-    return both.withColumn("iou", F.when(union <= 0, 0.0).otherwise(F.least(F.greatest(shared / union, F.lit(0.0)), F.lit(1.0)))).select(*by, "a", "b", "d", "in_a", "in_b", "iou")
+    return both.withColumn("iou", F.when(union > 0, F.least(F.greatest(F.try_divide(shared, union), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).select(*by, "a", "b", "d", "in_a", "in_b", "iou", "a_area", "b_area")
+
+
+def pixel_iou(s: Column, t: Column) -> Column:
+    """IoU of two ellipses (structs of x, y, a, b, cos, sin and reach) counted on the whole pixels around both.
+
+    Boxes of more than 512 pixels a side are sampled in steps.
+    """
+    lo = lambda c: F.floor(F.least(s[c] - s["reach"], t[c] - t["reach"]))
+    hi = lambda c: F.ceil(F.greatest(s[c] + s["reach"], t[c] + t["reach"]))
+    wide = F.greatest(hi("x") - lo("x"), hi("y") - lo("y")) + 1
+    step = F.greatest(F.lit(1), F.ceil(wide / 512)).cast("long")
+
+    def inside(e: Column, x: Column, y: Column) -> Column:
+        dx, dy = x - e["x"], y - e["y"]
+        u, v = (dx * e["cos"] + dy * e["sin"]) / F.greatest(e["a"], F.lit(1e-6)), (-dx * e["sin"] + dy * e["cos"]) / F.greatest(e["b"], F.lit(1e-6))
+        return u * u + v * v <= 1.0
+
+    start = F.struct(F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("any"))
+
+    def row(acc: Column, y: Column) -> Column:
+        def cell(acc: Column, x: Column) -> Column:
+            p, q = inside(s, x.cast("double"), y.cast("double")), inside(t, x.cast("double"), y.cast("double"))
+            return F.struct((acc["both"] + (p & q).cast("long")).alias("both"), (acc["any"] + (p | q).cast("long")).alias("any"))
+
+        return F.aggregate(F.sequence(lo("x"), hi("x"), step), acc, cell)
+
+    return F.aggregate(F.sequence(lo("y"), hi("y"), step), start, row, lambda acc: F.when(acc["any"] > 0, acc["both"] / acc["any"]).otherwise(0.0))
 
 
 def close_pair_losers(sources: DataFrame, radius: float, by: list[str]) -> DataFrame:
     """Ids of the fainter of each pair within ``radius``, ties by larger area, then the later row: free of order."""
-    pairs = close_pairs(sources, radius, by, "source_id")
-    side = lambda p: sources.select(F.col("source_id").alias(p), F.when(F.isnan("mag") | F.col("mag").isNull(), float("inf")).otherwise(F.col("mag")).alias(f"{p}_mag"), F.col("area").alias(f"{p}_area"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    mag = F.when(F.isnan("mag") | F.col("mag").isNull(), float("inf")).otherwise(F.col("mag"))
+    both = close_pairs(sources.withColumn("mag", mag), radius, by, "source_id", ("mag", "area"))
     lose_a = (F.col("a_mag") > F.col("b_mag")) | ((F.col("a_mag") == F.col("b_mag")) & (F.col("a_area") >= F.col("b_area")))
     return both.select(F.when(lose_a, F.col("a")).otherwise(F.col("b")).alias("source_id")).distinct()
 
 
-def ordered_rounds(edges: DataFrame, order: list[str]) -> DataFrame:
+def ordered_removal(edges: DataFrame, order: list[str], most: int = Q.MOST_EDGES) -> DataFrame:
     """Ids removed when edges (a, b, loser, ...) act in ``order``, and an edge with a removed end does nothing.
 
-    Each round decides the edges that are first among the undecided ones of both their ends.
+    Components act each in its task; those of more than ``most`` edges in rounds, which decide the edges
+    that are first among the undecided ones of both their ends.
     """
-    left, gone = stash(edges, "edges"), None
-    while True:
+    small, large = Q.split_by_component(edges, F.col("a").cast("long"), F.col("b").cast("long"), most)
+    gone = Q.apply_in_order(small, order, ["a", "b", "loser"], Q.removal).select(F.col("loser").alias("id"))
+    left = stash(large, "edges") if large is not None else None
+    while left is not None:
         rank = lambda side: F.row_number().over(Window.partitionBy("__end").orderBy(*order))
         ends = left.select("*", F.explode(F.array("a", "b")).alias("__end")).withColumn("__r", rank("__end"))
         first = stash(ends.groupBy("a", "b").agg(F.max("__r").alias("r"), F.first("loser").alias("loser")).filter("r = 1").select("a", "b", "loser"), "first")
-        losers = first.select(F.col("loser").alias("id"))
-        gone = losers if gone is None else gone.unionByName(losers)
         if first.isEmpty():
-            return gone.distinct()
+            break
+        losers = first.select(F.col("loser").alias("id"))
+        gone = gone.unionByName(losers)
         rest = left.join(first.select("a", "b"), ["a", "b"], "left_anti")
         left = stash(rest.join(losers.select(F.col("id").alias("a")), "a", "left_anti").join(losers.select(F.col("id").alias("b")), "b", "left_anti").select(*edges.columns), "edges")
+    return gone.distinct()
+
 
+def containment_losers(overlaps: DataFrame, threshold: float, most: int = Q.MOST_EDGES) -> DataFrame:
+    """Ids of the larger of pairs that hold ``threshold`` of the smaller; removed rows no longer act; pairs go by (a, b).
 
-def containment_losers(overlaps: DataFrame, areas: DataFrame, threshold: float) -> DataFrame:
-    """Ids of the larger of pairs that hold ``threshold`` of the smaller; removed rows no longer act; pairs go by (a, b)."""
-    side = lambda p: areas.select(F.col("source_id").alias(p), F.col("area").alias(f"{p}_area"))
-    both = overlaps.join(side("a"), "a").join(side("b"), "b")
+    ``overlaps``: what :func:`ellipse_overlap_join` gives. Pairs without two positive areas do nothing.
+    """
     a_small = F.col("a_area") <= F.col("b_area")
     held = F.when(a_small, F.col("in_b")).otherwise(F.col("in_a"))
-    edges = both.filter(held >= threshold).select("a", "b", F.when(a_small, F.col("b")).otherwise(F.col("a")).alias("loser"))
-    return ordered_rounds(edges, ["a", "b"])
+    real = finite("a_area") & finite("b_area") & (F.col("a_area") > 0) & (F.col("b_area") > 0)
+    edges = overlaps.filter(real & (held >= threshold)).select("a", "b", F.when(a_small, F.col("b")).otherwise(F.col("a")).alias("loser"))
+    return ordered_removal(edges, ["a", "b"], most)
 
 
-def priority_dedup(points: DataFrame, radius: float, by: list[str], order: list[Column]) -> DataFrame:
-    """(a, keep, d): points that lose to a kept one within ``radius`` and come after it in ``order``.
+def priority_dedup(points: DataFrame, radius: float, by: list[str], order: list[Column], most: int = Q.MOST_EDGES) -> DataFrame:
+    """(a, keep, d): points that lose to a kept one within ``radius`` and come after it in ``order``; ties of the order go by id.
 
-    The greedy choice in that order, by rounds: a point all of whose undecided neighbours come later is
-    kept, and its neighbours lose.
+    The greedy choice in that order: component by component in tasks; in components of more than ``most``
+    pairs by rounds, in which a point all of whose undecided neighbours come later is kept, and its
+    neighbours lose.
     """
-    # The order is over all rows: its position is found by sorting once, partition by partition.
-    pairs = stash(pairs_within(points, points, radius, by, "source_id", "source_id").filter("a <> b").join(points.select(F.col("source_id").alias("a"), F.struct(*order, F.col("source_id").alias("__i")).alias("ka")), "a").join(points.select(F.col("source_id").alias("b"), F.struct(*order, F.col("source_id").alias("__i")).alias("kb")), "b").select("a", "b", "d", "ka", "kb"), "pairs")
-    lost = None
-    while True:
-        kept = pairs.groupBy("a").agg(F.bool_and(F.col("ka") < F.col("kb")).alias("first")).filter("first").select("a")
-        out = stash(pairs.join(kept, "a").groupBy("b").agg(F.min(F.struct("ka", "a", "d")).alias("k")).select(F.col("b").alias("a"), F.col("k.a").alias("keep"), F.col("k.d").alias("d")), "lost")
-        lost = out if lost is None else lost.unionByName(out)
+    keyed = points.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("source_id").alias("id")))
+    pairs = pairs_within(keyed, keyed, radius, by, "source_id", "source_id", ("__key",)).select(F.col("a").alias("later"), F.col("b").alias("earlier"), "d", F.col("a___key").alias("kl"), F.col("b___key").alias("ke")).filter("ke < kl")
+    small, large = Q.split_by_component(pairs, F.col("later").cast("long"), F.col("earlier").cast("long"), most)
+    lost = Q.apply_in_order(small, ["kl", "ke"], ["later", "earlier", "d"], Q.yielding).select(F.col("later").alias("a"), F.col("earlier").alias("keep"), "d")
+    left = stash(large, "pairs") if large is not None else None
+    while left is not None:
+        # Kept: who is later than nobody that is undecided.
+        kept = left.select(F.col("earlier").alias("id")).distinct().join(left.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
+        out = stash(left.join(kept.withColumnRenamed("id", "earlier"), "earlier").groupBy("later").agg(F.min(F.struct("ke", "earlier", "d")).alias("k")).select(F.col("later").alias("a"), F.col("k.earlier").alias("keep"), F.col("k.d").alias("d")), "lost")
         if out.isEmpty():
-            return lost
-        gone = out.select(F.col("a").alias("g")).unionByName(kept.select(F.col("a").alias("g")))
-        pairs = stash(pairs.join(gone, pairs["a"] == gone["g"], "left_anti").join(gone, pairs["b"] == gone["g"], "left_anti"), "pairs")
+            break
+        lost = lost.unionByName(out)
+        gone = out.select(F.col("a").alias("g")).unionByName(kept.select(F.col("id").alias("g")))
+        left = stash(left.join(gone, left["later"] == gone["g"], "left_anti").join(gone, left["earlier"] == gone["g"], "left_anti"), "pairs")
+    return lost
+
 
+def cluster_sources(sources: DataFrame, by: list[str], iou: float, area_cap: float, distance: float | None = None) -> DataFrame:
+    """(source_id, cluster): components of pairs whose pixel-counted IoU is at least ``iou``; others alone.
 
-def cluster_sources(overlaps: DataFrame, sources: DataFrame, iou: float, area_cap: float) -> DataFrame:
-    """(source_id, cluster): components of pairs with at least ``iou`` whose areas are below a cap; others alone."""
-    small = sources.filter(F.col("area") < area_cap).select("source_id")
-    edges = overlaps.filter(F.col("iou") >= iou).join(small.select(F.col("source_id").alias("a")), "a", "left_semi").join(small.select(F.col("source_id").alias("b")), "b", "left_semi")
-    found = connected_components(edges.select("a", "b")).withColumnRenamed("id", "source_id")
+    Only sources with areas below a cap link, and only within ``distance`` where there is one.
+    """
+    pairs = ellipse_pairs(sources.filter(F.col("area") < area_cap), by, distance)
+    near = pairs.filter(F.col("d") <= F.col("s.reach") + F.col("t.reach"))
+    edges = near.withColumn("iou", pixel_iou(F.col("s"), F.col("t"))).filter(F.col("iou") >= iou).select(F.col("s.id").alias("a"), F.col("t.id").alias("b"))
+    found = connected_components(edges).withColumnRenamed("id", "source_id")
     return sources.select("source_id").join(found, "source_id", "left").select("source_id", F.coalesce("component", "source_id").alias("cluster"))
 
 
@@ -271,3 +356,21 @@ def replay_check(stored: DataFrame, fresh: DataFrame, key: str, equal: list[str]
     found += [F.when(both & ~F.col(f"s_{c}").eqNullSafe(F.col(f"f_{c}")), c) for c in equal]
     found += [F.when(both & (F.abs(F.col(f"s_{c}") - F.col(f"f_{c}")) > tol), c) for c, tol in close.items()]
     return j.select(F.coalesce("ks", "kf").alias(key), F.explode(F.array_compact(F.array(*found))).alias("problem")).unionByName(twice)
+
+
+def flagged_matches(predictions: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """``predictions`` with matched: whether a kept target has their keys."""
+    hit = kept.select(*keys, F.lit(True).alias("matched")).distinct()
+    return predictions.join(hit, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+def brightest_member(df: DataFrame, group: str, flux: str, id_col: str = "source_id") -> DataFrame:
+    """(group, id_col): of each group the member with the most flux; ties by the least id."""
+    return df.groupBy(group).agg(F.min_by(id_col, F.struct(-F.col(flux), F.col(id_col))).alias(id_col))
+
+
+def isolated_flag(sources: DataFrame, by: list[str], iou: float = 0.05, radius: float | None = None) -> DataFrame:
+    """(source_id, isolated): whether no other ellipse overlaps a source by more than ``iou``."""
+    o = ellipse_overlap_join(sources, radius, by).filter(F.col("iou") > iou)
+    crowded = o.select(F.explode(F.array("a", "b")).alias("source_id")).distinct().withColumn("__over", F.lit(True))
+    return sources.select("source_id").join(crowded, "source_id", "left").select("source_id", F.col("__over").isNull().alias("isolated"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import NAN, ellipse_contains, finite
 from lumenfold.operators import joins as J
 from lumenfold.operators import pixels as P
+from lumenfold.operators.graph import connected_components
+from lumenfold.operators.windows import assign_stars, stars_near_clusters
+from lumenfold.session import stash
 
 
 def footprint_span_join(spans: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,22 +27,24 @@ def footprint_span_join(spans: DataFrame, pixels: DataFrame, keys: list[str]) ->
     return cells.join(pixels.select(*keys, "x", "y", "image"), [*keys, "x", "y"]).select(*keys, "id", "x", "y", "image")
 
 
-def ap2_snr_measure(centers: DataFrame, pixels: DataFrame, radius: float, inner: float, outer: float, keys: list[str], least: int = 16) -> DataFrame:
+def ap2_snr_measure(centers: DataFrame, pixels: DataFrame, radius: float, inner: float, outer: float, keys: list[str], least: int = 16, least_annulus: int = 1) -> DataFrame:
     """(keys, id, flux, snr, internal, trusted): aperture sum above the annulus median, over the noise of blank apertures.
 
     The noise scales with the root of the share of the aperture that lies on the frame; ``internal`` says that
-    all of it does.
+    all of it does. Trusted are internal measurements with a finite ratio, enough annulus pixels and a trusted noise.
     """
-    noise = P.blank_aperture_noise(pixels, radius, keys, least).select(*keys, "sd", "trusted")
+    noise = P.blank_aperture_noise(pixels, radius, keys, least).select(*keys, "sd", F.col("trusted").alias("known"))
     offsets = P.disk_offsets(outer)
     got = P.at_offsets(centers, pixels, offsets, keys).filter(finite("image") & ~F.col("excluded"))
     r2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
     ap, ann = F.when(r2 <= radius * radius, F.col("image")), F.when(r2 > inner * inner, F.col("image"))
-    sums = got.groupBy(*keys, "id").agg(F.sum(ap).alias("s"), F.count(ap).alias("n"), F.median(ann).alias("m")).join(noise, keys)
+    sums = got.groupBy(*keys, "id").agg(F.sum(ap).alias("s"), F.count(ap).alias("n"), F.median(ann).alias("m"), F.count(ann).alias("n_ann")).join(noise, keys)
     whole = len(P.disk_offsets(radius))
     flux = F.col("s") - F.coalesce("m", F.lit(0.0)) * F.col("n")
     sigma = F.col("sd") * F.sqrt(F.col("n") / whole)
-    return sums.filter("n > 0").select(*keys, "id", flux.alias("flux"), F.when(sigma > 0, flux / sigma).otherwise(NAN).alias("snr"), (F.col("n") == whole).alias("internal"), "trusted")
+    found = sums.filter("n > 0").select(*keys, "id", flux.alias("flux"), F.when(sigma > 0, flux / sigma).otherwise(NAN).alias("snr"), (F.col("n") == whole).alias("internal"), "n_ann", "known")
+    trusted = F.col("known") & F.col("internal") & (F.col("n_ann") >= least_annulus) & finite("snr")
+    return found.select(*keys, "id", "flux", "snr", "internal", trusted.alias("trusted"))
 
 
 def link_metrics(members: DataFrame, targets: DataFrame) -> DataFrame:
@@ -99,23 +106,89 @@ def nested_component_centers(runs: DataFrame, parents: DataFrame, centers: DataF
     return free.join(lost, "region", "left_anti").select(*keys, "parent", "region", "cx", "cy")
 
 
-def component_bright_labels(sources: DataFrame, runs: DataFrame, stars: DataFrame, keys: list[str], radius: float, large: float, small: Column) -> DataFrame:
-    """(id, region, label): sources by the bright region that holds them.
-
-    Regions of at least ``large`` pixels are ignored. A region with a reliable star has the star as its centre
-    and its sources are fragments; a region's only source is clean, or strict where ``small`` does not hold;
-    several sources without a star are weak. Sources outside regions are outside.
+@dataclass(frozen=True)
+class BrightPolicy:
+    """Limits of the labels of bright components."""
+
+    drop_area: float = 10000.0
+    blendedness: float = 0.5
+    cluster_iou: float = 1.0 / 3.0
+    cluster_distance: float = 50.0
+    cluster_area: float = 10000.0
+    shape_area: float = 10000.0
+    shape_ratio: float = 5.0
+    isolated_area: float = 1000.0
+    star_mag: float = 22.0
+    source_match: float = 6.0
+    centroid_match: float = 10.0
+    empty_area: float = 1000.0
+    #: Sources of a component that are one cluster without a look at their overlaps.
+    crowded: int = 256
+
+
+def component_bright_labels(sources: DataFrame, runs: DataFrame, stars: DataFrame, keys: list[str], width: int, height: int, p: BrightPolicy = BrightPolicy()) -> DataFrame:
+    """(keys, id, region, label, reason): sources by the bright component that holds them, and added centres.
+
+    ``sources``: keys, source_id, x, y, a, b, theta, area, blendedness, star (class star); ``runs``: components as
+    rows of pixels with region; ``stars``: keys, star_id, x, y, mag, reliable. Large areas are ignored. The rest of
+    a component, or of the sky outside, is clustered by overlap; a source alone in its cluster that touches no
+    other is clean, weak (large, or its component has several clusters) or, for a star, center_only, unless it is
+    blended or its shape is not usable; other clusters are ignored. A reliable bright star in a component, or one
+    outside that meets a cluster, turns its sources into fragments (restricted) and is added as a strict centre with
+    the id -star_id - 1. Large components off the edge without any usable row, without a blend, and whose sources, if any, are
+    not all other than stars, get their mean pixel as a strict centre.
     """
-    area = runs.groupBy("region").agg(F.sum("n").alias("pixels"))
-    own = component_of(sources, runs, keys).join(area, "region", "left")
-    starred = component_of(stars, runs, keys).filter("region is not null").select("region").distinct().withColumn("star", F.lit(True))
-    own = own.join(starred, "region", "left").withColumn("members", F.count("*").over(Window.partitionBy("region")))
-    label = (
-        F.when(F.col("region").isNull(), "outside")
-        .when(F.col("pixels") >= large, "ignore")
-        .when(F.col("star"), "fragment")
-        .when((F.col("members") == 1) & small, "clean")
-        .when(F.col("members") == 1, "strict")
-        .otherwise("weak")
+    at = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    area = runs.groupBy(*keys, "region").agg(F.sum("n").alias("pixels"), (F.sum((F.col("x0") + F.col("x1")) / 2.0 * F.col("n")) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.bool_or((F.col("x0") == 0) | (F.col("x1") == width - 1) | (F.col("y") == 0) | (F.col("y") == height - 1)).alias("edge"))
+    own = component_of(sources.withColumns({"px": at("x"), "py": at("y")}), runs, keys).drop("px", "py").join(area.select(*keys, "region", "pixels"), [*keys, "region"], "left")
+    own = stash(own.withColumns({"blended": F.coalesce(F.col("blendedness") > p.blendedness, F.lit(False)), "dropped": F.col("area") >= p.drop_area, "place": F.coalesce("region", F.lit(0).cast("long"))}), "members")
+    pending = own.filter("NOT dropped")
+    # Sources of one component, or outside of all, may form a cluster; touching counts among them too.
+    overlaps = J.ellipse_pairs(pending, [*keys, "place"]).withColumn("iou", J.pixel_iou(F.col("s"), F.col("t")))
+    overlaps = stash(overlaps.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.greatest("s.area", "t.area").alias("larger"), "d", "iou").filter("iou > 0"), "overlaps")
+    links = overlaps.filter((F.col("iou") >= p.cluster_iou) & (F.col("d") <= p.cluster_distance) & (F.col("larger") < p.cluster_area))
+    cluster = connected_components(links)
+    crowds = pending.filter("region is not null").groupBy(*keys, "region").agg(F.count("*").alias("crowd"), F.min("source_id").alias("head")).filter(F.col("crowd") >= p.crowded)
+    grouped = pending.join(cluster.select(F.col("id").alias("source_id"), "component"), "source_id", "left").join(crowds, [*keys, "region"], "left")
+    grouped = grouped.withColumn("cluster", F.coalesce("head", "component", "source_id")).drop("component", "crowd", "head")
+    touched = overlaps.select(F.explode(F.array("a", "b")).alias("source_id")).distinct().withColumn("touched", F.lit(True))
+    sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
+    groups = grouped.groupBy(*keys, "place").agg(F.countDistinct("cluster").alias("clusters"))
+    grouped = stash(grouped.join(sizes, "cluster").join(groups, [*keys, "place"]).join(touched, "source_id", "left").withColumn("touched", F.coalesce("touched", F.lit(False))), "grouped")
+    inside = F.col("region").isNotNull()
+    usable = (F.col("area") < p.shape_area) & (F.greatest("a", "b") <= p.shape_ratio * F.least("a", "b"))
+    small = F.greatest(F.coalesce("pixels", F.lit(0)), "area") < p.isolated_area
+    alone = (F.col("members") == 1) & ~F.col("touched")
+    state = (
+        F.when(alone & F.col("blended"), _state("ignore", "high_blendedness"))
+        .when(alone & usable & small & ~(inside & (F.col("clusters") > 1)), _state("clean", "isolated_small"))
+        .when(alone & usable & ~F.col("star"), _state("weak", "isolated_large"))
+        .when(alone & usable, _state("center_only", "isolated_star"))
+        .otherwise(_state("ignore", "cluster_without_star"))
     )
-    return own.select("id", "region", label.alias("label"))
+    bright = stars.filter(F.col("reliable") & (F.col("mag") < p.star_mag))
+    held = component_of(bright.withColumns({"px": at("x"), "py": at("y")}), runs, keys).drop("px", "py")
+    loose = held.filter("region is null")
+    met = assign_stars(stars_near_clusters(grouped.select(*keys, "cluster", "x", "y"), loose, p.source_match, p.centroid_match, keys), keys)
+    home = grouped.groupBy("cluster").agg(F.first("region").alias("region"))
+    met = met.join(home, "cluster")
+    starred = held.filter("region is not null").select(*keys, "star_id", "region").unionByName(met.filter("region is not null").select(*keys, "star_id", "region"))
+    outside = met.filter("region is null").select("cluster", "star_id")
+    starred_regions = starred.select(*keys, "region").distinct().withColumn("starred", F.lit(True))
+    starred_clusters = outside.select("cluster").distinct().withColumn("met", F.lit(True))
+    labelled = grouped.withColumn("state", state).join(starred_clusters, "cluster", "left").select(*keys, "source_id", "region", "state", "met")
+    labelled = labelled.unionByName(own.filter("dropped").select(*keys, "source_id", "region", _state("ignore", "large_area").alias("state"), F.lit(None).cast("boolean").alias("met")))
+    labelled = labelled.join(starred_regions, [*keys, "region"], "left")
+    final = F.when(F.col("starred") | F.col("met"), _state("restricted", "fragment_of_star")).otherwise(F.col("state"))
+    rows = stash(labelled.select(*keys, F.col("source_id").alias("id"), "region", final.alias("state")).select(*keys, "id", "region", F.col("state.label").alias("label"), F.col("state.reason").alias("reason")), "labels")
+    added = starred.select(*keys, (-F.col("star_id") - 1).alias("id"), "region").unionByName(met.filter("region is null").select(*keys, (-F.col("star_id") - 1).alias("id"), F.lit(None).cast("long").alias("region")))
+    added = added.distinct().select(*keys, "id", "region", F.lit("strict").alias("label"), F.lit("reliable_star").alias("reason"))
+    kinds = own.filter("region is not null").groupBy(*keys, "region").agg(F.bool_or("blended").alias("blended"), F.bool_and(~F.col("star")).alias("no_star"))
+    taken = rows.filter("label <> 'ignore'").select(*keys, "region").unionByName(added.select(*keys, "region")).distinct()
+    empty = area.join(kinds, [*keys, "region"], "left").join(taken, [*keys, "region"], "left_anti").filter((F.col("pixels") > p.empty_area) & ~F.col("edge") & ~F.coalesce("blended", F.lit(False)) & ~F.coalesce("no_star", F.lit(False)))
+    centers = empty.select(*keys, F.lit(None).cast("long").alias("id"), "region", F.lit("strict").alias("label"), F.lit("empty_component_center").alias("reason"), "cx", "cy")
+    return rows.unionByName(added).unionByName(centers, allowMissingColumns=True)
+
+
+def _state(label: str, reason: str) -> Column:
+    return F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import NAN, ellipse_contains, finite
 from lumenfold.operators.graph import connected_components
+from lumenfold.operators.rules import pixel_half_even, pixel_half_up
 
 
 def disk_offsets(radius: float, inner: float = -1.0) -> list[tuple[int, int]]:
@@ -62,12 +65,15 @@ def plane_fractions(pixels: DataFrame, planes: dict[str, int], keys: list[str])
 
 
 def tile_bad_score(pixels: DataFrame, score: Column, tile: int, stride: int, keys: list[str]) -> DataFrame:
-    """(keys, tx, ty, score): mean score of the tiles that start each ``stride`` pixels and are ``tile`` wide."""
+    """(keys, tx, ty, score): mean score of the tiles that start each ``stride`` pixels and are ``tile`` wide.
+
+    Scores are summed in whole millionths, so that the order of the pixels does not tell.
+    """
     first = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - tile + 1) / stride)).cast("int")
     last = lambda c: F.floor(F.col(c) / stride).cast("int")
-    scored = pixels.withColumn("__s", score)
+    scored = pixels.withColumn("__s", F.round(score * 1e6).cast("long"))
     spread = scored.withColumn("tx", F.explode(F.sequence(first("x"), last("x")))).withColumn("ty", F.explode(F.sequence(first("y"), last("y"))))
-    return spread.groupBy(*keys, "tx", "ty").agg(F.avg("__s").alias("score"))
+    return spread.groupBy(*keys, "tx", "ty").agg((F.sum("__s") / F.count("__s") / 1e6).alias("score"))
 
 
 def mean_in_aperture(centers: DataFrame, pixels: DataFrame, radius: float, keys: list[str], value: str = "image") -> DataFrame:
@@ -108,32 +114,70 @@ def robust_sigma(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return clean.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), (1.4826 * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
 
 
+def clipped(values: DataFrame, value: str, keys: list[str], k: float = 3.0, rounds: int = 2, fresh: bool = False, fall_back: bool = False) -> DataFrame:
+    """(keys, med, mean, sd, robust, n): of the values within k robust sigmas of the median after ``rounds`` rounds.
+
+    A round looks at the values that the last one kept; ``fresh`` then bounds all values anew, else the
+    bounds only narrow. A round without a positive sigma changes nothing; with ``fall_back`` the standard
+    deviation stands in for a sigma of nought. Bounds, a row a key, go from round to round.
+    """
+    base = values.filter(finite(value)).select(*keys, F.col(value).alias("__v"))
+
+    def level(current: DataFrame) -> DataFrame:
+        med = current.groupBy(*keys).agg(F.median("__v").alias("med"), F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("sd"), F.count("*").alias("n"))
+        mad = current.join(med.select(*keys, F.col("med").alias("__m")), keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("__v") - F.col("__m")))).alias("robust"))
+        out = med.join(mad, keys)
+        return out.withColumn("robust", F.when(F.col("robust") > 0, F.col("robust")).otherwise(F.col("sd"))) if fall_back else out
+
+    within = lambda bounds: base.join(bounds, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi"))).select(*keys, "__v")
+    bounds, current = None, base
+    for _ in range(rounds):
+        found = level(current).withColumn("reach", k * F.col("robust"))
+        lo, hi = F.col("med") - F.col("reach"), F.col("med") + F.col("reach")
+        old = found if bounds is None else found.join(bounds.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi"}), keys)
+        old_lo, old_hi = (F.lit(float("-inf")), F.lit(float("inf"))) if bounds is None else (F.col("old_lo"), F.col("old_hi"))
+        if not fresh:
+            lo, hi = F.greatest(lo, old_lo), F.least(hi, old_hi)
+        bounds = old.select(*keys, F.when(F.col("robust") > 0, lo).otherwise(old_lo).alias("lo"), F.when(F.col("robust") > 0, hi).otherwise(old_hi).alias("hi"))
+        current = within(bounds)
+    return level(current)
+
+
 def sigma_clip(values: DataFrame, value: str, keys: list[str], k: float = 3.0, rounds: int = 3) -> DataFrame:
     """(keys, med, mean, sd, n): after a fixed number of rounds that keep values within k robust sigmas of the median."""
-    kept = values.filter(finite(value)).select(*keys, value)
-    for _ in range(rounds):
-        level = robust_sigma(kept, value, keys)
-        kept = kept.join(level, keys).filter((F.col("sigma") <= 0) | (F.abs(F.col(value) - F.col("med")) <= k * F.col("sigma"))).select(*keys, value)
-    return kept.groupBy(*keys).agg(F.median(value).alias("med"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count("*").alias("n"))
+    return clipped(values, value, keys, k, rounds).drop("robust")
 
 
 def block_background(pixels: DataFrame, box: int, keys: list[str], value: str = "image", least: int | None = None) -> DataFrame:
-    """(keys, bx, by, med, sigma): robust level of each box, or its plane's where the box has too few pixels."""
+    """(keys, bx, by, med, sigma, reliable): clipped level of each box, or its plane's where the box says too little.
+
+    Two rounds of three sigmas. A box is reliable with at least ``least`` values left (default: 64, and a
+    sixteenth of its pixels) and a positive sigma. A plane without one has 1.
+    """
+    box = max(box, 8)
     least = max(64, box * box // 16) if least is None else least
     boxed = pixels.withColumns({"bx": F.floor(F.col("x") / box), "by": F.floor(F.col("y") / box)})
-    own = robust_sigma(boxed, value, [*keys, "bx", "by"]).join(boxed.filter(finite(value)).groupBy(*keys, "bx", "by").agg(F.count("*").alias("n")), [*keys, "bx", "by"])
-    whole = robust_sigma(pixels, value, keys).withColumnsRenamed({"med": "g_med", "sigma": "g_sigma"})
-    ok = F.col("n") >= least
-    return own.join(whole, keys).select(*keys, "bx", "by", F.when(ok, F.col("med")).otherwise(F.col("g_med")).alias("med"), F.when(ok, F.col("sigma")).otherwise(F.col("g_sigma")).alias("sigma"))
+    sigma = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.col("robust"))
+    own = clipped(boxed, value, [*keys, "bx", "by"], fall_back=True).withColumn("sigma", sigma)
+    whole = clipped(pixels, value, keys, fall_back=True).select(*keys, F.col("med").alias("g_med"), F.when(sigma > 0, sigma).otherwise(1.0).alias("g_sigma"))
+    ok = F.coalesce((F.col("n") >= least) & (F.col("sigma") > 0), F.lit(False))
+    found = boxed.select(*keys, "bx", "by").distinct().join(own, [*keys, "bx", "by"], "left").join(whole, keys, "left")
+    return found.select(*keys, "bx", "by", F.when(ok, F.col("med")).otherwise(F.coalesce("g_med", F.lit(0.0))).alias("med"), F.when(ok, F.col("sigma")).otherwise(F.coalesce("g_sigma", F.lit(1.0))).alias("sigma"), ok.alias("reliable"))
 
 
 def blank_aperture_noise(pixels: DataFrame, radius: float, keys: list[str], least: int = 16) -> DataFrame:
-    """(keys, med, sd, n, trusted): clipped scatter of aperture sums at all places whose pixels are all finite and free."""
+    """(keys, med, sd, robust, n, trusted): clipped scatter of the aperture sums at all places whose pixels are all finite and free.
+
+    Two rounds of three sigmas. ``n`` counts the apertures before clipping: trusted are at least ``least``
+    of them with a positive scatter.
+    """
     offsets = disk_offsets(radius)
     free = pixels.filter(finite("image") & ~F.col("excluded"))
     spread = free.withColumn("__o", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])))
     sums = spread.groupBy(*keys, (F.col("x") - F.col("__o.dx")).alias("cx"), (F.col("y") - F.col("__o.dy")).alias("cy")).agg(F.sum("image").alias("total"), F.count("*").alias("n")).filter(F.col("n") == len(offsets))
-    return sigma_clip(sums, "total", keys).select(*keys, "med", "sd", "n", (F.col("n") >= least).alias("trusted"))
+    counts = sums.groupBy(*keys).agg(F.count("*").alias("apertures"))
+    found = clipped(sums.select(*keys, "total"), "total", keys, fresh=True).drop("n").join(counts, keys)
+    return found.select(*keys, "med", "sd", "robust", F.col("apertures").alias("n"), ((F.col("apertures") >= least) & (F.col("sd") > 0)).alias("trusted"))
 
 
 def dense_label_priority(claims: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,17 +217,51 @@ def pixel_mask_runs(pixels: DataFrame, keys: list[str], width: int, height: int)
     return spans.select(*keys, F.concat(counts, tail).alias("counts"), area.alias("area"))
 
 
+#: Fixed value: mean radius of the central pixel, in pixels.
+CENTRAL_PIXEL = 0.38259771140356325
+
+
 def kron_moment(spans: DataFrame, pixels: DataFrame, sources: DataFrame, keys: list[str], sigma: float = 6.0) -> DataFrame:
-    """(id, radius, total, n): first radial moment over the span pixels inside ``sigma`` times the ellipse.
+    """(id, radius, candidate, moment, total, positive, negative, n, central): first radial moment inside ``sigma`` times the ellipse.
 
-    ``spans``: keys, id, y, x0, x1 (inclusive); ``sources``: id, cx, cy, a, b, theta. The radius is
-    sum(r I) / sum(I) where both are positive, with r in units of the ellipse times sqrt(a b).
+    ``spans``: keys, id, y, x0, x1 (inclusive); ``sources``: id, cx, cy, a, b, theta. Pixels that are not
+    finite, or not there, count as 0. A pixel's radius runs along the major axis, and in the central pixel
+    it has a least value. The candidate is the first moment (sum r I over sum I, where both are positive)
+    times sqrt(b / a); one that is no larger than the ellipse's own radius sqrt(a b) gives ``sigma`` times that.
     """
-    cells = spans.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(*keys, "id", "x", "y").join(pixels, [*keys, "x", "y"]).join(sources, "id")
+    cells = spans.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(*keys, "id", "x", "y").join(pixels.select(*keys, "x", "y", "image"), [*keys, "x", "y"], "left").join(sources, "id")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    u, v = F.cos("theta") * dx + F.sin("theta") * dy, -F.sin("theta") * dx + F.cos("theta") * dy
-    r = F.sqrt(u * u / (F.col("a") * F.col("a")) + v * v / (F.col("b") * F.col("b")))
-    inside = cells.withColumns({"r": r}).filter((F.col("r") <= sigma) & finite("image"))
-    sums = inside.groupBy("id").agg(F.sum("image").alias("total"), F.sum(F.col("r") * F.col("image")).alias("moment"), F.count("*").alias("n"), F.first(F.sqrt(F.col("a") * F.col("b"))).alias("size"))
-    good = (F.col("total") > 0) & (F.col("moment") > 0)
-    return sums.select("id", F.when(good, F.col("moment") / F.col("total") * F.col("size")).otherwise(NAN).alias("radius"), "total", "n")
+    cells = cells.withColumns({"u": F.cos("theta") * dx + F.sin("theta") * dy, "v": -F.sin("theta") * dx + F.cos("theta") * dy, "far": F.sqrt(dx * dx + dy * dy)})
+    value = F.when(finite("image"), F.col("image")).otherwise(0.0)
+    along = F.sqrt(F.col("u") * F.col("u") + F.pow(F.col("v") * (F.col("a") / F.col("b")), 2.0))
+    central = F.col("far") < 0.5
+    least = CENTRAL_PIXEL * (1.0 + F.col("far") / math.sqrt(2.0))
+    r = F.when(central, F.sqrt(along * along + least * least)).otherwise(along)
+    inside = F.pow(F.col("u") / (sigma * F.col("a")), 2.0) + F.pow(F.col("v") / (sigma * F.col("b")), 2.0) <= 1.0
+    cells = cells.filter((F.col("a") > 0) & (F.col("b") > 0)).select("id", "a", "b", value.alias("i"), r.alias("r"), inside.alias("inside"), central.alias("central"))
+    on = lambda c: F.coalesce(F.sum(F.when(F.col("inside"), c)), F.lit(0.0))
+    sums = cells.groupBy("id").agg(F.first("a").alias("a"), F.first("b").alias("b"), on(F.col("i")).alias("total"), on(F.col("r") * F.col("i")).alias("weighted"), on(F.greatest("i", F.lit(0.0))).alias("positive"), on(F.least("i", F.lit(0.0))).alias("negative"), F.count_if("inside").alias("n"), F.count_if("central").alias("central"))
+    good = (F.col("total") > 0) & (F.col("weighted") > 0)
+    moment = F.when(good, F.col("weighted") / F.col("total")).otherwise(NAN)
+    own = F.sqrt(F.col("a") * F.col("b"))
+    found = sums.withColumn("moment", moment).withColumn("candidate", F.when(good, F.col("moment") * F.sqrt(F.col("b") / F.col("a"))).otherwise(NAN))
+    radius = F.when(good & (F.col("candidate") <= own), sigma * own).otherwise(F.col("candidate"))
+    return found.select("id", radius.alias("radius"), "candidate", "moment", "total", "positive", "negative", "n", "central")
+
+
+def points_in_mask(points: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, x, y) whose pixel is on in ``mask`` (keys, x, y): the pixel that holds them."""
+    on = mask.select(*keys, F.col("x").alias("__mx"), F.col("y").alias("__my"))
+    return points.withColumns({"__mx": F.floor("x"), "__my": F.floor("y")}).join(on, [*keys, "__mx", "__my"], "left_semi").drop("__mx", "__my")
+
+
+def mask_at_center(points: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` with the mask of their nearest pixel, halves to even; NULL off the frame."""
+    values = planes.select(*keys, F.col("x").alias("__mx"), F.col("y").alias("__my"), "mask")
+    return points.withColumns({"__mx": pixel_half_even(F.col("x")), "__my": pixel_half_even(F.col("y"))}).join(values, [*keys, "__mx", "__my"], "left").drop("__mx", "__my")
+
+
+def center_validity(points: DataFrame, planes: DataFrame, ok: Column, keys: list[str]) -> DataFrame:
+    """``points`` with valid: whether their nearest pixel, halves up, is on the frame and ``ok``."""
+    values = planes.select(*keys, F.col("x").alias("__mx"), F.col("y").alias("__my"), ok.alias("valid"))
+    return points.withColumns({"__mx": pixel_half_up(F.col("x")), "__my": pixel_half_up(F.col("y"))}).join(values, [*keys, "__mx", "__my"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).drop("__mx", "__my")

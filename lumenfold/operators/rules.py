@@ -45,6 +45,25 @@ class ClassPolicy:
     containment: float = 0.8
     #: What becomes of sources that fail the area rules: the older flow ignores them, the newer one drops them.
     drop_a_failures: bool = False
+    #: Overlap from which clean sources lose their shape (None: all stay clean), how far neighbours are, and which of a pair.
+    overlap_iou: float | None = None
+    neighbor_radius: float = 50.0
+    overlap_marks: str = "both"
+
+
+@dataclass(frozen=True)
+class RescuePolicy:
+    """Limits of sources whose aperture and Kron magnitudes are measured again."""
+
+    threshold: float = 1.0
+    clean_max: float = 1.0
+    center_max: float = 1.5
+    area_max: float = 10000.0
+    faint_mag: float = 28.0
+    faint_area: float = 900.0
+    axis_ratio_max: float = 5.0
+    least_fill: float = 0.2
+    containment: float = 0.8
 
 
 def above(c: Column, limit: float | Column) -> Column:
@@ -226,3 +245,8 @@ def contract_check(df: DataFrame, schema: dict[str, str], keys: list[str]) -> Da
     rows = df.agg(F.lit("rows").alias("name"), (F.count("*") > 0).alias("ok"))
     unique = df.groupBy(*keys).count().agg(F.lit("unique").alias("name"), (F.coalesce(F.max("count"), F.lit(0)) <= 1).alias("ok"))
     return columns.unionByName(rows).unionByName(unique)
+
+
+def confidence_points(df: DataFrame, snr: Column, narrow: Column, p: SnrPolicy = SnrPolicy()) -> DataFrame:
+    """Sources whose signal-to-noise class is not ignore."""
+    return df.filter(snr_class(snr, narrow, p=p) != "ignore")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.expr import finite
+from lumenfold.functions.expr import band_pattern, finite, pattern_hole
+from lumenfold.session import stash
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -143,17 +144,19 @@ def candidate_weights(samples: DataFrame, narrow: list[str], floor: float = 0.2,
 
 
 def weighted_sample(candidates: DataFrame, n: int, seed: int, id_cols: list[str]) -> DataFrame:
-    """``n`` rows drawn without replacement in proportion to weight: the least -ln(u) / weight, u from a hash."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *id_cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """``n`` rows drawn without replacement in proportion to weight: the least -ln(u) / weight, u from MD5 of seed and ids."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return candidates.filter(F.col("weight") > 0).withColumn("__k", -F.ln(u) / F.col("weight")).orderBy("__k", *id_cols).limit(n).drop("__k")
 
 
 def train_val_split(samples: DataFrame, share: float, key: list[str], seed: int) -> DataFrame:
-    """``samples`` with part: whole keys are held out by hash rank; at least one, the number rounded half to even."""
+    """``samples`` with part: whole keys are held out by the rank of their MD5; at least one, the number rounded half to even."""
     keys = samples.select(*key).distinct()
     # A number of the keys, and no key, comes to the driver.
     n = max(1, round(keys.count() * share))
-    held = keys.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n).withColumn("__v", F.lit(True))
+    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    held = keys.orderBy(rank, *key).limit(n).withColumn("__v", F.lit(True))
     return samples.join(held, key, "left").withColumn("part", F.when(F.col("__v"), "validation").otherwise("train")).drop("__v")
 
 
@@ -200,3 +203,94 @@ def band_pair_similarity(shapes: DataFrame, key: str, measures: dict[str, Column
     side = lambda p: shapes.select(key, *[F.col(c).alias(f"{p}_{c}") for c in shapes.columns if c != key])
     both = side("a").join(side("b"), key).filter("a_band < b_band").withColumns(measures)
     return both.groupBy("a_band", "b_band").agg(F.count("*").alias("n"), *[f for m in measures for f in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), F.percentile(m, 0.1).alias(f"{m}_p10"), F.percentile(m, 0.9).alias(f"{m}_p90"))])
+
+
+def count_by_class(df: DataFrame, by: list[str], cls: str) -> DataFrame:
+    """(by, class, n): rows of each class of a group."""
+    return df.groupBy(*by, cls).agg(F.count("*").alias("n"))
+
+
+def class_transition(df: DataFrame, before: Column, after: Column) -> DataFrame:
+    """(before, after, n): rows that went from one class to another."""
+    return df.select(before.alias("before"), after.alias("after")).groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
+def per_tile_summary(df: DataFrame, tile: str, kept: Column, area: str, band: str) -> DataFrame:
+    """(tile, detections, kept, median_area, bands) of each tile."""
+    return df.groupBy(tile).agg(F.count("*").alias("detections"), F.count_if(kept).alias("kept"), F.median(area).alias("median_area"), F.countDistinct(band).alias("bands"))
+
+
+def band_pattern_counts(df: DataFrame, objects: list[str | Column], bands: list[str], band: str = "band") -> DataFrame:
+    """(pattern, n, hole): objects by the bands that they are seen in, and whether a pattern has a gap."""
+    seen = df.groupBy(*objects).agg(F.collect_set(band).alias("__bands"))
+    return seen.groupBy(band_pattern(F.col("__bands"), bands).alias("pattern")).agg(F.count("*").alias("n")).withColumn("hole", pattern_hole(F.col("pattern")))
+
+
+def top_patterns(counts: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` frequent patterns; ties by pattern."""
+    return counts.orderBy(F.desc("n"), "pattern").limit(most)
+
+
+def depth_summary(df: DataFrame, snr: str, by: str, clean: float = 7.0) -> DataFrame:
+    """(by, median, p10, p90, clean) of finite ratios, and how many pass ``clean``."""
+    v = df.withColumn("__v", F.when(finite(snr), F.col(snr)))
+    return v.groupBy(by).agg(*[F.percentile("__v", q).alias(n) for n, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))], F.count_if(F.col("__v") > clean).alias("clean"))
+
+
+def fill_layers(df: DataFrame, fill: str, area: str, edges: tuple[float, float] = (0.3, 0.5), large: float = 500.0) -> DataFrame:
+    """(layer, large, n, median) of low, middle and high fill ratios, apart by area."""
+    layer = F.when(F.col(fill) < edges[0], "low").when(F.col(fill) < edges[1], "middle").otherwise("high")
+    return df.groupBy(layer.alias("layer"), (F.col(area) > large).alias("large")).agg(F.count("*").alias("n"), F.median(fill).alias("median"))
+
+
+def source_density(df: DataFrame, by: str, size: float, least: int) -> DataFrame:
+    """(by, tiles, mean, median, most, mean_passing): sources per square tile, and the mean of tiles with ``least`` at least."""
+    t = df.groupBy(by, F.floor(F.col("x") / size), F.floor(F.col("y") / size)).agg(F.count("*").alias("__n"))
+    return t.groupBy(by).agg(F.count("*").alias("tiles"), F.avg("__n").alias("mean"), F.median("__n").alias("median"), F.max("__n").alias("most"), F.avg(F.when(F.col("__n") >= least, F.col("__n"))).alias("mean_passing"))
+
+
+def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """One row: the rows, and those that pass each step and all before it."""
+    cols, passed = [F.count("*").alias("rows")], F.lit(True)
+    for name, step in steps.items():
+        passed = passed & step
+        cols.append(F.count_if(passed).alias(name))
+    return df.agg(*cols)
+
+
+def selector_summary(samples: DataFrame) -> DataFrame:
+    """(source, samples, tiles, patches, groups) of the selected samples."""
+    return samples.groupBy("source").agg(F.count("*").alias("samples"), F.sum("num_samples").alias("tiles"), F.countDistinct("patch").alias("patches"), F.countDistinct("grp").alias("groups"))
+
+
+def concat_classes(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, by column name; what a part lacks is NULL."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def id_set_algebra(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(kind, n): ids in both tables, in the first alone and in the second alone."""
+    sides = a.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(key, F.lit(0).alias("__a"), F.lit(1).alias("__b"))).groupBy(key).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    kind = F.when((F.col("__a") == 1) & (F.col("__b") == 1), "both").when(F.col("__a") == 1, "only_a").otherwise("only_b")
+    return sides.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def natural_sort(df: DataFrame, text: str, tie: str, partitions: int = 64) -> DataFrame:
+    """``df`` with place (long, from 1): by the numbers in ``text`` (parts after commas), then by ``tie``.
+
+    Rows are dealt by ranges of the order, numbered in each range, and moved on by the rows of the ranges before.
+    """
+    key = F.transform(F.split(text, ","), lambda x: x.try_cast("int"))
+    dealt = stash(df.withColumn("__key", key).repartitionByRange(partitions, "__key", tie).withColumn("__part", F.spark_partition_id()), "ranges")
+    # One row a range.
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("__key", tie))
+    return dealt.join(F.broadcast(counts), "__part").withColumn("place", (F.col("__before") + at).cast("long")).drop("__part", "__key", "__before")
+
+
+def tile_of(df: DataFrame, grid: DataFrame, x: str = "x", y: str = "y", size: int = 512) -> DataFrame:
+    """``df`` with each tile (name, row, col) of ``grid`` that holds its row; tiles overlap. A grid is a few hundred rows."""
+    return df.join(F.broadcast(grid), (F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x0") + size) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y0") + size))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import joins as J
@@ -31,11 +31,26 @@ def track_length(rows: DataFrame, track: str, frame: str) -> DataFrame:
     return rows.join(n, track)
 
 
-def two_radius_mode(pairs: DataFrame, inner: float) -> DataFrame:
-    """Per star (a): source_center if a member is within ``inner``, else cluster_centroid; and the distance that decides."""
-    near = F.min(F.when(F.col("d") <= inner, F.col("d")))
-    out = pairs.groupBy("band", "a").agg(near.alias("near"), F.min("d").alias("far"))
-    return out.select("band", "a", F.when(F.col("near").isNotNull(), "source_center").otherwise("cluster_centroid").alias("mode"), F.coalesce("near", "far").alias("d"))
+def stars_near_clusters(members: DataFrame, stars: DataFrame, inner: float, outer: float, by: list[str]) -> DataFrame:
+    """(by, star_id, cluster, mode, d): stars within ``inner`` of a member, else within ``outer`` of a cluster's centroid.
+
+    ``members``: by, cluster, x, y; ``stars``: by, star_id, x, y. ``d`` is the distance that decides: to the
+    nearest member (source_center), or to the mean of the members (cluster_centroid).
+    """
+    near = J.pairs_within(stars, members, inner, by, "star_id", "cluster").select(*by, "a", "b", F.struct(F.lit(0).alias("k"), "d").alias("m"))
+    centroids = members.groupBy(*by, "cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    far = J.pairs_within(stars, centroids, outer, by, "star_id", "cluster").select(*by, "a", "b", F.struct(F.lit(1).alias("k"), "d").alias("m"))
+    best = near.unionByName(far).groupBy(*by, F.col("a").alias("star_id"), F.col("b").alias("cluster")).agg(F.min("m").alias("m"))
+    return best.select(*by, "star_id", "cluster", F.when(F.col("m.k") == 0, "source_center").otherwise("cluster_centroid").alias("mode"), F.col("m.d").alias("d"))
+
+
+def assign_stars(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Of a star's candidate clusters the nearest, ties by the lesser cluster; a cluster may have several stars.
+
+    Stars compete for no cluster, so that their magnitudes order the stars of a cluster alone.
+    """
+    best = candidates.groupBy(*by, "star_id").agg(F.min(F.struct("d", "cluster", "mode")).alias("m"))
+    return best.select(*by, "star_id", "m.cluster", "m.mode", "m.d")
 
 
 def selector_expand(samples: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -82,18 +97,37 @@ def strict_point_metrics(points: DataFrame, base: DataFrame, strict: DataFrame,
     return out
 
 
-def visit_difference(a: DataFrame, b: DataFrame, radius: float, by: list[str], id_col: str) -> DataFrame:
-    """(by, a, b, kind): detections common to two visits, and those in one alone."""
+def visit_difference(a: DataFrame, b: DataFrame, radius: float, by: list[str], id_col: str, planes: tuple[DataFrame, DataFrame] | None = None, apertures: tuple[float, float, float] = (5.0, 7.0, 12.0), least: int = 16, least_annulus: int = 1) -> DataFrame:
+    """(by, a, b, kind): detections common to two visits, and those in one alone.
+
+    With the pixel ``planes`` of both visits (by, x, y, image, excluded) also snr_a, trusted_a, snr_b and
+    trusted_b of the detections in one visit alone, measured at their place in either visit.
+    """
     m = J.mutual_nearest_match(a, b, radius, by, id_col, id_col).select(*by, "a", "b")
-    only = lambda df, side: df.select(*by, F.col(id_col).alias(side)).join(m.select(*by, side), [*by, side], "left_anti")
+    only = lambda df, side: df.select(*by, F.col(id_col).alias(side), "x", "y").join(m.select(*by, side), [*by, side], "left_anti")
     none = F.lit(None).cast("long")
-    parts = [m.withColumn("kind", F.lit("common")), only(a, "a").withColumns({"b": none, "kind": F.lit("only_a")}), only(b, "b").withColumns({"a": none, "kind": F.lit("only_b")})]
+    left, right = only(a, "a").withColumns({"b": none, "kind": F.lit("only_a")}), only(b, "b").withColumns({"a": none, "kind": F.lit("only_b")})
     cols = [*by, "a", "b", "kind"]
-    return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
-
-
-def sunflower(spark: SparkSession, n: int) -> DataFrame:
-    """(k, u, v): n points spread over the unit disk by the golden angle."""
-    k = F.col("id").cast("double")
-    r, phi = F.sqrt((k + 0.5) / n), k * (math.pi * (3.0 - math.sqrt(5.0)))
-    return spark.range(n).select(F.col("id").alias("k"), (r * F.cos(phi)).alias("u"), (r * F.sin(phi)).alias("v"))
+    alone = left.select(*cols, "x", "y").unionByName(right.select(*cols, "x", "y"))
+    if planes is None:
+        return m.withColumn("kind", F.lit("common")).select(*cols).unionByName(alone.select(*cols))
+    from lumenfold.operators.objects import ap2_snr_measure
+
+    key = F.struct(F.col("kind").alias("kind"), F.coalesce("a", "b").alias("id"))
+    centers = alone.select(*by, key.alias("id"), F.floor(F.col("x") + 0.5).cast("int").alias("px"), F.floor(F.col("y") + 0.5).cast("int").alias("py"))
+    out = alone.withColumn("id", key)
+    for side, plane in zip("ab", planes, strict=True):
+        found = ap2_snr_measure(centers, plane, *apertures, by, least, least_annulus)
+        out = out.join(found.select(*by, "id", F.col("snr").alias(f"snr_{side}"), F.col("trusted").alias(f"trusted_{side}")), [*by, "id"], "left")
+    measured = ["snr_a", "trusted_a", "snr_b", "trusted_b"]
+    return m.withColumn("kind", F.lit("common")).select(*cols).unionByName(out.select(*cols, *measured), allowMissingColumns=True)
+
+
+def disk_samples(ellipses: DataFrame, n: int) -> DataFrame:
+    """``ellipses`` (x, y, a, b, theta) with k, px, py: n points spread over each by the golden angle."""
+    turn = math.pi * (3.0 - math.sqrt(5.0))
+    k = F.col("k").cast("double")
+    r, phi = F.sqrt((k + 0.5) / n), k * turn
+    u, v = r * F.cos(phi) * F.col("a"), r * F.sin(phi) * F.col("b")
+    spread = ellipses.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return spread.withColumns({"px": F.col("x") + F.cos("theta") * u - F.sin("theta") * v, "py": F.col("y") + F.sin("theta") * u + F.cos("theta") * v})

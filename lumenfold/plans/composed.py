@@ -11,8 +11,10 @@ from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
+from lumenfold.operators import windows as W
 from lumenfold.plans.registry import query
-from lumenfold.plans.rules import r, rich
+from lumenfold.plans.rules import rich
+from lumenfold.plans.summaries import kron_sql
 from lumenfold.plans.tables import detections, out, pixels, samples, sfin, sources, sout, weights, with_tables
 from lumenfold.session import stash
 
@@ -52,9 +54,8 @@ def label_ordinary_a2744(spark, sf):
 
 @query("bright_clusters")
 def bright_clusters(spark, sf):
-    s = full(spark, sf).filter("kron_flux > 20")
     stars = detections(spark, sf).filter("det_id % 7 = 0").withColumnRenamed("det_id", "star_id")
-    return jobs.bright_clusters(s, stars, stash(J.ellipse_overlap_join(s, 6.0, ["band"]), "overlaps"), 3.0, ["band"])
+    return jobs.bright_clusters(full(spark, sf), stars, ["band"])
 
 
 @query("photometry_eval")
@@ -84,12 +85,10 @@ def variant_visibility(spark, sf):
     return s.select("source_id", R.snr_class(C("s"), F.lit(False)).alias("class"), out("s").alias("snr"))
 
 
-@query("remeasure_rescue", r(f"SELECT source_id, CASE WHEN NOT {sfin('diff')} OR area > 1200 OR ratio > 6 THEN 'ignore' WHEN abs(diff) < 0.3 AND fill >= 0.3 THEN 'clean' WHEN abs(diff) <= 0.6 THEN 'center_only' ELSE 'ignore' END AS class FROM rich"))
+@query("remeasure_rescue")
 def remeasure_rescue(spark, sf):
-    d = F.abs(C("diff"))
-    guard = ~E.finite("diff") | (C("area") > 1200) | (C("ratio") > 6)
-    cls = F.when(guard, "ignore").when((d < 0.3) & (C("fill") >= 0.3), "clean").when(d <= 0.6, "center_only").otherwise("ignore")
-    return rich(spark, sf).select("source_id", cls.alias("class"))
+    s = rich(spark, sf).withColumns({"old_diff": C("diff"), "new_diff": C("diff") * 0.7, "ignored": C("source_id") % 3 > 0, "clean": C("source_id") % 3 == 0, "skip": C("source_id") % 41 == 0})
+    return jobs.remeasure_rescue(s, ["band"])
 
 
 def _runs(spark, sf):
@@ -97,19 +96,28 @@ def _runs(spark, sf):
 
 
 def _points(spark, sf, bit):
-    return pixels(spark, sf).filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "x AS px", "y AS py", "x * 64 + y AS id")
+    return pixels(spark, sf).filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "x AS px", "y AS py", "cell AS id")
 
 
-@query("footprint_span_join", with_tables("pixels", "SELECT c.band, c.x * 64 + c.y AS id, p.x, p.y, round(p.image) AS image FROM pixels c JOIN pixels p ON p.band = c.band AND p.y = c.y AND p.x BETWEEN c.x - 2 AND c.x + 1 WHERE (c.mask & 4) <> 0"))
+@query("footprint_span_join", with_tables("pixels", "SELECT c.band, c.cell AS id, p.x, p.y, round(p.image) AS image FROM pixels c JOIN pixels p ON p.band = c.band AND p.y = c.y AND p.x BETWEEN c.x - 2 AND c.x + 1 WHERE (c.mask & 4) <> 0"))
 def footprint_span_join(spark, sf):
-    spans = pixels(spark, sf).filter(E.mask_bit(C("mask"), 2)).selectExpr("band", "x * 64 + y AS id", "y", "x - 2 AS x0", "x + 1 AS x1")
+    spans = pixels(spark, sf).filter(E.mask_bit(C("mask"), 2)).selectExpr("band", "cell AS id", "y", "x - 2 AS x0", "x + 1 AS x1")
     return O.footprint_span_join(spans, pixels(spark, sf), ["band"]).withColumn("image", F.round("image"))
 
 
-@query("disk_offsets", with_tables("pixels", "SELECT c.id, count(*) AS n FROM (SELECT x * 64 + y AS id, x, y FROM pixels WHERE band = 'A' AND (mask & 1) <> 0) c JOIN pixels p ON p.band = 'A' AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 12.25 GROUP BY c.id"))
+@query("disk_offsets", with_tables("pixels", "SELECT c.cell AS id, count(*) AS n FROM pixels c JOIN pixels p ON p.band = c.band AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 12.25 WHERE (c.mask & 1) <> 0 GROUP BY c.cell"))
 def disk_offsets(spark, sf):
-    a = pixels(spark, sf).filter("band = 'A'").select("band", "x", "y")
-    return P.at_offsets(_points(spark, sf, 0).filter("band = 'A'"), a, P.disk_offsets(3.5), ["band"]).groupBy("id").agg(F.count("*").alias("n"))
+    return P.at_offsets(_points(spark, sf, 0), pixels(spark, sf).select("band", "x", "y"), P.disk_offsets(3.5), ["band"]).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("visit_difference")
+def visit_difference(spark, sf):
+    """Two visits of the pixel planes: detections are the cells of two mask bits, measured on either."""
+    p = pixels(spark, sf)
+    seen = lambda bit: p.filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "cell AS id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y")
+    plane = lambda value: p.select("band", "x", "y", value.alias("image"), (E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 1)).alias("excluded"))
+    found = W.visit_difference(seen(1), seen(2), 1.0, ["band"], "id", (plane(C("image")), plane(C("image") + C("n") * 100.0)), (1.0, 2.0, 4.0))
+    return found.select("band", "a", "b", "kind", out("snr_a", 4).alias("snr_a"), "trusted_a", out("snr_b", 4).alias("snr_b"), "trusted_b")
 
 
 @query("ap2_snr_measure")
@@ -129,30 +137,34 @@ def link_metrics(spark, sf):
 
 @query("seeded_component_centers")
 def seeded_component_centers(spark, sf):
-    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 0), _points(spark, sf, 0).filter("id % 9 = 0"), ["band"], 64, 64, 3)
+    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 0), _points(spark, sf, 0), ["band"], 64, 64, 3)
     return found.select("band", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
 
 
 @query("nested_component_centers")
 def nested_component_centers(spark, sf):
-    parents = _points(spark, sf, 2).filter("id % 5 = 0").selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
-    centers = _points(spark, sf, 1).filter("id % 11 = 0").selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
+    parents = _points(spark, sf, 2).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
+    centers = _points(spark, sf, 1).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
     found = O.nested_component_centers(_runs(spark, sf), parents, centers, 2.0, ["band"])
     return found.select("band", "parent", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query("component_bright_labels")
 def component_bright_labels(spark, sf):
-    found = O.component_bright_labels(_points(spark, sf, 2), _runs(spark, sf), _points(spark, sf, 1).filter("id % 6 = 0"), ["band"], 3.0, 60.0, C("pixels") < 5)
-    return found.groupBy("label").agg(F.count("*").alias("n"))
+    cells = lambda bit: _points(spark, sf, bit).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
+    s = cells(2).selectExpr("band", "id AS source_id", "x", "y", "CAST(id % 4 + 1 AS DOUBLE) / 4D AS a", "CAST(id % 3 + 1 AS DOUBLE) / 4D AS b", "0D AS theta", "CAST(id % 90 AS DOUBLE) AS area", "CAST(id % 10 AS DOUBLE) / 9D AS blendedness", "id % 5 = 0 AS star")
+    stars = cells(1).selectExpr("band", "id AS star_id", "x", "y", "CAST(id % 30 AS DOUBLE) AS mag", "id % 3 = 0 AS reliable")
+    policy = O.BrightPolicy(drop_area=85.0, isolated_area=40.0, empty_area=2.0, source_match=0.5, centroid_match=1.0)
+    return O.component_bright_labels(s, _runs(spark, sf), stars, ["band"], 64, 64, policy).groupBy("label", "reason").agg(F.count("*").alias("n"))
 
 
-@query("kron_refit", with_tables("pixels refit", """SELECT m.id, round(moment / total * 2.0::DOUBLE, 6) AS radius, round(moment / total * 2.0::DOUBLE / r.radius, 6) AS ratio FROM (SELECT id, sum(image) AS total, sum(d * image) AS moment FROM (SELECT c.x * 64 + c.y AS id, p.image, sqrt((p.x - c.x) * (p.x - c.x) / 4.0::DOUBLE + (p.y - c.y) * (p.y - c.y) / 4.0::DOUBLE) AS d FROM pixels c JOIN pixels p ON p.band = 'N' AND p.y = c.y AND p.x BETWEEN c.x - 4 AND c.x + 4 WHERE c.band = 'N' AND (c.mask & 2) <> 0) WHERE d <= 6 GROUP BY id) m JOIN refit r ON r.source_id = m.id AND r.good AND r.radius > 0"""))
+@query("kron_refit", with_tables("pixels refit", f"SELECT k.id, round(k.radius, 6) AS radius, round(k.radius / r.radius, 6) AS ratio FROM kron k JOIN refit r ON r.source_id = k.id WHERE r.good AND r.radius > 0 AND k.radius IS NOT NULL", "centers AS (SELECT cell AS id, band, x AS px, y AS py FROM pixels WHERE (mask & 2) <> 0)", kron_sql("centers", (4, 2), 1.5, 1.0, 6.0)))
 def kron_refit(spark, sf):
     from lumenfold.plans.tables import refit
 
-    c = _points(spark, sf, 1).filter("band = 'N'")
-    spans = c.selectExpr("band", "id", "py AS y", "px - 4 AS x0", "px + 4 AS x1")
-    shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "2D AS a", "2D AS b", "0D AS theta")
-    m = P.kron_moment(spans, pixels(spark, sf), shape, ["band"]).join(refit(spark, sf).filter("good AND radius > 0").select(C("source_id").alias("id"), C("radius").alias("official")), "id")
+    chosen = refit(spark, sf).filter("good AND radius > 0").select(C("source_id").alias("id"), C("radius").alias("official"))
+    c = _points(spark, sf, 1)
+    spans = c.withColumn("y", F.explode(F.sequence(C("py") - 2, C("py") + 2))).selectExpr("band", "id", "y", "px - 4 AS x0", "px + 4 AS x1")
+    shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "1.5D AS a", "1D AS b", "0D AS theta")
+    m = P.kron_moment(spans, pixels(spark, sf), shape, ["band"]).join(chosen, "id").filter(E.finite("radius"))
     return m.select("id", out("radius").alias("radius"), out(C("radius") / C("official")).alias("ratio"))

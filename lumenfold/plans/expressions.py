@@ -201,9 +201,9 @@ _BANDS = ["click", "error", "purchase", "signup", "view"]
 _PATTERN = " || ".join(f"CASE WHEN bool_or(band = '{b}') THEN '1' ELSE '0' END" for b in _BANDS)
 
 
-@query("band_pattern", with_tables(S, f"SELECT user_id, pattern, regexp_matches(pattern, '10+1') AS hole FROM (SELECT user_id, {_PATTERN} AS pattern FROM sources WHERE source_id % 29 = 0 GROUP BY user_id)"))
+@query("band_pattern", with_tables(S, f"SELECT user_id, pattern, regexp_matches(pattern, '10+1') AS hole FROM (SELECT user_id, {_PATTERN} AS pattern FROM sources GROUP BY user_id)"))
 def band_pattern(spark, sf):
-    g = sources(spark, sf).filter("source_id % 29 = 0").groupBy("user_id").agg(F.collect_set("band").alias("bands"))
+    g = sources(spark, sf).groupBy("user_id").agg(F.collect_set("band").alias("bands"))
     g = g.withColumn("pattern", E.band_pattern(C("bands"), _BANDS))
     return g.select("user_id", "pattern", E.pattern_hole(C("pattern")).alias("hole"))
 

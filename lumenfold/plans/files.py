@@ -30,11 +30,51 @@ def csv(df: DataFrame) -> str:
     return path
 
 
-@query("scan_catalog", with_tables("sources", "SELECT band, count(*) AS n FROM sources WHERE band <> 'view' GROUP BY band"))
+@query("scan_catalog", with_tables("sources", "SELECT source_id, patch, band, x, y FROM sources WHERE band <> 'view'"))
 def scan_catalog(spark, sf):
     path = place(spark)
-    K.sink_classed_catalog(sources(spark, sf).select("source_id", "band", "x", "y"), path)
-    return K.scan_catalog(spark, path).filter("band <> 'view'").groupBy("band").agg(F.count("*").alias("n"))
+    K.sink_classed_catalog(sources(spark, sf).select("source_id", "patch", "band", "x", "y"), path)
+    return K.scan_catalog(spark, path).filter("band <> 'view'").select("source_id", C("patch").cast("long").alias("patch"), "band", "x", "y")
+
+
+@query("sink_classed_catalog", with_tables("sources", "SELECT source_class, band, source_id FROM (SELECT *, CASE WHEN area > 900 THEN 'rejected' WHEN f_bad THEN 'ignore' ELSE 'clean' END AS source_class FROM sources) WHERE source_class <> 'ignore'"))
+def sink_classed_catalog(spark, sf):
+    path = place(spark)
+    cls = F.when(C("area") > 900, "rejected").when(C("f_bad"), "ignore").otherwise("clean")
+    K.sink_classed_catalog(sources(spark, sf).select("source_id", "patch", "band", cls.alias("source_class")), path)
+    return K.scan_catalog(spark, path).filter("source_class <> 'ignore'").select("source_class", "band", "source_id")
+
+
+@query("scan_pixel_planes", with_tables("pixels", "SELECT band, x + 100 AS x, y + 50 AS y, round(image, 6) AS image, mask FROM pixels WHERE flag = 'A'"))
+def scan_pixel_planes(spark, sf):
+    from lumenfold.plans.tables import pixels
+
+    path = place(spark)
+    p = pixels(spark, sf).select("patch", "band", "flag", "x", "y", "image", "mask", "variance", F.lit(100).alias("x_origin"), F.lit(50).alias("y_origin"))
+    K.sink_pixel_planes(p, path)
+    return K.scan_pixel_planes(spark, path).filter("flag = 'A'").select("band", "x", "y", F.round("image", 6).alias("image"), "mask")
+
+
+@query("scan_nuclei_rows", "SELECT (user_id % 5)::INT AS frame, event_id::INT AS cell, round(value, 2) AS x, round(value * 2, 2) AS y, 3.5::DOUBLE AS z, (event_id % 40)::DOUBLE / 2 AS radius FROM events WHERE event_id % 6 > 0")
+def scan_nuclei_rows(spark, sf):
+    path = place(spark)
+    e = read(spark, sf, "events").withColumn("frame", C("user_id") % 5)
+    line = F.concat_ws(", ", C("event_id").cast("string"), *[F.lit(str(k)) for k in range(4)], F.round("value", 2).cast("string"), F.round(C("value") * 2, 2).cast("string"), F.lit("3.5"), (C("event_id") % 40).cast("string"), F.lit("n"), F.lit("0"))
+    short = F.when(C("event_id") % 6 == 0, F.substring_index(line, ",", 9)).otherwise(line)
+    e.select(short.alias("value"), F.concat(F.lit("t00"), (C("frame") + 1).cast("string"), F.lit("-nuclei")).alias("file")).write.partitionBy("file").text(path)
+    return K.scan_nuclei_rows(spark, path, r"t(\d+)-nuclei")
+
+
+@query("discover_samples", with_tables("samples", "SELECT source, band, patch, grp::VARCHAR AS grp, num_samples::INT AS num_samples FROM samples WHERE sample_id % 3 > 0 AND sample_id % 5 > 0 AND source IN ('Brand#11', 'Brand#12', 'Brand#13') AND band <> 'SMALL'"))
+def discover_samples(spark, sf):
+    from lumenfold.plans.tables import samples
+
+    path = place(spark)
+    s = samples(spark, sf)
+    bands = F.when(C("sample_id") % 5 == 0, F.array("band", F.lit("other"))).otherwise(F.array("band"))
+    s.select("source", bands.alias("bands"), "patch", C("grp").cast("string").alias("grp"), "num_samples", (C("sample_id") % 3 > 0).alias("finished")).write.json(path)
+    wanted = [r[0] for r in s.filter("band <> 'SMALL'").select("band").distinct().collect()]
+    return K.discover_samples(spark, path, ["Brand#11", "Brand#12", "Brand#13"], wanted, multiline=False).select("source", "band", "patch", "grp", "num_samples")
 
 
 @query("scan_detections_csv", with_tables("sources detections", "SELECT det_id AS id, x, y, score FROM detections WHERE det_id % 13 <> 0"))
@@ -58,38 +98,39 @@ def scan_weights(spark, sf):
     return weight_summary(K.scan_weights(spark, csv(w), "a", True), ["grp"]).select("grp", F.round("total", 4).alias("total"), "n")
 
 
-@query("scan_group_meta_json", with_tables("weights", f"SELECT grp AS group_index, round(sum(weight), 4) AS total, count(*) AS n, min(weight) AS low, max(weight) AS high FROM weights WHERE {sfin('weight')} AND weight > 0 AND collection = 'R' GROUP BY grp"))
+@query("scan_group_meta_json", with_tables("weights", f"SELECT grp AS group_index, round(sum(weight), 4) AS total, count(*) AS n, min(weight) AS low, max(weight) AS high FROM weights WHERE {sfin('weight')} AND weight > 0 GROUP BY grp"))
 def scan_group_meta_json(spark, sf):
     path = place(spark)
-    chunks = weights(spark, sf).filter("collection = 'R' AND weight = weight AND NOT isnan(weight)").groupBy("grp", F.pmod(F.hash("weight"), F.lit(20)).alias("k")).agg(F.collect_list("weight").alias("selected_weights"))
+    chunks = weights(spark, sf).filter("NOT isnan(weight)").groupBy("grp", F.pmod(F.xxhash64("weight", "collection"), F.lit(50)).alias("k")).agg(F.collect_list("weight").alias("selected_weights"))
     chunks.select(C("grp").alias("group_index"), "selected_weights").write.json(path)
-    rows = spark.read.schema("group_index INT, selected_weights ARRAY<DOUBLE>").json(path).select("group_index", F.explode("selected_weights").alias("weight"))
-    from lumenfold.operators.summaries import weight_summary
+    return K.scan_group_meta_json(spark, path, multiline=False).withColumn("total", F.round("total", 4))
 
-    return weight_summary(rows, ["group_index"]).withColumn("total", F.round("total", 4))
 
-
-@query("scan_tracks_tsv", "SELECT event_type AS sequence, event_id::INT AS cell_id, (user_id % 30)::INT AS t, value * 2 AS diameter FROM events WHERE event_type = 'view'")
+@query("scan_tracks_tsv", "SELECT event_type AS sequence, event_id::INT AS cell_id, (user_id % 30)::INT AS t, value * 2 AS diameter FROM events")
 def scan_tracks_tsv(spark, sf):
-    e = read(spark, sf, "events").filter("event_type = 'view'")
-    path = place(spark)
-    e.selectExpr("user_id % 30 AS t", "1 AS z", "2 AS y", "3 AS x", "event_id AS cell_id", "-1 AS parent_id", "user_id AS track_id", "value AS radius", "'n' AS name", "0 AS div_state").write.option("header", True).option("sep", "\t").csv(path)
-    return K.scan_tracks_tsv(spark, path, "view").select("sequence", "cell_id", "t", "diameter")
+    e = read(spark, sf, "events")
+    out = None
+    for kind in ("click", "error", "purchase", "signup", "view"):
+        path = place(spark)
+        e.filter(C("event_type") == kind).selectExpr("user_id % 30 AS t", "1 AS z", "2 AS y", "3 AS x", "event_id AS cell_id", "-1 AS parent_id", "user_id AS track_id", "value AS radius", "'n' AS name", "0 AS div_state").write.option("header", True).option("sep", "\t").csv(path)
+        one = K.scan_tracks_tsv(spark, path, kind).select("sequence", "cell_id", "t", "diameter")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("sink_quality_csv", with_tables("sources", f"SELECT source_id, {sfin('flux')} AS measured FROM sources"))
+@query("sink_quality_csv", with_tables("sources", f"SELECT source_id, CASE WHEN {sfin('flux')} THEN flux END AS flux, area FROM sources"))
 def sink_quality_csv(spark, sf):
     path = place(spark)
-    K.sink_quality_csv(sources(spark, sf).select("source_id", "flux"), path)
-    return spark.read.option("header", True).csv(path).select(K.number("source_id", "long").alias("source_id"), C("flux").isNotNull().alias("measured"))
+    K.sink_quality_csv(sources(spark, sf).select("source_id", "flux", "area"), path)
+    return spark.read.option("header", True).csv(path).select(K.number("source_id", "long").alias("source_id"), K.number("flux").alias("flux"), K.number("area").alias("area"))
 
 
-@query("sink_region_text", with_tables("sources", "SELECT CASE WHEN a * b * 3.141592653589793::DOUBLE <= 100 THEN 'ellipse' ELSE 'point' END AS kind, count(*) AS n FROM sources GROUP BY 1"))
+@query("sink_region_text", with_tables("sources", "SELECT band AS source_class, CASE WHEN a * b * 3.141592653589793::DOUBLE <= 100 THEN printf('image;ellipse(%.3f,%.3f,%.3f,%.3f,', x + 1, y + 1, a, b) ELSE printf('image;point(%.3f,%.3f) # point=x color=yellow', x + 1, y + 1) END AS line FROM sources"))
 def sink_region_text(spark, sf):
-    lines = K.region_lines(sources(spark, sf), large_as_point=100.0)
     path = place(spark)
-    lines.select("value").write.text(path)
-    return spark.read.text(path).groupBy(F.regexp_extract("value", r"^image;(\w+)\(", 1).alias("kind")).agg(F.count("*").alias("n"))
+    K.sink_region_text(sources(spark, sf).withColumn("source_class", C("band")), path, large_as_point=100.0)
+    # The angle's last digit is left out: it hangs on the rounding of degrees.
+    return spark.read.text(path).select("source_class", F.regexp_replace("value", r"(ellipse\([^)]*,)[^,)]*\).*$", "$1").alias("line"))
 
 
 @query("sink_failures", with_tables("sources", "SELECT source_id FROM sources WHERE f_bad"))

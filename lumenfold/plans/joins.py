@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import expr as E
@@ -12,7 +11,6 @@ from lumenfold.operators import joins as J
 from lumenfold.operators import windows as W
 from lumenfold.plans.registry import query
 from lumenfold.plans.tables import detections, read, refit, samples, smag, sources, with_tables
-from lumenfold.session import stash
 
 S, SD = "sources", "sources detections"
 C = F.col
@@ -94,16 +92,18 @@ def strict_point_metrics(spark, sf):
     return W.strict_point_metrics(detections(spark, sf), s.filter("source_id % 3 > 0"), s.filter("source_id % 3 = 0"), RADIUS, "band", "det_id", "source_id")
 
 
-_TILES = "tiles AS (SELECT 'r' || r || '_c' || q AS name, (q * 300)::DOUBLE AS x0, (r * 300)::DOUBLE AS y0, 400 AS size FROM (SELECT unnest(range(3)) AS r) CROSS JOIN (SELECT unnest(range(3)) AS q))"
+_TILES = "tiles AS (SELECT 'p' || patch || '_r' || r || '_c' || q AS name, (patch * 2048 + q * 300)::DOUBLE AS x0, (r * 300)::DOUBLE AS y0, 400 AS size FROM (SELECT DISTINCT patch FROM sources) CROSS JOIN (SELECT unnest(range(3)) AS r) CROSS JOIN (SELECT unnest(range(3)) AS q))"
 
 
-def tiles(spark):
-    return spark.range(9).selectExpr("concat('r', id div 3, '_c', id % 3) AS name", "CAST(id % 3 * 300 AS DOUBLE) AS x0", "CAST(id div 3 * 300 AS DOUBLE) AS y0", "400 AS size")
+def tiles(s):
+    """Nine overlapping tiles in each patch of sources."""
+    grid = F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")
+    return s.select("patch").distinct().select("patch", grid).selectExpr("concat('p', patch, '_r', k div 3, '_c', k % 3) AS name", "CAST(patch * 2048 + k % 3 * 300 AS DOUBLE) AS x0", "CAST(k div 3 * 300 AS DOUBLE) AS y0", "400 AS size")
 
 
 @query("source_in_tile", with_tables(S, "SELECT source_id, name, x - x0 AS lx, y - y0 AS ly FROM sources JOIN tiles ON x >= x0 - 5 AND x < x0 + size + 5 AND y >= y0 - 5 AND y < y0 + size + 5", _TILES))
 def source_in_tile(spark, sf):
-    return J.source_in_tile(sources(spark, sf), tiles(spark), 5.0).select("source_id", "name", "lx", "ly")
+    return J.source_in_tile(sources(spark, sf), tiles(sources(spark, sf)), 5.0).select("source_id", "name", "lx", "ly")
 
 
 _GRID = "grid AS (SELECT u, v FROM (SELECT unnest([-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS u) CROSS JOIN (SELECT unnest([-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS v) WHERE u * u + v * v <= 1.0)"
@@ -133,7 +133,7 @@ def ellipse_contains_join(spark, sf):
 @query("containment_removal")
 def containment_removal(spark, sf):
     s = sources(spark, sf)
-    return J.containment_losers(stash(J.ellipse_overlap_join(s, RADIUS, ["band"]), "overlaps"), s, 0.8)
+    return J.containment_losers(J.ellipse_overlap_join(s, None, ["band"]), 0.8)
 
 
 _M = smag("flux")
@@ -153,10 +153,21 @@ def priority_dedup(spark, sf):
 _REACH = "reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"
 
 
-@query("cluster_sources", with_tables(S, "SELECT s.source_id, least(s.source_id, coalesce(min(r.b), s.source_id)) AS cluster FROM sources s LEFT JOIN reach r ON r.a = s.source_id GROUP BY s.source_id", SELF, _GRID, _OVER, "links AS (SELECT a, b FROM ious WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200 UNION SELECT b, a FROM ious WHERE iou >= 0.05 AND a_area < 1200 AND b_area < 1200)", _REACH))
+def _inside(e: str) -> str:
+    u, v = f"((cos({e}.theta) * (gx - {e}.x) + sin({e}.theta) * (gy - {e}.y)) / {e}.a)", f"((-sin({e}.theta) * (gx - {e}.x) + cos({e}.theta) * (gy - {e}.y)) / {e}.b)"
+    return f"({u} * {u} + {v} * {v} <= 1.0)"
+
+
+#: IoU on whole pixels of pairs whose circles touch, in SQL; no box here is wider than 512.
+_PIXEL_IOU = f"""touching AS (SELECT n.a, n.b, s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty, greatest(s.a, s.b) AS sr, greatest(t.a, t.b) AS tr FROM near n JOIN sources s ON s.source_id = n.a JOIN sources t ON t.source_id = n.b WHERE n.a < n.b AND s.area < 1200 AND t.area < 1200 AND n.d <= greatest(s.a, s.b) + greatest(t.a, t.b)),
+columns_of AS (SELECT a, b, sy, ty, sr, tr, unnest(range(floor(least(sx - sr, tx - tr))::BIGINT, ceil(greatest(sx + sr, tx + tr))::BIGINT + 1)) AS gx FROM touching),
+cells_of AS (SELECT a, b, gx, unnest(range(floor(least(sy - sr, ty - tr))::BIGINT, ceil(greatest(sy + sr, ty + tr))::BIGINT + 1)) AS gy FROM columns_of),
+pixel_ious AS (SELECT c.a, c.b, count(*) FILTER (WHERE {_inside('s')} AND {_inside('t')})::DOUBLE / nullif(count(*) FILTER (WHERE {_inside('s')} OR {_inside('t')}), 0) AS iou FROM cells_of c JOIN sources s ON s.source_id = c.a JOIN sources t ON t.source_id = c.b GROUP BY c.a, c.b)"""
+
+
+@query("cluster_sources", with_tables(S, "SELECT s.source_id, least(s.source_id, coalesce(min(r.b), s.source_id)) AS cluster FROM sources s LEFT JOIN reach r ON r.a = s.source_id GROUP BY s.source_id", SELF, _PIXEL_IOU, "links AS (SELECT a, b FROM pixel_ious WHERE iou >= 0.05 UNION SELECT b, a FROM pixel_ious WHERE iou >= 0.05)", _REACH))
 def cluster_sources(spark, sf):
-    s = sources(spark, sf)
-    return J.cluster_sources(stash(J.ellipse_overlap_join(s, RADIUS, ["band"]), "overlaps"), s, 0.05, 1200.0)
+    return J.cluster_sources(sources(spark, sf), ["band"], 0.05, 1200.0, RADIUS)
 
 
 @query("connected_components", with_tables(S, "SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a", SELF, "links AS (SELECT a, b FROM near WHERE a <> b)", _REACH))
@@ -194,8 +205,8 @@ def replay_check(spark, sf):
 
 @query("predictions_vs_kept_gt", with_tables(SD, "SELECT det_id, EXISTS (SELECT 1 FROM sources s WHERE s.source_id = det_id AND s.band = d.band AND s.area > 500) AS matched FROM detections d"))
 def predictions_vs_kept_gt(spark, sf):
-    kept = sources(spark, sf).filter("area > 500").selectExpr("source_id AS det_id", "band", "true AS hit")
-    return detections(spark, sf).join(kept, ["det_id", "band"], "left").select("det_id", F.coalesce("hit", F.lit(False)).alias("matched"))
+    kept = sources(spark, sf).filter("area > 500").selectExpr("source_id AS det_id", "band")
+    return J.flagged_matches(detections(spark, sf), kept, ["det_id", "band"]).select("det_id", "matched")
 
 
 @query("selector_expand", with_tables("samples", "SELECT DISTINCT sample_id, alias FROM (SELECT sample_id, unnest([source || ':' || patch, source || ':' || patch || '@' || grp, source || ':*']) AS alias FROM samples) WHERE alias IN (SELECT source || ':' || patch || '@1' FROM samples WHERE sample_id % 10 = 0) OR alias IN ('Brand#2:*')"))
@@ -216,16 +227,28 @@ def split_guard(spark, sf):
     return W.split_guard(s.filter("sample_id % 5 <> 0"), s.filter("sample_id % 50 = 0"), size=0.0, pad=256.0).select("sample_id")
 
 
-@query("gaia_assign", with_tables(SD, "SELECT a, b FROM (SELECT n.a, n.b, row_number() OVER (PARTITION BY n.a ORDER BY n.d, s.kron_flux, n.b) AS k FROM near n JOIN sources s ON s.source_id = n.b) WHERE k = 1", NEAR))
-def gaia_assign(spark, sf):
-    near = det_pairs(spark, sf).join(sources(spark, sf).select(C("source_id").alias("b"), "kron_flux"), "b")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "kron_flux", "b"))
-    return near.withColumn("k", rank).filter("k = 1").select("a", "b")
+#: Clusters of sources by user, and one detection in seven as a star.
+_GAIA = f"""members AS (SELECT band, user_id AS cluster, x, y FROM sources), stars AS (SELECT band, det_id, x, y FROM detections WHERE det_id % 7 = 0),
+centers AS (SELECT band, cluster, avg(x) AS x, avg(y) AS y FROM members GROUP BY ALL),
+{pairs_sql('stars', 'det_id', 'members', 'cluster', 4.0, 'by_member')}, {pairs_sql('stars', 'det_id', 'centers', 'cluster', 60.0, 'by_center')},
+candidates AS (SELECT band, a, b, CASE WHEN min(k) = 0 THEN 'source_center' ELSE 'cluster_centroid' END AS mode, CASE WHEN min(k) = 0 THEN min(d) FILTER (WHERE k = 0) ELSE min(d) END AS d
+  FROM (SELECT band, a, b, d, 0 AS k FROM by_member UNION ALL SELECT band, a, b, d, 1 FROM by_center) GROUP BY band, a, b)"""
+
 
+def _candidates(spark, sf):
+    members = sources(spark, sf).select("band", C("user_id").alias("cluster"), "x", "y")
+    stars = detections(spark, sf).filter("det_id % 7 = 0").withColumnRenamed("det_id", "star_id")
+    return W.stars_near_clusters(members, stars, 4.0, 60.0, ["band"])
 
-@query("gaia_to_cluster", with_tables(SD, "SELECT band, a, CASE WHEN min(CASE WHEN d <= 1 THEN d END) IS NOT NULL THEN 'source_center' ELSE 'cluster_centroid' END AS mode, round(coalesce(min(CASE WHEN d <= 1 THEN d END), min(d)), 6) AS d FROM near GROUP BY band, a", NEAR))
+
+@query("gaia_to_cluster", with_tables(SD, "SELECT band, a AS star_id, b AS cluster, mode, round(d, 6) AS d FROM candidates", _GAIA))
 def gaia_to_cluster(spark, sf):
-    return W.two_radius_mode(det_pairs(spark, sf), 1.0).select("band", "a", "mode", F.round("d", 6).alias("d"))
+    return _candidates(spark, sf).withColumn("d", F.round("d", 6))
+
+
+@query("gaia_assign", with_tables(SD, "SELECT band, star_id, cluster, mode FROM (SELECT band, a AS star_id, b AS cluster, mode, row_number() OVER (PARTITION BY band, a ORDER BY round(d, 9), b) AS k FROM candidates) WHERE k = 1", _GAIA))
+def gaia_assign(spark, sf):
+    return W.assign_stars(_candidates(spark, sf).withColumn("d", F.round("d", 9)), ["band"]).select("band", "star_id", "cluster", "mode")
 
 
 @query("rank_in_side", with_tables(SD, "SELECT a, b, row_number() OVER (PARTITION BY band, a ORDER BY d, a, b) AS ra, row_number() OVER (PARTITION BY band, b ORDER BY d, a, b) AS rb FROM near", NEAR))
@@ -243,7 +266,7 @@ def frame_by_rank_or_visit(spark, sf):
 
 @query("brightest_member", with_tables(S, "SELECT user_id, source_id FROM (SELECT user_id, source_id, row_number() OVER (PARTITION BY user_id ORDER BY kron_flux DESC, source_id) AS n FROM sources) WHERE n = 1"))
 def brightest_member(spark, sf):
-    return sources(spark, sf).groupBy("user_id").agg(F.min_by("source_id", F.struct(-C("kron_flux"), C("source_id"))).alias("source_id"))
+    return J.brightest_member(sources(spark, sf), "user_id", "kron_flux")
 
 
 _RUNS = "runs AS (SELECT band, y, min(x) AS x0, max(x) AS x1, count(*) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY band, y ORDER BY x) AS k FROM pixels WHERE (mask & 1) <> 0) GROUP BY band, y, k)"
@@ -263,25 +286,16 @@ def track_length(spark, sf):
     return W.track_length(e, "user_id", "t").select("event_id", "frames")
 
 
-@query("visit_difference")
-def visit_difference(spark, sf):
-    d = detections(spark, sf)
-    return W.visit_difference(d.filter("det_id % 2 = 0"), d.filter("det_id % 2 = 1"), RADIUS, ["band"], "det_id")
-
-
 @query("isolated_flag", with_tables(S, "SELECT source_id, coalesce(max(m), 0) <= 0.05 AS isolated FROM sources LEFT JOIN (SELECT a AS source_id, iou AS m FROM ious UNION ALL SELECT b, iou FROM ious) USING (source_id) GROUP BY source_id", SELF, _GRID, _OVER))
 def isolated_flag(spark, sf):
-    s = sources(spark, sf)
-    o = J.ellipse_overlap_join(s, RADIUS, ["band"])
-    worst = o.select(F.explode(F.array("a", "b")).alias("source_id"), "iou").groupBy("source_id").agg(F.max("iou").alias("m"))
-    return s.join(worst, "source_id", "left").select("source_id", (F.coalesce("m", F.lit(0.0)) <= 0.05).alias("isolated"))
+    return J.isolated_flag(sources(spark, sf), ["band"], 0.05, RADIUS)
 
 
-_N32 = 64
-_GA = math.pi * (3.0 - math.sqrt(5.0))
+_N = 16
+_TURN = math.pi * (3.0 - math.sqrt(5.0))
+_RP = f"sqrt((k + 0.5::DOUBLE) / {_N})", f"(k * {_TURN!r}::DOUBLE)"
 
 
-@query("disk_samples", f"SELECT k, round(sqrt((k + 0.5::DOUBLE) / {_N32}) * cos(k * {_GA!r}::DOUBLE), 6) AS u, round(sqrt((k + 0.5::DOUBLE) / {_N32}) * sin(k * {_GA!r}::DOUBLE), 6) AS v FROM (SELECT unnest(range({_N32})) AS k) WHERE k <= (SELECT count(*) FROM region) * 10")
+@query("disk_samples", with_tables(S, "SELECT source_id, k, round(x + cos(theta) * u - sin(theta) * v, 6) AS px, round(y + sin(theta) * u + cos(theta) * v, 6) AS py FROM samples_of", f"samples_of AS (SELECT *, {_RP[0]} * cos({_RP[1]}) * a AS u, {_RP[0]} * sin({_RP[1]}) * b AS v FROM (SELECT *, unnest(range({_N})) AS k FROM sources))"))
 def disk_samples(spark, sf):
-    n = read(spark, sf, "region").count()
-    return W.sunflower(spark, _N32).filter(C("k") <= n * 10).select("k", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+    return W.disk_samples(sources(spark, sf), _N).select("source_id", "k", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))

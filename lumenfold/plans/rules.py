@@ -152,10 +152,9 @@ def downgrade(spark, sf):
     return sources(spark, sf).select("source_id", R.downgrade(both(_K1, "old"), both(_K2, "new")).alias("r")).select("source_id", "r.class", "r.reason")
 
 
-@query("category_tags", r(f"SELECT source_id, concat_ws(';', CASE WHEN f_edge THEN 'edge' END, CASE WHEN {sfin('ratio')} AND ratio > 3 THEN 'elongated' END) AS tags FROM (SELECT * FROM rich WHERE false) UNION ALL SELECT source_id, concat_ws(';', CASE WHEN {gt('ratio', 3)} THEN 'elongated' END, CASE WHEN area > 900 THEN 'large_area' END, CASE WHEN f_sat THEN 'saturated' END) FROM rich WHERE {lt('mag', 23)}"))
+@query("category_tags", r(f"SELECT source_id, concat_ws(';', CASE WHEN {gt('ratio', 3)} THEN 'elongated' END, CASE WHEN area > 900 THEN 'large_area' END, CASE WHEN f_sat THEN 'saturated' END) AS tags FROM rich"))
 def category_tags(spark, sf):
-    s = rich(spark, sf).filter(R.below(C("mag"), 23.0))
-    return s.select("source_id", R.category_tags({"large_area": R.above(C("area"), 900.0), "elongated": R.above(C("ratio"), 3.0), "saturated": C("f_sat")}).alias("tags"))
+    return rich(spark, sf).select("source_id", R.category_tags({"large_area": R.above(C("area"), 900.0), "elongated": R.above(C("ratio"), 3.0), "saturated": C("f_sat")}).alias("tags"))
 
 
 @query("contract_check", with_tables(S, "SELECT 'column:source_id' AS name, true AS ok UNION ALL SELECT 'column:flux', true UNION ALL SELECT 'column:gone', false UNION ALL SELECT 'rows', count(*) > 0 FROM sources UNION ALL SELECT 'unique', count(*) = count(DISTINCT source_id) FROM sources"))

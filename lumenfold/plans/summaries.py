@@ -30,9 +30,11 @@ LOW, HIGH, WIDTH = 20.0, 30.0, 0.5
 _BINS = f"bins AS (SELECT i AS bin, {LOW}::DOUBLE + i * {WIDTH}::DOUBLE AS lo, {LOW}::DOUBLE + (i + 1) * {WIDTH}::DOUBLE AS hi FROM (SELECT unnest(range(20)) AS i))"
 
 
-@query("mag_bins", f"WITH {_BINS} SELECT bin, lo, hi, lo + 0.25::DOUBLE AS center FROM bins WHERE bin < (SELECT count(*) FROM nation)")
+@query("mag_bins", with_tables(S, f"SELECT bin, lo, hi, lo + 0.25::DOUBLE AS center, count(source_id) AS n FROM bins LEFT JOIN (SELECT source_id, {smag('kron_flux')} AS mag FROM sources) ON mag >= lo AND mag < hi GROUP BY ALL", _BINS))
 def mag_bins(spark, sf):
-    return A.mag_bins(spark, LOW, HIGH, WIDTH).filter(C("bin") < read(spark, sf, "nation").count())
+    s = sources(spark, sf).withColumn("mag", E.flux_to_mag("kron_flux"))
+    counted = A.binned(s, "mag", LOW, HIGH, WIDTH).groupBy("bin").agg(F.count("*").alias("n"))
+    return A.mag_bins(spark, LOW, HIGH, WIDTH).join(F.broadcast(counted), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 _MAG = smag("kron_flux")
@@ -73,7 +75,7 @@ def strict_finalize(spark, sf):
 
 @query("count_by_class", r("SELECT band, category, count(*) AS n FROM (SELECT band, CASE WHEN area > 900 THEN 'large' WHEN fill < 0.3 THEN 'hollow' ELSE 'plain' END AS category FROM rich) GROUP BY ALL"))
 def count_by_class(spark, sf):
-    return rich(spark, sf).withColumn("category", F.when(C("area") > 900, "large").when(C("fill") < 0.3, "hollow").otherwise("plain")).groupBy("band", "category").agg(F.count("*").alias("n"))
+    return A.count_by_class(rich(spark, sf).withColumn("category", F.when(C("area") > 900, "large").when(C("fill") < 0.3, "hollow").otherwise("plain")), ["band"], "category")
 
 
 @query("flux_ratio_stats", with_tables(S, f"SELECT band, name, count(*) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.16), 6) AS p16, round(quantile_cont(r, 0.84), 6) AS p84 FROM (SELECT band, 'ap_kron' AS name, ap_flux / kron_flux AS r FROM sources UNION ALL SELECT band, 'ap_psf', ap_flux / flux FROM sources WHERE {sfin('flux')} AND flux > 0) GROUP BY ALL"))
@@ -83,7 +85,7 @@ def flux_ratio_stats(spark, sf):
 
 @query("per_tile_summary", with_tables(S, "SELECT user_id, count(*) AS detections, count(*) FILTER (WHERE f_edge) AS kept, quantile_cont(area, 0.5) AS median_area, count(DISTINCT band) AS bands FROM sources GROUP BY user_id"))
 def per_tile_summary(spark, sf):
-    return sources(spark, sf).groupBy("user_id").agg(F.count("*").alias("detections"), F.count_if("f_edge").alias("kept"), F.median("area").alias("median_area"), F.countDistinct("band").alias("bands"))
+    return A.per_tile_summary(sources(spark, sf), "user_id", C("f_edge"), "area", "band")
 
 
 _FLAGS = ["f_edge", "f_sat", "f_bad"]
@@ -114,10 +116,10 @@ def descriptive_stats(spark, sf):
     return A.descriptive_stats(sources(spark, sf), "flux", ["band"]).select("band", "n", *rd("mean", "std"), "min", *rd("p05", "p25", "p50", "p75", "p95"), "max")
 
 
-@query("sequence_summary", "SELECT day, coalesce(click, 0) AS click, coalesce(view, 0) AS view FROM (SELECT ts::DATE AS day, count(*) AS click FROM events WHERE event_type = 'click' GROUP BY 1) FULL JOIN (SELECT ts::DATE AS day, count(*) AS view FROM events WHERE event_type = 'view' GROUP BY 1) USING (day)")
+@query("sequence_summary", "SELECT ts::DATE AS day, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
 def sequence_summary(spark, sf):
     e = read(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return A.sequence_summary({k: e.filter(C("event_type") == k) for k in ("click", "view")}, "day")
+    return A.sequence_summary({k: e.filter(C("event_type") == k) for k in ("click", "error", "purchase", "signup", "view")}, "day")
 
 
 _BANDS = ["click", "error", "purchase", "signup", "view"]
@@ -126,13 +128,12 @@ _PATTERN = " || ".join(f"CASE WHEN bool_or(band = '{b}') THEN '1' ELSE '0' END"
 
 @query("band_pattern_counts", with_tables(S, f"SELECT pattern, count(*) AS n, regexp_matches(pattern, '10+1') AS hole FROM (SELECT user_id, c % 40 AS k, {_PATTERN} AS pattern FROM sources GROUP BY ALL) GROUP BY pattern"))
 def band_pattern_counts(spark, sf):
-    g = sources(spark, sf).groupBy("user_id", C("c") % 40).agg(F.collect_set("band").alias("bands"))
-    return g.groupBy(E.band_pattern(C("bands"), _BANDS).alias("pattern")).agg(F.count("*").alias("n")).withColumn("hole", E.pattern_hole(C("pattern")))
+    return A.band_pattern_counts(sources(spark, sf), ["user_id", C("c") % 40], _BANDS)
 
 
 @query("top_patterns", with_tables(S, f"SELECT pattern, n FROM (SELECT pattern, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, pattern) AS k FROM (SELECT user_id, c % 40 AS k, {_PATTERN} AS pattern FROM sources GROUP BY ALL) GROUP BY pattern) WHERE k <= 5"))
 def top_patterns(spark, sf):
-    return band_pattern_counts(spark, sf).orderBy(F.desc("n"), "pattern").limit(5).select("pattern", "n")
+    return A.top_patterns(band_pattern_counts(spark, sf), 5).select("pattern", "n")
 
 
 @query("band_pair_similarity", with_tables(S, "SELECT a.band AS a_band, b.band AS b_band, count(*) AS n, round(avg(abs(a.m - b.m)), 6) AS da_mean, round(quantile_cont(abs(a.m - b.m), 0.5), 6) AS da_median, round(quantile_cont(abs(a.m - b.m), 0.1), 6) AS da_p10, round(quantile_cont(abs(a.m - b.m), 0.9), 6) AS da_p90 FROM shapes a JOIN shapes b USING (user_id) WHERE a.band < b.band GROUP BY ALL", "shapes AS (SELECT user_id, band, max(area) AS m FROM sources GROUP BY ALL)"))
@@ -144,13 +145,12 @@ def band_pair_similarity(spark, sf):
 
 @query("class_transition", r(f"SELECT before, after, count(*) AS n FROM (SELECT CASE WHEN area > 900 THEN 'large' ELSE 'small' END AS before, CASE WHEN {sfin('snr')} AND snr > 7 THEN 'clean' WHEN {sfin('snr')} AND snr > 5 THEN 'weak_shape' ELSE 'ignore' END AS after FROM rich) GROUP BY ALL"))
 def class_transition(spark, sf):
-    return rich(spark, sf).select(F.when(C("area") > 900, "large").otherwise("small").alias("before"), R.snr_class(C("snr"), F.lit(False)).alias("after")).groupBy("before", "after").agg(F.count("*").alias("n"))
+    return A.class_transition(rich(spark, sf), F.when(C("area") > 900, "large").otherwise("small"), R.snr_class(C("snr"), F.lit(False)))
 
 
 @query("depth_summary", r(f"SELECT band, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90, count(*) FILTER (WHERE v > 7) AS clean FROM (SELECT band, CASE WHEN {sfin('snr')} THEN snr END AS v FROM rich) GROUP BY band"))
 def depth_summary(spark, sf):
-    v = rich(spark, sf).withColumn("v", F.when(E.finite("snr"), C("snr")))
-    return v.groupBy("band").agg(F.round(F.percentile("v", 0.5), 6).alias("median"), F.round(F.percentile("v", 0.1), 6).alias("p10"), F.round(F.percentile("v", 0.9), 6).alias("p90"), F.count_if(C("v") > 7).alias("clean"))
+    return A.depth_summary(rich(spark, sf), "snr", "band").select("band", *rd("median", "p10", "p90"), "clean")
 
 
 @query("scale_estimate", with_tables(S, f"SELECT round(quantile_cont(ap_flux / flux, 0.5), 6) AS scale FROM (SELECT * FROM sources WHERE {sfin('flux')} AND flux > 0 AND ap_flux > 0 ORDER BY source_id LIMIT 5000)"))
@@ -165,24 +165,17 @@ def weight_summary(spark, sf):
 
 @query("fill_layers", r("SELECT CASE WHEN fill < 0.3 THEN 'low' WHEN fill < 0.5 THEN 'middle' ELSE 'high' END AS layer, area > 500 AS large, count(*) AS n, round(quantile_cont(fill, 0.5), 6) AS median FROM rich GROUP BY ALL"))
 def fill_layers(spark, sf):
-    layer = F.when(C("fill") < 0.3, "low").when(C("fill") < 0.5, "middle").otherwise("high")
-    return rich(spark, sf).groupBy(layer.alias("layer"), (C("area") > 500).alias("large")).agg(F.count("*").alias("n"), F.round(F.median("fill"), 6).alias("median"))
+    return A.fill_layers(rich(spark, sf), "fill", "area").withColumn("median", F.round("median", 6))
 
 
 @query("unknown_mask_overlap", r("SELECT count(*) AS rows, count(*) FILTER (WHERE kron_flux > 50) AS bright, count(*) FILTER (WHERE kron_flux > 50 AND NOT f_bad) AS good, count(*) FILTER (WHERE kron_flux > 50 AND NOT f_bad AND extendedness IS NULL) AS unknown, count(*) FILTER (WHERE kron_flux > 50 AND NOT f_bad AND extendedness IS NULL AND (mask & 2) <> 0) AS hits FROM rich"))
 def unknown_mask_overlap(spark, sf):
-    steps, total = {"bright": C("kron_flux") > 50, "good": ~C("f_bad"), "unknown": C("extendedness").isNull(), "hits": E.mask_bit(C("mask"), 1)}, F.lit(True)
-    cols = [F.count("*").alias("rows")]
-    for name, c in steps.items():
-        total = total & c
-        cols.append(F.count_if(total).alias(name))
-    return rich(spark, sf).agg(*cols)
+    return A.funnel(rich(spark, sf), {"bright": C("kron_flux") > 50, "good": ~C("f_bad"), "unknown": C("extendedness").isNull(), "hits": E.mask_bit(C("mask"), 1)})
 
 
 @query("source_density", with_tables(S, "SELECT band, count(*) AS tiles, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS most, round(avg(n) FILTER (WHERE n >= 20), 6) AS mean_passing FROM (SELECT band, floor(x / 128) AS tx, floor(y / 128) AS ty, count(*) AS n FROM sources GROUP BY ALL) GROUP BY band"))
 def source_density(spark, sf):
-    t = sources(spark, sf).groupBy("band", F.floor(C("x") / 128), F.floor(C("y") / 128)).agg(F.count("*").alias("n"))
-    return t.groupBy("band").agg(F.count("*").alias("tiles"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.max("n").alias("most"), F.round(F.avg(F.when(C("n") >= 20, C("n"))), 6).alias("mean_passing"))
+    return A.source_density(sources(spark, sf), "band", 128.0, 20).withColumns({n: F.round(n, 6) for n in ("mean", "mean_passing")})
 
 
 PX = "pixels"
@@ -194,17 +187,17 @@ def plane_fractions(spark, sf):
     return f.select("band", *rd("bad", "sat", "any", "finite", "positive"), *rd("p1", "p50", "p99", digits=4))
 
 
-@query("tile_bad_score", with_tables(PX, "SELECT band, tx::INT AS tx, ty::INT AS ty, round(avg(CASE WHEN (mask & 1) <> 0 THEN 1.0 WHEN (mask & 2) <> 0 THEN 0.4 ELSE 0.0 END::DOUBLE), 6) AS score FROM pixels JOIN (SELECT unnest(range(8)) AS tx) ON x >= tx * 8 AND x < tx * 8 + 16 JOIN (SELECT unnest(range(8)) AS ty) ON y >= ty * 8 AND y < ty * 8 + 16 GROUP BY ALL"))
+@query("tile_bad_score", with_tables(PX, "SELECT band, tx::INT AS tx, ty::INT AS ty, round(sum(CASE WHEN (mask & 1) <> 0 THEN 1000000 WHEN (mask & 2) <> 0 THEN 400000 ELSE 0 END)::DOUBLE / count(*) / 1000000.0::DOUBLE, 6) AS score FROM pixels JOIN (SELECT unnest(range(8)) AS tx) ON x >= tx * 8 AND x < tx * 8 + 16 JOIN (SELECT unnest(range(8)) AS ty) ON y >= ty * 8 AND y < ty * 8 + 16 GROUP BY ALL"))
 def tile_bad_score(spark, sf):
     score = E.bad_score(C("mask"), {"BAD": 0, "SAT": 1}, {"BAD": 1.0, "SAT": 0.4})
     return P.tile_bad_score(pixels(spark, sf), score, 16, 8, ["band"]).withColumn("score", F.round("score", 6))
 
 
-_CENTERS = "centers AS (SELECT x * 64 + y AS id, band, x AS px, y AS py FROM pixels WHERE (mask & 4) <> 0 AND (x + y) % 3 = 0)"
+_CENTERS = "centers AS (SELECT cell AS id, band, x AS px, y AS py FROM pixels WHERE (mask & 4) <> 0)"
 
 
 def centers(spark, sf):
-    return pixels(spark, sf).filter(E.mask_bit(C("mask"), 2) & ((C("x") + C("y")) % 3 == 0)).selectExpr("x * 64 + y AS id", "band", "x AS px", "y AS py")
+    return pixels(spark, sf).filter(E.mask_bit(C("mask"), 2)).selectExpr("cell AS id", "band", "x AS px", "y AS py")
 
 
 _D2 = "((p.x - c.px) * (p.x - c.px) + (p.y - c.py) * (p.y - c.py))"
@@ -245,29 +238,55 @@ def sigma_clip(spark, sf):
     return P.sigma_clip(pixels(spark, sf), "image", ["band"], 1.5, 3).select("band", *rd("med", "mean", "sd", digits=4), "n")
 
 
+def _levels(source: str, keys: str, value: str, fall_back: bool = False) -> str:
+    """Median, mean, deviation and robust sigma of each group, in SQL."""
+    mad = f"1.4826::DOUBLE * quantile_cont(abs({value} - med), 0.5)"
+    robust = f"CASE WHEN {mad} > 0 THEN {mad} ELSE stddev_pop({value}) END" if fall_back else mad
+    return f"(SELECT {keys}, any_value(med) AS med, avg({value}) AS mean, stddev_pop({value}) AS sd, {robust} AS robust, count(*) AS n FROM (SELECT *, quantile_cont({value}, 0.5) OVER (PARTITION BY {keys}) AS med FROM {source}) GROUP BY {keys})"
+
+
+def _clipped(name: str, source: str, keys: str, value: str, fresh: bool, fall_back: bool) -> str:
+    """Two rounds of three sigmas as tables <name>1, <name>2 and <name> (the levels), in SQL."""
+    keep = lambda m: f"(NOT {m}.robust > 0 OR abs(p.{value} - {m}.med) <= 3 * {m}.robust)"
+    one = f"{name}1 AS (SELECT p.* FROM {source} p JOIN {_levels(source, keys, value, fall_back)} m USING ({keys}) WHERE {keep('m')})"
+    second = _levels(f"{name}1", keys, value, fall_back)
+    if fresh:  # of all values, by the bounds of the second round; without a sigma there, by those of the first
+        two = f"{name}2 AS (SELECT p.* FROM {source} p JOIN {_levels(source, keys, value, fall_back)} o USING ({keys}) JOIN {second} m USING ({keys}) WHERE CASE WHEN m.robust > 0 THEN {keep('m')} ELSE {keep('o')} END)"
+    else:
+        two = f"{name}2 AS (SELECT p.* FROM {name}1 p JOIN {second} m USING ({keys}) WHERE {keep('m')})"
+    return f"{one}, {two}, {name} AS {_levels(name + '2', keys, value, fall_back)}"
+
+
 _BOXED = "boxed AS (SELECT *, floor(x / 16)::BIGINT AS bx, floor(y / 16)::BIGINT AS by_ FROM pixels)"
+_SIGMA = "CASE WHEN sd > 0 THEN sd ELSE robust END"
 
 
-@query("block_background", with_tables(PX, f"SELECT o.band, o.bx, o.by_ AS by, round(CASE WHEN n >= 200 THEN o.med ELSE g.med END, 4) AS med, round(CASE WHEN n >= 200 THEN o.sigma ELSE g.sigma END, 4) AS sigma FROM {_mad('boxed', 'band, bx, by_', 'image')} o JOIN (SELECT band, bx, by_, count(*) AS n FROM boxed GROUP BY ALL) c USING (band, bx, by_) JOIN {_mad('pixels', 'band', 'image')} g ON g.band = o.band", _BOXED))
+@query("block_background", with_tables(PX, f"SELECT k.band, k.bx, k.by_ AS by, round(CASE WHEN ok THEN o.med ELSE g.med END, 4) AS med, round(CASE WHEN ok THEN o.sigma ELSE g.sigma END, 4) AS sigma, ok AS reliable FROM (SELECT DISTINCT band, bx, by_ FROM boxed) k LEFT JOIN (SELECT *, {_SIGMA} AS sigma, n >= 40 AND {_SIGMA} > 0 AS ok FROM own) o USING (band, bx, by_) JOIN (SELECT band, med, CASE WHEN {_SIGMA} > 0 THEN {_SIGMA} ELSE 1 END AS sigma FROM whole) g ON g.band = k.band", _BOXED, _clipped("own", "boxed", "band, bx, by_", "image", False, True), _clipped("whole", "pixels", "band", "image", False, True)))
 def block_background(spark, sf):
-    return P.block_background(pixels(spark, sf), 16, ["band"], least=200).select("band", "bx", "by", *rd("med", "sigma", digits=4))
+    return P.block_background(pixels(spark, sf), 16, ["band"], least=40).select("band", "bx", "by", *rd("med", "sigma", digits=4), "reliable")
+
 
+_FREE = "free AS (SELECT * FROM pixels WHERE (mask & 3) <> 3), apertures AS (SELECT band, cx, cy, sum(image) AS total FROM (SELECT band, x + dx AS cx, y + dy AS cy, image FROM free CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy)) GROUP BY band, cx, cy HAVING count(*) = 5)"
 
-@query("blank_aperture_noise")
+
+@query("blank_aperture_noise", with_tables(PX, "SELECT band, round(med, 2) AS med, round(sd, 2) AS sd, round(robust, 2) AS robust, c.n, c.n >= 16 AND sd > 0 AS trusted FROM noise JOIN (SELECT band, count(*) AS n FROM apertures GROUP BY band) c USING (band)", _FREE, _clipped("noise", "apertures", "band", "total", True, False)))
 def blank_aperture_noise(spark, sf):
     p = pixels(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 1))
-    return P.blank_aperture_noise(p, 1.0, ["band"]).select("band", *rd("med", "sd", digits=4), "n", "trusted")
+    return P.blank_aperture_noise(p, 1.0, ["band"]).select("band", *rd("med", "sd", "robust", digits=2), "n", "trusted")
+
+
+_RUNS_OF = "lit AS (SELECT * FROM pixels WHERE (mask & 5) = 5), runs AS (SELECT band, y, min(x) AS x0, max(x) AS x1, count(*) AS n, min(cell) AS run FROM (SELECT *, x - row_number() OVER (PARTITION BY band, y ORDER BY x) AS k FROM lit) GROUP BY band, y, k), links AS (SELECT a.run AS a, b.run AS b FROM runs a JOIN runs b ON a.band = b.band AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1)"
 
 
-@query("component_stats")
+@query("component_stats", with_tables(PX, "SELECT band, min_by(x0, y * 64 + x0) AS x0, min(y) AS y0, sum(n)::BIGINT AS area, round(sum((x0 + x1) / 2.0 * n) / sum(n), 6) AS cx, round(sum(y * n) / sum(n), 6) AS cy, round(sum(n) / any_value(whole), 6) AS share, bool_or(x0 = 0 OR x1 = 63 OR y = 0 OR y = 63) AS touches_edge FROM (SELECT r.*, least(r.run, coalesce((SELECT min(b) FROM reach WHERE a = r.run), r.run)) AS region, sum(n) OVER (PARTITION BY band) AS whole FROM runs r) GROUP BY band, region", _RUNS_OF, "reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"))
 def component_stats(spark, sf):
     p = pixels(spark, sf).filter(E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 2))
     return P.component_stats(p, ["band"], 64, 64).select("band", "x0", "y0", "area", *rd("cx", "cy", "share"), "touches_edge")
 
 
-@query("rasterize_ellipse", with_tables(S, "SELECT source_id AS id, px::INT AS x, py::INT AS y FROM (SELECT s.source_id, px, py, (cos(theta) * (px - s.x) + sin(theta) * (py - s.y)) / a AS u, (-sin(theta) * (px - s.x) + cos(theta) * (py - s.y)) / b AS v FROM (SELECT * FROM sources WHERE area < 60) s JOIN (SELECT unnest(range(1024)) AS px) ON px BETWEEN s.x - 12 AND s.x + 12 JOIN (SELECT unnest(range(1024)) AS py) ON py BETWEEN s.y - 12 AND s.y + 12) WHERE u * u + v * v <= 1"))
+@query("rasterize_ellipse", with_tables(S, "SELECT source_id AS id, px::INT AS x, py::INT AS y FROM (SELECT source_id, px, py, (cos(theta) * (px - lx) + sin(theta) * (py - y)) / a AS u, (-sin(theta) * (px - lx) + cos(theta) * (py - y)) / b AS v FROM (SELECT *, unnest(range(greatest(0, lx::BIGINT - 12), least(1023, lx::BIGINT + 12) + 1)) AS px FROM (SELECT *, x - patch * 2048 AS lx, unnest(range(greatest(0, y::BIGINT - 12), least(1023, y::BIGINT + 12) + 1)) AS py FROM sources))) WHERE u * u + v * v <= 1"))
 def rasterize_ellipse(spark, sf):
-    return P.rasterize_ellipse(sources(spark, sf).filter("area < 60").selectExpr("source_id AS id", "x AS cx", "y AS cy", "a", "b", "theta"), 1024, 1024)
+    return P.rasterize_ellipse(sources(spark, sf).selectExpr("source_id AS id", "x - patch * 2048 AS cx", "y AS cy", "a", "b", "theta"), 1024, 1024)
 
 
 @query("dense_label_priority", with_tables(S, "SELECT x::INT AS x, y::INT AS y, label FROM (SELECT x, y, label, row_number() OVER (PARTITION BY x, y ORDER BY priority DESC, label DESC) AS n FROM (SELECT x, y, source_id % 4 AS priority, band AS label FROM (SELECT floor(x / 4) AS x, floor(y / 4) AS y, source_id, band FROM sources))) WHERE n = 1"))
@@ -281,38 +300,58 @@ def bright_region_mask(spark, sf):
     return P.bright_region_mask(E.standardize_pixels(pixels(spark, sf), "image", ["band"]), "z", 1.5, 1.5, ["band"])
 
 
-@query("pixel_mask_runs", with_tables(PX, "SELECT band, count(*) AS area FROM pixels WHERE (mask & 1) <> 0 GROUP BY band"))
+_LENGTHS = "flat AS (SELECT band, (x * 64 + y)::BIGINT AS p FROM pixels WHERE (mask & 1) <> 0), spans AS (SELECT band, min(p) AS s, max(p) + 1 AS e FROM (SELECT *, p - row_number() OVER (PARTITION BY band ORDER BY p) AS k FROM flat) GROUP BY band, k), parts AS (SELECT band, s, e, s - coalesce(lag(e) OVER w, 0) AS off, e - s AS lit, lead(s) OVER w IS NULL AS final FROM spans WINDOW w AS (PARTITION BY band ORDER BY s))"
+
+
+@query("pixel_mask_runs", with_tables(PX, "SELECT band, string_agg(off || ',' || lit || CASE WHEN final AND e < 4096 THEN ',' || (4096 - e) ELSE '' END, ',' ORDER BY s) AS counts, sum(lit)::BIGINT AS area FROM parts GROUP BY band", _LENGTHS))
 def pixel_mask_runs(spark, sf):
     runs = P.pixel_mask_runs(pixels(spark, sf).filter(E.mask_bit(C("mask"), 0)), ["band"], 64, 64)
-    # The odd runs add up to the mask, and all of them to the frame.
-    return runs.filter(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) == 64 * 64).select("band", "area")
+    return runs.select("band", F.array_join(C("counts").cast("array<string>"), ",").alias("counts"), "area")
 
 
-@query("kron_moment", with_tables(PX, "SELECT id, CASE WHEN total > 0 AND moment > 0 THEN round(moment / total * 2.0::DOUBLE, 6) END AS radius, round(total) AS total, n FROM (SELECT c.id, sum(image) AS total, sum(r * image) AS moment, count(*) AS n FROM (SELECT c.band, c.id, p.image, sqrt((p.x - c.px) * (p.x - c.px) / 4.0::DOUBLE + (p.y - c.py) * (p.y - c.py) / 4.0::DOUBLE) AS r FROM centers c JOIN pixels p ON p.band = c.band AND abs(p.x - c.px) <= 5 AND abs(p.y - c.py) <= 3) c WHERE r <= 2 GROUP BY c.id)", _CENTERS.replace("WHERE", "WHERE band = 'A' AND")))
+def kron_sql(centers: str, reach: tuple[int, int], a: float, b: float, sigma: float) -> str:
+    """Table kron of first moments about ``centers`` (id, band, px, py), with spans of ``reach`` pixels, in SQL."""
+    cells = f"cells AS (SELECT c.id, px::DOUBLE - c.px AS dx, py::DOUBLE - c.py AS dy, CASE WHEN {sfin('p.image')} THEN p.image ELSE 0.0 END AS i FROM (SELECT *, unnest(range(px - {reach[0]}, px + {reach[0]} + 1)) AS qx FROM (SELECT *, unnest(range(py - {reach[1]}, py + {reach[1]} + 1)) AS qy FROM {centers})) c LEFT JOIN pixels p ON p.band = c.band AND p.x = c.qx AND p.y = c.qy)".replace("px::DOUBLE - c.px", "(c.qx - c.px)::DOUBLE").replace("py::DOUBLE - c.py", "(c.qy - c.py)::DOUBLE")
+    radii = f"radii AS (SELECT id, i, far < 0.5 AS central, pow(dx / ({sigma}::DOUBLE * {a}::DOUBLE), 2) + pow(dy / ({sigma}::DOUBLE * {b}::DOUBLE), 2) <= 1 AS inside, CASE WHEN far < 0.5 THEN sqrt(along * along + pow({P.CENTRAL_PIXEL}::DOUBLE * (1 + far / sqrt(2.0::DOUBLE)), 2)) ELSE along END AS r FROM (SELECT *, sqrt(dx * dx + dy * dy) AS far, sqrt(dx * dx + pow(dy * ({a}::DOUBLE / {b}::DOUBLE), 2)) AS along FROM cells))"
+    sums = "sums AS (SELECT id, coalesce(sum(i) FILTER (WHERE inside), 0) AS total, coalesce(sum(r * i) FILTER (WHERE inside), 0) AS weighted, coalesce(sum(greatest(i, 0)) FILTER (WHERE inside), 0) AS positive, coalesce(sum(least(i, 0)) FILTER (WHERE inside), 0) AS negative, count(*) FILTER (WHERE inside) AS n, count(*) FILTER (WHERE central) AS central FROM radii GROUP BY id)"
+    kron = f"kron AS (SELECT *, CASE WHEN candidate <= sqrt({a}::DOUBLE * {b}::DOUBLE) THEN {sigma}::DOUBLE * sqrt({a}::DOUBLE * {b}::DOUBLE) ELSE candidate END AS radius FROM (SELECT *, CASE WHEN total > 0 AND weighted > 0 THEN weighted / total * sqrt({b}::DOUBLE / {a}::DOUBLE) END AS candidate FROM sums))"
+    return f"{cells}, {radii}, {sums}, {kron}"
+
+
+@query("kron_moment", with_tables(PX, "SELECT id, round(radius, 6) AS radius, round(candidate, 6) AS candidate, round(total) AS total, round(positive) AS positive, round(negative) AS negative, n, central FROM kron", _CENTERS, kron_sql("centers", (5, 3), 2.0, 1.25, 2.0)))
 def kron_moment(spark, sf):
-    c = centers(spark, sf).filter("band = 'A'")
+    c = centers(spark, sf)
     spans = c.withColumn("y", F.explode(F.sequence(C("py") - 3, C("py") + 3))).selectExpr("band", "id", "y", "px - 5 AS x0", "px + 5 AS x1")
-    shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "2D AS a", "2D AS b", "0D AS theta")
+    shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "2D AS a", "1.25D AS b", "0D AS theta")
     m = P.kron_moment(spans, pixels(spark, sf), shape, ["band"], 2.0)
-    return m.select("id", out("radius").alias("radius"), F.round("total", 0).alias("total"), "n")
+    return m.select("id", out("radius").alias("radius"), out("candidate").alias("candidate"), *rd("total", "positive", "negative", digits=0), "n", "central")
+
+
+_FLAG = "CASE source_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END"
+_LOCAL = f"points AS (SELECT source_id, {_FLAG} AS flag, patch // 4 AS patch, x - patch * 2048 AS x, y FROM sources)"
+
+
+def local_points(spark, sf):
+    """Every source on one of the pixel planes."""
+    return sources(spark, sf).selectExpr("source_id", f"{_FLAG} AS flag", "patch div 4 AS patch", "x - patch * 2048 AS x", "y")
 
 
-@query("point_in_mask", with_tables("sources pixels", "SELECT source_id FROM sources s WHERE EXISTS (SELECT 1 FROM pixels p WHERE p.band = 'A' AND (p.mask & 1) <> 0 AND p.x = floor(s.x / 16) AND p.y = floor(s.y / 16))"))
+@query("point_in_mask", with_tables("sources pixels", "SELECT source_id FROM points s WHERE EXISTS (SELECT 1 FROM pixels p WHERE p.flag = s.flag AND p.patch = s.patch AND (p.mask & 1) <> 0 AND p.x = floor(s.x / 16) AND p.y = floor(s.y / 16))", _LOCAL))
 def point_in_mask(spark, sf):
-    mask = pixels(spark, sf).filter((C("band") == "A") & E.mask_bit(C("mask"), 0)).select(C("x").alias("mx"), C("y").alias("my"))
-    return sources(spark, sf).select("source_id", F.floor(C("x") / 16).alias("mx"), F.floor(C("y") / 16).alias("my")).join(mask, ["mx", "my"], "left_semi").select("source_id")
+    points = local_points(spark, sf).withColumns({"x": C("x") / 16, "y": C("y") / 16})
+    return P.points_in_mask(points, pixels(spark, sf).filter(E.mask_bit(C("mask"), 0)), ["flag", "patch"]).select("source_id")
 
 
-@query("mask_at_center", with_tables("sources pixels", "SELECT source_id, mask FROM (SELECT source_id, x / 16 AS u, y / 16 AS v FROM sources) s LEFT JOIN (SELECT x, y, mask FROM pixels WHERE band = 'N') p ON p.x = CASE WHEN u - floor(u) = 0.5 THEN 2 * round(u / 2) ELSE round(u) END AND p.y = CASE WHEN v - floor(v) = 0.5 THEN 2 * round(v / 2) ELSE round(v) END"))
+@query("mask_at_center", with_tables("sources pixels", "SELECT source_id, mask FROM (SELECT source_id, flag, patch, x / 16 AS u, y / 16 AS v FROM points) s LEFT JOIN pixels p ON p.flag = s.flag AND p.patch = s.patch AND p.x = CASE WHEN u - floor(u) = 0.5 THEN 2 * round(u / 2) ELSE round(u) END AND p.y = CASE WHEN v - floor(v) = 0.5 THEN 2 * round(v / 2) ELSE round(v) END", _LOCAL))
 def mask_at_center(spark, sf):
-    mask = pixels(spark, sf).filter("band = 'N'").select(C("x").alias("mx"), C("y").alias("my"), "mask")
-    return sources(spark, sf).select("source_id", R.pixel_half_even(C("x") / 16).alias("mx"), R.pixel_half_even(C("y") / 16).alias("my")).join(mask, ["mx", "my"], "left").select("source_id", "mask")
+    points = local_points(spark, sf).withColumns({"x": C("x") / 16, "y": C("y") / 16})
+    return P.mask_at_center(points, pixels(spark, sf), ["flag", "patch"]).select("source_id", "mask")
 
 
-@query("center_validity", with_tables("sources pixels", "SELECT source_id, coalesce((p.mask & 1) = 0, false) AS valid FROM sources s LEFT JOIN (SELECT x, y, mask FROM pixels WHERE band = 'R') p ON p.x = floor(s.x / 15 + 0.5) AND p.y = floor(s.y / 15 + 0.5)"))
+@query("center_validity", with_tables("sources pixels", "SELECT source_id, coalesce((p.mask & 1) = 0, false) AS valid FROM points s LEFT JOIN pixels p ON p.flag = s.flag AND p.patch = s.patch AND p.x = floor(s.x / 15 + 0.5) AND p.y = floor(s.y / 15 + 0.5)", _LOCAL))
 def center_validity(spark, sf):
-    p = pixels(spark, sf).filter("band = 'R'").select(C("x").alias("mx"), C("y").alias("my"), (~E.mask_bit(C("mask"), 0)).alias("ok"))
-    return sources(spark, sf).select("source_id", R.pixel_half_up(C("x") / 15).alias("mx"), R.pixel_half_up(C("y") / 15).alias("my")).join(p, ["mx", "my"], "left").select("source_id", F.coalesce("ok", F.lit(False)).alias("valid"))
+    points = local_points(spark, sf).withColumns({"x": C("x") / 15, "y": C("y") / 15})
+    return P.center_validity(points, pixels(spark, sf), ~E.mask_bit(C("mask"), 0), ["flag", "patch"]).select("source_id", "valid")
 
 
 @query("candidate_weights", with_tables("samples", "SELECT source, patch, bands, num_samples, round(0.2::DOUBLE + 0.8::DOUBLE * pow(CASE WHEN top > 0 THEN f / top ELSE 0 END, 2), 6) AS weight FROM (SELECT *, max(f) OVER (PARTITION BY source) AS top FROM (SELECT source, patch, count(DISTINCT band) AS bands, sum(num_samples)::BIGINT AS num_samples, sum(CASE WHEN band = 'SMALL' THEN num_samples ELSE 0 END)::DOUBLE / sum(num_samples) AS f FROM samples GROUP BY ALL))"))
@@ -322,40 +361,38 @@ def candidate_weights(spark, sf):
 
 @query("selector_summary", with_tables("samples", "SELECT source, count(*) AS samples, sum(num_samples)::BIGINT AS tiles, count(DISTINCT patch) AS patches, count(DISTINCT grp) AS groups FROM samples GROUP BY source"))
 def selector_summary(spark, sf):
-    return samples(spark, sf).groupBy("source").agg(F.count("*").alias("samples"), F.sum("num_samples").alias("tiles"), F.countDistinct("patch").alias("patches"), F.countDistinct("grp").alias("groups"))
+    return A.selector_summary(samples(spark, sf))
 
 
-@query("weighted_sample")
+_DRAWN = "ranked AS (SELECT source, patch, -ln((('0x' || substr(md5('3:' || source || ':' || patch), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / (0.2::DOUBLE + 0.8::DOUBLE * pow(CASE WHEN top > 0 THEN f / top ELSE 0 END, 2)) AS k FROM (SELECT *, max(f) OVER (PARTITION BY source) AS top FROM (SELECT source, patch, sum(CASE WHEN band = 'SMALL' THEN num_samples ELSE 0 END)::DOUBLE / sum(num_samples) AS f FROM samples GROUP BY ALL)))"
+
+
+@query("weighted_sample", with_tables("samples", "SELECT source, patch FROM (SELECT *, row_number() OVER (ORDER BY k, source, patch) AS n FROM ranked) WHERE n <= 50", _DRAWN))
 def weighted_sample(spark, sf):
     return A.weighted_sample(A.candidate_weights(samples(spark, sf), ["SMALL"]), 50, 3, ["source", "patch"]).select("source", "patch")
 
 
-@query("train_val_split", with_tables("samples", "SELECT DISTINCT source || ':' || patch AS place, 1 AS parts FROM samples"))
+@query("train_val_split", with_tables("samples", "SELECT sample_id, CASE WHEN k <= greatest(1, round_even(places * 0.1, 0)) THEN 'validation' ELSE 'train' END AS part FROM samples JOIN (SELECT source, patch, row_number() OVER (ORDER BY md5('7:' || source || ':' || patch), source, patch) AS k, count(*) OVER () AS places FROM (SELECT DISTINCT source, patch FROM samples)) USING (source, patch)"))
 def train_val_split(spark, sf):
-    s = A.train_val_split(samples(spark, sf), 0.1, ["source", "patch"], 7)
-    return s.groupBy(F.concat_ws(":", "source", "patch").alias("place")).agg(F.countDistinct("part").cast("int").alias("parts"))
+    return A.train_val_split(samples(spark, sf), 0.1, ["source", "patch"], 7).select("sample_id", "part")
 
 
-@query("fixed_selectors", with_tables("samples", "SELECT place, source, source IN (SELECT source FROM samples) AS found FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END AS source FROM part WHERE p_partkey < 20)"))
+@query("fixed_selectors", with_tables("samples", "SELECT p_partkey AS place, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END AS source, p_partkey % 2 = 0 AS found FROM part"))
 def fixed_selectors(spark, sf):
-    wanted = read(spark, sf, "part").filter("p_partkey < 20").selectExpr("p_partkey AS place", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END AS source")
+    wanted = read(spark, sf, "part").selectExpr("p_partkey AS place", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END AS source")
     return A.fixed_selectors(samples(spark, sf), wanted, "source")
 
 
-@query("natural_sort", "SELECT place, patch FROM (SELECT row_number() OVER (ORDER BY p_partkey % 12, p_size, p_partkey) AS place, (p_partkey % 12) || ',' || p_size AS patch FROM part) WHERE place <= 500")
+@query("natural_sort", "SELECT row_number() OVER (ORDER BY p_partkey % 12, p_size, p_partkey) AS place, p_partkey, (p_partkey % 12) || ',' || p_size AS patch FROM part")
 def natural_sort(spark, sf):
-    p = read(spark, sf, "part").withColumn("patch", F.concat_ws(",", (C("p_partkey") % 12).cast("string"), C("p_size").cast("string")))
-    parts = F.split("patch", ",")
-    top = p.orderBy(parts[0].cast("int"), parts[1].cast("int"), "p_partkey").limit(500)
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy(parts[0].cast("int"), parts[1].cast("int"), "p_partkey")).cast("long").alias("place"), "patch")
+    p = read(spark, sf, "part").select("p_partkey", F.concat_ws(",", (C("p_partkey") % 12).cast("string"), C("p_size").cast("string")).alias("patch"))
+    return A.natural_sort(p, "patch", "p_partkey").select("place", "p_partkey", "patch")
 
 
 @query("concat_classes", with_tables(S, "SELECT source_id, area, NULL::DOUBLE AS flux_err FROM sources WHERE f_edge UNION ALL SELECT source_id, NULL, flux_err FROM sources WHERE f_sat"))
 def concat_classes(spark, sf):
     s = sources(spark, sf)
-    return s.filter("f_edge").select("source_id", "area").unionByName(s.filter("f_sat").select("source_id", "flux_err"), allowMissingColumns=True)
+    return A.concat_classes([s.filter("f_edge").select("source_id", "area"), s.filter("f_sat").select("source_id", "flux_err")])
 
 
 @query("unique_targets", with_tables(S, "SELECT source_id, part::INT AS part FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY part, source_id) AS n FROM (SELECT source_id, x || ':' || y || ':' || band AS k, 0 AS part FROM sources WHERE f_edge UNION ALL SELECT source_id, x || ':' || y || ':' || band, 1 FROM sources WHERE c % 3 = 0)) WHERE n = 1"))
@@ -379,23 +416,25 @@ def label_override(spark, sf):
     return A.label_override(sources(spark, sf).select("source_id", C("band").alias("class")), labels)
 
 
-@query("id_set_algebra", with_tables(S, "SELECT 'both' AS kind, count(*) AS n FROM (SELECT user_id FROM sources WHERE band = 'view' INTERSECT SELECT user_id FROM sources WHERE band = 'error') UNION ALL SELECT 'only', count(*) FROM (SELECT user_id FROM sources WHERE band = 'view' EXCEPT SELECT user_id FROM sources WHERE band = 'error')"))
+@query("id_set_algebra", with_tables(S, "SELECT * FROM (SELECT 'both' AS kind, count(*) AS n FROM (SELECT user_id FROM sources WHERE band = 'view' INTERSECT SELECT user_id FROM sources WHERE band = 'error') UNION ALL SELECT 'only_a', count(*) FROM (SELECT user_id FROM sources WHERE band = 'view' EXCEPT SELECT user_id FROM sources WHERE band = 'error') UNION ALL SELECT 'only_b', count(*) FROM (SELECT user_id FROM sources WHERE band = 'error' EXCEPT SELECT user_id FROM sources WHERE band = 'view')) WHERE n > 0"))
 def id_set_algebra(spark, sf):
     s = sources(spark, sf)
-    a, b = (s.filter(C("band") == k).select("user_id").distinct() for k in ("view", "error"))
-    n = lambda df, k: df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"))
-    return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "only"))
+    return A.id_set_algebra(s.filter("band = 'view'"), s.filter("band = 'error'"), "user_id")
+
+
+# The second of two starts moves from 368 to the edge.
+_TILE_STARTS = "starts AS (SELECT i, i * 512 AS at FROM (SELECT unnest(range(2)) AS i))"
 
 
-@query("tile_grid", "SELECT r * 11 + c AS k, CASE WHEN c = 10 THEN 3688 ELSE c * 368 END AS x0, CASE WHEN r = 10 THEN 3688 ELSE r * 368 END AS y0 FROM (SELECT unnest(range(11)) AS r), (SELECT unnest(range(11)) AS c) WHERE r < (SELECT count(*) FROM nation)")
+@query("tile_grid", with_tables(S, "SELECT source_id, c.i::INT AS col, r.i::INT AS row FROM (SELECT source_id, x - patch * 2048 AS lx, y FROM sources) JOIN starts c ON lx >= c.at AND lx < c.at + 512 JOIN starts r ON y >= r.at AND y < r.at + 512", _TILE_STARTS))
 def tile_grid(spark, sf):
-    n = read(spark, sf, "nation").count()
-    return A.tile_grid(spark, 4200, 4200, 512, 368).filter(C("row") < n).select((C("row") * 11 + C("col")).cast("long").alias("k"), "x0", "y0")
+    s = sources(spark, sf).selectExpr("source_id", "x - patch * 2048 AS x", "y")
+    return A.tile_of(s, A.tile_grid(spark, 1024, 1024, 512, 368)).select("source_id", "col", "row")
 
 
 @query("confidence_points", r(f"SELECT source_id, x, y FROM rich WHERE {sfin('snr')} AND snr > 5"))
 def confidence_points(spark, sf):
-    return rich(spark, sf).filter(R.snr_class(C("snr"), F.lit(False)) != "ignore").select("source_id", "x", "y")
+    return R.confidence_points(rich(spark, sf), C("snr"), F.lit(False)).select("source_id", "x", "y")
 
 
 @query("id_pairs_matched", with_tables(SD, "SELECT count(*) AS pairs, count(DISTINCT a) AS detections, count(DISTINCT b) AS sources FROM near", NEAR))

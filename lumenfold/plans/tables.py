@@ -38,7 +38,7 @@ def smag(text: str, zero_point: float = 27.0) -> str:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One measured source an event; a few fluxes are NaN, NULL or negative."""
+    """One measured source an event, patches of 16,384 side by side; a few fluxes are NaN, NULL or negative."""
     e = read(spark, sf_dir, "events")
     x = lambda t: F.expr(t)
     e = e.withColumn("c", F.round(F.col("value") * 100).cast("long"))
@@ -46,7 +46,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         x("event_id AS source_id"), x("event_type AS band"), x("user_id"), x("c"), x("ts"),
         x("CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id - event_id % 4 END AS parent"),
         x("CASE WHEN event_id % 4 = 0 THEN 3 ELSE 0 END AS n_child"),
-        x("CAST((c * 7919 + event_id * 31) % 1024 AS DOUBLE) AS x"), x("CAST((event_id * 104729 + user_id * 613) % 1021 AS DOUBLE) AS y"),
+        x("event_id div 16384 AS patch"), x("CAST((c * 7919 + event_id * 31) % 1024 + event_id div 16384 * 2048 AS DOUBLE) AS x"), x("CAST((event_id * 104729 + user_id * 613) % 1021 AS DOUBLE) AS y"),
         x("CASE WHEN event_id % 101 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 103 = 0 THEN NULL WHEN event_id % 107 = 0 THEN -value ELSE value END AS flux"),
         x("CAST(event_id % 13 AS DOUBLE) / 4D + 0.5D AS flux_err"),
         x("value * (CAST(event_id % 7 AS DOUBLE) / 4D + 0.5D) AS ap_flux"), x("value * (CAST(event_id % 5 AS DOUBLE) / 8D + 0.75D) AS kron_flux"),
@@ -62,7 +62,7 @@ SOURCES_SQL = """
 sources AS (SELECT event_id AS source_id, event_type AS band, user_id, c, ts,
   CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id - event_id % 4 END AS parent,
   CASE WHEN event_id % 4 = 0 THEN 3 ELSE 0 END AS n_child,
-  ((c * 7919 + event_id * 31) % 1024)::DOUBLE AS x, ((event_id * 104729 + user_id * 613) % 1021)::DOUBLE AS y,
+  event_id // 16384 AS patch, ((c * 7919 + event_id * 31) % 1024 + event_id // 16384 * 2048)::DOUBLE AS x, ((event_id * 104729 + user_id * 613) % 1021)::DOUBLE AS y,
   CASE WHEN event_id % 101 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 103 = 0 THEN NULL WHEN event_id % 107 = 0 THEN -value ELSE value END AS flux,
   (event_id % 13)::DOUBLE / 4::DOUBLE + 0.5::DOUBLE AS flux_err,
   value * ((event_id % 7)::DOUBLE / 4::DOUBLE + 0.5::DOUBLE) AS ap_flux, value * ((event_id % 5)::DOUBLE / 8::DOUBLE + 0.75::DOUBLE) AS kron_flux,
@@ -113,14 +113,19 @@ samples AS (SELECT p_partkey AS sample_id, p_brand AS source, p_size::VARCHAR AS
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pixel plane a return flag: mean price as image, line numbers as mask bits."""
-    p = read(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS band", "CAST(l_partkey % 64 AS INT) AS x", "CAST(l_suppkey % 64 AS INT) AS y", "CAST(round(l_extendedprice * 100) AS BIGINT) AS p", "l_linenumber % 8 AS m")
-    return p.groupBy("band", "x", "y").agg((F.sum("p") / F.count("*") / 100.0).alias("image"), F.pmod(F.sum("m"), F.lit(8)).cast("long").alias("mask"), F.count("*").alias("n")).withColumn("variance", 1.0 + F.col("n") / 4.0)
+    """A pixel plane a return flag and 32,768 orders: mean price as image, line numbers as mask bits.
+
+    ``band`` names a plane, and ``cell`` a pixel among all planes.
+    """
+    p = read(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS flag", "l_orderkey div 32768 AS patch", "CAST(l_partkey % 64 AS INT) AS x", "CAST(l_suppkey % 64 AS INT) AS y", "CAST(round(l_extendedprice * 100) AS BIGINT) AS p", "l_linenumber % 8 AS m")
+    g = p.groupBy("flag", "patch", "x", "y").agg((F.sum("p") / F.count("*") / 100.0).alias("image"), F.pmod(F.sum("m"), F.lit(8)).cast("long").alias("mask"), F.count("*").alias("n"))
+    code = F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)
+    return g.withColumns({"variance": 1.0 + F.col("n") / 4.0, "band": F.concat("flag", F.col("patch").cast("string")), "cell": (F.col("patch") * 4 + code) * 4096 + F.col("x") * 64 + F.col("y")})
 
 
 PIXELS_SQL = """
-pixels AS (SELECT *, 1.0::DOUBLE + n / 4.0::DOUBLE AS variance FROM (SELECT l_returnflag AS band, (l_partkey % 64)::INT AS x, (l_suppkey % 64)::INT AS y,
-  sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / count(*) / 100.0::DOUBLE AS image, (sum(l_linenumber % 8) % 8)::BIGINT AS mask, count(*) AS n FROM lineitem GROUP BY 1, 2, 3))"""
+pixels AS (SELECT *, 1.0::DOUBLE + n / 4.0::DOUBLE AS variance, flag || patch AS band, (patch * 4 + CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) * 4096 + x * 64 + y AS cell FROM (SELECT l_returnflag AS flag, l_orderkey // 32768 AS patch, (l_partkey % 64)::INT AS x, (l_suppkey % 64)::INT AS y,
+  sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / count(*) / 100.0::DOUBLE AS image, (sum(l_linenumber % 8) % 8)::BIGINT AS mask, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4))"""
 
 _ALL = {"sources": SOURCES_SQL, "detections": DETECTIONS_SQL, "refit": REFIT_SQL, "weights": WEIGHTS_SQL, "samples": SAMPLES_SQL, "pixels": PIXELS_SQL}
 

@@ -55,9 +55,9 @@ def scan_weights(spark: SparkSession, path: str, collection: str | None = None,
     return (rows.filter("valid") if valid_only else rows).drop("valid")
 
 
-def scan_group_meta_json(spark: SparkSession, path: str) -> DataFrame:
-    """(group_index, total, n, low, high) of the selected weights in group descriptions."""
-    df = spark.read.schema("group_index INT, selected_weights ARRAY<DOUBLE>").option("multiLine", True).json(path)
+def scan_group_meta_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(group_index, total, n, low, high) of the selected weights in group descriptions: one a file, or one a line."""
+    df = spark.read.schema("group_index INT, selected_weights ARRAY<DOUBLE>").option("multiLine", multiline).json(path)
     w = df.select("group_index", F.explode("selected_weights").alias("w")).filter(finite("w") & (F.col("w") > 0))
     return w.groupBy("group_index").agg(F.sum("w").alias("total"), F.count("*").alias("n"), F.min("w").alias("low"), F.max("w").alias("high"))
 
@@ -69,25 +69,54 @@ def scan_tracks_tsv(spark: SparkSession, path: str, sequence: str) -> DataFrame:
     return df.select(F.lit(sequence).alias("sequence"), *ints, *[number(c).alias(c) for c in ("x", "y", "z")], (2 * number("radius")).alias("diameter")).filter("t is not null")
 
 
-def scan_nuclei_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, cell, x, y, z, radius) of headless nuclei files, by position; the frame is the file's number less one."""
+def scan_nuclei_rows(spark: SparkSession, path: str, number_of: str = r"(\d+)[^/\d]*$") -> DataFrame:
+    """(frame, cell, x, y, z, radius) of headless nuclei files, by position; the frame is the number in the file's path less one.
+
+    ``number_of``: a pattern whose first group is that number. Rows of fewer than eleven columns are dropped.
+    """
     parts = F.split("value", r"\s*,\s*")
-    df = spark.read.text(path).withColumn("frame", F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int") - 1)
+    df = spark.read.text(path).select("value", (F.regexp_extract(F.input_file_name(), number_of, 1).try_cast("int") - 1).alias("frame"))
     at = lambda i: number(parts[i])
     return df.filter(F.size(parts) >= 11).select("frame", number(parts[0], "int").alias("cell"), at(5).alias("x"), at(6).alias("y"), at(7).alias("z"), (at(8) / 2).alias("radius"))
 
 
+#: Columns of a pixel plane's table; further ones stay.
+PIXEL_COLUMNS = {"x": "int", "y": "int", "image": "double", "mask": "long", "variance": "double"}
+
+
+def sink_pixel_planes(df: DataFrame, path: str, mode: str = "overwrite", cell: int = 256) -> None:
+    """One folder a tract, patch and band, in the order of grid cells, so that a cut-out reads few row groups."""
+    keys = [c for c in PARTITIONS if c in df.columns]
+    at = [F.floor(F.col(c) / cell) for c in ("y", "x")]
+    df.repartition(*keys, *at).sortWithinPartitions(*keys, *at, "y", "x").write.mode(mode).partitionBy(*keys).parquet(path)
+
+
 def scan_pixel_planes(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel planes as one long table (tract, patch, band, x, y, image, mask, variance)."""
-    return spark.read.parquet(path)
+    """Pixel planes as one long table (tract, patch, band, x, y, image, mask, variance) in sky pixels.
+
+    ``x_origin`` and ``y_origin``, where a table has them, are the sky position of its plane's first pixel.
+    """
+    df = spark.read.parquet(path)
+    missing = [c for c in PIXEL_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"a pixel plane needs {', '.join(missing)}")
+    out = df.withColumns({c: F.col(c).cast(t) for c, t in PIXEL_COLUMNS.items()})
+    for c in ("x", "y"):
+        if f"{c}_origin" in df.columns:
+            out = out.withColumn(c, (F.col(c) + F.col(f"{c}_origin")).cast("int"))
+    return out.drop("x_origin", "y_origin")
 
 
-def discover_samples(spark: SparkSession, path: str, sources: list[str], bands: list[str]) -> DataFrame:
-    """Metadata rows of finished single-band sample stores of the wanted sources and bands."""
+def discover_samples(spark: SparkSession, path: str, sources: list[str], bands: list[str], multiline: bool = True) -> DataFrame:
+    """Metadata rows of finished single-band sample stores of the wanted sources and bands: one a file, or one a line.
+
+    Sources agree whatever their case; an empty list wants all.
+    """
     schema = "source STRING, bands ARRAY<STRING>, patch STRING, grp STRING, num_samples INT, finished BOOLEAN"
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", multiline).json(path)
     one = df.filter(F.coalesce("finished", F.lit(False)) & (F.size("bands") == 1)).withColumn("band", F.col("bands")[0])
-    return one.filter(F.col("source").isin(sources) & F.col("band").isin(bands)).drop("bands", "finished")
+    wanted = F.lower("source").isin([s.lower() for s in sources]) if sources else F.lit(True)
+    return one.filter(wanted & (F.col("band").isin(bands) if bands else F.lit(True))).drop("bands", "finished")
 
 
 def sink_classed_catalog(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -106,12 +135,12 @@ def region_lines(df: DataFrame, color: str = "green", point_color: str = "yellow
     ellipse = finite("a") & finite("b") & finite("theta") & (F.col("a") * F.col("b") * 3.141592653589793 <= large_as_point)
     x, y = F.col("x") + 1, F.col("y") + 1
     line = F.when(ellipse, F.format_string(f"image;ellipse(%.3f,%.3f,%.3f,%.3f,%.3f) # color={color}", x, y, F.col("a"), F.col("b"), F.degrees("theta"))).otherwise(F.format_string(f"image;point(%.3f,%.3f) # point=x color={point_color}", x, y))
-    return df.filter(finite("x") & finite("y")).select("source_id", line.alias("value"))
+    return df.filter(finite("x") & finite("y")).select("source_id", *[c for c in ("source_class",) if c in df.columns], line.alias("value"))
 
 
-def sink_region_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def sink_region_text(df: DataFrame, path: str, mode: str = "overwrite", large_as_point: float = 1e4) -> None:
     """Region lines as text, below one folder a class where there is one."""
-    lines = region_lines(df).join(df.select("source_id", *[c for c in ("source_class",) if c in df.columns]), "source_id").drop("source_id")
+    lines = region_lines(df, large_as_point=large_as_point).drop("source_id")
     writer = lines.write.mode(mode)
     (writer.partitionBy("source_class") if "source_class" in lines.columns else writer).text(path)
 
