@@ -18,7 +18,7 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one step of NumPy work takes at most, but for single longer documents.
 STEP_BYTES = 1 << 20
 #: Rows whose new columns go back to Spark at once, where the text itself does not.
-STEP_ROWS = 2048
+STEP_ROWS = 512
 
 _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False
