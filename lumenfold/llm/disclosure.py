@@ -1,7 +1,8 @@
-"""Personal data: pattern spans, and terms that disclose protected entities.
+"""Personal data: pattern spans, secrets, and terms that disclose protected entities.
 
-Base spans are addresses, card and phone numbers by pattern. Each value found is a protected entity.
-Over the corpus, a term's pointwise mutual information with an entity, from counts of whole documents
+Base spans are addresses, card and phone numbers by pattern. Secrets are long runs in which letters and
+digits take turns, as in keys and tokens: so much information that no word of a language has it. Each
+value found is a protected entity. Over the corpus, a term's pointwise mutual information with an entity, from counts of whole documents
 with either and both, says how much of the entity's information content the term gives away; all
 places of terms that give away more than a threshold are spans too, to be generalised or removed.
 """
@@ -39,6 +40,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
+# A secret: so many characters, and changes between letters and digits, at least.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_TURN = re.compile("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+LEAST_TURNS = 5
 # A term is a run of letters, or of anything outside ASCII.
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -83,8 +88,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(secret, start, end) of the secrets that share no character with a base span."""
+    out = []
+    for m in _SECRET.finditer(text):
+        a, b = m.span()
+        if len(_TURN.findall(m[0])) >= LEAST_TURNS and not any(x < b and a < y for _, x, y in base):
+            out.append(("secret", a, b))
+    return out
+
+
 def _entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(_DIGITS.findall(value))}"
+    return f"{kind}:{value.lower() if kind == 'email' else value if kind in ('ip', 'secret') else ''.join(_DIGITS.findall(value))}"
 
 
 def term_bounds(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,20 +135,23 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 def _find(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def make():
         def work(texts: pa.Array) -> list:
-            spans, entities, terms, sequences = [], [], [], []
+            spans, secrets, entities, terms, sequences = [], [], [], [], []
             for value in texts:
                 text = value.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+                hidden = secret_spans(text, found)
+                secrets.append([{"kind": k, "start": a, "end": b} for k, a, b in hidden])
+                found = found + hidden
                 entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
                 hashes, sequence = terms_of(text) if found else ((), 0)
                 terms.append(hashes)
                 sequences.append(sequence)
-            return [pa.array(spans, _SPAN_TYPE), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64())), pa.array(sequences, pa.int64())]
+            return [pa.array(spans, _SPAN_TYPE), pa.array(secrets, _SPAN_TYPE), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64())), pa.array(sequences, pa.int64())]
 
         return work
 
-    return append_columns(docs, make, f"base {_SPAN}, __entities array<string>, __terms array<long>, __sequence long", text_col, keep)
+    return append_columns(docs, make, f"base {_SPAN}, secrets {_SPAN}, __entities array<string>, __terms array<long>, __sequence long", text_col, keep)
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -189,7 +207,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(__row, terms): every place of ``terms`` (hash) in the texts of ``docs`` (__row and text_col) outside base spans."""
+    """(__row, terms): every place of ``terms`` (hash) in the texts of ``docs`` (__row and text_col) outside base spans and secrets."""
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
@@ -209,7 +227,9 @@ def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
                     points = code_points(text)
                     a, b = points[starts[own] - at[d]], points[ends[own] - at[d]]
                     free = np.ones(len(a), bool)
-                    base = sorted((x, y) for _, x, y in base_spans(text.tobytes().decode()))
+                    whole = text.tobytes().decode()
+                    base = base_spans(whole)
+                    base = sorted((x, y) for _, x, y in base + secret_spans(whole, base))
                     if base:
                         reach = np.concatenate([[0], np.maximum.accumulate([y for _, y in base])])
                         free = reach[np.searchsorted([x for x, _ in base], b)] <= a
@@ -255,7 +275,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, least: int = LEAST_CONTEXTS) -> DataFrame:
-    """One row a row of ``docs``: id_col, base and terms, arrays of (kind, start, end) in code points.
+    """One row a row of ``docs``: id_col, base, secrets and terms, arrays of (kind, start, end) in code points.
 
     Base spans are in the order of KINDS, then start; terms (kind ``term``) by start, in every text that
     holds one, also without the entity. Null texts are empty. Rows that repeat an id keep their own
@@ -264,11 +284,11 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
     found = stash(_find(keyed, text_col, [id_col, "__row"]).withColumn("__at", F.monotonically_increasing_id()), "spans")
     told = disclosing_terms(found, docs, text_col, disclosed, least)
-    base = found.select(id_col, "__row", "base")
+    base = found.select(id_col, "__row", "base", "secrets")
     if told is None:
-        return base.select(id_col, "base", F.expr(f"cast(array() as {_SPAN})").alias("terms"))
+        return base.select(id_col, "base", "secrets", F.expr(f"cast(array() as {_SPAN})").alias("terms"))
     spans = term_spans(keyed, told, text_col)
-    return base.join(spans, "__row", "left").select(id_col, "base", F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
+    return base.join(spans, "__row", "left").select(id_col, "base", "secrets", F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
 
 
 def span_text(spans) -> Column:
@@ -277,11 +297,11 @@ def span_text(spans) -> Column:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with base spans generalised to [KIND] and disclosing terms removed to [TERM].
+    """``docs`` with base spans and secrets generalised to [KIND] and disclosing terms removed to [TERM].
 
     Of overlapping spans the one that begins first, and then the longer, is replaced; ids must be unique.
     """
-    spans = found.select(F.col(id_col).alias("__id"), F.array_sort(F.concat("base", "terms"), lambda a, b: (F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))).alias("__spans"))
+    spans = found.select(F.col(id_col).alias("__id"), F.array_sort(F.concat("base", "secrets", "terms"), lambda a, b: (F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))).alias("__spans"))
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

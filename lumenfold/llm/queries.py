@@ -94,7 +94,7 @@ def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.find_personal(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(disclosure.span_text("base").cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *map(count, disclosure.KINDS), base, disclosure.span_text(F.concat("base", "terms")).alias("spans"))
+    return found.select("doc_id", *map(count, disclosure.KINDS), base, disclosure.span_text(F.concat("base", "secrets", "terms")).alias("spans"), (F.size("base") + F.size("secrets")).cast("long").alias("n_personal"), F.size("terms").cast("long").alias("n_terms"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

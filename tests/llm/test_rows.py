@@ -202,6 +202,16 @@ def test_base_spans(spark, sf, docs, odd):
     assert by[(6, 2)] == 1 and sum(by.values()) == 9
 
 
+def test_secrets_are_spans_and_words_are_not(spark):
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    texts = [f'é token = "{key}" here', "see /2024/11/how-to-write-a-very-long-title-2024 or aaaaaaaaaaaaaaaaaaaaaaaaaaa", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", f"x{key}@mail.example.com"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = disclosure.find_personal(table)
+    got = {r.doc_id: [(s["kind"], texts[r.doc_id][s["start"] : s["end"]]) for s in r.secrets] for r in found.collect()}
+    assert got == {0: [("secret", key)], 1: [], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in disclosure.sanitise(table, found).collect()}[0] == 'é token = "[SECRET]" here'
+
+
 def test_disclosing_terms_are_found_and_removed(spark, empty):
     rows = [(i, f"ask zebulon kwarx at bob@x.com about case {i} {'foo ' * i}") for i in range(5)] + [(100 + i, f"nothing about case {i} to ask at all") for i in range(80)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
