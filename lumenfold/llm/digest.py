@@ -16,6 +16,8 @@ from lumenfold.session import stash
 SLICE_ROWS, MOST_SLICES = 4096, 128 * 128
 #: Rows up to which a list of repeated fingerprints is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+
+
 def _bind(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -26,6 +28,11 @@ def _nfkc(text: Column) -> Column:
     return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
 
+def _folded(text: Column) -> Column:
+    """Full case folding over all planes, by the same library."""
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
+
+
 # White space but for the plain space, and the characters below U+0100 with another NFKC form.
 _OTHER_SPACE = r"\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _UNUSUAL = r"[\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\x{10ffff}]"
@@ -34,12 +41,13 @@ _UNUSUAL = r"[\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty.
 
-    NFKC (compatibility forms, marks in canonical order, composed; Hangul too); letters are lower case, ß is ss and a final
-    sigma a plain one; runs of white space are one space, and none at the ends.
+    NFKC (compatibility forms, marks in canonical order, composed; Hangul too) of the full case folding
+    of the NFKC form; runs of white space are one space, and none at the ends. Texts of characters below
+    U+0100 that NFKC leaves alone need lower case and ss for ß alone.
     """
     out = F.coalesce(text, F.lit(""))
-    out = F.when(out.rlike(_UNUSUAL), _nfkc(out)).otherwise(out)
-    folded = F.replace(F.replace(F.lower(out), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    plain = F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
+    folded = F.when(out.rlike(_UNUSUAL), _nfkc(_folded(_nfkc(out)))).otherwise(plain)
     # What is a single plain space already stays untouched.
     runs = f" ?[{_OTHER_SPACE}][ {_OTHER_SPACE}]*| {{2,}}[ {_OTHER_SPACE}]*"
     return F.trim(F.regexp_replace(folded, runs, " "))
@@ -112,7 +120,9 @@ def fingerprints_with_edits(docs: DataFrame, text_col: str = "text", id_col: str
     A null text is empty. The edited text has its last third (floor) replaced by the first as many
     code points of the next document by descending id. ``near_edited`` and ``near_next`` are 1 where
     the fingerprints agree and else 0: an exact digest knows no more. ``canonical_id``: the least id
-    among documents with the same canonical bytes. Repeated rows stay; an empty table gives none.
+    among documents with the same canonical bytes. Texts count whole, however long; repeated rows stay,
+    ids that repeat are in order of their texts, columns of ``docs`` other than the two are not read,
+    and an empty table gives none.
     """
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     led = with_next(base, "__text", {"fingerprint": fingerprint(canonical(F.col("__text")))}, id_col)
