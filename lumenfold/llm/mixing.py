@@ -36,7 +36,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     them. A target stops at ``most`` times its source; the excess is shared anew by weight until none
     is above. With f words for each unit of weight a target is min(weight * f, most * size): sources
     are full in the order of most * size / weight, so a running sum over that order finds f. The
-    table has one row a source, summed before it comes here.
+    table has one row a source, summed before it comes here: its windows take all sources in one task,
+    a row of three numbers each, as their order by name and one level for all of them need.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
@@ -65,7 +66,8 @@ def pareto_mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_i
     words miss its target by less than the document that comes last in the order, and by no more
     than the best document that could close the gap. Draws come from a hash of id_col and ``seed``,
     so reruns agree; equal ids are told apart by their size, and rows equal in both are alike.
-    Null ids, texts and sources are values of their own. An empty table gives an empty one.
+    Null ids, texts and sources are values of their own. Texts count whole, however long; columns of
+    ``docs`` other than the named ones are not read. An empty table gives an empty one.
     """
     size = word_count(text_col) if size is None else size
     base = stash(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), (F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), weight.cast("double"))).alias("__w")), "sizes")

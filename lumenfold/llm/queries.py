@@ -42,11 +42,18 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pareto_mix_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents that differ in weight, so that inclusion probabilities are unequal."""
+    found = mixing.pareto_mix(documents(spark, sf_dir), weight=F.expr("1 + pmod(doc_id, 4)"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: @WEIGHT@: a document's weight.
 OP4_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, (@WEIGHT@)::DOUBLE AS weight FROM documents
 ), totals AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * weight) AS weighted FROM base GROUP BY source
 ), numbered AS (
   SELECT *, (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS w,
          source_size * 2.0::DOUBLE AS cap FROM totals
@@ -58,10 +65,10 @@ WITH base AS (
 ), level AS (
   SELECT (budget - before) / open AS level FROM run WHERE (budget - before) / open <= filled ORDER BY filled, level LIMIT 1
 ), aims AS (
-  SELECT r.source, r.source_size, coalesce(least(r.w * l.level, r.cap), r.cap) AS target FROM run r LEFT JOIN level l ON true
+  SELECT r.source, r.source_size, r.weighted, coalesce(least(r.w * l.level, r.cap), r.cap) AS target FROM run r LEFT JOIN level l ON true
 ), drawn AS (
   SELECT b.doc_id, b.source, b.size, a.source_size, a.target,
-         CASE WHEN a.source_size > 0 THEN least(2.0::DOUBLE, a.target / a.source_size::DOUBLE) ELSE 0.0::DOUBLE END AS expected,
+         CASE WHEN a.weighted > 0 THEN least(2.0::DOUBLE, a.target / a.weighted * b.weight) ELSE 0.0::DOUBLE END AS expected,
          (('0x' || substr(md5('17:' || b.doc_id || ':' || b.size), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM base b JOIN aims a ON b.source IS NOT DISTINCT FROM a.source
 ), sure AS (
@@ -111,6 +118,7 @@ QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_pareto_mix": op4_pareto_mix,
+    "op4_pareto_mix_weighted": op4_pareto_mix_weighted,
     "op5_signature_tree_join": op5_signature_tree_join,
     "op6_line_templates": op6_line_templates,
     "op7_exact_digest": op7_exact_digest,
@@ -120,5 +128,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_pareto_mix": OP4_SQL,
+    "op4_pareto_mix": OP4_SQL.replace("@WEIGHT@", "1"),
+    "op4_pareto_mix_weighted": OP4_SQL.replace("@WEIGHT@", "1 + doc_id % 4"),
 }

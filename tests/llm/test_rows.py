@@ -100,7 +100,8 @@ def test_distances_are_those_of_the_least_determinant(spark):
 
 
 def test_mix_equals_sql(spark, sf):
-    assert difference(queries.op4_pareto_mix(spark, sf), queries.ORACLE_SQL["op4_pareto_mix"], sf) == ""
+    for name in ("op4_pareto_mix", "op4_pareto_mix_weighted"):
+        assert difference(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf) == ""
 
 
 def test_mix_holds_its_promises(docs):
