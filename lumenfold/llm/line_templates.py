@@ -30,8 +30,8 @@ LEAF_TOKENS, LINE_TOKENS = 1 << 20, 2048
 STEP_TOKENS, SALTS = 1 << 18, 16
 #: Bits of the filter of leaves whose lines travel; false hits are joined away.
 FILTER_BITS = 1 << 24
-#: Lines to be dropped up to which they are broadcast; more are joined by shuffle.
-BROADCAST_LINES = 500_000
+#: Recurring lines up to which they are broadcast, 16 bytes each; more meet the documents by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Rows whose texts are rebuilt in one step.
 OUT_ROWS = 1024
 _FIELD = np.uint64(0x1F83D9ABFB41BD6B)
@@ -172,8 +172,8 @@ def general_templates(source: DataFrame, kinds: DataFrame, leaf_tokens: int = LE
     return out
 
 
-def recurring_lines(source: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> DataFrame:
-    """(doc, row, lines): numbers of the lines of each row whose template recurs and stands first elsewhere.
+def recurring_lines(source: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(key, first) of the lines whose template recurs, with its first document; and all lines (doc, row, line, key).
 
     ``source``: doc (long, not null), row (long) and text (not null).
     """
@@ -194,47 +194,75 @@ def recurring_lines(source: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> DataFr
     of_template = lines.select("key", "doc").join(general, "key").select("template", "kept", "doc").distinct().groupBy("template", "kept").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     wide = of_template.filter(F.col("n") >= needed_documents(F.col("kept"))).select("template", "first")
     exact = kinds.filter(F.col("n") >= needed_documents(F.col("tokens"))).select("key", "first")
-    firsts = exact.unionByName(general.join(wide, "template").select("key", "first")).groupBy("key").agg(F.min("first").alias("first"))
-    hits = lines.select("doc", "row", "line", "key").join(firsts, "key").filter(F.col("doc") > F.col("first"))
-    out = stash(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("lines")), "recurring")
-    discard(lines, kinds, general)
-    return out
+    firsts = stash(exact.unionByName(general.join(wide, "template").select("key", "first")).groupBy("key").agg(F.min("first").alias("first")), "recurring")
+    discard(kinds, general)
+    return firsts, lines
 
 
-def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leaf_tokens: int = LEAF_TOKENS) -> DataFrame:
+def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leaf_tokens: int = LEAF_TOKENS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with text_col without recurring lines, and n_lines, n_dropped (long).
 
     Lines are what newlines part, of any length; a line without a token is never a template. The
     document with the least id keeps a recurring template's lines; a null id comes last. A null text
     stays null with no lines. Rows that repeat id and text are alike; columns of ``docs`` named like a
-    new one give way. An empty table gives an empty one.
+    new one give way. An empty table gives an empty one. Up to ``broadcast_keys`` recurring lines go to
+    the documents, which then stay where they are.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = [F.col(f"`{c}`") for c in columns]
     doc, row = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)), F.xxhash64(f"`{id_col}`", f"`{text_col}`")
-    found = recurring_lines(docs.select(doc.alias("doc"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), leaf_tokens)
-    table = found.toDF("__found_doc", "__found_row", "__found_lines")
-    if (found.agg(F.sum(F.size("lines") + 1)).first()[0] or 0) <= BROADCAST_LINES:
-        table = F.broadcast(table)
-    keyed = docs.select(*own, doc.alias("__doc"), row.alias("__row"))
-    joined = keyed.join(table, (F.col("__doc") == F.col("__found_doc")) & (F.col("__row") == F.col("__found_row")), "left").select(*own, "__found_lines")
-    at = columns.index(text_col)
-
-    def cut(batches):
-        for batch in (b.slice(k, OUT_ROWS) for b in batches for k in range(0, b.num_rows, OUT_ROWS)):
-            texts, drops = batch.column(at), batch.column(len(columns)).to_pylist()
-            out, n, gone = [], [], []
-            for text, drop in zip(texts, drops, strict=True):
-                value = text.as_py()
-                n.append(0 if value is None else value.count("\n") + 1)
-                gone.append(len(drop or ()))
-                if drop:
-                    bad = set(drop)
-                    value = "\n".join([x for k, x in enumerate(value.split("\n")) if k not in bad])
-                out.append(value)
-            arrays = [batch.column(i) for i in range(len(columns))]
-            arrays[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+    firsts, lines = recurring_lines(docs.select(doc.alias("doc"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), leaf_tokens)
+    n, at = len(columns), columns.index(text_col)
+
+    def cut(batch: pa.RecordBatch, drops: list) -> pa.RecordBatch:
+        out, counts = [], []
+        for text, drop in zip(batch.column(at), drops, strict=True):
+            value = text.as_py()
+            counts.append(0 if value is None else value.count("\n") + 1)
+            if drop is not None and len(drop):
+                bad = set(drop)
+                value = "\n".join([x for k, x in enumerate(value.split("\n")) if k not in bad])
+            out.append(value)
+        arrays = [batch.column(i) for i in range(n)]
+        arrays[at] = pa.array(out, pa.string())
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array([0 if d is None else len(d) for d in drops], pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+
+    def parts(batches):
+        for batch in batches:
+            yield from (batch.slice(k, OUT_ROWS) for k in range(0, batch.num_rows, OUT_ROWS))
+            give_back()
 
+    if firsts.count() <= broadcast_keys:
+        table = firsts.toArrow().sort_by("key")
+        sent = docs.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), table.column(1).to_numpy()))
+        discard(lines)
+
+        def look(batches):
+            keys, first = sent.value
+            for batch in parts(batches):
+                ids, drops = batch.column(n).to_numpy(), [None] * batch.num_rows
+                for i, _, body, begin in steps(batch.column(at)) if len(keys) else ():
+                    found = parse(body, begin)
+                    place = np.minimum(np.searchsorted(keys, found["key"]), len(keys) - 1)
+                    where = found["doc"] + i
+                    hit = np.flatnonzero((keys[place] == found["key"]) & (ids[where] > first[place]))
+                    edges = np.append(np.flatnonzero(np.append(True, where[hit][1:] != where[hit][:-1])), len(hit)) if len(hit) else np.zeros(1, np.int64)
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        drops[where[hit[a]]] = found["line"][hit[a:b]].tolist()
+                yield cut(batch, drops)
+
+        joined, work = docs.select(*own, doc.alias("__doc")), look
+    else:
+        hits = lines.select("doc", "row", "line", "key").join(firsts, "key").filter(F.col("doc") > F.col("first"))
+        found = stash(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("lines")), "drops").toDF("__found_doc", "__found_row", "__found_lines")
+        discard(lines)
+        keyed = docs.select(*own, doc.alias("__doc"), row.alias("__row"))
+        joined = keyed.join(found, (F.col("__doc") == F.col("__found_doc")) & (F.col("__row") == F.col("__found_row")), "left").select(*own, "__found_lines")
+
+        def work(batches):
+            for batch in parts(batches):
+                yield cut(batch, batch.column(n).to_pylist())
+
+    discard(firsts)
     schema = docs.select(*own).schema.add("n_lines", "long").add("n_dropped", "long")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(work, schema)
