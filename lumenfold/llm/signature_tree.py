@@ -32,6 +32,8 @@ FAMILIES = 8
 _SEGMENTS = 1024
 #: Pairs that a task holds before it shrinks them, and sets whose parts are keyed in one step.
 _HELD_PAIRS, _SIGN_ROWS = 1_000_000, 256
+#: Leaves of a group all of whose pairs are traversed; in larger groups sets meet by their parts.
+LEAF_PAIRS = 64
 #: Rows of the table of candidate sets up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -312,12 +314,12 @@ def _spanning(pairs: DataFrame) -> DataFrame:
 
 
 def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
-    """Links between sets (id, component, tokens) of different components that agree in a part.
+    """Links between sets (g, leaf, leaves, id, component, tokens) of different components of a group.
 
-    Sets meet by the keys of their parts, but for keys that have sets of one component only. A key
-    with more than ``group_sets`` sets has several leaves, and pairs of leaves are traversed on bitmaps
-    alone; the pairs of sets that remain are then decided by the sets. Called for what large groups
-    still have apart after all else.
+    All pairs of a group's leaves are traversed on bitmaps alone; the pairs of sets that remain are then
+    decided by the sets. In groups of more than LEAF_PAIRS leaves sets meet by the keys of their parts
+    instead, but for keys that have sets of one component only; a key with more than ``group_sets``
+    sets has several leaves. Called for what large groups still have apart after all else.
     """
 
     def key(batches):
@@ -335,14 +337,18 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
             tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, tokens)), pa.int64()), pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())], names=["id", "n", "signature"])
 
-    keyed = stash(sets.select("id", "component", "tokens").mapInArrow(key, "key long, id long, component long"), "keys")
+    wide = F.col("leaves") > LEAF_PAIRS
+    keyed = stash(sets.filter(wide).select("id", "component", "tokens").mapInArrow(key, "key long, id long, component long"), "keys")
     mixed = keyed.groupBy("key").agg(F.count("*").alias("__n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     leaves = mixed.select("key", F.ceil(F.col("__n") / group_sets).cast("long").alias("leaves"))
     # Only now do signatures travel: with the keys at which sets of different components meet.
-    met = stash(keyed.join(leaves, "key").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves"))).distinct(), "met")
-    signed = stash(sets.select("id", "tokens").mapInArrow(sign, "id long, n long, signature binary"), "signatures")
+    by_part = keyed.join(leaves, "key").withColumns({"leaf": F.pmod(F.xxhash64("id"), F.col("leaves")), "by_part": F.lit(True)})
+    by_leaf = sets.filter(~wide).select(F.col("g").alias("key"), "id", "component", "leaves", "leaf", F.lit(False).alias("by_part"))
+    met = stash(by_part.select(*by_leaf.columns).unionByName(by_leaf).distinct(), "met")
+    signed = stash(sets.select("id", "tokens").mapInArrow(sign, "id long, n long, signature binary").dropDuplicates(["id"]), "signatures")
     pairs = met.join(signed, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
-    pairs = pairs.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
+    # Inside a leaf of a group all links are known.
+    pairs = pairs.filter("by_part OR leaf <> other").select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
     dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "id")
 
     def work(batches):
@@ -357,7 +363,9 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
 
     candidates = stash(dealt.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     discard(keyed, met, signed)
-    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    tokens = stash(sets.join(_few(wanted), "id", "left_semi").select("id", "tokens").dropDuplicates(["id"]), "tokens")
+    both = candidates.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def decide(batches):
         for batch in batches:
@@ -365,7 +373,7 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
             yield _pairs([(a[i], b[i]) for i in range(len(a)) if linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), t)])
 
     links = stash(both.mapInArrow(decide, "a long, b long"), "links")
-    discard(candidates)
+    discard(candidates, tokens)
     return links
 
 
@@ -462,12 +470,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets = stash(sets.join(small, "id"), "sets")
     sent.unpersist()
     links = stash(_group_links(sets, ["g", "leaf"], t), "links")
-    large = stash(sets.filter("leaves > 1").dropDuplicates(["id"]), "large")
-    discard(members, sets)
+    large = stash(members.filter("leaves > 1"), "large")
     if not large.isEmpty():
-        links = _large_groups(large, links, t, group_sets)
+        links = _large_groups(large, sets, links, t, group_sets)
     labels = connected_components(links)
-    discard(large)
+    discard(members, large, sets)
     # Only sets that link, or that several rows have, can have a least id that is not the row's own.
     named = kinds.join(labels, "id", "left").filter("rows > 1 or component is not null").select("id", "least", F.coalesce("component", "id").alias("set_group"))
     least = named.groupBy("set_group").agg(F.min("least").alias("component_id"))
@@ -478,26 +485,34 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     return full.unionByName(nodes.filter("n_shingles = 0").select(F.col("doc").alias(id_col), *rest, "n_shingles", F.col("doc").alias("component_id"), F.lit(None).cast("long").alias("set_group")))
 
 
-def _large_groups(large: DataFrame, links: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
     """``links`` with those between the leaves of groups that are too large for one task.
 
-    First one set of each component meets the others of its group, again and again in groups that a
-    task can hold, while that joins anything. Groups that are one component then are done; in the others
-    sets of different components meet by their parts.
+    ``large``: id, g, leaf and leaves of their sets; ``sets``: id and tokens. First one set of each
+    component meets the others of its group, again and again in groups that a task can hold, while that
+    joins anything. Groups that are one component then are done; in the others leaves meet.
     """
+    tokens = sets.select("id", "tokens")
     while True:
         labels = connected_components(links)
         known = stash(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
         discard(labels)
         kinds = known.select("g", "component").distinct()
         counts = stash(kinds.groupBy("g").agg(F.count("*").alias("__k")).filter("__k > 1"), "counts")
-        heads = known.filter("id = component").join(counts, "g").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("__k") / group_sets)))
-        more = stash(_group_links(heads, ["g", "part"], t), "links")
+        heads = stash(known.filter("id = component").join(counts, "g").select("id", "g", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("__k") / group_sets)).alias("part")), "heads")
+        more = stash(_group_links(tokens.join(_few(heads), "id"), ["g", "part"], t), "links")
+        discard(heads)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         discard(known, counts)
-    rest = known.join(counts.select("g"), "g", "left_semi")
+    rest = stash(known.join(counts.select("g"), "g", "left_semi"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_cross_links(rest, t, group_sets))
+        links = links.unionByName(_cross_links(tokens.join(_few(rest), "id"), t, group_sets))
+    discard(known, counts)
     return links
