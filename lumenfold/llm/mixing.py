@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import stash
+from lumenfold.session import discard, stash
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Sources up to which their table is broadcast; a larger one is joined by shuffle.
@@ -57,35 +57,32 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return found.select("source", "source_size", target.alias("target"))
 
 
-def pareto_mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row a row of ``docs``: id_col, size, source_size (long), target (double), copies, taken (long).
+def _drawn(rows: DataFrame, aims: DataFrame, n_sources: int, most: float, seed: int) -> DataFrame:
+    """``rows`` (__id, source, size, __w) with their source's columns in ``aims``, and __sure copies and __odds of one more.
 
-    ``size`` (default: words of ``text_col``, null 0) is what targets count. ``weight`` makes the
-    documents of a source differ in expectation: up to the cap it is in proportion to it.
-    ``copies`` is a whole number from 0 to ``most``, ``taken`` is copies times size. A source's taken
-    words miss its target by less than the document that comes last in the order, and by no more
-    than the best document that could close the gap. Draws come from a hash of id_col and ``seed``,
-    so reruns agree; equal ids are told apart by their size, and rows equal in both are alike.
-    Null ids, texts and sources are values of their own. Texts count whole, however long; columns of
-    ``docs`` other than the named ones are not read. An empty table gives an empty one.
+    Both hang on the row and its source alone. Expected copies are in proportion to the weight; what the
+    cap cuts off is left to the gap that the order fills.
     """
-    size = word_count(text_col) if size is None else size
-    base = stash(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), (F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), weight.cast("double"))).alias("__w")), "sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__w")).alias("__weighted"), F.count("*").alias("__rows"))
-    totals = stash(totals, "sources")
-    n_sources, largest = totals.agg(F.count("*"), F.max("__rows")).first()
-    aims = targets(totals.select("source", "source_size"), weights, share, most).join(totals.select(F.col("source").alias("__s"), "__weighted", "__rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    aims = stash(aims, "targets")
-    # Expected copies, in proportion to the weight; what the cap cuts off is left to the gap below.
     ratio = F.when(F.col("__weighted") > 0, F.col("target") / F.col("__weighted")).otherwise(0.0)
     expected = F.least(F.lit(float(most)), ratio * F.col("__w"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__id").cast("string"), F.col("size").cast("string")).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    drawn = base.join(_small(aims.withColumnRenamed("source", "__s"), n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    drawn = rows.join(_small(aims.withColumnRenamed("source", "__s"), n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     drawn = drawn.withColumn("__expected", expected).withColumn("__sure", F.floor(F.col("__expected") + 1e-9))
     rest = F.greatest(F.lit(0.0), F.col("__expected") - F.col("__sure"))
     odds = (uniform / (1 - uniform)) / (rest / (1 - rest))
-    drawn = drawn.withColumn("__odds", F.when(rest > 1e-9, odds)).withColumns({"__left": F.col("size") > 0})
+    return drawn.withColumn("__odds", F.when(rest > 1e-9, odds)).drop("__expected")
+
+
+def _chosen(base: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """``base`` (__id, source, size, __w) with target, __sure, __odds and __more (0 or 1); the sources' aims; and their number."""
+    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__w")).alias("__weighted"), F.count("*").alias("__rows"))
+    totals = stash(totals, "sources")
+    n_sources, largest = totals.agg(F.count("*"), F.max("__rows")).first()
+    aims = targets(totals.select("source", "source_size"), weights, share, most).join(totals.select(F.col("source").alias("__s"), "__weighted", "__rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    aims = stash(aims, "targets")
+    discard(totals)
+    drawn = _drawn(base, aims, n_sources, most, seed)
     # Running sums over a source without sorting it in one task: sums by slice of the order, then
     # running sums over the slices, then an order within the one slice where the gap closes.
     slices = 1 << max(6, min(16, int((largest or 1) ** 0.5).bit_length()))
@@ -103,7 +100,45 @@ def pareto_mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_i
     # Of the document that crosses the gap, whichever of with and without it comes nearer.
     in_cut = in_cut.withColumn("__more", (F.col("__upto") + F.col("size") / 2 <= F.col("__gap")).cast("int"))
     others = placed.filter(F.col("__slice").isNull() | F.col("__at").isNull() | (F.col("__slice") != F.col("__at"))).withColumn("__more", F.coalesce(F.col("__slice") < F.col("__at"), F.lit(False)).cast("int"))
-    names = ["__id", "source", "size", "source_size", "target", "__sure", "__more"]
-    chosen = others.select(*names).unionByName(in_cut.select(*names))
+    names = ["__id", "source", "size", "source_size", "target", "__sure", "__odds", "__more"]
+    return others.select(*names).unionByName(in_cut.select(*names)), aims, n_sources
+
+
+def pareto_mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row a row of ``docs``: id_col, size, source_size (long), target (double), copies, taken (long).
+
+    ``size`` (default: words of ``text_col``, null 0) is what targets count. ``weight`` makes the
+    documents of a source differ in expectation: up to the cap it is in proportion to it.
+    ``copies`` is a whole number from 0 to ``most``, ``taken`` is copies times size. A source's taken
+    words miss its target by less than the document that comes last in the order, and by no more
+    than the best document that could close the gap. Draws come from a hash of id_col and ``seed``,
+    so reruns agree; equal ids are told apart by their size, and rows equal in both are alike.
+    Null ids, texts and sources are values of their own. Texts count whole, however long; columns of
+    ``docs`` other than the named ones are not read. An empty table gives an empty one.
+    """
+    base = stash(docs.select(*_base(size, id_col, source_col, text_col, weight)), "sizes")
+    chosen, _, _ = _chosen(base, weights, share, most, seed)
     copies = (F.col("__sure") + F.col("__more")).cast("long")
     return chosen.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _base(size: Column | None, id_col: str, source_col: str, text_col: str, weight: Column | None) -> list[Column]:
+    size = word_count(f"`{text_col}`") if size is None else size
+    return [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("source"), size.cast("long").alias("size"), (F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), weight.cast("double"))).alias("__w")]
+
+
+def with_copies(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``docs`` with copies (long) as :func:`pareto_mix` gives them, without moving a text.
+
+    What a source takes beyond its sure copies is the first part of its order, so the last document in
+    it, one a source, tells every row by itself. Rows equal in id and size at that place are all taken.
+    """
+    base = stash(docs.select(*_base(size, id_col, source_col, text_col, weight)), "sizes")
+    chosen, aims, n_sources = _chosen(base, weights, share, most, seed)
+    key = F.struct(F.col("__odds").alias("odds"), F.col("__id").alias("id"), F.col("size").alias("size"))
+    last = chosen.filter("__more = 1").groupBy("source").agg(F.max(key).alias("__last")).withColumnRenamed("source", "__s")
+    aims = stash(aims.join(last, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"), "order")
+    discard(base)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("__row"), *_base(size, id_col, source_col, text_col, weight))
+    more = F.coalesce(F.col("__odds").isNotNull() & (key <= F.col("__last")), F.lit(False)).cast("int")
+    return _drawn(rows, aims, n_sources, most, seed).select("__row.*", (F.col("__sure") + more).cast("long").alias("copies"))

@@ -50,8 +50,9 @@ def test_query_equals_plain_version(spark, sf, docs):
     assert got == plain_components([(r.doc_id, r.text) for r in docs.collect()], 3, 90, 100)
 
 
-@pytest.mark.parametrize(("width", "num", "group"), [(5, 80, 512), (2, 40, 3), (1, 50, 4)])
-def test_components_at_other_thresholds(docs, width, num, group):
+@pytest.mark.parametrize(("width", "num", "group", "leaves"), [(5, 80, 512, 64), (2, 40, 3, 1000), (2, 40, 3, 1), (1, 50, 4, 1)])
+def test_components_at_other_thresholds(monkeypatch, docs, width, num, group, leaves):
+    monkeypatch.setattr(signature_tree, "LEAF_PAIRS", leaves)
     assert components(docs, width, num, 100, group_sets=group) == plain_components([(r.doc_id, r.text) for r in docs.collect()], width, num, 100)
 
 
@@ -139,8 +140,8 @@ def test_line_templates_equal_plain_version(spark, sf, docs, odd):
     assert cut_lines(clash) == Counter(plain_lines([(r.doc_id, r.text) for r in odd.collect()]))
 
 
-@pytest.mark.parametrize("leaf_tokens", [line_templates.LEAF_TOKENS, 0])
-def test_templates_of_random_logs(spark, empty, leaf_tokens):
+@pytest.mark.parametrize(("leaf_tokens", "keys"), [(line_templates.LEAF_TOKENS, 1000), (0, 0)])
+def test_templates_of_random_logs(spark, empty, leaf_tokens, keys):
     """Messages with fields of one or two words at any place, and prose; leaves merged in tasks and by joins."""
     rnd = random.Random(8)
     names = [f"{a}{b}" for a in ("al", "be", "ka", "mi", "zo") for b in ("na", "ric", "lo", "th", "x")]
@@ -152,8 +153,8 @@ def test_templates_of_random_logs(spark, empty, leaf_tokens):
         rows.append((i, "\n".join(lines)))
     want = Counter(plain_lines(rows))
     assert sum(n * c for (_, _, n), c in want.items()) > 100
-    assert cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_tokens=leaf_tokens) == want
-    assert line_templates.drop_recurring(empty, leaf_tokens=leaf_tokens).count() == 0
+    assert cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_tokens=leaf_tokens, broadcast_keys=keys) == want
+    assert line_templates.drop_recurring(empty, leaf_tokens=leaf_tokens, broadcast_keys=keys - 1).count() == 0
 
 
 def test_variable_fields_at_any_place_meet_in_one_template(spark):

@@ -121,7 +121,15 @@ def test_mix_with_unequal_weights(docs):
     assert sum(even) / len(even) > sum(odd) / len(odd)
 
 
+def test_copies_told_row_by_row_are_those_of_the_mix(docs, odd):
+    for table, weight in ((docs, None), (docs, F.expr("1 + pmod(doc_id, 4)")), (odd, None)):
+        want = sorted((r.doc_id or -1, r["size"], r.copies) for r in mixing.pareto_mix(table, weight=weight).collect())
+        got = mixing.with_copies(table.withColumn("size", F.lit("x")), weight=weight)
+        assert sorted((r.doc_id or -1, len(WORD.findall(r.text or "")), r.copies) for r in got.collect()) == want
+
+
 def test_mix_of_odd_rows(odd, empty):
+    assert mixing.with_copies(empty).count() == 0
     rows = mixing.pareto_mix(odd).collect()
     assert len(rows) == 9 and {r["size"] for r in rows if r.doc_id in (2, 3, 5)} == {0}
     assert mixing.pareto_mix(empty).count() == 0
