@@ -24,7 +24,7 @@ from lumenfold.operators.graph import connected_components, forest
 from lumenfold.session import discard, ship_package, stash
 
 #: Sets of one in-task tree, sets of a tree's leaf, and 64-bit words of a bitmap.
-GROUP_SETS, LEAF_SETS, WORDS = 512, 8, 32
+GROUP_SETS, LEAF_SETS, WORDS = 512, 8, 128
 #: Bits of the filter that keeps sets without a partner from travelling; false hits only cost time.
 FILTER_BITS = 1 << 26
 #: Hash families tried for a set whose parts are too often empty, before it goes to its band's common part.
