@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, digest, disclosure, language_id, line_templates, mixing, quality_model, robust_stats, signature_tree, token_count
+from lumenfold.llm import bpe, centroids, digest, disclosure, language_id, line_templates, mixing, quality_model, robust_stats, runs, shards, signature_tree, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,73 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` in which, of a tenth of the ids, the words from one on repeat with a period; ids are long."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    n, g = F.size("__words").cast("long"), F.floor(F.col("__h") / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    # Lists of one, so that words, start and period are computed once and not for every word.
+    held = F.array(F.struct(F.col("__words").alias("w"), a.alias("a"), p.alias("p")))
+    place = lambda t, i: F.when(i < t["a"], i).otherwise(t["a"] + F.pmod(i - t["a"], t["p"]))
+    again = F.element_at(F.transform(held, lambda t: F.array_join(F.transform(t["w"], lambda _, i: F.get(t["w"], place(t, i).cast("int"))), " ")), 1)
+    marked = docs.withColumns({"__h": h, "__words": words})
+    return marked.withColumn("text", F.when(F.size("__words") > 0, again).otherwise(F.col("text"))).drop("__h", "__words")
+
+
+def op11_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(with_planted_periods(documents(spark, sf_dir).select("doc_id", "text")), keep=["doc_id"])
+    best = runs.most_periodic("runs")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), runs.run_text("runs").alias("listed"), "collapsed")
+    milli = F.expr("1000L * best.length div best.period").alias("exponent_milli")
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, sha("listed")("runs_sha256"), sha("collapsed")("collapsed_sha256"))
+
+
+def op12_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shards_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_displacement_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).drop("evaluated")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out: distances by components, the nearest centroid, the floors of the means."""
+    nearest = """d@T@ AS MATERIALIZED (
+  SELECT v.r, c.j, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c@T@ c ON v.i = c.i GROUP BY v.r, c.j
+), a@T@ AS MATERIALIZED (
+  SELECT r, j, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, j) AS place FROM d@T@) WHERE place = 1
+)"""
+    means = """c@U@ AS MATERIALIZED (
+  SELECT c.j, c.i, coalesce(m.x, c.x) AS x FROM c@T@ c LEFT JOIN (
+    SELECT a.j, v.i, floor(sum(v.x)::DOUBLE / count(*))::BIGINT AS x FROM a@T@ a JOIN v ON v.r = a.r GROUP BY a.j, v.i
+  ) m ON m.j = c.j AND m.i = c.i
+)"""
+    steps = [nearest.replace("@T@", "0")]
+    for t in range(rounds):
+        steps += [means.replace("@T@", str(t)).replace("@U@", str(t + 1)), nearest.replace("@T@", str(t + 1))]
+    return rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS MATERIALIZED (
+  SELECT r, i, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM kept, range(1, 65) t(i)
+), first AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j FROM kept QUALIFY j < {k}
+), c0 AS MATERIALIZED (
+  SELECT f.j, v.i, v.x FROM first f JOIN v ON v.r = f.r
+), {", ".join(steps)}, named AS (
+  SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j
+)
+SELECT k.vec_id, a.j::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.j)::BIGINT AS cluster_inertia,
+       sum(a.d) OVER ()::BIGINT AS inertia, n.centroid_sha256
+FROM a{rounds} a JOIN kept k ON k.r = a.r JOIN named n ON n.j = a.j
+"""
+
+
 QUERIES = {
     "op1_mcd_quality": op1_mcd_quality,
     "op2_ppm_language": op2_ppm_language,
@@ -125,9 +192,13 @@ QUERIES = {
     "op8_disclosure": op8_disclosure,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_bpe": op10_prefix_bpe,
+    "op11_dyadic_runs": op11_dyadic_runs,
+    "op12_prefix_shards": op12_prefix_shards,
+    "op13_displacement_kmeans": op13_displacement_kmeans,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_pareto_mix": OP4_SQL.replace("@WEIGHT@", "1"),
     "op4_pareto_mix_weighted": OP4_SQL.replace("@WEIGHT@", "1 + doc_id % 4"),
+    "op13_displacement_kmeans": _op13_sql(),
 }
