@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import axis_ratio, finite, reason_string
@@ -10,18 +10,13 @@ from lumenfold.operators import joins as J
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
 from lumenfold.operators.graph import connected_components
+from lumenfold.operators.ordinary import fainter_of_close, marked, valid_ellipse
 from lumenfold.operators.windows import stars_near_clusters
 from lumenfold.session import stash
 
 C = F.col
 
 
-def _marked(df: DataFrame, ids: DataFrame, name: str, id_col: str = "id") -> DataFrame:
-    """``df`` with the boolean ``name`` of the rows whose source_id is in ``ids``."""
-    hit = ids.select(F.col(id_col).alias("source_id"), F.lit(True).alias(name)).distinct()
-    return df.join(hit, "source_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
 def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.ClassPolicy(), flags: tuple[str, ...] = ("f_edge", "f_bad")) -> DataFrame:
     """(source_id, class, reason) by area, fill, brightness, magnitude, shape, flags, close pairs, containment and overlap.
 
@@ -42,18 +37,18 @@ def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Cla
     s = s.withColumn("removed", C("b_candidate") & (hard | R.b_rule(C("mag"), C("ratio"), C("diff"), F.lit(True), flag_hit, p)))
     s = stash(s.withColumns({"ordinary": C("b_candidate") & ~R.below(C("mag"), p.bright_mag), "hard": C("b_candidate") & hard, "flag_names": flag_names}), "basics")
     close = stash(J.close_pair_losers(s.filter("b_candidate AND NOT removed"), p.close_radius, by), "close")
-    s = _marked(s, close, "close", "source_id")
+    s = marked(s, close, "close", "source_id")
     left = s.filter("ordinary AND NOT removed AND NOT close")
-    held = J.containment_losers(stash(J.ellipse_overlap_join(left, None, by), "overlaps"), p.containment)
-    s = _marked(s, held, "contains")
+    held = J.containment_losers(J.ellipse_overlap_join(left, None, by), p.containment)
+    s = marked(s, held, "contains")
     out = C("removed") | C("close") | C("contains")
     s = s.withColumn("ambiguous", F.lit(False))
     if p.overlap_iou is not None:
         s = stash(s, "contained")
         over = J.ellipse_overlap_join(s.filter(C("b_candidate") & ~out), p.neighbor_radius, by).filter(C("iou") >= p.overlap_iou)
         smaller = F.when(C("a_area") <= C("b_area"), C("a")).otherwise(C("b"))
-        marked = over.select(smaller.alias("id")) if p.overlap_marks == "smaller" else over.select(F.explode(F.array("a", "b")).alias("id"))
-        s = _marked(s.drop("ambiguous"), marked, "ambiguous")
+        hit = over.select(smaller.alias("id")) if p.overlap_marks == "smaller" else over.select(F.explode(F.array("a", "b")).alias("id"))
+        s = marked(s.drop("ambiguous"), hit, "ambiguous")
     cls = (
         F.when(C("b_candidate") & ~out & ~C("ambiguous"), "clean")
         .when(C("ambiguous"), "center_only")
@@ -80,20 +75,18 @@ def classify_sources(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Cla
     return s.select("source_id", cls.alias("class"), reason_string(reasons).alias("reason"))
 
 
-def sequential_close_losers(points: DataFrame, radius: float, by: list[str], brighter: bool = False) -> DataFrame:
-    """Ids lost pair by pair, in order of ids, to a neighbour nearer than ``radius``: the fainter, or the brighter."""
-    both = J.close_pairs(points, radius, by, "source_id", ("mag",)).filter(C("d") < radius)
-    lose_a = C("a_mag") < C("b_mag") if brighter else C("a_mag") > C("b_mag")
-    return J.ordered_removal(both.select("a", "b", F.when(lose_a, C("a")).otherwise(C("b")).alias("loser")), ["a", "b"])
-
-
 def classify_basics(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.ClassPolicy(), faintest: float = 30.0) -> DataFrame:
-    """(source_id, class, reason): dropped, ignore, bright or ordinary candidates, after the shared area and shape rules."""
+    """(source_id, class, reason): dropped, ignore, bright or ordinary candidates, after the shared area and shape rules.
+
+    A column ``center_ok`` says which centres lie on data: the others are ignored, whatever else holds.
+    """
     dropped, faint = R.a_rule(C("area"), C("mag"), p)
-    ok = C("in_base") & C("valid_kron") & finite("mag")
+    ok = C("valid_kron") & valid_ellipse() & finite("mag")
+    blind = ~F.coalesce(C("center_ok"), F.lit(False)) if "center_ok" in sources.columns else F.lit(False)
     cases = [
+        (blind, "ignore", "center_no_data"),
         (~C("in_base"), "dropped", "source_filter"),
-        (~ok, "ignore", "invalid"),
+        (~F.coalesce(ok, F.lit(False)), "ignore", "invalid"),
         (dropped, "dropped", "A_area_gt_max"),
         (faint, "dropped", "A_faint_large"),
         (R.above(C("mag"), faintest), "ignore", "B_mag_gt_max"),
@@ -103,93 +96,11 @@ def classify_basics(sources: DataFrame, by: list[str], p: R.ClassPolicy = R.Clas
     for when, cls, why in reversed(cases):
         state = F.when(when, F.struct(F.lit(cls).alias("class"), F.lit(why).alias("reason"))).otherwise(state)
     s = stash(sources.withColumn("state", state), "basics")
-    lost = sequential_close_losers(s.filter(C("state.class").isin("bright", "ordinary")), p.close_radius, by)
-    s = _marked(s, lost, "lost")
+    lost = fainter_of_close(s.filter(C("state.class").isin("bright", "ordinary")), p.close_radius, by)
+    s = marked(s, lost, "lost")
     return s.select("source_id", F.when(C("lost"), "ignore").otherwise(C("state.class")).alias("class"), F.when(C("lost"), "B_close_pair_dimmer").otherwise(C("state.reason")).alias("reason"))
 
 
-def _apply(df: DataFrame, when: Column, cls: str, why: str) -> DataFrame:
-    """``df`` with its label lowered to ``cls`` where the rule holds and the label is higher."""
-    new = F.struct(F.lit(cls).alias("class"), F.lit(why).alias("reason"))
-    return df.withColumn("label", F.when(when, R.downgrade(C("label"), new)).otherwise(C("label")))
-
-
-def _start(df: DataFrame) -> DataFrame:
-    return df.withColumn("label", F.struct(F.lit("clean").alias("class"), F.lit("").alias("reason")))
-
-
-def _retained() -> Column:
-    return C("label.class") != "ignore"
-
-
-def _labels(df: DataFrame) -> DataFrame:
-    return df.select("source_id", C("label.class").alias("class"), C("label.reason").alias("reason"))
-
-
-def _contained(df: DataFrame, active: Column, by: list[str], share: float) -> DataFrame:
-    return J.containment_losers(stash(J.ellipse_overlap_join(df.filter(active), None, by), "overlaps"), share)
-
-
-def label_ordinary_hsc(sources: DataFrame, by: list[str], narrow: Column, p: R.ClassPolicy = R.ClassPolicy()) -> DataFrame:
-    """(source_id, class, reason): aperture against Kron, fill, flags, containment, then signal-to-noise.
-
-    A difference of exactly the limit is kept here, unlike in the classifier.
-    """
-    kept = R.at_most(F.abs(C("diff")), p.ap2_kron_max)
-    s = _apply(_start(sources), ~kept, "ignore", "ap2_kron")
-    s = _apply(s, _retained() & R.fill_center_only(C("area"), C("fill"), p), "strict", "fill_ratio")
-    s = stash(_apply(s, (C("label.class") == "clean") & (C("f_edge") | C("f_bad")), "ignore", "flag"), "labels")
-    s = stash(_marked(s, _contained(s, C("label.class") == "clean", by, p.containment), "held"), "labels")
-    s = _apply(s, C("held"), "ignore", "containment")
-    by_snr = R.snr_class(C("snr"), narrow, C("area"))
-    s = _apply(s, (C("label.class") == "clean") & (by_snr == "ignore"), "ignore", "snr_ignore")
-    return _labels(_apply(s, (C("label.class") == "clean") & (by_snr == "weak_shape"), "weak", "snr_weak"))
-
-
-def label_ordinary_cosmos(sources: DataFrame, by: list[str], low: float = 5.0, high: float = 7.0) -> DataFrame:
-    """(source_id, class, reason): warning category, star mask, photometry, containment, fill of bright sources, signal-to-noise.
-
-    ``sources`` also has warn, star_mask and model_mag. Only sources above the lower bound make a neighbour strict.
-    """
-    s = _apply(_start(sources), C("warn").isin(1, 4, 5, 6), "ignore", "warn")
-    s = _apply(s, _retained() & C("star_mask"), "strict", "star_mask")
-    good = R.below(C("mag"), 90.0) & R.below(C("model_mag"), 90.0)
-    diff = F.abs(C("mag") - C("model_mag"))
-    s = _apply(s, _retained() & (~good | (diff > 2.0)), "ignore", "photometry")
-    s = stash(_apply(s, _retained() & (diff >= 1.0), "strict", "photometry"), "labels")
-    s = stash(_marked(s, _contained(s, _retained() & R.above(C("snr"), low), by, 0.995), "held"), "labels")
-    s = _apply(s, C("held"), "strict", "containment")
-    s = _apply(s, _retained() & R.below(C("mag"), 22.0) & R.at_least(C("fill"), 0.0) & R.below(C("fill"), 0.3), "strict", "low_fill")
-    s = _apply(s, _retained() & ~R.above(C("snr"), low), "ignore", "snr_ignore")
-    return _labels(_apply(s, _retained() & R.below(C("snr"), high), "strict", "snr_strict"))
-
-
-def label_ordinary_a2744(sources: DataFrame, by: list[str], fwhm: float = 2.0, share: float = 0.8, low: float = 5.0, high: float = 7.0) -> DataFrame:
-    """(source_id, class, reason): flag category, size of the PSF, close pairs (the brighter goes), signal-to-noise, star mask, ignored children.
-
-    A usable ellipse that holds an ignored one of at most its area is strict. Classes fall only, so
-    that the last step, repeated while it changes any label, ends.
-    """
-    s = _apply(_start(sources), C("warn").isin(16, 17, 18, 19), "ignore", "flag")
-    s = stash(_apply(s, _retained() & ((C("a") < fwhm) | (C("b") < fwhm)), "ignore", "psf_size"), "labels")
-    s = _marked(s, sequential_close_losers(s.filter(_retained()), fwhm, by, brighter=True), "close")
-    s = _apply(s, C("close"), "ignore", "close_brighter")
-    s = _apply(s, _retained() & ~R.at_least(C("snr"), low), "ignore", "snr_ignore")
-    s = _apply(s, _retained() & R.below(C("snr"), high), "weak", "snr_weak")
-    s = stash(_apply(s, C("star_mask") & R.at_least(C("mag"), 22.0), "ignore", "star_mask"), "labels")
-    # (outer, inner) of pairs whose outer ellipse holds the inner one and is no smaller.
-    both = stash(J.ellipse_overlap_join(s, None, by), "overlaps")
-    nested = both.filter((C("in_b") >= share) & (C("a_area") <= C("b_area"))).select(C("b").alias("outer"), C("a").alias("inner")).unionByName(both.filter((C("in_a") >= share) & (C("b_area") <= C("a_area"))).select(C("a").alias("outer"), C("b").alias("inner")))
-    nested = stash(nested, "nested")
-    while True:
-        state = s.select(C("source_id").alias("inner"), C("label.class").alias("inner_class"))
-        usable = s.filter(C("label.class").isin("clean", "weak")).select(C("source_id").alias("outer"))
-        hit = stash(nested.join(state, "inner").filter("inner_class = 'ignore'").join(usable, "outer", "left_semi").select(C("outer").alias("id")).distinct(), "hit")
-        if hit.isEmpty():
-            return _labels(s)
-        s = stash(_apply(_marked(s.drop("hit"), hit, "hit"), C("hit"), "strict", "contains_ignore"), "labels")
-
-
 def bright_clusters(sources: DataFrame, stars: DataFrame, by: list[str], iou: float = 0.05, distance: float = 50.0, area_cap: float = 1e9, isolated_area: float = 500.0, source_match: float = 6.0, centroid_match: float = 10.0) -> DataFrame:
     """(by, source_id, cluster, members, label): labels of overlapping sources, and a strict centre for each star of a cluster.
 
@@ -239,7 +150,7 @@ def remeasure_rescue(sources: DataFrame, by: list[str], p: R.RescuePolicy = R.Re
     pool = s.filter(free | C("clean"))
     over = J.ellipse_overlap_join(pool, None, by)
     larger = F.when((C("a_area") < C("b_area")) & (C("in_b") >= p.containment), C("b")).when((C("b_area") < C("a_area")) & (C("in_a") >= p.containment), C("a"))
-    s = _marked(s.filter("chosen"), over.select(larger.alias("id")).filter("id is not null"), "holds")
+    s = marked(s.filter("chosen"), over.select(larger.alias("id")).filter("id is not null"), "holds")
     s = s.withColumn("reasons", F.when(C("holds") & (F.size("reasons") == 0), F.array(F.lit("contains_smaller"))).otherwise(C("reasons")))
     cls = F.when(F.array_contains("reasons", "area_gt_max"), "drop").when(F.size("reasons") > 0, "ignore").when(new < p.clean_max, "clean").otherwise("center_only")
     return s.select("source_id", cls.alias("class"), reason_string(C("reasons")).alias("reason"))

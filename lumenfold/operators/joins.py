@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import finite
 from lumenfold.operators import sequential as Q
+from lumenfold.operators.ellipses import coverage, pixel_iou, unit_grid
 from lumenfold.operators.graph import connected_components
-from lumenfold.session import stash
+from lumenfold.session import discard, stash
 
 
 def refit_attach(sources: DataFrame, refit: DataFrame) -> DataFrame:
@@ -105,7 +106,9 @@ def greedy_match(edges: DataFrame, by: list[str], most: int = Q.MOST_EDGES) -> D
         if first.isEmpty():
             break
         taken = taken.unionByName(first)
-        left = stash(left.join(first.select(*by, "a"), [*by, "a"], "left_anti").join(first.select(*by, "b"), [*by, "b"], "left_anti"), "edges")
+        rest = stash(left.join(first.select(*by, "a"), [*by, "a"], "left_anti").join(first.select(*by, "b"), [*by, "b"], "left_anti"), "edges")
+        discard(left)
+        left = rest
     return taken
 
 
@@ -126,50 +129,29 @@ def two_stage_match(points: DataFrame, clean: DataFrame, ignored: DataFrame, rad
 def source_in_tile(sources: DataFrame, tiles: DataFrame, margin: float = 0.0) -> DataFrame:
     """Sources with each tile (name, x0, y0, size) that holds them, and local coordinates lx, ly.
 
-    Tiles are spread over cells as wide as the largest, so that a source meets those of its own cell.
+    Tiles of one power of two share a grid, over whose cells they are spread and to which sources come, so that
+    one large tile does not make the cells of all others large.
     """
-    # One row of sizes: bounded.
-    width = float(tiles.agg(F.max("size")).first()[0] or 1) + 2 * margin
-    lo = lambda c: F.floor((F.col(c) - margin) / width)
-    hi = lambda c: F.floor((F.col(c) + F.col("size") + margin) / width)
-    spread = tiles.withColumn("cx", F.explode(F.sequence(lo("x0"), hi("x0")))).withColumn("cy", F.explode(F.sequence(lo("y0"), hi("y0"))))
-    joined = sources.withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)}).join(spread, ["cx", "cy"])
+    leveled = tiles.withColumn("__level", F.ceil(F.log2(F.greatest(F.col("size") + 2 * margin, F.lit(1.0)))).cast("int"))
+    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())  # as many as powers of two among the sizes
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("__level")))
+    reach = lambda o: F.sequence(cell(F.col(o) - margin), cell(F.col(o) + F.col("size") + margin))
+    spread = leveled.withColumn("__cx", F.explode(reach("x0"))).withColumn("__cy", F.explode(reach("y0")))
+    placed = sources.withColumn("__level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumns({"__cx": cell(F.col("x")), "__cy": cell(F.col("y"))})
+    joined = placed.join(spread, ["__level", "__cx", "__cy"])
     inside = lambda c, o: (F.col(c) >= F.col(o) - margin) & (F.col(c) < F.col(o) + F.col("size") + margin)
-    return joined.filter(inside("x", "x0") & inside("y", "y0")).withColumns({"lx": F.col("x") - F.col("x0"), "ly": F.col("y") - F.col("y0")}).drop("cx", "cy")
+    return joined.filter(inside("x", "x0") & inside("y", "y0")).withColumns({"lx": F.col("x") - F.col("x0"), "ly": F.col("y") - F.col("y0")}).drop("__level", "__cx", "__cy")
 
 
-def unit_grid(n: int = 9) -> list[tuple[float, float]]:
-    """Points of an n by n grid that lie in the unit disk."""
-    values = [-1.0 + 2.0 * i / (n - 1) for i in range(n)]
-    return [(u, v) for u in values for v in values if u * u + v * v <= 1.0]
-
-
-def coverage(points: list[tuple[float, float]], s: Column, d: Column) -> Column:
-    """Share of the ellipse ``s``, sampled at unit points, that lies inside ``d``; structs of x, y, a, b, cos and sin.
-
-    An axis of ``d`` counts as 1e-6 at least, so that a flat ellipse holds next to nothing.
-    """
-    grid = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in points])
-    da, db = F.greatest(d["a"], F.lit(1e-6)), F.greatest(d["b"], F.lit(1e-6))
-
-    def inside(p: Column) -> Column:
-        px = s["x"] + s["cos"] * (s["a"] * p["u"]) - s["sin"] * (s["b"] * p["v"]) - d["x"]
-        py = s["y"] + s["sin"] * (s["a"] * p["u"]) + s["cos"] * (s["b"] * p["v"]) - d["y"]
-        u, v = (d["cos"] * px + d["sin"] * py) / da, (-d["sin"] * px + d["cos"] * py) / db
-        return u * u + v * v <= 1.0
-
-    return F.size(F.filter(grid, inside)) / float(len(points))
-
-
-def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None) -> DataFrame:
+def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(by, s, t, d): pairs of ellipses as structs with s.id < t.id, within ``radius`` or, without one, with circles that touch.
 
-    ``sources`` has source_id, x, y, a, b, theta and area; sines are computed once a source. Without a radius ellipses meet by
+    ``sources`` has source_id, x, y, a, b, theta and area; columns ``carry`` come along in the structs; sines are computed once a source. Without a radius ellipses meet by
     size: those whose axis is of one power of two share a grid, and smaller ones come to it, so that one
     large ellipse does not make the cells of all others large. Ellipses without finite axes meet none.
     """
     reach = F.greatest("a", "b")
-    e = F.struct(F.col("source_id").alias("id"), "x", "y", "a", "b", "area", "theta", F.cos("theta").alias("cos"), F.sin("theta").alias("sin"), reach.alias("reach"))
+    e = F.struct(F.col("source_id").alias("id"), "x", "y", "a", "b", "area", "theta", F.cos("theta").alias("cos"), F.sin("theta").alias("sin"), reach.alias("reach"), *carry)
     rows = sources.filter(finite("x") & finite("y") & finite("a") & finite("b") & finite("theta")).select(*by, e.alias("e"))
     if radius is not None:
         big = rows.withColumns({"level": F.lit(0), "width": F.lit(float(radius))})
@@ -210,33 +192,6 @@ def ellipse_overlap_join(sources: DataFrame, radius: float | None, by: list[str]
     return both.withColumn("iou", F.when(union > 0, F.least(F.greatest(F.try_divide(shared, union), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).select(*by, "a", "b", "d", "in_a", "in_b", "iou", "a_area", "b_area")
 
 
-def pixel_iou(s: Column, t: Column) -> Column:
-    """IoU of two ellipses (structs of x, y, a, b, cos, sin and reach) counted on the whole pixels around both.
-
-    Boxes of more than 512 pixels a side are sampled in steps.
-    """
-    lo = lambda c: F.floor(F.least(s[c] - s["reach"], t[c] - t["reach"]))
-    hi = lambda c: F.ceil(F.greatest(s[c] + s["reach"], t[c] + t["reach"]))
-    wide = F.greatest(hi("x") - lo("x"), hi("y") - lo("y")) + 1
-    step = F.greatest(F.lit(1), F.ceil(wide / 512)).cast("long")
-
-    def inside(e: Column, x: Column, y: Column) -> Column:
-        dx, dy = x - e["x"], y - e["y"]
-        u, v = (dx * e["cos"] + dy * e["sin"]) / F.greatest(e["a"], F.lit(1e-6)), (-dx * e["sin"] + dy * e["cos"]) / F.greatest(e["b"], F.lit(1e-6))
-        return u * u + v * v <= 1.0
-
-    start = F.struct(F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("any"))
-
-    def row(acc: Column, y: Column) -> Column:
-        def cell(acc: Column, x: Column) -> Column:
-            p, q = inside(s, x.cast("double"), y.cast("double")), inside(t, x.cast("double"), y.cast("double"))
-            return F.struct((acc["both"] + (p & q).cast("long")).alias("both"), (acc["any"] + (p | q).cast("long")).alias("any"))
-
-        return F.aggregate(F.sequence(lo("x"), hi("x"), step), acc, cell)
-
-    return F.aggregate(F.sequence(lo("y"), hi("y"), step), start, row, lambda acc: F.when(acc["any"] > 0, acc["both"] / acc["any"]).otherwise(0.0))
-
-
 def close_pair_losers(sources: DataFrame, radius: float, by: list[str]) -> DataFrame:
     """Ids of the fainter of each pair within ``radius``, ties by larger area, then the later row: free of order."""
     mag = F.when(F.isnan("mag") | F.col("mag").isNull(), float("inf")).otherwise(F.col("mag"))
@@ -246,13 +201,18 @@ def close_pair_losers(sources: DataFrame, radius: float, by: list[str]) -> DataF
 
 
 def ordered_removal(edges: DataFrame, order: list[str], most: int = Q.MOST_EDGES) -> DataFrame:
-    """Ids removed when edges (a, b, loser, ...) act in ``order``, and an edge with a removed end does nothing.
+    """Ids removed when edges (a, b, loser, ...) act in ``order``, and an edge with a removed end does nothing."""
+    return removing_edges(edges, order, most).select(F.col("loser").alias("id")).distinct()
+
+
+def removing_edges(edges: DataFrame, order: list[str], most: int = Q.MOST_EDGES) -> DataFrame:
+    """The edges (a, b, loser) that act in ``order``: those without an end that an earlier one removed.
 
     Components act each in its task; those of more than ``most`` edges in rounds, which decide the edges
     that are first among the undecided ones of both their ends.
     """
     small, large = Q.split_by_component(edges, F.col("a").cast("long"), F.col("b").cast("long"), most)
-    gone = Q.apply_in_order(small, order, ["a", "b", "loser"], Q.removal).select(F.col("loser").alias("id"))
+    acting = Q.apply_in_order(small, order, ["a", "b", "loser"], Q.removal)
     left = stash(large, "edges") if large is not None else None
     while left is not None:
         rank = lambda side: F.row_number().over(Window.partitionBy("__end").orderBy(*order))
@@ -260,11 +220,13 @@ def ordered_removal(edges: DataFrame, order: list[str], most: int = Q.MOST_EDGES
         first = stash(ends.groupBy("a", "b").agg(F.max("__r").alias("r"), F.first("loser").alias("loser")).filter("r = 1").select("a", "b", "loser"), "first")
         if first.isEmpty():
             break
+        acting = acting.unionByName(first)
         losers = first.select(F.col("loser").alias("id"))
-        gone = gone.unionByName(losers)
         rest = left.join(first.select("a", "b"), ["a", "b"], "left_anti")
-        left = stash(rest.join(losers.select(F.col("id").alias("a")), "a", "left_anti").join(losers.select(F.col("id").alias("b")), "b", "left_anti").select(*edges.columns), "edges")
-    return gone.distinct()
+        rest = stash(rest.join(losers.select(F.col("id").alias("a")), "a", "left_anti").join(losers.select(F.col("id").alias("b")), "b", "left_anti").select(*edges.columns), "edges")
+        discard(left)
+        left = rest
+    return acting
 
 
 def containment_losers(overlaps: DataFrame, threshold: float, most: int = Q.MOST_EDGES) -> DataFrame:
@@ -275,32 +237,68 @@ def containment_losers(overlaps: DataFrame, threshold: float, most: int = Q.MOST
     a_small = F.col("a_area") <= F.col("b_area")
     held = F.when(a_small, F.col("in_b")).otherwise(F.col("in_a"))
     real = finite("a_area") & finite("b_area") & (F.col("a_area") > 0) & (F.col("b_area") > 0)
-    edges = overlaps.filter(real & (held >= threshold)).select("a", "b", F.when(a_small, F.col("b")).otherwise(F.col("a")).alias("loser"))
-    return ordered_removal(edges, ["a", "b"], most)
+    # Coverages are worked out once, before the filter names them.
+    marked = stash(overlaps.select("a", "b", F.when(a_small, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(real, held).alias("held")), "held")
+    return ordered_removal(marked.filter(F.col("held") >= threshold).drop("held"), ["a", "b"], most)
 
 
-def priority_dedup(points: DataFrame, radius: float, by: list[str], order: list[Column], most: int = Q.MOST_EDGES) -> DataFrame:
-    """(a, keep, d): points that lose to a kept one within ``radius`` and come after it in ``order``; ties of the order go by id.
+def yielding_points(pairs: DataFrame, most: int = Q.MOST_EDGES) -> DataFrame:
+    """(a, keep, d): points that lose to a kept one before them, and the first such; ``pairs``: later, earlier, kl, ke (their places in the order), d.
 
-    The greedy choice in that order: component by component in tasks; in components of more than ``most``
+    The greedy choice in the order: component by component in tasks; in components of more than ``most``
     pairs by rounds, in which a point all of whose undecided neighbours come later is kept, and its
     neighbours lose.
     """
-    keyed = points.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("source_id").alias("id")))
-    pairs = pairs_within(keyed, keyed, radius, by, "source_id", "source_id", ("__key",)).select(F.col("a").alias("later"), F.col("b").alias("earlier"), "d", F.col("a___key").alias("kl"), F.col("b___key").alias("ke")).filter("ke < kl")
     small, large = Q.split_by_component(pairs, F.col("later").cast("long"), F.col("earlier").cast("long"), most)
     lost = Q.apply_in_order(small, ["kl", "ke"], ["later", "earlier", "d"], Q.yielding).select(F.col("later").alias("a"), F.col("earlier").alias("keep"), "d")
-    left = stash(large, "pairs") if large is not None else None
-    while left is not None:
+    if large is None:
+        return lost
+    large = stash(large, "large")
+    left, gone = large, None
+    while True:
         # Kept: who is later than nobody that is undecided.
         kept = left.select(F.col("earlier").alias("id")).distinct().join(left.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-        out = stash(left.join(kept.withColumnRenamed("id", "earlier"), "earlier").groupBy("later").agg(F.min(F.struct("ke", "earlier", "d")).alias("k")).select(F.col("later").alias("a"), F.col("k.earlier").alias("keep"), F.col("k.d").alias("d")), "lost")
+        out = stash(left.join(kept.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("g")).distinct(), "lost")
         if out.isEmpty():
             break
-        lost = lost.unionByName(out)
-        gone = out.select(F.col("a").alias("g")).unionByName(kept.select(F.col("id").alias("g")))
-        left = stash(left.join(gone, left["later"] == gone["g"], "left_anti").join(gone, left["earlier"] == gone["g"], "left_anti"), "pairs")
-    return lost
+        gone = out if gone is None else gone.unionByName(out)
+        decided = out.unionByName(kept.select(F.col("id").alias("g")))
+        rest = stash(left.join(decided, left["later"] == decided["g"], "left_anti").join(decided, left["earlier"] == decided["g"], "left_anti"), "pairs")
+        if left is not large:
+            discard(left)
+        left = rest
+    if gone is None:
+        return lost
+    # Which one a point loses to is known when all are decided.
+    to_kept = large.join(gone.withColumnRenamed("g", "earlier"), "earlier", "left_anti").groupBy("later").agg(F.min(F.struct("ke", "earlier", "d")).alias("k"))
+    return lost.unionByName(to_kept.select(F.col("later").alias("a"), F.col("k.earlier").alias("keep"), F.col("k.d").alias("d")))
+
+
+def priority_dedup(points: DataFrame, radius: float, by: list[str], order: list[Column], most: int = Q.MOST_EDGES) -> DataFrame:
+    """(a, keep, d): points that lose to a kept one within ``radius`` and come after it in ``order``; ties of the order go by id."""
+    keyed = points.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("source_id").alias("id")))
+    pairs = pairs_within(keyed, keyed, radius, by, "source_id", "source_id", ("__key",)).select(F.col("a").alias("later"), F.col("b").alias("earlier"), "d", F.col("a___key").alias("kl"), F.col("b___key").alias("ke")).filter("ke < kl")
+    return yielding_points(pairs, most)
+
+
+def sweep_losers(edges: DataFrame, gone_still_act: bool = False, most: int = Q.MOST_EDGES) -> DataFrame:
+    """Ids removed when each point, in order, goes through its edges to later points, unless it is gone when its turn comes.
+
+    ``edges``: a, b, ka, kb (places in the order, ka < kb) and loser. A point that goes during its own turn
+    finishes it. Edges to points that are gone do nothing, or act with ``gone_still_act``. A point is gone
+    at its turn if an edge of an earlier point with a turn removed it, so those are the points that yield;
+    after that every edge can be decided by itself.
+    """
+    edges = stash(edges.select("a", "b", "ka", "kb", "loser"), "edges")
+    forward = edges.filter("loser = b").select(F.col("b").alias("later"), F.col("a").alias("earlier"), F.col("kb").alias("kl"), F.col("ka").alias("ke"), F.lit(0.0).alias("d"))
+    lost = stash(yielding_points(forward, most), "lost")
+    own = edges.filter("loser = a").join(lost.select("a"), "a", "left_anti")
+    if not gone_still_act:
+        # The later end must not have gone before.
+        places = edges.select(F.col("a").alias("keep"), F.col("ka").alias("since")).distinct()
+        before = lost.select(F.col("a").alias("b"), "keep").join(places, "keep").select("b", "since")
+        own = own.join(before, "b", "left").filter(F.col("since").isNull() | ~(F.col("since") < F.col("ka")))
+    return lost.select(F.col("a").alias("id")).unionByName(own.select(F.col("a").alias("id"))).distinct()
 
 
 def cluster_sources(sources: DataFrame, by: list[str], iou: float, area_cap: float, distance: float | None = None) -> DataFrame:

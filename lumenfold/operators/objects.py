@@ -87,16 +87,23 @@ def nested_component_centers(runs: DataFrame, parents: DataFrame, centers: DataF
     ``parents``: keys, id, x, y, a, b, theta, area. The smallest parent has the region; new centres nearer
     to each other than ``radius`` go to the smaller parent, by rounds.
     """
-    cells = runs.withColumn("px", F.explode(F.sequence("x0", "x1"))).select(*keys, "region", "px", F.col("y").alias("py"))
-    size = cells.groupBy(*keys, "region").agg(F.count("*").alias("n"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
-    # An ellipse reaches as far as its longer axis: cells of that width bring pixels and parents together.
-    width = float(parents.agg(F.max(F.greatest("a", "b"))).first()[0] or 1.0)
+    middle = (F.col("x0") + F.col("x1")) / 2.0 * F.col("n")
+    size = runs.groupBy(*keys, "region").agg(F.count("*").alias("rows"), (F.sum(middle) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.min(F.struct(F.col("y").alias("fy"), F.col("x0").alias("fx"))).alias("first"))
+    size = stash(size.select(*keys, "region", "rows", "cx", "cy", "first.*"), "regions")
+    # A parent of the region holds its first pixel. Parents of one power of two share a grid, to which pixels come.
+    leveled = parents.filter(finite("a") & finite("b") & finite("x") & finite("y")).withColumn("level", F.ceil(F.log2(F.greatest("a", "b", F.lit(1.0)))).cast("int"))
+    levels = sorted(r[0] for r in leveled.select("level").distinct().collect())  # as many as powers of two among the axes
+    width = F.pow(F.lit(2.0), F.col("level"))
     at = lambda c: F.floor(F.col(c) / width)
     around = F.array(*[F.struct((at("x") + i).alias("gx"), (at("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = parents.withColumn("g", F.explode(around)).select(*keys, "id", "x", "y", "a", "b", "theta", "area", "g.gx", "g.gy")
-    held = cells.withColumns({"gx": at("px"), "gy": at("py")}).join(spread, [*keys, "gx", "gy"])
-    held = held.filter(ellipse_contains(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("a"), F.col("b"), F.col("theta")))
-    whole = held.groupBy(*keys, "region", "id", "area").agg(F.count("*").alias("inside")).join(size, [*keys, "region"]).filter("inside = n")
+    spread = leveled.withColumn("g", F.explode(around)).select(*keys, "id", "x", "y", "a", "b", "theta", "area", "level", "g.gx", "g.gy")
+    firsts = size.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumns({"gx": at("fx"), "gy": at("fy")})
+    inside = lambda px: ellipse_contains(F.col(px), F.col("y"), F.col("p.x"), F.col("p.y"), F.col("p.a"), F.col("p.b"), F.col("p.theta"))
+    near = firsts.join(spread, [*keys, "level", "gx", "gy"]).filter(ellipse_contains(F.col("fx"), F.col("fy"), F.col("x"), F.col("y"), F.col("a"), F.col("b"), F.col("theta")))
+    near = near.select(*keys, "region", "rows", "cx", "cy", F.struct("id", "x", "y", "a", "b", "theta", "area").alias("p"))
+    # An ellipse that holds both ends of a row's run holds the run.
+    held = runs.select(*keys, "region", "y", "x0", "x1").join(near, [*keys, "region"]).filter(inside("x0") & inside("x1"))
+    whole = held.groupBy(*keys, "region", "rows", "cx", "cy", F.col("p.id").alias("id"), F.col("p.area").alias("area")).agg(F.count("*").alias("inside")).filter("inside = rows")
     best = whole.groupBy(*keys, "region", "cx", "cy").agg(F.min(F.struct("area", "id")).alias("p")).select(*keys, "region", "cx", "cy", F.col("p.area").alias("area"), F.col("p.id").alias("parent"))
     points = best.select(*keys, F.col("region").alias("source_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area")
     near = J.pairs_within(points, centers, radius, keys, "source_id", "id").select(F.col("a").alias("region")).distinct()

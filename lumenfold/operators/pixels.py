@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import NAN, ellipse_contains, finite
+from lumenfold.operators.ellipses import row_span, rows_of, shape
 from lumenfold.operators.graph import connected_components
 from lumenfold.operators.rules import pixel_half_even, pixel_half_up
+from lumenfold.operators.selection import clipped, exact_quantiles, robust_sigma  # noqa: F401
+from lumenfold.session import stash
 
 
 def disk_offsets(radius: float, inner: float = -1.0) -> list[tuple[int, int]]:
@@ -56,12 +59,17 @@ def component_stats(pixels: DataFrame, keys: list[str], width: int, height: int)
 
 
 def plane_fractions(pixels: DataFrame, planes: dict[str, int], keys: list[str]) -> DataFrame:
-    """Per plane: share of pixels of each mask plane, of any, of finite and of positive values, and exact percentiles."""
+    """Per plane: share of pixels of each mask plane, of any, of finite and of positive values, and exact percentiles.
+
+    Shares are partial sums, and percentiles of large planes come by selection, so no task has to hold a plane.
+    """
     on = {n: F.col("mask").bitwiseAND(F.lit(1 << b)) != 0 for n, b in planes.items()}
     share = lambda c: F.avg(c.cast("double"))
     union = F.col("mask").bitwiseAND(F.lit(sum(1 << b for b in planes.values()))) != 0
     clean = F.when(finite("image"), F.col("image"))
-    return pixels.groupBy(*keys).agg(*[share(c).alias(n) for n, c in on.items()], share(union).alias("any"), share(finite("image")).alias("finite"), share(F.coalesce(clean > 0, F.lit(False))).alias("positive"), *[F.percentile(clean, q / 100).alias(f"p{q}") for q in (1, 50, 99)])
+    pixels = stash(pixels.select(*keys, "mask", "image"), "plane")
+    shares = pixels.groupBy(*keys).agg(*[share(c).alias(n) for n, c in on.items()], share(union).alias("any"), share(finite("image")).alias("finite"), share(F.coalesce(clean > 0, F.lit(False))).alias("positive"))
+    return shares.join(exact_quantiles(pixels, "image", keys, {f"p{q}": q / 100 for q in (1, 50, 99)}), keys, "left")
 
 
 def tile_bad_score(pixels: DataFrame, score: Column, tile: int, stride: int, keys: list[str]) -> DataFrame:
@@ -107,42 +115,6 @@ def aperture_annulus_snr(centers: DataFrame, pixels: DataFrame, radius: float, i
     return sums.select(*keys, "id", F.when(good, (F.col("s") - F.col("m") * F.col("n_ap")) / (F.col("sd") * F.sqrt("n_ap"))).otherwise(NAN).alias("snr"), "n_ap", "n_ann")
 
 
-def robust_sigma(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, med, sigma): median, and 1.4826 times the median distance from it."""
-    clean = values.filter(finite(value))
-    med = clean.groupBy(*keys).agg(F.median(value).alias("med"))
-    return clean.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), (1.4826 * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
-
-
-def clipped(values: DataFrame, value: str, keys: list[str], k: float = 3.0, rounds: int = 2, fresh: bool = False, fall_back: bool = False) -> DataFrame:
-    """(keys, med, mean, sd, robust, n): of the values within k robust sigmas of the median after ``rounds`` rounds.
-
-    A round looks at the values that the last one kept; ``fresh`` then bounds all values anew, else the
-    bounds only narrow. A round without a positive sigma changes nothing; with ``fall_back`` the standard
-    deviation stands in for a sigma of nought. Bounds, a row a key, go from round to round.
-    """
-    base = values.filter(finite(value)).select(*keys, F.col(value).alias("__v"))
-
-    def level(current: DataFrame) -> DataFrame:
-        med = current.groupBy(*keys).agg(F.median("__v").alias("med"), F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("sd"), F.count("*").alias("n"))
-        mad = current.join(med.select(*keys, F.col("med").alias("__m")), keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("__v") - F.col("__m")))).alias("robust"))
-        out = med.join(mad, keys)
-        return out.withColumn("robust", F.when(F.col("robust") > 0, F.col("robust")).otherwise(F.col("sd"))) if fall_back else out
-
-    within = lambda bounds: base.join(bounds, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi"))).select(*keys, "__v")
-    bounds, current = None, base
-    for _ in range(rounds):
-        found = level(current).withColumn("reach", k * F.col("robust"))
-        lo, hi = F.col("med") - F.col("reach"), F.col("med") + F.col("reach")
-        old = found if bounds is None else found.join(bounds.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi"}), keys)
-        old_lo, old_hi = (F.lit(float("-inf")), F.lit(float("inf"))) if bounds is None else (F.col("old_lo"), F.col("old_hi"))
-        if not fresh:
-            lo, hi = F.greatest(lo, old_lo), F.least(hi, old_hi)
-        bounds = old.select(*keys, F.when(F.col("robust") > 0, lo).otherwise(old_lo).alias("lo"), F.when(F.col("robust") > 0, hi).otherwise(old_hi).alias("hi"))
-        current = within(bounds)
-    return level(current)
-
-
 def sigma_clip(values: DataFrame, value: str, keys: list[str], k: float = 3.0, rounds: int = 3) -> DataFrame:
     """(keys, med, mean, sd, n): after a fixed number of rounds that keep values within k robust sigmas of the median."""
     return clipped(values, value, keys, k, rounds).drop("robust")
@@ -156,6 +128,7 @@ def block_background(pixels: DataFrame, box: int, keys: list[str], value: str =
     """
     box = max(box, 8)
     least = max(64, box * box // 16) if least is None else least
+    pixels = stash(pixels.select(*keys, "x", "y", value), "plane")
     boxed = pixels.withColumns({"bx": F.floor(F.col("x") / box), "by": F.floor(F.col("y") / box)})
     sigma = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.col("robust"))
     own = clipped(boxed, value, [*keys, "bx", "by"], fall_back=True).withColumn("sigma", sigma)
@@ -175,6 +148,7 @@ def blank_aperture_noise(pixels: DataFrame, radius: float, keys: list[str], leas
     free = pixels.filter(finite("image") & ~F.col("excluded"))
     spread = free.withColumn("__o", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])))
     sums = spread.groupBy(*keys, (F.col("x") - F.col("__o.dx")).alias("cx"), (F.col("y") - F.col("__o.dy")).alias("cy")).agg(F.sum("image").alias("total"), F.count("*").alias("n")).filter(F.col("n") == len(offsets))
+    sums = stash(sums.select(*keys, "total"), "apertures")
     counts = sums.groupBy(*keys).agg(F.count("*").alias("apertures"))
     found = clipped(sums.select(*keys, "total"), "total", keys, fresh=True).drop("n").join(counts, keys)
     return found.select(*keys, "med", "sd", "robust", F.col("apertures").alias("n"), ((F.col("apertures") >= least) & (F.col("sd") > 0)).alias("trusted"))
@@ -186,12 +160,17 @@ def dense_label_priority(claims: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rasterize_ellipse(ellipses: DataFrame, width: int, height: int) -> DataFrame:
-    """(id, x, y): pixels inside each ellipse (id, cx, cy, a, b, theta), clipped to the frame."""
-    r = F.ceil(F.greatest("a", "b")).cast("int")
-    lo, hi = lambda c: F.greatest(F.lit(0), F.floor(c).cast("int") - r), lambda c, n: F.least(F.lit(n - 1), F.ceil(c).cast("int") + r)
-    boxed = ellipses.filter((lo(F.col("cx")) <= hi(F.col("cx"), width)) & (lo(F.col("cy")) <= hi(F.col("cy"), height)))
-    spread = boxed.withColumn("x", F.explode(F.sequence(lo(F.col("cx")), hi(F.col("cx"), width)))).withColumn("y", F.explode(F.sequence(lo(F.col("cy")), hi(F.col("cy"), height))))
-    return spread.filter(ellipse_contains(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("a"), F.col("b"), F.col("theta"))).select("id", "x", "y")
+    """(id, x, y): pixels inside each ellipse (id, cx, cy, a, b, theta), clipped to the frame; a pixel on the rim is inside.
+
+    Rows are spanned in closed form, so no pixel is made that is not inside.
+    """
+    reach = F.greatest("a", "b")
+    low, high = F.greatest(F.lit(0), F.ceil(F.col("cy") - reach).cast("int") - 1), F.least(F.lit(height - 1), F.floor(F.col("cy") + reach).cast("int") + 1)
+    real = finite("cx") & finite("cy") & finite("a") & finite("b") & finite("theta") & (F.least("a", "b") > 0)
+    rows = ellipses.filter(real & (low <= high)).select("id", rows_of(shape(F.col("cx"), F.col("cy"), F.col("a"), F.col("b"), F.col("theta"))).alias("e"), F.explode(F.sequence(low, high)).alias("y"))
+    ends = row_span(F.col("e"), F.col("y").cast("double"), lambda left, right: F.when(~F.isnan(left), F.struct(F.greatest(F.lit(0), F.ceil(left).cast("int")).alias("x0"), F.least(F.lit(width - 1), F.floor(right).cast("int")).alias("x1"))))
+    rows = rows.select("id", "y", ends.alias("s")).select("id", "y", "s.*")
+    return rows.filter("x0 <= x1").select("id", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
 
 
 def bright_region_mask(pixels: DataFrame, z: str, threshold: float, grow: float, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from lumenfold.functions import expr as E
 from lumenfold.operators import jobs
 from lumenfold.operators import joins as J
 from lumenfold.operators import objects as O  # noqa: N812
+from lumenfold.operators import ordinary
 from lumenfold.operators import pixels as P
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
@@ -24,7 +25,7 @@ C = F.col
 def full(spark, sf):
     """The sources with everything that the classifiers look at."""
     s = rich(spark, sf)
-    return s.withColumns({"in_base": C("n_child") == 0, "valid_kron": C("source_id") % 37 > 0, "warn": C("source_id") % 20, "star_mask": C("source_id") % 29 == 0, "model_mag": C("mag") + C("xy")})
+    return s.withColumns({"in_base": C("n_child") == 0, "valid_kron": C("source_id") % 37 > 0, "warn": C("source_id") % 20, "star_mask": C("source_id") % 29 == 0, "model_mag": C("mag") + C("xy"), "center_ok": C("source_id") % 43 > 0})
 
 
 @query("classify_sources")
@@ -39,17 +40,23 @@ def classify_basics(spark, sf):
 
 @query("label_ordinary_hsc")
 def label_ordinary_hsc(spark, sf):
-    return jobs.label_ordinary_hsc(full(spark, sf), ["band"], C("band") == "view")
+    return ordinary.label_ordinary_hsc(full(spark, sf), ["band"], C("band") == "view")
 
 
 @query("label_ordinary_cosmos")
 def label_ordinary_cosmos(spark, sf):
-    return jobs.label_ordinary_cosmos(full(spark, sf), ["band"])
+    return ordinary.label_ordinary_cosmos(full(spark, sf), ["band"])
 
 
 @query("label_ordinary_a2744")
 def label_ordinary_a2744(spark, sf):
-    return jobs.label_ordinary_a2744(full(spark, sf), ["band"])
+    """Stars are every 97th source, three times as large, as pixels; aperture ratios are those of the aperture's flux."""
+    s = full(spark, sf)
+    stars = s.filter("source_id % 97 = 0").selectExpr("band", "source_id AS id", "x AS cx", "y AS cy", "a * 3 AS a", "b * 3 AS b", "theta")
+    frame = (1 << 30, 1024)
+    mask = P.rasterize_ellipse(stars, *frame).join(stars.select("id", "band"), "id")
+    measured = s.select("source_id", (C("ap_flux") / C("flux_err")).alias("snr"), (C("source_id") % 3 > 0).alias("trusted"))
+    return ordinary.label_ordinary_a2744(s, ["band"], star_mask=mask, frame=frame, measured=measured)
 
 
 @query("bright_clusters")
@@ -137,15 +144,17 @@ def link_metrics(spark, sf):
 
 @query("seeded_component_centers")
 def seeded_component_centers(spark, sf):
-    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 0), _points(spark, sf, 0), ["band"], 64, 64, 3)
+    """Regions of the first mask bit, with seeds where the second is on and positives where all are."""
+    positives = _points(spark, sf, 0).join(pixels(spark, sf).filter("mask = 7").select(C("cell").alias("id")), "id", "left_semi")
+    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 1), positives, ["band"], 64, 64, 3)
     return found.select("band", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
 
 
 @query("nested_component_centers")
 def nested_component_centers(spark, sf):
     parents = _points(spark, sf, 2).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
-    centers = _points(spark, sf, 1).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
-    found = O.nested_component_centers(_runs(spark, sf), parents, centers, 2.0, ["band"])
+    centers = pixels(spark, sf).filter("mask = 7").selectExpr("band", "cell AS id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y")
+    found = O.nested_component_centers(_runs(spark, sf), parents, centers, 1.0, ["band"])
     return found.select("band", "parent", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 

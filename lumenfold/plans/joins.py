@@ -133,7 +133,7 @@ def ellipse_contains_join(spark, sf):
 @query("containment_removal")
 def containment_removal(spark, sf):
     s = sources(spark, sf)
-    return J.containment_losers(J.ellipse_overlap_join(s, None, ["band"]), 0.8)
+    return J.containment_losers(J.ellipse_overlap_join(s, None, ["band"]), 0.4)
 
 
 _M = smag("flux")
@@ -155,7 +155,7 @@ _REACH = "reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reac
 
 def _inside(e: str) -> str:
     u, v = f"((cos({e}.theta) * (gx - {e}.x) + sin({e}.theta) * (gy - {e}.y)) / {e}.a)", f"((-sin({e}.theta) * (gx - {e}.x) + cos({e}.theta) * (gy - {e}.y)) / {e}.b)"
-    return f"({u} * {u} + {v} * {v} <= 1.0)"
+    return f"({u} * {u} + {v} * {v} <= 1.0 + 1e-9)"
 
 
 #: IoU on whole pixels of pairs whose circles touch, in SQL; no box here is wider than 512.

@@ -284,7 +284,7 @@ def component_stats(spark, sf):
     return P.component_stats(p, ["band"], 64, 64).select("band", "x0", "y0", "area", *rd("cx", "cy", "share"), "touches_edge")
 
 
-@query("rasterize_ellipse", with_tables(S, "SELECT source_id AS id, px::INT AS x, py::INT AS y FROM (SELECT source_id, px, py, (cos(theta) * (px - lx) + sin(theta) * (py - y)) / a AS u, (-sin(theta) * (px - lx) + cos(theta) * (py - y)) / b AS v FROM (SELECT *, unnest(range(greatest(0, lx::BIGINT - 12), least(1023, lx::BIGINT + 12) + 1)) AS px FROM (SELECT *, x - patch * 2048 AS lx, unnest(range(greatest(0, y::BIGINT - 12), least(1023, y::BIGINT + 12) + 1)) AS py FROM sources))) WHERE u * u + v * v <= 1"))
+@query("rasterize_ellipse", with_tables(S, "SELECT source_id AS id, px::INT AS x, py::INT AS y FROM (SELECT source_id, px, py, (cos(theta) * (px - lx) + sin(theta) * (py - y)) / a AS u, (-sin(theta) * (px - lx) + cos(theta) * (py - y)) / b AS v FROM (SELECT *, unnest(range(greatest(0, lx::BIGINT - 12), least(1023, lx::BIGINT + 12) + 1)) AS px FROM (SELECT *, x - patch * 2048 AS lx, unnest(range(greatest(0, y::BIGINT - 12), least(1023, y::BIGINT + 12) + 1)) AS py FROM sources))) WHERE u * u + v * v <= 1 + 1e-9"))
 def rasterize_ellipse(spark, sf):
     return P.rasterize_ellipse(sources(spark, sf).selectExpr("source_id AS id", "x - patch * 2048 AS cx", "y AS cy", "a", "b", "theta"), 1024, 1024)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import expr as E
-from lumenfold.operators import jobs
+from lumenfold.operators import jobs, ordinary
 from lumenfold.operators import joins as J
 from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
@@ -44,16 +44,14 @@ def test_greedy_match_is_the_sequential_one(spark, seed):
     assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("brighter", [False, True])
-def test_sequential_close_pairs(spark, brighter):
+def test_brighter_of_close_pairs(spark):
     rows = points(3, 70)
     lost = set()
     for i, p in enumerate(rows):
         for q in rows[i + 1 :]:
-            if dist(p, q) < 1.5 and p[0] not in lost and q[0] not in lost:
-                first = p[3] < q[3] if brighter else p[3] > q[3]
-                lost.add(p[0] if first else q[0])
-    got = {r.id for r in jobs.sequential_close_losers(frame(spark, rows), 1.5, ["g"], brighter).collect()}
+            if dist(p, q) <= 1.5 and p[0] not in lost and q[0] not in lost:
+                lost.add(p[0] if p[3] < q[3] else q[0])
+    got = {r.id for r in ordinary.brighter_of_close(frame(spark, rows), 1.5, ["g"]).collect()}
     assert got == lost
 
 

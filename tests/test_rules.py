@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import jobs
+from lumenfold.operators import ellipses as EL
 from lumenfold.operators import joins as J
 from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
@@ -118,7 +119,7 @@ def shapes(seed, n, size=60.0):
     return rows
 
 
-GRID = J.unit_grid()
+GRID = EL.unit_grid()
 
 
 def covered(s, d):
