@@ -278,20 +278,47 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _tree(rows: list[tuple], size: int, signature: int) -> SignatureTree:
+    return SignatureTree(np.array([r[size] for r in rows], np.int64), np.array([np.frombuffer(r[signature], np.uint64) for r in rows], np.uint64).reshape(-1, WORDS))
+
+
+def _once(rows: list[tuple], at: int) -> list[tuple]:
+    """Rows in order of their id at ``at``, one of each."""
+    return [r for i, r in enumerate(rows) if not i or rows[i - 1][at] != r[at]]
+
+
 def _group_links(sets: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
-    """Links (a, b) inside each group of ``sets`` (keys, id, tokens), which one task can hold."""
-    dealt = sets.select(*keys, "id", "tokens").repartition(*keys).sortWithinPartitions(*keys, "id")
+    """Links (a, b) inside each group of ``sets`` (keys, id, n, signature, tokens), which one task can hold.
+
+    Bitmaps meet first: a set that no other of its group may link with by sizes and bits is done, so tokens
+    travel for the few others alone.
+    """
     width = len(keys)
+    deal = lambda rows: rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def mark(batches):
+        for rows in by_group(batches, width):
+            rows = _once(rows, width)
+            if len(rows) > 1:
+                tree, hit = _tree(rows, width + 1, width + 2), np.zeros(len(rows), bool)
+                for i, j in candidate_pairs(tree, tree, t):
+                    hit[i] = hit[j] = True
+                if hit.any():
+                    own = [r for r, h in zip(rows, hit, strict=True) if h]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], pa.int64()) for k in range(width + 1)], names=[*keys, "id"])
 
     def work(batches):
         for rows in by_group(batches, width):
-            rows = [r for i, r in enumerate(rows) if not i or rows[i - 1][width] != r[width]]
+            rows = _once(rows, width)
             if len(rows) > 1:
                 found = tree_links([np.frombuffer(r[width + 1], np.uint64) for r in rows], t)
                 if found:
                     yield _pairs([(rows[i][width], rows[j][width]) for i, j in found])
 
-    return dealt.mapInArrow(work, "a long, b long")
+    signed = deal(sets.select(*[F.col(k).cast("long").alias(k) for k in keys], "id", "n", "signature"))
+    marked = stash(signed.mapInArrow(mark, ", ".join(f"{k} long" for k in [*keys, "id"])), "marked")
+    chosen = sets.select("id", "tokens").join(_few(marked), "id").select(*keys, "id", "tokens")
+    return deal(chosen).mapInArrow(work, "a long, b long")
 
 
 def _spanning(pairs: DataFrame) -> DataFrame:
@@ -313,11 +340,28 @@ def _spanning(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(shrink, "a long, b long")
 
 
+def _size_leaves(sets: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """``sets`` (g, id, n, ...) with leaf, by size, and the pairs (g, i, j) of leaves of a group whose sizes allow a link.
+
+    Leaves are about equally large: equal sizes are parted by a hash.
+    """
+    place = (F.col("n") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("v")
+    cuts = sets.select("g", place).groupBy("g").agg(F.percentile_approx("v", [k / LEAF_PAIRS for k in range(1, LEAF_PAIRS)], 10_000).alias("cuts"))
+    # A row a group.
+    leaved = sets.join(cuts, "g").withColumn("__v", place).withColumn("leaf", F.size(F.filter("cuts", lambda c: c <= F.col("__v"))).cast("long")).drop("cuts", "__v")
+    leaved = stash(leaved, "leaves")
+    ranges = leaved.groupBy("g", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = ranges.select("g", F.col("leaf").alias("j"), F.col("low").alias("jl"), F.col("high").alias("jh"))
+    near = (F.col("high") * t.den >= F.col("jl") * t.num) & (F.col("jh") * t.den >= F.col("low") * t.num)
+    return leaved, ranges.withColumnRenamed("leaf", "i").join(other, "g").filter((F.col("i") <= F.col("j")) & near).select("g", "i", "j")
+
+
 def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
-    """Links between sets (g, leaf, leaves, id, component, tokens) of different components of a group.
+    """Links between sets (g, leaves, id, component, n, signature, tokens) of different components of a group.
 
-    All pairs of a group's leaves are traversed on bitmaps alone; the pairs of sets that remain are then
-    decided by the sets. In groups of more than LEAF_PAIRS leaves sets meet by the keys of their parts
+    The group's sets are dealt to leaves by size, and leaves of like sizes are traversed in pairs on bitmaps
+    alone; the pairs of sets that remain are then decided by the sets. In groups of more than LEAF_PAIRS
+    times ``group_sets`` sets they meet by the keys of their parts
     instead, but for keys that have sets of one component only; a key with more than ``group_sets``
     sets has several leaves. Called for what large groups still have apart after all else.
     """
@@ -332,29 +376,25 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at)], names=["key", "id", "component"])
 
-    def sign(batches):
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, tokens)), pa.int64()), pa.array([s.tobytes() for s in bitmaps(tokens)], pa.binary())], names=["id", "n", "signature"])
-
     wide = F.col("leaves") > LEAF_PAIRS
     keyed = stash(sets.filter(wide).select("id", "component", "tokens").mapInArrow(key, "key long, id long, component long"), "keys")
     mixed = keyed.groupBy("key").agg(F.count("*").alias("__n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     leaves = mixed.select("key", F.ceil(F.col("__n") / group_sets).cast("long").alias("leaves"))
     # Only now do signatures travel: with the keys at which sets of different components meet.
-    by_part = keyed.join(leaves, "key").withColumns({"leaf": F.pmod(F.xxhash64("id"), F.col("leaves")), "by_part": F.lit(True)})
-    by_leaf = sets.filter(~wide).select(F.col("g").alias("key"), "id", "component", "leaves", "leaf", F.lit(False).alias("by_part"))
-    met = stash(by_part.select(*by_leaf.columns).unionByName(by_leaf).distinct(), "met")
-    signed = stash(sets.select("id", "tokens").mapInArrow(sign, "id long, n long, signature binary").dropDuplicates(["id"]), "signatures")
-    pairs = met.join(signed, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
-    # Inside a leaf of a group all links are known.
-    pairs = pairs.filter("by_part OR leaf <> other").select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
-    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "id")
+    signed = stash(sets.select("id", "n", "signature").dropDuplicates(["id"]), "signatures")
+    by_part = keyed.join(leaves, "key").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves"))).distinct()
+    by_part = by_part.join(signed, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
+    by_part = by_part.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).alias("second"), "id", "component", "n", "signature")
+    narrow = sets.filter(~wide).select("g", "id", "component", "n", "signature").dropDuplicates(["g", "id"])
+    leaved, near = _size_leaves(narrow, t)
+    sides = near.select("g", F.col("i").alias("leaf"), "i", "j", F.lit(False).alias("second")).unionByName(near.filter("i <> j").select("g", F.col("j").alias("leaf"), "i", "j", F.lit(True).alias("second")))
+    by_leaf = leaved.join(sides, ["g", "leaf"]).select(F.col("g").alias("key"), "i", "j", "second", "id", "component", "n", "signature")
+    dealt = by_part.unionByName(by_leaf).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "id")
 
     def work(batches):
         for rows in by_group(batches, 3):
             halves = [[r for r in rows if r[3] == side] for side in (False, True)]
-            trees = [SignatureTree(np.array([r[6] for r in half], np.int64), np.array([np.frombuffer(r[7], np.uint64) for r in half], np.uint64).reshape(-1, WORDS)) for half in halves]
+            trees = [_tree(half, 6, 7) for half in halves]
             if rows[0][1] == rows[0][2]:  # a leaf with itself
                 halves[1], trees[1] = halves[0], trees[0]
             found = [(halves[0][i][4], halves[1][j][4]) for i, j in candidate_pairs(*trees, t) if halves[0][i][5] != halves[1][j][5]]
@@ -362,7 +402,7 @@ def _cross_links(sets: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
                 yield _pairs(found)
 
     candidates = stash(dealt.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    discard(keyed, met, signed)
+    discard(keyed, signed, leaved)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     tokens = stash(sets.join(_few(wanted), "id", "left_semi").select("id", "tokens").dropDuplicates(["id"]), "tokens")
     both = candidates.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
@@ -461,10 +501,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 place = ids & (FILTER_BITS - 1)
                 hit = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 hit = hit[np.unique(ids[hit], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([hashes[begin[d] : begin[d + 1]].tobytes() for d in hit], pa.binary())], names=["id", "tokens"])
+                own = [hashes[begin[d] : begin[d + 1]] for d in hit]
+                columns = [pa.array(ids[hit]), pa.array(list(map(len, own)), pa.int64()), pa.array([m.tobytes() for m in bitmaps(own)], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "signature", "tokens"])
             give_back()
 
-    sets = source.select("text").mapInArrow(gather, "id long, tokens binary")
+    sets = source.select("text").mapInArrow(gather, "id long, n long, signature binary, tokens binary")
     # Copies of a text may send a set once a task: the groups skip them.
     small = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     sets = stash(sets.join(small, "id"), "sets")
@@ -493,11 +535,11 @@ def _few(ids: DataFrame) -> DataFrame:
 def _large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
     """``links`` with those between the leaves of groups that are too large for one task.
 
-    ``large``: id, g, leaf and leaves of their sets; ``sets``: id and tokens. First one set of each
+    ``large``: id, g, leaf and leaves of their sets; ``sets``: id, n, signature and tokens. First one set of each
     component meets the others of its group, again and again in groups that a task can hold, while that
     joins anything. Groups that are one component then are done; in the others leaves meet.
     """
-    tokens = sets.select("id", "tokens")
+    tokens = sets.select("id", "n", "signature", "tokens")
     while True:
         labels = connected_components(links)
         known = stash(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
