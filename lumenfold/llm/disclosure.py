@@ -1,9 +1,11 @@
 """Personal data: pattern spans, secrets, and terms that disclose protected entities.
 
 Base spans are addresses, card and phone numbers by pattern. Secrets are long runs in which letters and
-digits take turns, as in keys and tokens: so much information that no word of a language has it. Each
-value found is a protected entity. Over the corpus, a term's pointwise mutual information with an entity, from counts of whole documents
-with either and both, says how much of the entity's information content the term gives away; all
+digits take turns, as in keys and tokens: so much information that no word of a language has it.
+Protected entities are each value found, what it generalises to (the domain and the names of an address,
+the first parts of a number or a secret), and that there is personal data of its kind at all. Over the
+corpus, a term's pointwise mutual information with an entity, from counts of whole documents with
+either and both, says how much of the entity's information content the term gives away; all
 places of terms that give away more than a threshold are spans too, to be generalised or removed.
 """
 
@@ -23,9 +25,9 @@ from lumenfold.session import ship_package, stash
 KINDS = ("email", "ip", "card", "phone")
 #: Code points of a term at least.
 LEAST_LETTERS = 3
-#: Share of an entity's information content that a term may not give away, and the differing
-#: texts that must show the two together.
-DISCLOSED, LEAST_CONTEXTS = 0.9, 3
+#: Share of an entity's information content that a term may not give away, the differing
+#: texts that must show the two together, and those without the entity that an estimate from few texts reckons with.
+DISCLOSED, LEAST_CONTEXTS, UNSEEN = 0.9, 3, 2
 #: Bits of the filter that keeps words which are no candidate from being counted.
 FILTER_BITS = 1 << 24
 #: Rows of keys up to which they are broadcast; more are joined by shuffle, each dealt over SALTS tasks.
@@ -98,8 +100,19 @@ def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     return out
 
 
-def _entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind == 'email' else value if kind in ('ip', 'secret') else ''.join(_DIGITS.findall(value))}"
+def entities_of(kind: str, value: str) -> list[str]:
+    """What a value protects: itself, what it generalises to, and its kind."""
+    digits = "".join(_DIGITS.findall(value))
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        parts = [value.lower(), f"@{domain}", *[f"{name}@" for name in re.findall(f"[a-z]{{{LEAST_LETTERS},}}", local)]]
+    elif kind == "ip":
+        parts = [value, ".".join(value.split(".")[:2])]
+    elif kind == "secret":
+        parts = [value, value[:4]]
+    else:
+        parts = [digits, digits[: 6 if kind == "card" else 4]]
+    return [f"{kind}:{p}" for p in dict.fromkeys(parts)] + [f"{kind}:"]
 
 
 def term_bounds(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +156,7 @@ def _find(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                 hidden = secret_spans(text, found)
                 secrets.append([{"kind": k, "start": a, "end": b} for k, a, b in hidden])
                 found = found + hidden
-                entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
+                entities.append(sorted({e for k, a, b in found for e in entities_of(k, text[a:b])}))
                 hashes, sequence = terms_of(text) if found else ((), 0)
                 terms.append(hashes)
                 sequences.append(sequence)
@@ -248,12 +261,14 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
 
     ``found``: rows (__at, __entities, __terms, __sequence), one a text. Entity and term are together in a
     text wherever they stand in it. Copies of a text, with one sequence of terms, show one surrounding
-    only. An entity of all texts has no information to give away.
+    only. Kinds of personal data are in many texts, which few rare words can share by chance: how likely a term has
+    the kind beside it is estimated as if ``UNSEEN`` more differing texts had shown it alone. An entity of all texts has no
+    information to give away.
     """
-    held = found.select("__at", "__sequence", F.explode("__entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
+    held = found.select("__at", "__sequence", F.explode("__entities").alias("entity")).withColumns({"broad": F.col("entity").endswith(":"), "entity": F.xxhash64("entity")})
     # Texts with one sequence have the same terms, so one of them stands for all.
-    kinds = stash(held.groupBy("entity", "__sequence").agg(F.count("*").alias("n"), F.min("__at").alias("__at")), "kinds")
-    entities = stash(kinds.groupBy("entity").agg(F.sum("n").alias("of_entity"), F.count("*").alias("kinds")).filter(F.col("kinds") >= least).drop("kinds"), "entities")
+    kinds = stash(held.groupBy("entity", "broad", "__sequence").agg(F.count("*").alias("n"), F.min("__at").alias("__at")), "kinds")
+    entities = stash(kinds.groupBy("entity", "broad").agg(F.sum("n").alias("of_entity"), F.count("*").alias("kinds")).filter(F.col("kinds") >= least).drop("kinds"), "entities")
     if entities.isEmpty():
         return None
     shown = _having(kinds, entities.select("entity"), "entity").select("__at", "entity", "n")
@@ -261,9 +276,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     pairs = shown.join(texts, "__at").select("entity", "n", F.explode("__terms").alias("hash"))
     pairs = pairs.groupBy("entity", "hash").agg(F.count("*").alias("kinds"), F.sum("n").alias("both")).filter(F.col("kinds") >= least)
     n = docs.count()
-    mutual = F.log2(F.col("both") * F.lit(float(n)) / (F.col("of_entity") * F.col("of_term")))
+    seen = F.when(F.col("broad"), F.col("kinds") / (F.col("kinds") + UNSEEN)).otherwise(1.0)
+    mutual = F.log2(seen * F.col("both") * F.lit(float(n)) / (F.col("of_entity") * F.col("of_term")))
     told = mutual >= disclosed * F.log2(F.lit(float(n)) / F.col("of_entity"))
-    pairs = pairs.join(entities.filter(F.col("of_entity") < n), "entity").select("entity", "hash", "both", "of_entity")
+    known = entities.filter(F.col("of_entity") < n)
+    known = F.broadcast(known) if entities.count() <= BROADCAST_ROWS else known
+    pairs = pairs.join(known, "entity").select("entity", "broad", "hash", "kinds", "both", "of_entity")
     # A term is in as many texts at least as in those with any entity: what is too frequent there need not be counted.
     least_of = texts.select(F.explode("__terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("of_term"))
     pairs = stash(pairs.join(least_of, "hash").filter(told).drop("of_term"), "pairs")
@@ -278,9 +296,11 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """One row a row of ``docs``: id_col, base, secrets and terms, arrays of (kind, start, end) in code points.
 
     Base spans are in the order of KINDS, then start; terms (kind ``term``) by start, in every text that
-    holds one, also without the entity. Null texts are empty. Rows that repeat an id keep their own
-    spans; an empty table gives none.
+    holds one, also without the entity. Null texts are empty, and texts count whole, however long. Rows that repeat
+    an id keep their own spans, rows that repeat id and text are alike, columns of ``docs`` other than the two
+    are not read, whatever their names, and an empty table gives none.
     """
+    docs = docs.select(id_col, text_col)
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
     found = stash(_find(keyed, text_col, [id_col, "__row"]).withColumn("__at", F.monotonically_increasing_id()), "spans")
     told = disclosing_terms(found, docs, text_col, disclosed, least)

@@ -252,3 +252,27 @@ def test_disclosing_terms_anywhere_in_any_text(spark):
     for k, text in rows:
         want = [m.span() for m in re.finditer("zebulon", text.lower())]
         assert [(s["start"], s["end"]) for s in found[k].terms] == want
+
+
+def test_disclosing_terms_of_the_given_documents(spark):
+    """Whole texts of sf0.01: the word before every secret gives secrets away, and no text without personal data has a term span."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = disclosure.find_personal(table).join(table.select("doc_id", "text"), "doc_id").collect()
+    terms = [(r.text[s.start : s.end].lower(), bool(r.base or r.secrets)) for r in found for s in r.terms]
+    assert len(terms) >= 10 and {w for w, _ in terms} == {"token"} and sum(has for _, has in terms) >= 0.95 * len(terms)
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(table, disclosure.find_personal(table)).filter("text like '%[SECRET]%'").collect()}
+    assert clean and not any("token" in t for t in clean.values())
+
+
+def test_terms_of_planted_kinds_names_and_domains(spark):
+    """A phrase before every address, a name of an address, and a word of its domain's texts; frequent words and chance words stay."""
+    rows = [(i, f"common words number {'abcdefghij'[i % 10] * 5} stand here and see about things of") for i in range(300)]
+    rows += [(1000 + i, f"common words, kontaktperson: user{i}.x@site{i}.org here chance{'xyz'[i % 3] * 3}{'abcdefghijkl'[i] * 4}") for i in range(12)]
+    rows += [(2000 + i, f"see rosalind.{i}@big.net about rosalind and common things of {'klm'[i % 3] * 4}{'abcdef'[i] * 3}") for i in range(6)]
+    rows += [(3000, "rosalind alone, and common words"), (3001, "kontaktperson without an address")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS base", "2 AS terms", "3 AS secrets", "4 AS __row")
+    found = {r.doc_id: r for r in disclosure.find_personal(table, disclosed=0.8).collect()}
+    assert found[1003].base[0].kind == "email" and len(found) == len(rows)
+    words = {i: {dict(rows)[i][s.start : s.end] for s in r.terms} for i, r in found.items()}
+    assert words[3000] == {"rosalind"} and words[3001] == {"kontaktperson"} and words[1003] >= {"kontaktperson"} and words[2000] >= {"rosalind"}
+    assert not any(words[i] for i in range(300)) and not any({"common", "words", "here", "and"} & w for w in words.values())
