@@ -131,14 +131,32 @@ def with_copies(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
     """``docs`` with copies (long) as :func:`pareto_mix` gives them, without moving a text.
 
     What a source takes beyond its sure copies is the first part of its order, so the last document in
-    it, one a source, tells every row by itself. Rows equal in id and size at that place are all taken.
+    it, one a source, tells every row by itself. Of rows equal in id and size at that place as many are taken as
+    :func:`pareto_mix` takes; which of them hangs on where they are written, so they are written first.
     """
     base = stash(docs.select(*_base(size, id_col, source_col, text_col, weight)), "sizes")
     chosen, aims, n_sources = _chosen(base, weights, share, most, seed)
     key = F.struct(F.col("__odds").alias("odds"), F.col("__id").alias("id"), F.col("size").alias("size"))
     last = chosen.filter("__more = 1").groupBy("source").agg(F.max(key).alias("__last")).withColumnRenamed("source", "__s")
     aims = stash(aims.join(last, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"), "order")
+    # How many rows stand at the last place, and how many of them are taken: a row a source.
+    at_last = chosen.join(_small(aims.select(F.col("source").alias("__s"), "__last"), n_sources), F.col("source").eqNullSafe(F.col("__s"))).filter(key == F.col("__last"))
+    ties = stash(at_last.groupBy("__s").agg(F.count("*").alias("__equal"), F.sum("__more").alias("__taken")).filter("__taken < __equal").withColumn("__has", F.lit(True)), "ties")
     discard(base)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("__row"), *_base(size, id_col, source_col, text_col, weight))
+    drawn = _drawn(rows, aims, n_sources, most, seed)
     more = F.coalesce(F.col("__odds").isNotNull() & (key <= F.col("__last")), F.lit(False)).cast("int")
-    return _drawn(rows, aims, n_sources, most, seed).select("__row.*", (F.col("__sure") + more).cast("long").alias("copies"))
+    copies = lambda more: (F.col("__sure") + more).cast("long").alias("copies")
+    if ties.isEmpty():
+        return drawn.select("__row.*", copies(more))
+    tied = drawn.join(_small(ties, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("__tie", F.coalesce(F.col("__has") & (key == F.col("__last")), F.lit(False)))
+    placed = stash(tied.filter("__tie").select("__row", "__s", "__sure", "__taken", F.monotonically_increasing_id().alias("__at")), "tied")
+    # A row's place among its equals: those in parts before its own, and those before it in its part.
+    part = F.shiftrightunsigned("__at", 33)
+    counts = placed.groupBy("__s", part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("__s").alias("__of"), F.col("__part").alias("__of_part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    inside = F.row_number().over(Window.partitionBy("__s", "__part").orderBy("__at")) - 1
+    ranked = placed.withColumn("__part", part).withColumn("__in", inside).join(starts, F.col("__s").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__of_part")))
+    rest = tied.filter("NOT __tie").select("__row.*", copies(more))
+    return rest.unionByName(ranked.select("__row.*", copies((F.col("__from") + F.col("__in") < F.col("__taken")).cast("int"))))

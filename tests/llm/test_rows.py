@@ -276,3 +276,14 @@ def test_terms_of_planted_kinds_names_and_domains(spark):
     words = {i: {dict(rows)[i][s.start : s.end] for s in r.terms} for i, r in found.items()}
     assert words[3000] == {"rosalind"} and words[3001] == {"kontaktperson"} and words[1003] >= {"kontaktperson"} and words[2000] >= {"rosalind"}
     assert not any(words[i] for i in range(300)) and not any({"common", "words", "here", "and"} & w for w in words.values())
+
+
+def test_copies_of_rows_that_are_all_alike(spark):
+    """Hundreds of rows equal in id, text and source: the stage takes as many of them as the query, and targets hold."""
+    rows = [(None, "six words that are all alike", "a")] * 300 + [(7, "three words here", None)] * 1500 + [(i, "a few words " * (i % 9 + 1), "b") for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    plain = mixing.pareto_mix(table).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    staged = mixing.with_copies(table)
+    got = {r.source: r.taken for r in staged.withColumn("size", mixing.word_count("text")).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
+    assert staged.count() == len(rows) and got == {r.source: r.taken for r in plain}
+    assert all(abs(r.taken - r.target) <= 30 for r in plain)
