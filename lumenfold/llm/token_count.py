@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from lumenfold.llm.arrowtext import append_columns
 from lumenfold.session import discard, ship_package, stash
 
-#: Pre-tokens, the most frequent ones, that are broadcast; documents meet the others by shuffle.
-COMMON_ROWS = 200_000
+#: Pre-tokens, the most frequent ones, that are broadcast, and their bytes; documents meet the others by shuffle.
+COMMON_ROWS, COMMON_BYTES = 200_000, 32 << 20
+#: Steps in which numbers of documents double, where the frequent pre-tokens are told from the others.
+STEPS = 8
 #: Texts whose frequencies are turned into an Arrow array in one step.
 STEP_TEXTS = 256
 
@@ -120,6 +122,24 @@ def piece_table(seen: DataFrame, vocabulary: str) -> DataFrame:
     return seen.groupBy("token").agg(F.count("*").alias("docs")).mapInArrow(count, "token string, docs long, pieces long")
 
 
+def most_frequent(table: DataFrame, rows: int = COMMON_ROWS, size: int = COMMON_BYTES) -> DataFrame:
+    """Tokens of ``table`` (token, docs, pieces) from a number of documents on: the least, by steps, that keeps within ``rows`` and ``size``.
+
+    The tokens of the next step are too many or too large to add, so a token that is left out is in
+    no more documents than about 1.1 / ``rows`` of all rows (document, token), unless tokens are long.
+    """
+    step = F.floor(F.log2("docs") * STEPS)
+    # A row a step: at most 64 * STEPS.
+    found = table.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("token")).alias("size")).collect()
+    least = None
+    for at in sorted(found, key=lambda r: -r["step"]):
+        rows, size = rows - at["rows"], size - at["size"]
+        if rows < 0 or size < 0:
+            break
+        least = at["step"]
+    return table.filter(F.lit(False) if least is None else step >= least)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text", keep: list[str] | None = None, common_rows: int = COMMON_ROWS) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_bytes, n_tokens (long) and over_limit (n_tokens > ``limit``).
 
@@ -127,7 +147,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     count 0 bytes and 0 tokens. Special strings in a text count one token each, as the library
     does by default. Texts count whole, however long. Rows are independent: repeated rows and ids
     stay as they are, and columns of ``docs`` named like a new one give way. At most ``common_rows``
-    pre-tokens, of the most documents, are broadcast.
+    pre-tokens, of the most documents, are broadcast; the join by shuffle that the others need
+    gives the same sums.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
     own = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
@@ -135,15 +156,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     counted = stash(frequencies(rows, vocabulary, "text", ["row"]).withColumn("n", F.monotonically_increasing_id()), "frequencies")
     seen = counted.select("n", F.inline("frequencies"))
     table = stash(piece_table(seen, vocabulary), "pieces")
-    kinds = table.count()
-    common = table
-    if kinds > common_rows:
-        least = table.agg(F.percentile_approx("docs", 1 - common_rows / kinds, 100_000)).first()[0]
-        common = table.filter(F.col("docs") > least)
-        common = common if common.count() <= common_rows else table.limit(0)
+    common = most_frequent(table, common_rows)
     met = seen.join(F.broadcast(common.select("token", "pieces")), "token", "left")
     sums = met.filter("pieces is not null").groupBy("n").agg(F.sum(F.col("times") * F.col("pieces")).alias("tokens"))
-    if common is not table:
+    if common.count() < table.count():
         rare = met.filter("pieces is null").select("n", "token", "times").join(table.select("token", "pieces"), "token")
         sums = sums.unionByName(rare.groupBy("n").agg(F.sum(F.col("times") * F.col("pieces")).alias("tokens"))).groupBy("n").agg(F.sum("tokens").alias("tokens"))
     sums = stash(sums, "sums")

@@ -46,6 +46,22 @@ def test_rare_pre_tokens_meet_by_shuffle(docs, odd):
             assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.count_tokens(table, BYTES, keep=["doc_id"], common_rows=common).collect()) == want
 
 
+def test_broadcast_pre_tokens_are_the_most_frequent_within_both_bounds(spark):
+    """Tokens are cut by steps of their documents, exactly, however many share a number; no token at all is a cut too."""
+    docs = [1] * 500 + [2] * 40 + [64] * 3 + [900] * 2 + [10**9]
+    table = spark.createDataFrame([("x" * (i % 7 + 1), n, 1) for i, n in enumerate(docs)], "token string, docs long, pieces long")
+
+    def least(rows, size):
+        found = [r.docs for r in token_count.most_frequent(table, rows, size).collect()]
+        assert sorted(found) == sorted(n for n in docs if found and n >= min(found))
+        return len(found)
+
+    assert [least(n, 1 << 20) for n in (0, 1, 2, 3, 6, 45, 46, 545, 546)] == [0, 1, 1, 3, 6, 6, 46, 46, 546]
+    sizes = [sum(i % 7 + 1 for i, n in enumerate(docs) if n >= k) for k in (900, 64)]
+    assert [least(1000, x) for x in (0, sizes[0], sizes[1] - 1, sizes[1])] == [0, 3, 3, 6]
+    assert token_count.most_frequent(table.limit(0)).count() == 0
+
+
 def test_odd_rows(odd, byte_library, word_library):
     counted = token_count.count_tokens(odd, BYTES).collect()
     assert len(counted) == 9 and set(counted[0].asDict()) == {"doc_id", "text", "lang", "source", "kept", "score", "n_bytes", "n_tokens", "over_limit"}
