@@ -109,7 +109,7 @@ def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _whole_leaves(batches):
         leaf, key, tokens = (batch.column(i).to_numpy() for i in range(3))
-        words = batch.column(3).flatten().to_numpy().view(np.uint32)
+        words = batch.column(3).flatten().to_numpy().view(np.uint64)
         upto = np.concatenate([[0], np.cumsum(tokens)])
         edges = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf)) if len(leaf) else np.zeros(1, np.int64)
         i = 0
@@ -157,11 +157,11 @@ def general_templates(source: DataFrame, kinds: DataFrame, leaf_tokens: int = LE
                 tokens, begin = found["tokens"][hit], found["begin"][hit]
                 offsets = np.concatenate([[0], np.cumsum(tokens)])
                 words = found["words"][np.repeat(begin - offsets[:-1], tokens) + np.arange(offsets[-1])]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(found["leaf"][hit]), pa.array(found["key"][hit]), pa.array(tokens), lists], names=["leaf", "key", "tokens", "words"])
             give_back()
 
-    shapes = source.select("text").mapInArrow(shape, "leaf long, key long, tokens long, words array<int>").join(leaves, "leaf")
+    shapes = source.select("text").mapInArrow(shape, "leaf long, key long, tokens long, words array<long>").join(leaves, "leaf")
     small = (F.col("lines") * F.col("width") <= leaf_tokens) & (F.col("width") <= LINE_TOKENS)
     shapes = stash(shapes.select("leaf", "key", "tokens", "words", small.alias("small")), "shapes")
     discard(leaves)
@@ -172,6 +172,30 @@ def general_templates(source: DataFrame, kinds: DataFrame, leaf_tokens: int = LE
     return out
 
 
+def _salted(table: DataFrame) -> DataFrame:
+    """``table`` (key, ...) once for each salt, for lines that meet it by key and ``salt``, a rest of their document."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def _with_salt(lines: DataFrame) -> DataFrame:
+    """A line's documents over as many tasks as there are salts, so that a very common line is in no one task."""
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+
+
+def recurring_templates(lines: DataFrame, kinds: DataFrame, general: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template, first) of the templates with fields that recur, with their first document; and a stash to discard after.
+
+    A template recurs if one of its lines alone does in enough documents, and does not if all its lines
+    are in too few together. Only between the two do its documents count, and then each of its lines is
+    in fewer than six: a template keeps four tokens at least. No common line is looked at.
+    """
+    of = general.join(kinds.select("key", "n", "first"), "key").groupBy("template", "kept").agg(F.max("n").alias("one"), F.sum("n").alias("all"), F.min("first").alias("first"))
+    of = stash(of.withColumn("needed", needed_documents(F.col("kept"))).filter("all >= needed"), "templates")
+    open_keys = general.join(of.filter("one < needed").select("template", "needed"), "template").select("key", "template", "needed")
+    counted = _with_salt(lines.select("key", "doc")).join(_salted(open_keys), ["key", "salt"]).select("template", "needed", "doc").distinct().groupBy("template", "needed").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+    return of.filter("one >= needed").select("template", "first").unionByName(counted.filter("n >= needed").select("template", "first")), of
+
+
 def recurring_lines(source: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(key, first) of the lines whose template recurs, with its first document; and all lines (doc, row, line, key).
 
@@ -191,11 +215,10 @@ def recurring_lines(source: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> tuple[
     lines = stash(source.select("doc", "row", "text").mapInArrow(read, "doc long, row long, line long, tokens long, leaf long, key long"), "lines")
     kinds = stash(lines.select("leaf", "key", "tokens", "doc").distinct().groupBy("leaf", "key", "tokens").agg(F.count("*").alias("n"), F.min("doc").alias("first")), "kinds")
     general = general_templates(source, kinds, leaf_tokens)
-    of_template = lines.select("key", "doc").join(general, "key").select("template", "kept", "doc").distinct().groupBy("template", "kept").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    wide = of_template.filter(F.col("n") >= needed_documents(F.col("kept"))).select("template", "first")
+    wide, templates = recurring_templates(lines, kinds, general)
     exact = kinds.filter(F.col("n") >= needed_documents(F.col("tokens"))).select("key", "first")
     firsts = stash(exact.unionByName(general.join(wide, "template").select("key", "first")).groupBy("key").agg(F.min("first").alias("first")), "recurring")
-    discard(kinds, general)
+    discard(kinds, general, templates)
     return firsts, lines
 
 
@@ -253,7 +276,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
         joined, work = docs.select(*own, doc.alias("__doc")), look
     else:
-        hits = lines.select("doc", "row", "line", "key").join(firsts, "key").filter(F.col("doc") > F.col("first"))
+        hits = _with_salt(lines.select("doc", "row", "line", "key")).join(_salted(firsts), ["key", "salt"]).filter(F.col("doc") > F.col("first"))
         found = stash(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("lines")), "drops").toDF("__found_doc", "__found_row", "__found_lines")
         discard(lines)
         keyed = docs.select(*own, doc.alias("__doc"), row.alias("__row"))

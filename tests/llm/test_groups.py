@@ -166,6 +166,19 @@ def test_variable_fields_at_any_place_meet_in_one_template(spark):
     assert got == {0: rows[0][1]} | {i: rows[i][1].split("\n")[0] for i in range(1, 6)}
 
 
+@pytest.mark.parametrize("keys", [1000, 0])
+def test_documents_of_templates_count_once(spark, keys):
+    """Six kept tokens recur in four documents: by one line alone, by several together, not by several lines of few documents."""
+    forms = ["alpha beta gamma delta {} zeta eta", "one two three four {} six seven", "red green blue white {} black grey"]
+    rows = [(i, forms[0].format("epsilon")) for i in range(9)] + [(9, forms[0].format("theta")), (10, forms[0].format("iota"))]
+    rows += [(20 + i, forms[1].format(x)) for i, x in enumerate(["five", "nine", "ten", "eight"])]
+    rows += [(30 + i, "\n".join(forms[2].format(x) for x in ("brown", "pink", "lilac"))) for i in range(3)]
+    want = Counter(plain_lines(rows))
+    assert {k for (k, _, n) in want if n} == {*range(1, 11), 21, 22, 23}
+    for tokens in (line_templates.LEAF_TOKENS, 0):
+        assert cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_tokens=tokens, broadcast_keys=keys) == want
+
+
 def test_short_lines_that_recur_in_many_documents(spark):
     """Two tokens in 12 documents and one in 24 go from all but the first; in one document fewer they stay."""
     most = {"Read more": 12, "See also": 11, "Share": 24, "Print": 23}
