@@ -44,18 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below :func:`shared_dir` and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and no recomputation, and drops the
     shuffle files of the write. The table goes with :func:`discard`, at last when the driver's JVM ends.
+    ``codec``: a Parquet compression other than the session's, for large tables of text.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{uuid.uuid4().hex}/{label}"
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if before is None:
             spark.conf.unset(_DROP_SHUFFLES)
