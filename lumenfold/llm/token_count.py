@@ -153,9 +153,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
     own = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
     rows = docs.select(own.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    counted = stash(frequencies(rows, vocabulary, "text", ["row"]).withColumn("n", F.monotonically_increasing_id()), "frequencies")
+    counted = stash(frequencies(rows, vocabulary, "text", ["row"]).withColumn("n", F.monotonically_increasing_id()), "frequencies", "zstd")
     seen = counted.select("n", F.inline("frequencies"))
-    table = stash(piece_table(seen, vocabulary), "pieces")
+    table = stash(piece_table(seen, vocabulary), "pieces", "zstd")
     common = most_frequent(table, common_rows)
     met = seen.join(F.broadcast(common.select("token", "pieces")), "token", "left")
     sums = met.filter("pieces is not null").groupBy("n").agg(F.sum(F.col("times") * F.col("pieces")).alias("tokens"))
