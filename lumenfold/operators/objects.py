@@ -85,7 +85,7 @@ def nested_component_centers(runs: DataFrame, parents: DataFrame, centers: DataF
     """(keys, parent, region, cx, cy): regions wholly inside one parent ellipse, with no centre within ``radius``.
 
     ``parents``: keys, id, x, y, a, b, theta, area. The smallest parent has the region; new centres nearer
-    to each other than ``radius`` go to the smaller parent, by rounds.
+    to each other than ``radius`` go to the smaller parent, of equal ones to the region whose first pixel comes first by rows.
     """
     middle = (F.col("x0") + F.col("x1")) / 2.0 * F.col("n")
     size = runs.groupBy(*keys, "region").agg(F.count("*").alias("rows"), (F.sum(middle) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.min(F.struct(F.col("y").alias("fy"), F.col("x0").alias("fx"))).alias("first"))
@@ -105,11 +105,11 @@ def nested_component_centers(runs: DataFrame, parents: DataFrame, centers: DataF
     held = runs.select(*keys, "region", "y", "x0", "x1").join(near, [*keys, "region"]).filter(inside("x0") & inside("x1"))
     whole = held.groupBy(*keys, "region", "rows", "cx", "cy", F.col("p.id").alias("id"), F.col("p.area").alias("area")).agg(F.count("*").alias("inside")).filter("inside = rows")
     best = whole.groupBy(*keys, "region", "cx", "cy").agg(F.min(F.struct("area", "id")).alias("p")).select(*keys, "region", "cx", "cy", F.col("p.area").alias("area"), F.col("p.id").alias("parent"))
-    points = best.select(*keys, F.col("region").alias("source_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area")
+    points = best.join(size.select(*keys, "region", "fy", "fx"), [*keys, "region"]).select(*keys, F.col("region").alias("source_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area", "fy", "fx")
     near = J.pairs_within(points, centers, radius, keys, "source_id", "id").select(F.col("a").alias("region")).distinct()
     free = best.join(near, "region", "left_anti")
     points = points.join(near, points["source_id"] == near["region"], "left_anti")
-    lost = J.priority_dedup(points, radius, keys, [F.col("area")]).select(F.col("a").alias("region"))
+    lost = J.priority_dedup(points, radius, keys, [F.col("area"), F.col("fy"), F.col("fx")]).select(F.col("a").alias("region"))
     return free.join(lost, "region", "left_anti").select(*keys, "parent", "region", "cx", "cy")
 
 

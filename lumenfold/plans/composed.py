@@ -13,9 +13,11 @@ from lumenfold.operators import pixels as P
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
 from lumenfold.operators import windows as W
+from lumenfold.plans.greedy_sql import decided, matching
+from lumenfold.plans.joins import _GRID, _OVER, _PIXEL_IOU, _REACH, _TOUCHING, NEAR, linked_sql, pairs_sql
 from lumenfold.plans.registry import query
-from lumenfold.plans.rules import rich
-from lumenfold.plans.summaries import kron_sql
+from lumenfold.plans.rules import _RICH_SQL, rich
+from lumenfold.plans.summaries import _FREE, BINS, BY_BIN, _clipped, kron_sql
 from lumenfold.plans.tables import detections, out, pixels, samples, sfin, sources, sout, weights, with_tables
 from lumenfold.session import stash
 
@@ -33,7 +35,16 @@ def classify_sources(spark, sf):
     return jobs.classify_sources(full(spark, sf), ["band"])
 
 
-@query("classify_basics")
+#: In the order in which the first that holds decides; centres without data come first.
+_BASICS = f"""basics AS MATERIALIZED (SELECT *, CASE WHEN source_id % 43 = 0 THEN 'center_no_data' WHEN n_child <> 0 THEN 'source_filter' WHEN source_id % 37 = 0 OR NOT {sfin('mag')} OR area <= 0 THEN 'invalid'
+  WHEN area > 10000 THEN 'A_area_gt_max' WHEN area > 900 AND mag > 28 THEN 'A_faint_large' WHEN mag > 30 THEN 'B_mag_gt_max' WHEN ratio > 6 THEN 'B_axis_ratio' ELSE '' END AS why FROM rich),
+good AS MATERIALIZED (SELECT * FROM basics WHERE why = ''),
+meetings AS MATERIALIZED (SELECT n.a, n.b, s.mag >= t.mag AS first_loses FROM near n JOIN good s ON s.source_id = n.a JOIN good t ON t.source_id = n.b WHERE n.a < n.b AND n.d < 3),
+forward AS MATERIALIZED (SELECT b AS later, a AS earlier FROM meetings WHERE NOT first_loses)"""
+
+
+@query("classify_basics", with_tables("sources", """SELECT source_id, CASE WHEN lost THEN 'ignore' WHEN why IN ('source_filter', 'A_area_gt_max', 'A_faint_large') THEN 'dropped' WHEN why <> '' THEN 'ignore' WHEN mag < 22 THEN 'bright' ELSE 'ordinary' END AS class, CASE WHEN lost THEN 'B_close_pair_dimmer' ELSE why END AS reason
+FROM (SELECT *, source_id IN (SELECT k FROM turn WHERE s = 2) OR source_id IN (SELECT a FROM meetings WHERE first_loses AND a NOT IN (SELECT k FROM turn WHERE s = 2)) AS lost FROM basics)""", _RICH_SQL, pairs_sql("sources", "source_id", "sources", "source_id"), _BASICS, decided("turn", "forward")))
 def classify_basics(spark, sf):
     return jobs.classify_basics(full(spark, sf), ["band"])
 
@@ -59,13 +70,23 @@ def label_ordinary_a2744(spark, sf):
     return ordinary.label_ordinary_a2744(s, ["band"], star_mask=mask, frame=frame, measured=measured)
 
 
-@query("bright_clusters")
+_CLUSTERS = f"""touches AS MATERIALIZED (SELECT i.a, i.b, i.iou, n.d FROM pixel_ious i JOIN near n ON n.a = i.a AND n.b = i.b WHERE i.iou > 0),
+links AS MATERIALIZED (SELECT a, b FROM touches WHERE iou >= 0.05 AND d <= 50 UNION SELECT b, a FROM touches WHERE iou >= 0.05 AND d <= 50), {_REACH},
+grouped AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cluster) AS members FROM (SELECT s.band, s.source_id, s.x, s.y, s.area, least(s.source_id, coalesce(r.first, s.source_id)) AS cluster FROM sources s LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) r ON r.a = s.source_id)),
+marked AS MATERIALIZED (SELECT *, members = 1 AND source_id NOT IN (SELECT a FROM touches UNION SELECT b FROM touches) AS isolated FROM grouped),
+crowded AS (SELECT band, cluster, x, y FROM marked WHERE NOT isolated), centers AS (SELECT band, cluster, avg(x) AS x, avg(y) AS y FROM crowded GROUP BY ALL), stars AS (SELECT * FROM detections WHERE det_id % 7 = 0),
+{pairs_sql('stars', 'det_id', 'crowded', 'cluster', 6.0, 'by_member')}, {pairs_sql('stars', 'det_id', 'centers', 'cluster', 10.0, 'by_center')},
+met AS MATERIALIZED (SELECT band, a AS star_id, b AS cluster FROM by_member UNION SELECT band, a, b FROM by_center)"""
+
+
+@query("bright_clusters", with_tables("sources detections", """SELECT band, source_id, cluster, members, CASE WHEN isolated AND area < 500 THEN 'clean' WHEN isolated THEN 'center_only' WHEN cluster IN (SELECT cluster FROM met) THEN 'restricted' ELSE 'ignore' END AS label FROM marked
+UNION ALL SELECT m.band, -m.star_id - 1, m.cluster, c.members, 'strict' FROM met m JOIN (SELECT DISTINCT cluster, members FROM marked) c USING (cluster)""", *_TOUCHING, _PIXEL_IOU.replace(" AND s.area < 1200 AND t.area < 1200", ""), _CLUSTERS))
 def bright_clusters(spark, sf):
     stars = detections(spark, sf).filter("det_id % 7 = 0").withColumnRenamed("det_id", "star_id")
     return jobs.bright_clusters(full(spark, sf), stars, ["band"])
 
 
-@query("photometry_eval")
+@query("photometry_eval", with_tables("sources detections", BY_BIN.replace("mutual n", "taken n"), NEAR, matching("taken", "near"), BINS))
 def photometry_eval(spark, sf):
     targets = sources(spark, sf).withColumns({"mag": E.flux_to_mag("kron_flux"), "keep": C("area") > 300})
     predictions = detections(spark, sf).withColumn("mag", E.flux_to_mag("ap_flux"))
@@ -73,7 +94,14 @@ def photometry_eval(spark, sf):
     return found.withColumns({"completeness": out("completeness"), "purity": out("purity")})
 
 
-@query("split_builder")
+_SPLIT = """places AS MATERIALIZED (SELECT source, patch, row_number() OVER (ORDER BY md5('3:' || source || ':' || patch), source, patch) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source, patch FROM samples)),
+held AS MATERIALIZED (SELECT source, patch FROM places WHERE k <= greatest(1, round_even(n * 0.05, 0))),
+seen AS MATERIALIZED (SELECT * FROM samples JOIN held USING (source, patch)),
+free AS MATERIALIZED (SELECT * FROM samples t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.source = t.source AND h.patch = t.patch) AND NOT EXISTS (SELECT 1 FROM seen v WHERE v.source = t.source AND abs(v.bx - t.bx) < 32 AND abs(v.by - t.by) < 32)),
+ranked AS (SELECT source, patch, -ln((('0x' || substr(md5('3:' || source || ':' || patch), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / (0.2::DOUBLE + 0.8::DOUBLE * pow(CASE WHEN top > 0 THEN f / top ELSE 0 END, 2)) AS w FROM (SELECT *, max(f) OVER (PARTITION BY source) AS top FROM (SELECT source, patch, sum(CASE WHEN band = 'SMALL' THEN num_samples ELSE 0 END)::DOUBLE / sum(num_samples) AS f FROM free GROUP BY ALL)))"""
+
+
+@query("split_builder", with_tables("samples", "SELECT source, patch, 'train' AS part FROM (SELECT source, patch, row_number() OVER (ORDER BY w, source, patch) AS n FROM ranked) WHERE n <= 40 UNION ALL SELECT source, patch, 'validation' FROM held", _SPLIT))
 def split_builder(spark, sf):
     return jobs.split_builder(samples(spark, sf), ["SMALL"], 0.05, 40, 3)
 
@@ -92,7 +120,14 @@ def variant_visibility(spark, sf):
     return s.select("source_id", R.snr_class(C("s"), F.lit(False)).alias("class"), out("s").alias("snr"))
 
 
-@query("remeasure_rescue")
+_AGAIN = f"""again AS MATERIALIZED (SELECT *, diff * 0.7::DOUBLE AS fresh, n_child = 0 AND source_id % 3 > 0 AND source_id % 41 <> 0 AND {sfin('diff')} AND abs(diff) > 1 AS chosen FROM rich),
+judged AS MATERIALIZED (SELECT *, list_sort(list_filter([CASE WHEN {sfin('fresh')} AND abs(fresh) <= 1.5 AND {sfin('fill')} AND fill < 0.2 THEN 'small_footprint_large_aperture' END, CASE WHEN area > 10000 THEN 'area_gt_max' END, CASE WHEN {sfin('mag')} AND mag > 28 AND area > 900 THEN 'faint_and_large' END, CASE WHEN ratio > 5 THEN 'axis_ratio' END, CASE WHEN NOT {sfin('fresh')} THEN 'invalid_new_diff' WHEN abs(fresh) > 1.5 THEN 'new_diff' END], lambda r: r IS NOT NULL)) AS why FROM again),
+pool AS MATERIALIZED (SELECT source_id FROM judged WHERE (chosen AND len(why) = 0) OR source_id % 3 = 0),
+holders AS MATERIALIZED (SELECT CASE WHEN a_area < b_area THEN b ELSE a END AS id FROM ious WHERE a IN (SELECT source_id FROM pool) AND b IN (SELECT source_id FROM pool) AND ((a_area < b_area AND in_b >= 0.8) OR (b_area < a_area AND in_a >= 0.8)))"""
+
+
+@query("remeasure_rescue", with_tables("sources", """SELECT source_id, CASE WHEN list_contains(w, 'area_gt_max') THEN 'drop' WHEN len(w) > 0 THEN 'ignore' WHEN abs(fresh) < 1 THEN 'clean' ELSE 'center_only' END AS class, array_to_string(w, ';') AS reason
+FROM (SELECT *, CASE WHEN len(why) = 0 AND source_id IN (SELECT id FROM holders) THEN ['contains_smaller'] ELSE why END AS w FROM judged WHERE chosen)""", _RICH_SQL, *_TOUCHING, _GRID, _OVER, _AGAIN))
 def remeasure_rescue(spark, sf):
     s = rich(spark, sf).withColumns({"old_diff": C("diff"), "new_diff": C("diff") * 0.7, "ignored": C("source_id") % 3 > 0, "clean": C("source_id") % 3 == 0, "skip": C("source_id") % 41 == 0})
     return jobs.remeasure_rescue(s, ["band"])
@@ -117,7 +152,31 @@ def disk_offsets(spark, sf):
     return P.at_offsets(_points(spark, sf, 0), pixels(spark, sf).select("band", "x", "y"), P.disk_offsets(3.5), ["band"]).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("visit_difference")
+def _measured(name: str, centers: str, planes: str = "pixels") -> str:
+    """Table ``name`` (band, id, flux, snr, internal, trusted): apertures of radius 1 about ``centers`` with annuli from 2 to 4, in SQL."""
+    noise = _FREE.replace("free AS", f"{name}_free AS").replace("apertures AS", f"{name}_apertures AS").replace("FROM free", f"FROM {name}_free").replace("FROM pixels", f"FROM {planes}")
+    sums = f"SELECT c.band, c.id, sum(p.image) FILTER (WHERE r2 <= 1) AS s, count(*) FILTER (WHERE r2 <= 1) AS n, quantile_cont(p.image, 0.5) FILTER (WHERE r2 > 4) AS m, count(*) FILTER (WHERE r2 > 4) AS n_ann FROM (SELECT c.*, p.image, (p.x - c.px) * (p.x - c.px) + (p.y - c.py) * (p.y - c.py) AS r2 FROM {centers} c JOIN {planes} p ON p.band = c.band AND abs(p.x - c.px) <= 4 AND abs(p.y - c.py) <= 4 WHERE (p.mask & 3) <> 3) c WHERE r2 <= 16 GROUP BY c.band, c.id".replace("p.image)", "c.image)").replace("quantile_cont(p.image", "quantile_cont(c.image")
+    return f"""{noise}, {_clipped(f'{name}_noise', f'{name}_apertures', 'band', 'total', True, False)},
+{name}_sums AS ({sums}), {name}_sized AS (SELECT band, count(*) AS whole FROM {name}_apertures GROUP BY band),
+{name} AS MATERIALIZED (SELECT band, id, flux, snr, internal, whole >= 16 AND sd > 0 AND internal AND n_ann >= 1 AND {sfin('snr')} AS trusted FROM (SELECT *, CASE WHEN sigma > 0 THEN flux / sigma ELSE 'NaN'::DOUBLE END AS snr FROM (SELECT q.band, q.id, q.s - coalesce(q.m, 0) * q.n AS flux, o.sd * sqrt(q.n / 5.0::DOUBLE) AS sigma, q.n = 5 AS internal, q.n_ann, o.sd, z.whole FROM {name}_sums q JOIN {name}_noise o ON o.band = q.band JOIN {name}_sized z ON z.band = q.band WHERE q.n > 0)))"""
+
+
+@query("ap2_snr_measure", with_tables("pixels", f"SELECT band, id, round(flux) AS flux, {sout('snr', 4)} AS snr, internal, trusted FROM ap", _measured("ap", "(SELECT band, cell AS id, x AS px, y AS py FROM pixels WHERE (mask & 4) <> 0)")))
+def ap2_snr_measure(spark, sf):
+    p = pixels(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 1))
+    found = O.ap2_snr_measure(_points(spark, sf, 2), p, 1.0, 2.0, 4.0, ["band"])
+    return found.select("band", "id", F.round("flux").alias("flux"), out("snr", 4).alias("snr"), "internal", "trusted")
+
+
+_SEEN = """common AS MATERIALIZED (SELECT band, a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM (
+  SELECT l.band, l.cell AS a, r.cell AS b, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) AS d FROM pixels l JOIN pixels r ON r.band = l.band AND abs(r.x - l.x) + abs(r.y - l.y) <= 1 WHERE (l.mask & 2) <> 0 AND (r.mask & 4) <> 0)) WHERE ra = 1 AND rb = 1),
+alone AS MATERIALIZED (SELECT band, 'only_a' AS kind, cell, 'a' || cell AS id, x AS px, y AS py FROM pixels WHERE (mask & 2) <> 0 AND cell NOT IN (SELECT a FROM common)
+  UNION ALL SELECT band, 'only_b', cell, 'b' || cell, x, y FROM pixels WHERE (mask & 4) <> 0 AND cell NOT IN (SELECT b FROM common)),
+later AS MATERIALIZED (SELECT * REPLACE (image + n * 100.0::DOUBLE AS image) FROM pixels)"""
+_VISITS = f"SELECT band, a, b, 'common' AS kind, NULL::DOUBLE AS snr_a, NULL::BOOLEAN AS trusted_a, NULL::DOUBLE AS snr_b, NULL::BOOLEAN AS trusted_b FROM common UNION ALL SELECT o.band, CASE WHEN kind = 'only_a' THEN cell END, CASE WHEN kind = 'only_b' THEN cell END, kind, {sout('pa.snr', 4)}, pa.trusted, {sout('pb.snr', 4)}, pb.trusted FROM alone o LEFT JOIN pa USING (band, id) LEFT JOIN pb USING (band, id)"
+
+
+@query("visit_difference", with_tables("pixels", _VISITS, _SEEN, _measured("pa", "alone"), _measured("pb", "alone", "later")))
 def visit_difference(spark, sf):
     """Two visits of the pixel planes: detections are the cells of two mask bits, measured on either."""
     p = pixels(spark, sf)
@@ -127,14 +186,15 @@ def visit_difference(spark, sf):
     return found.select("band", "a", "b", "kind", out("snr_a", 4).alias("snr_a"), "trusted_a", out("snr_b", 4).alias("snr_b"), "trusted_b")
 
 
-@query("ap2_snr_measure")
-def ap2_snr_measure(spark, sf):
-    p = pixels(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0) & E.mask_bit(C("mask"), 1))
-    found = O.ap2_snr_measure(_points(spark, sf, 2), p, 1.0, 2.0, 4.0, ["band"])
-    return found.select("band", "id", F.round("flux").alias("flux"), out("snr", 4).alias("snr"), "internal", "trusted")
+_LINKS = """members AS (SELECT l.object, l.band, CASE WHEN l.id % 4 > 0 THEN s.user_id % 50 END AS target FROM linked l JOIN sources s ON s.source_id = l.id),
+want AS (SELECT user_id % 50 AS target, list_sort(list(DISTINCT band)) AS want FROM sources GROUP BY ALL),
+sets AS (SELECT object, list_sort(list(DISTINCT band)) AS bands, count(DISTINCT target) AS ids, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target, count(*) FILTER (WHERE target IS NULL) AS loose FROM members GROUP BY object),
+whole AS (SELECT s.*, coalesce(loose = 0 AND want = bands, false) AS ok FROM sets s LEFT JOIN want USING (target)),
+kinds AS (SELECT CASE WHEN ok AND n = 1 THEN 'tp' WHEN ok THEN 'fp' WHEN ids > 0 THEN 'partial' ELSE 'fp' END AS kind, array_to_string(bands, '') AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY target, ok ORDER BY object) AS n FROM whole)
+  UNION ALL SELECT 'fn', array_to_string(want, '') FROM want WHERE target NOT IN (SELECT target FROM whole WHERE ok))"""
 
 
-@query("link_metrics")
+@query("link_metrics", with_tables("sources", "SELECT kind, pattern, count(*) AS n FROM kinds GROUP BY ALL", linked_sql(6.0), _LINKS))
 def link_metrics(spark, sf):
     s, bands = sources(spark, sf), ["click", "error", "purchase", "signup", "view"]
     linked = J.band_link(s.selectExpr("source_id AS id", "band", "x", "y", "1 AS one"), bands, 6.0, ["one"])
@@ -142,7 +202,14 @@ def link_metrics(spark, sf):
     return O.link_metrics(members, s.select((C("user_id") % 50).alias("source_id"), "band"))
 
 
-@query("seeded_component_centers")
+#: Regions of the first mask bit, named by their least cell of a run, with the region of every pixel.
+_REGIONS = f"""runs AS MATERIALIZED (SELECT band, y, min(x) AS x0, max(x) AS x1, count(*) AS n, min(cell) AS run FROM (SELECT *, x - row_number() OVER (PARTITION BY band, y ORDER BY x) AS k FROM pixels WHERE (mask & 1) <> 0) GROUP BY band, y, k),
+links AS MATERIALIZED (SELECT a.run AS a, b.run AS b FROM runs a JOIN runs b ON a.band = b.band AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1), {_REACH},
+regions AS MATERIALIZED (SELECT r.*, least(r.run, coalesce(l.first, r.run)) AS region FROM runs r LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) l ON l.a = r.run),
+lit AS MATERIALIZED (SELECT r.band, r.region, p.x, p.y, p.mask FROM regions r JOIN pixels p ON p.band = r.band AND p.y = r.y AND p.x BETWEEN r.x0 AND r.x1)"""
+
+
+@query("seeded_component_centers", with_tables("pixels", "SELECT band, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS area FROM lit GROUP BY band, region HAVING count(*) >= 3 AND NOT bool_or(x = 0 OR x = 63 OR y = 0 OR y = 63) AND bool_or((mask & 2) <> 0) AND NOT bool_or(mask = 7)", _REGIONS))
 def seeded_component_centers(spark, sf):
     """Regions of the first mask bit, with seeds where the second is on and positives where all are."""
     positives = _points(spark, sf, 0).join(pixels(spark, sf).filter("mask = 7").select(C("cell").alias("id")), "id", "left_semi")
@@ -150,7 +217,15 @@ def seeded_component_centers(spark, sf):
     return found.select("band", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
 
 
-@query("nested_component_centers")
+_NESTED = """centers AS MATERIALIZED (SELECT band, region, avg(x) AS cx, avg(y) AS cy, min(y * 64 + x) AS first, count(*) AS n FROM lit GROUP BY band, region),
+parents AS MATERIALIZED (SELECT band, cell AS id, x, y, (cell % 4 + 3)::DOUBLE AS a, (cell % 3 + 2)::DOUBLE AS b FROM pixels WHERE (mask & 4) <> 0),
+inside AS (SELECT l.region, p.id, p.a * p.b AS area, count(*) AS n FROM lit l JOIN parents p ON p.band = l.band AND pow((l.x - p.x) / p.a, 2) + pow((l.y - p.y) / p.b, 2) <= 1 GROUP BY ALL),
+nested AS MATERIALIZED (SELECT c.band, c.region, c.cx AS x, c.cy AS y, h.id AS parent, row_number() OVER (ORDER BY h.area, c.first, c.region) AS k FROM centers c JOIN (SELECT *, row_number() OVER (PARTITION BY region ORDER BY area, id) AS r FROM inside JOIN centers USING (region, n)) h ON h.region = c.region AND h.r = 1
+  WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.band = c.band AND p.mask = 7 AND abs(p.x - c.cx) <= 1 AND abs(p.y - c.cy) <= 1 AND sqrt((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy)) <= 1)),
+together AS MATERIALIZED (SELECT l.k AS later, e.k AS earlier FROM nested l JOIN nested e ON e.band = l.band AND e.k < l.k AND sqrt((l.x - e.x) * (l.x - e.x) + (l.y - e.y) * (l.y - e.y)) <= 1)"""
+
+
+@query("nested_component_centers", with_tables("pixels", "SELECT band, parent, round(x, 6) AS cx, round(y, 6) AS cy FROM nested WHERE k NOT IN (SELECT k FROM turn WHERE s = 2)", _REGIONS, _NESTED, decided("turn", "together")))
 def nested_component_centers(spark, sf):
     parents = _points(spark, sf, 2).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
     centers = pixels(spark, sf).filter("mask = 7").selectExpr("band", "cell AS id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import expr as E
 from lumenfold.operators import joins as J
 from lumenfold.operators import windows as W
+from lumenfold.plans.greedy_sql import decided, matching, removal
 from lumenfold.plans.registry import query
 from lumenfold.plans.tables import detections, read, refit, samples, smag, sources, with_tables
 
@@ -70,7 +71,7 @@ def mutual_nearest_match(spark, sf):
     return J.mutual_nearest_match(detections(spark, sf), sources(spark, sf), RADIUS, ["band"], "det_id", "source_id").select("band", "a", "b", F.round("d", 6).alias("d"))
 
 
-@query("greedy_match")
+@query("greedy_match", with_tables(SD, "SELECT band, a, b, round(d, 6) AS d FROM taken", NEAR, matching("taken", "near")))
 def greedy_match(spark, sf):
     return J.greedy_match(det_pairs(spark, sf), ["band"]).select("band", "a", "b", F.round("d", 6).alias("d"))
 
@@ -80,13 +81,24 @@ def greedy_match_nearest(spark, sf):
     return J.greedy_match_nearest(detections(spark, sf), sources(spark, sf), RADIUS, ["band"], "det_id", "source_id").select("band", "a", "b", F.round("d", 6).alias("d"))
 
 
-@query("two_stage_match")
+_STAGES = matching("one", "(SELECT * FROM near WHERE b % 3 > 0)"), matching("two", "(SELECT * FROM near n WHERE b % 3 = 0 AND NOT EXISTS (SELECT 1 FROM one o WHERE o.band = n.band AND o.a = n.a))")
+
+
+@query("two_stage_match", with_tables(SD, "SELECT band, a, b, 1::INT AS stage FROM one UNION ALL SELECT band, a, b, 2::INT FROM two", NEAR, *_STAGES))
 def two_stage_match(spark, sf):
     s = sources(spark, sf)
     return J.two_stage_match(detections(spark, sf), s.filter("source_id % 3 > 0"), s.filter("source_id % 3 = 0"), RADIUS, ["band"], "det_id", "source_id").select("band", "a", "b", "stage")
 
 
-@query("strict_point_metrics")
+_SETS = "of_base AS (SELECT band, min(source_id) AS b FROM sources WHERE source_id % 3 > 0 GROUP BY band, x, y), of_all AS (SELECT band, min(source_id) AS b FROM sources GROUP BY band, x, y)"
+
+
+def _metrics(subset: str, targets: str, taken: str) -> str:
+    counts = f"SELECT band, coalesce(t.n, 0) AS targets, coalesce(p.n, 0) AS predictions, coalesce(m.n, 0) AS tp FROM (SELECT band, count(*) AS n FROM {targets} GROUP BY band) t FULL JOIN (SELECT band, count(*) AS n FROM detections GROUP BY band) p USING (band) LEFT JOIN (SELECT band, count(*) AS n FROM {taken} GROUP BY band) m USING (band)"
+    return f"SELECT band, '{subset}' AS subset, targets, predictions, tp, CASE WHEN targets > 0 THEN tp / targets END AS completeness, CASE WHEN predictions > 0 THEN tp / predictions END AS purity FROM ({counts})"
+
+
+@query("strict_point_metrics", with_tables(SD, _metrics("base", "of_base", "taken_base") + " UNION ALL " + _metrics("combined", "of_all", "taken_all"), NEAR, _SETS, matching("taken_base", "(SELECT n.* FROM near n JOIN of_base USING (b))"), matching("taken_all", "(SELECT n.* FROM near n JOIN of_all USING (b))")))
 def strict_point_metrics(spark, sf):
     s = sources(spark, sf)
     return W.strict_point_metrics(detections(spark, sf), s.filter("source_id % 3 > 0"), s.filter("source_id % 3 = 0"), RADIUS, "band", "det_id", "source_id")
@@ -130,7 +142,12 @@ def ellipse_contains_join(spark, sf):
     return J.ellipse_overlap_join(sources(spark, sf), RADIUS, ["band"]).select("a", "b", F.round("in_a", 6).alias("in_a"), F.round("in_b", 6).alias("in_b"))
 
 
-@query("containment_removal")
+#: Ellipses here have axes of at most 10, so circles that touch are at most 20 apart.
+_TOUCHING = pairs_sql("sources", "source_id", "sources", "source_id", 20.0, "within20"), "near AS (SELECT n.* FROM within20 n JOIN sources s ON s.source_id = n.a JOIN sources t ON t.source_id = n.b WHERE n.a < n.b AND n.d <= greatest(s.a, s.b) + greatest(t.a, t.b))"
+_HELD = "held AS (SELECT a, b, CASE WHEN a_area <= b_area THEN b ELSE a END AS loser FROM ious WHERE CASE WHEN a_area <= b_area THEN in_b ELSE in_a END >= 0.4)"
+
+
+@query("containment_removal", with_tables(S, "SELECT id FROM removed", *_TOUCHING, _GRID, _OVER, _HELD, removal("removed", "held")))
 def containment_removal(spark, sf):
     s = sources(spark, sf)
     return J.containment_losers(J.ellipse_overlap_join(s, None, ["band"]), 0.4)
@@ -144,7 +161,11 @@ def close_pair_dedup(spark, sf):
     return J.close_pair_losers(sources(spark, sf).withColumn("mag", E.flux_to_mag("flux")), RADIUS, ["band"])
 
 
-@query("priority_dedup")
+_PLACES = """places AS MATERIALIZED (SELECT source_id, row_number() OVER (ORDER BY source_id % 4, -kron_flux, area, source_id) AS k FROM sources),
+ordered AS MATERIALIZED (SELECT l.k AS later, e.k AS earlier, n.a, n.b, n.d FROM near n JOIN places l ON l.source_id = n.a JOIN places e ON e.source_id = n.b WHERE e.k < l.k)"""
+
+
+@query("priority_dedup", with_tables(S, "SELECT a, min_by(b, earlier) AS keep, round(min_by(d, earlier), 6) AS d FROM ordered JOIN final ON final.k = earlier WHERE s = 1 AND later IN (SELECT k FROM final WHERE s = 2) GROUP BY a", SELF, _PLACES, decided("final", "ordered")))
 def priority_dedup(spark, sf):
     s = sources(spark, sf)
     return J.priority_dedup(s, RADIUS, ["band"], [C("source_id") % 4, -C("kron_flux"), C("area")]).select("a", "keep", F.round("d", 6).alias("d"))
@@ -180,7 +201,20 @@ def connected_components(spark, sf):
 _BANDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("band_link")
+_BAND_LIST = "['click', 'error', 'purchase', 'signup', 'view']"
+
+
+def linked_sql(radius: float) -> str:
+    """Table linked (id, band, place, object): mutual nearest neighbours of adjacent bands, chained, in SQL."""
+    d = "sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y))"
+    return f"""placed AS MATERIALIZED (SELECT source_id, x, y, list_position({_BAND_LIST}, band) AS place FROM sources),
+adjacent AS (SELECT l.source_id AS a, r.source_id AS b, {d} AS d FROM placed l JOIN placed r ON r.place = l.place + 1 AND abs(l.x - r.x) <= {radius} AND abs(l.y - r.y) <= {radius} WHERE {d} <= {radius}),
+chosen AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM adjacent) WHERE ra = 1 AND rb = 1),
+links AS MATERIALIZED (SELECT a, b FROM chosen UNION SELECT b, a FROM chosen), {_REACH},
+linked AS (SELECT s.source_id AS id, s.band, list_position({_BAND_LIST}, s.band) AS place, least(s.source_id, coalesce(min(r.b), s.source_id)) AS object FROM sources s LEFT JOIN reach r ON r.a = s.source_id GROUP BY s.source_id, s.band)"""
+
+
+@query("band_link", with_tables(S, "SELECT id, object, row_number() OVER (PARTITION BY object ORDER BY CASE WHEN place = 3 THEN 0 ELSE place END, id) = 1 AS reference FROM linked", linked_sql(RADIUS)))
 def band_link(spark, sf):
     points = sources(spark, sf).selectExpr("source_id AS id", "band", "x", "y", "1 AS one")
     return J.band_link(points, _BANDS, RADIUS, ["one"])

@@ -27,10 +27,10 @@ def srd(*names: str, digits: int = 6) -> str:
 
 
 LOW, HIGH, WIDTH = 20.0, 30.0, 0.5
-_BINS = f"bins AS (SELECT i AS bin, {LOW}::DOUBLE + i * {WIDTH}::DOUBLE AS lo, {LOW}::DOUBLE + (i + 1) * {WIDTH}::DOUBLE AS hi FROM (SELECT unnest(range(20)) AS i))"
+BINS = f"bins AS (SELECT i AS bin, {LOW}::DOUBLE + i * {WIDTH}::DOUBLE AS lo, {LOW}::DOUBLE + (i + 1) * {WIDTH}::DOUBLE AS hi FROM (SELECT unnest(range(20)) AS i))"
 
 
-@query("mag_bins", with_tables(S, f"SELECT bin, lo, hi, lo + 0.25::DOUBLE AS center, count(source_id) AS n FROM bins LEFT JOIN (SELECT source_id, {smag('kron_flux')} AS mag FROM sources) ON mag >= lo AND mag < hi GROUP BY ALL", _BINS))
+@query("mag_bins", with_tables(S, f"SELECT bin, lo, hi, lo + 0.25::DOUBLE AS center, count(source_id) AS n FROM bins LEFT JOIN (SELECT source_id, {smag('kron_flux')} AS mag FROM sources) ON mag >= lo AND mag < hi GROUP BY ALL", BINS))
 def mag_bins(spark, sf):
     s = sources(spark, sf).withColumn("mag", E.flux_to_mag("kron_flux"))
     counted = A.binned(s, "mag", LOW, HIGH, WIDTH).groupBy("bin").agg(F.count("*").alias("n"))
@@ -40,7 +40,7 @@ def mag_bins(spark, sf):
 _MAG = smag("kron_flux")
 
 
-@query("completeness_by_bin", with_tables(SD, f"SELECT g.band, g.bin, g.lo, g.hi, count(m.source_id) AS total, count(m.det) AS matched, CASE WHEN count(m.source_id) > 0 THEN round(count(m.det)::DOUBLE / count(m.source_id), 6) END AS completeness FROM (SELECT * FROM (SELECT DISTINCT band FROM sources), bins) g LEFT JOIN (SELECT s.source_id, s.band, {_MAG} AS mag, n.b AS det FROM sources s LEFT JOIN mutual n ON n.b = s.source_id) m ON m.band = g.band AND m.mag >= g.lo AND m.mag < g.hi GROUP BY ALL", NEAR, _MUTUAL, _BINS))
+@query("completeness_by_bin", with_tables(SD, f"SELECT g.band, g.bin, g.lo, g.hi, count(m.source_id) AS total, count(m.det) AS matched, CASE WHEN count(m.source_id) > 0 THEN round(count(m.det)::DOUBLE / count(m.source_id), 6) END AS completeness FROM (SELECT * FROM (SELECT DISTINCT band FROM sources), bins) g LEFT JOIN (SELECT s.source_id, s.band, {_MAG} AS mag, n.b AS det FROM sources s LEFT JOIN mutual n ON n.b = s.source_id) m ON m.band = g.band AND m.mag >= g.lo AND m.mag < g.hi GROUP BY ALL", NEAR, _MUTUAL, BINS))
 def completeness_by_bin(spark, sf):
     s = sources(spark, sf).withColumn("mag", E.flux_to_mag("kron_flux"))
     m = J.mutual_nearest_match(detections(spark, sf), s, RADIUS, ["band"], "det_id", "source_id").select(C("b").alias("source_id"), F.lit(True).alias("matched"))
@@ -48,11 +48,14 @@ def completeness_by_bin(spark, sf):
     return found.withColumn("completeness", out("completeness"))
 
 
-@query("completeness_purity_by_bin", with_tables(SD, f"""SELECT dataset, bin, sum(raw_total)::BIGINT AS raw_total, sum(raw_matched)::BIGINT AS raw_matched, sum(ref_total)::BIGINT AS ref_total, sum(ref_matched)::BIGINT AS ref_matched, sum(pred_total)::BIGINT AS pred_total, sum(pred_matched)::BIGINT AS pred_matched,
+BY_BIN = f"""SELECT dataset, bin, sum(raw_total)::BIGINT AS raw_total, sum(raw_matched)::BIGINT AS raw_matched, sum(ref_total)::BIGINT AS ref_total, sum(ref_matched)::BIGINT AS ref_matched, sum(pred_total)::BIGINT AS pred_total, sum(pred_matched)::BIGINT AS pred_matched,
 CASE WHEN sum(ref_total) > 0 THEN round(sum(ref_matched)::DOUBLE / sum(ref_total), 6) END AS completeness, CASE WHEN sum(pred_total) > 0 THEN round(sum(pred_matched)::DOUBLE / sum(pred_total), 6) END AS purity
 FROM (SELECT unnest([band, 'all']) AS dataset, bin, raw_total, raw_matched, ref_total, ref_matched, pred_total, pred_matched FROM (
  SELECT band, bin, 1 AS raw_total, hit::INT AS raw_matched, keep::INT AS ref_total, (keep AND hit)::INT AS ref_matched, 0 AS pred_total, 0 AS pred_matched FROM (SELECT s.band, {_MAG} AS mag, s.area > 300 AS keep, n.b IS NOT NULL AS hit FROM sources s LEFT JOIN mutual n ON n.b = s.source_id) JOIN bins ON mag >= lo AND mag < hi
- UNION ALL SELECT band, bin, 0, 0, 0, 0, 1, ok::INT FROM (SELECT d.band, {smag('ap_flux')} AS mag, coalesce(k.area > 300, false) AS ok FROM detections d LEFT JOIN mutual n ON n.a = d.det_id LEFT JOIN (SELECT source_id, area FROM sources) k ON k.source_id = n.b) JOIN bins ON mag >= lo AND mag < hi)) GROUP BY dataset, bin""", NEAR, _MUTUAL, _BINS))
+ UNION ALL SELECT band, bin, 0, 0, 0, 0, 1, ok::INT FROM (SELECT d.band, {smag('ap_flux')} AS mag, coalesce(k.area > 300, false) AS ok FROM detections d LEFT JOIN mutual n ON n.a = d.det_id LEFT JOIN (SELECT source_id, area FROM sources) k ON k.source_id = n.b) JOIN bins ON mag >= lo AND mag < hi)) GROUP BY dataset, bin"""
+
+
+@query("completeness_purity_by_bin", with_tables(SD, BY_BIN, NEAR, _MUTUAL, BINS))
 def completeness_purity_by_bin(spark, sf):
     m = J.mutual_nearest_match(detections(spark, sf), sources(spark, sf), RADIUS, ["band"], "det_id", "source_id")
     gt = sources(spark, sf).select(C("band").alias("dataset"), C("source_id").alias("key"), E.flux_to_mag("kron_flux").alias("mag"), (C("area") > 300).alias("keep"))
