@@ -13,7 +13,7 @@ from lumenfold.operators import pixels as P
 from lumenfold.operators import rules as R
 from lumenfold.operators import summaries as A
 from lumenfold.operators import windows as W
-from lumenfold.plans.greedy_sql import decided, matching
+from lumenfold.plans.greedy_sql import decided, matching, removal
 from lumenfold.plans.joins import _GRID, _OVER, _PIXEL_IOU, _REACH, _TOUCHING, NEAR, linked_sql, pairs_sql
 from lumenfold.plans.registry import query
 from lumenfold.plans.rules import _RICH_SQL, rich
@@ -30,7 +30,21 @@ def full(spark, sf):
     return s.withColumns({"in_base": C("n_child") == 0, "valid_kron": C("source_id") % 37 > 0, "warn": C("source_id") % 20, "star_mask": C("source_id") % 29 == 0, "model_mag": C("mag") + C("xy"), "center_ok": C("source_id") % 43 > 0})
 
 
-@query("classify_sources")
+#: The classifier's columns, then close pairs, then ellipses that hold smaller ones.
+_CLASSES = f"""based AS (SELECT *, n_child = 0 AS base, source_id % 37 > 0 AS good, {sfin('mag')} AND mag < 22 AS bright, {sfin('mag')} AND mag > 28 AND area > 900 AS faint, {sfin('diff')} AND abs(diff) >= CASE WHEN component = 0 THEN 1 WHEN component < 1000 THEN 2 ELSE 'inf'::DOUBLE END AS apart FROM rich),
+kept AS (SELECT *, base AND good AND faint AS failed, bright AND apart AS is_hard FROM based),
+hollowed AS (SELECT *, base AND good AND NOT failed AND area > 500 AND fill < 0.3 AND NOT is_hard AS hollow FROM kept),
+tried AS (SELECT *, base AND good AND NOT failed AND NOT hollow AS cand FROM hollowed),
+ruled AS MATERIALIZED (SELECT *, cand AND (is_hard OR ratio > 6 OR (NOT bright AND (NOT ({sfin('mag')} AND mag BETWEEN 22 AND 28) OR NOT ({sfin('diff')} AND abs(diff) < 1) OR f_edge OR f_bad))) AS removed, CASE WHEN isnan(mag) THEN 'inf'::DOUBLE ELSE mag END AS m FROM tried),
+close AS MATERIALIZED (SELECT DISTINCT CASE WHEN s.m > t.m OR (s.m = t.m AND s.area >= t.area) THEN n.a ELSE n.b END AS id FROM near n JOIN ruled s ON s.source_id = n.a JOIN ruled t ON t.source_id = n.b WHERE n.a < n.b AND n.d <= 3 AND s.cand AND NOT s.removed AND t.cand AND NOT t.removed),
+rest AS MATERIALIZED (SELECT source_id FROM ruled WHERE cand AND NOT bright AND NOT removed AND source_id NOT IN (SELECT id FROM close)),
+held AS MATERIALIZED (SELECT a, b, CASE WHEN a_area <= b_area THEN b ELSE a END AS loser FROM ious WHERE a IN (SELECT source_id FROM rest) AND b IN (SELECT source_id FROM rest) AND CASE WHEN a_area <= b_area THEN in_b ELSE in_a END >= 0.8)"""
+_CLASS_ROWS = """SELECT source_id, CASE WHEN cand AND NOT lost THEN 'clean' WHEN hollow THEN 'center_only' WHEN base AND NOT good THEN 'b_ignore' WHEN failed THEN 'a_failed' WHEN cand THEN 'b_ignore' ELSE 'outside_base' END AS class,
+  array_to_string(list_sort(list_filter([CASE WHEN failed THEN 'A_faint_large' END, CASE WHEN hollow THEN 'center_only_fill' END, CASE WHEN cand AND is_hard THEN 'B_bright_ap2_kron' END, CASE WHEN is_close THEN 'B_close_center_fainter' END, CASE WHEN holds THEN 'B_large_contains_small' END, CASE WHEN base AND NOT good THEN 'invalid_kron' END, CASE WHEN cand AND lost THEN 'removed_by_B' END, CASE WHEN removed AND f_edge THEN 'f_edge' END, CASE WHEN removed AND f_bad THEN 'f_bad' END], lambda r: r IS NOT NULL)), ';') AS reason
+FROM (SELECT *, removed OR is_close OR holds AS lost FROM (SELECT *, source_id IN (SELECT id FROM close) AS is_close, source_id IN (SELECT id FROM holders) AS holds FROM ruled))"""
+
+
+@query("classify_sources", with_tables("sources", _CLASS_ROWS, _RICH_SQL, *_TOUCHING, _GRID, _OVER, _CLASSES, removal("holders", "held")))
 def classify_sources(spark, sf):
     return jobs.classify_sources(full(spark, sf), ["band"])
 
@@ -233,13 +247,43 @@ def nested_component_centers(spark, sf):
     return found.select("band", "parent", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-@query("component_bright_labels")
+#: Sources reach one pixel, and three in a row where their axis is 1; the pixels of a pair tell their overlap.
+_BRIGHT = """extents AS MATERIALIZED (SELECT band, region, count(*) AS pixels, avg(x) AS cx, avg(y) AS cy, bool_or(x = 0 OR x = 63 OR y = 0 OR y = 63) AS edge FROM lit GROUP BY band, region),
+own AS MATERIALIZED (SELECT p.band, p.cell AS id, p.x, p.y, (p.cell % 4 + 1) / 4.0::DOUBLE AS a, (p.cell % 3 + 1) / 4.0::DOUBLE AS b, (p.cell % 90)::DOUBLE AS area, (p.cell % 10) / 9.0::DOUBLE > 0.5 AS blended, p.cell % 5 = 0 AS star, l.region, coalesce(l.region, -1) AS place, e.pixels, p.cell % 90 >= 85 AS dropped
+  FROM pixels p LEFT JOIN lit l ON l.band = p.band AND l.x = p.x AND l.y = p.y LEFT JOIN extents e ON e.band = l.band AND e.region = l.region WHERE (p.mask & 4) <> 0),
+pending AS MATERIALIZED (SELECT * FROM own WHERE NOT dropped),
+painted AS MATERIALIZED (SELECT band, place, id, x + dx AS gx, y AS gy, CASE WHEN a >= 1 THEN 3 ELSE 1 END AS n FROM pending JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON dx = 0 OR a >= 1),
+touching AS MATERIALIZED (SELECT s.id AS a, t.id AS b, count(*)::DOUBLE / (any_value(s.n) + any_value(t.n) - count(*)) AS iou FROM painted s JOIN painted t ON t.band = s.band AND t.place = s.place AND t.gx = s.gx AND t.gy = s.gy AND t.id > s.id GROUP BY s.id, t.id),
+pair_links AS MATERIALIZED (SELECT a, b FROM touching WHERE iou >= 1.0::DOUBLE / 3.0::DOUBLE UNION SELECT b, a FROM touching WHERE iou >= 1.0::DOUBLE / 3.0::DOUBLE),
+pair_reach(a, b) AS (SELECT a, b FROM pair_links UNION SELECT r.a, l.b FROM pair_reach r JOIN pair_links l ON l.a = r.b),
+crowds AS (SELECT band, region, min(id) AS head FROM pending WHERE region IS NOT NULL GROUP BY band, region HAVING count(*) >= 256),
+clustered AS MATERIALIZED (SELECT p.*, coalesce(h.head, least(p.id, coalesce(r.first, p.id))) AS cluster FROM pending p LEFT JOIN crowds h ON h.band = p.band AND h.region = p.region LEFT JOIN (SELECT a, min(b) AS first FROM pair_reach GROUP BY a) r ON r.a = p.id),
+grouped AS MATERIALIZED (SELECT c.*, count(*) OVER (PARTITION BY cluster) AS members, g.clusters, id IN (SELECT a FROM touching UNION SELECT b FROM touching) AS touched FROM clustered c JOIN (SELECT band, place, count(DISTINCT cluster) AS clusters FROM clustered GROUP BY band, place) g USING (band, place)),
+stated AS MATERIALIZED (SELECT band, id, region, cluster, CASE WHEN alone AND blended THEN 'ignore:high_blendedness' WHEN alone AND usable AND small AND NOT (region IS NOT NULL AND clusters > 1) THEN 'clean:isolated_small' WHEN alone AND usable AND NOT star THEN 'weak:isolated_large' WHEN alone AND usable THEN 'center_only:isolated_star' ELSE 'ignore:cluster_without_star' END AS state
+  FROM (SELECT *, members = 1 AND NOT touched AS alone, greatest(a, b) <= 5 * least(a, b) AS usable, greatest(coalesce(pixels, 0), area) < 40 AS small FROM grouped)),
+bright_stars AS MATERIALIZED (SELECT p.band, p.cell AS star_id, p.x, p.y, l.region FROM pixels p LEFT JOIN lit l ON l.band = p.band AND l.x = p.x AND l.y = p.y WHERE (p.mask & 2) <> 0 AND p.cell % 3 = 0 AND p.cell % 30 < 22),
+middles AS (SELECT band, cluster, avg(x) AS x, avg(y) AS y FROM grouped GROUP BY band, cluster),
+offers AS (SELECT band, star_id, cluster, k, d FROM (SELECT s.band, star_id, cluster, 0 AS k, 0.5 AS far, sqrt((s.x - g.x) * (s.x - g.x) + (s.y - g.y) * (s.y - g.y)) AS d FROM bright_stars s JOIN grouped g ON g.band = s.band AND s.region IS NULL AND g.x = s.x AND g.y = s.y
+  UNION ALL SELECT s.band, star_id, cluster, 1, 1.0, sqrt((s.x - g.x) * (s.x - g.x) + (s.y - g.y) * (s.y - g.y)) FROM bright_stars s JOIN middles g ON g.band = s.band AND s.region IS NULL AND abs(s.x - g.x) <= 1 AND abs(s.y - g.y) <= 1) WHERE d <= far),
+best_offers AS (SELECT band, star_id, cluster, min_by(d, k * 10 + d) AS d FROM offers GROUP BY band, star_id, cluster),
+met AS MATERIALIZED (SELECT b.band, b.star_id, b.cluster, h.region FROM (SELECT *, row_number() OVER (PARTITION BY band, star_id ORDER BY d, cluster) AS n FROM best_offers) b JOIN (SELECT cluster, any_value(region) AS region FROM grouped GROUP BY cluster) h USING (cluster) WHERE n = 1),
+starred AS MATERIALIZED (SELECT band, star_id, region FROM bright_stars WHERE region IS NOT NULL UNION SELECT band, star_id, region FROM met WHERE region IS NOT NULL),
+labels AS MATERIALIZED (SELECT band, id, region, CASE WHEN region IN (SELECT region FROM starred) OR cluster IN (SELECT cluster FROM met WHERE region IS NULL) THEN 'restricted:fragment_of_star' ELSE state END AS state FROM (SELECT * FROM stated UNION ALL SELECT band, id, region, NULL, 'ignore:large_area' FROM own WHERE dropped)),
+added AS MATERIALIZED (SELECT band, -star_id - 1 AS id, region FROM starred UNION SELECT band, -star_id - 1, NULL FROM met WHERE region IS NULL),
+taken AS (SELECT region FROM labels WHERE region IS NOT NULL AND state NOT LIKE 'ignore:%' UNION SELECT region FROM added WHERE region IS NOT NULL),
+kinds AS (SELECT region, bool_or(blended) AS blended, bool_and(NOT star) AS no_star FROM own WHERE region IS NOT NULL GROUP BY region)"""
+_BRIGHT_ROWS = """SELECT band, id, split_part(state, ':', 1) AS label, split_part(state, ':', 2) AS reason, NULL::DOUBLE AS cx, NULL::DOUBLE AS cy FROM labels UNION ALL SELECT band, id, 'strict', 'reliable_star', NULL, NULL FROM added
+UNION ALL SELECT e.band, NULL, 'strict', 'empty_component_center', round(cx, 6), round(cy, 6) FROM extents e LEFT JOIN kinds k USING (region) WHERE region NOT IN (SELECT region FROM taken) AND pixels > 2 AND NOT edge AND NOT coalesce(blended, false) AND NOT coalesce(no_star, false)"""
+
+
+@query("component_bright_labels", with_tables("pixels", _BRIGHT_ROWS, _REGIONS, _BRIGHT))
 def component_bright_labels(spark, sf):
     cells = lambda bit: _points(spark, sf, bit).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y")
     s = cells(2).selectExpr("band", "id AS source_id", "x", "y", "CAST(id % 4 + 1 AS DOUBLE) / 4D AS a", "CAST(id % 3 + 1 AS DOUBLE) / 4D AS b", "0D AS theta", "CAST(id % 90 AS DOUBLE) AS area", "CAST(id % 10 AS DOUBLE) / 9D AS blendedness", "id % 5 = 0 AS star")
     stars = cells(1).selectExpr("band", "id AS star_id", "x", "y", "CAST(id % 30 AS DOUBLE) AS mag", "id % 3 = 0 AS reliable")
     policy = O.BrightPolicy(drop_area=85.0, isolated_area=40.0, empty_area=2.0, source_match=0.5, centroid_match=1.0)
-    return O.component_bright_labels(s, _runs(spark, sf), stars, ["band"], 64, 64, policy).groupBy("label", "reason").agg(F.count("*").alias("n"))
+    found = O.component_bright_labels(s, _runs(spark, sf), stars, ["band"], 64, 64, policy)
+    return found.select("band", "id", "label", "reason", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query("kron_refit", with_tables("pixels refit", f"SELECT k.id, round(k.radius, 6) AS radius, round(k.radius / r.radius, 6) AS ratio FROM kron k JOIN refit r ON r.source_id = k.id WHERE r.good AND r.radius > 0 AND k.radius IS NOT NULL", "centers AS (SELECT cell AS id, band, x AS px, y AS py FROM pixels WHERE (mask & 2) <> 0)", kron_sql("centers", (4, 2), 1.5, 1.0, 6.0)))
