@@ -68,7 +68,20 @@ def label_ordinary_hsc(spark, sf):
     return ordinary.label_ordinary_hsc(full(spark, sf), ["band"], C("band") == "view")
 
 
-@query("label_ordinary_cosmos")
+#: 72 places on the rim of the smaller ellipse and its centre, with a tolerance, in the larger one.
+_RIM = "rim AS MATERIALIZED (SELECT cos(2 * pi() * i / 72) AS u, sin(2 * pi() * i / 72) AS v FROM (SELECT unnest(range(72)) AS i) UNION ALL SELECT 0, 0)"
+_COSMOS = f"""started AS MATERIALIZED (SELECT *, abs(mag - (mag + xy)) AS apart, CASE WHEN source_id % 43 = 0 THEN 'ignore:center_no_data' WHEN area <= 0 THEN 'ignore:invalid_geometry' WHEN source_id % 20 IN (1, 4, 5, 6) THEN 'ignore:warn'
+  WHEN NOT ({sfin('mag')} AND mag < 90 AND mag + xy < 90) OR abs(mag - (mag + xy)) > 2 THEN 'ignore:photometry' WHEN source_id % 29 = 0 THEN 'strict:star_mask' WHEN abs(mag - (mag + xy)) >= 1 THEN 'strict:photometry' ELSE 'clean:' END AS first FROM rich),
+active AS MATERIALIZED (SELECT * FROM started WHERE first NOT LIKE 'ignore%' AND {sfin('snr')} AND snr > 5),
+sized AS (SELECT n.a, n.b, CASE WHEN s.area <= t.area THEN n.a ELSE n.b END AS inner_id, CASE WHEN s.area <= t.area THEN n.b ELSE n.a END AS loser FROM near n JOIN active s ON s.source_id = n.a JOIN active t ON t.source_id = n.b),
+nested AS MATERIALIZED (SELECT z.a, z.b, z.loser FROM sized z JOIN active i ON i.source_id = z.inner_id JOIN active o ON o.source_id = z.loser JOIN rim ON true GROUP BY z.a, z.b, z.loser
+  HAVING count(*) FILTER (WHERE pow((cos(o.theta) * (i.x + cos(i.theta) * (i.a * u) - sin(i.theta) * (i.b * v) - o.x) + sin(o.theta) * (i.y + sin(i.theta) * (i.a * u) + cos(i.theta) * (i.b * v) - o.y)) / o.a, 2) + pow((-sin(o.theta) * (i.x + cos(i.theta) * (i.a * u) - sin(i.theta) * (i.b * v) - o.x) + cos(o.theta) * (i.y + sin(i.theta) * (i.a * u) + cos(i.theta) * (i.b * v) - o.y)) / o.b, 2) <= 1.001) >= 0.995 * count(*))"""
+#: Labels only fall, and the first of equal ones stays.
+_COSMOS_ROWS = f"""SELECT source_id, split_part(final, ':', 1) AS class, split_part(final, ':', 2) AS reason FROM (SELECT *, CASE WHEN first LIKE 'ignore%' THEN first WHEN NOT ({sfin('snr')} AND snr > 5) THEN 'ignore:snr_ignore' WHEN first LIKE 'strict%' THEN first
+  WHEN source_id IN (SELECT id FROM holders) THEN 'strict:containment' WHEN mag < 25.5 AND {sfin('fill')} AND fill >= 0 AND fill < 0.1 THEN 'strict:low_fill' WHEN snr < 7 THEN 'strict:snr_strict' ELSE 'clean:' END AS final FROM started)"""
+
+
+@query("label_ordinary_cosmos", with_tables("sources", _COSMOS_ROWS, _RICH_SQL, *_TOUCHING, _RIM, _COSMOS, removal("holders", "nested")))
 def label_ordinary_cosmos(spark, sf):
     return ordinary.label_ordinary_cosmos(full(spark, sf), ["band"])
 
