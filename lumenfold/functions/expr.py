@@ -10,6 +10,7 @@ import functools
 import math
 import operator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,16 +204,33 @@ def shape_distance(area1: Column, a1: Column, b1: Column, t1: Column, area2: Col
     return (2.0 * axes + weight * (1.0 - F.cos(2.0 * angle_delta(t1, t2)))) / (2.0 + weight)
 
 
-def ellipse_form(px: Column, py: Column, x: Column, y: Column, a: Column, b: Column, theta: Column) -> Column:
-    """The rotated quadratic form of a point about an ellipse: at most 1 inside."""
+def turned(theta: str | Column) -> Column:
+    """The struct of cos and sin of an angle by the C library, whose last bit is right where that of the JVM may not be.
+
+    One Python call a row: for tables of sources, where the last bit tells whether a point on a rim is inside.
+    """
+
+    @F.arrow_udf("cos double, sin double")
+    def both(angles: pa.Array) -> pa.Array:
+        values = angles.to_pylist()
+        known = [t is not None and math.isfinite(t) for t in values]
+        made = [pa.array([g(t) if ok else (None if t is None else math.nan) for t, ok in zip(values, known, strict=True)], pa.float64()) for g in (math.cos, math.sin)]
+        return pa.StructArray.from_arrays(made, ["cos", "sin"])
+
+    return both(col(theta).cast("double"))
+
+
+def ellipse_form(px: Column, py: Column, x: Column, y: Column, a: Column, b: Column, theta: Column, turn: Column | None = None) -> Column:
+    """The rotated quadratic form of a point about an ellipse: at most 1 inside. ``turn``: :func:`turned` of theta, where it is known."""
     dx, dy = px - x, py - y
-    u, v = F.cos(theta) * dx + F.sin(theta) * dy, -F.sin(theta) * dx + F.cos(theta) * dy
+    cos, sin = (F.cos(theta), F.sin(theta)) if turn is None else (turn["cos"], turn["sin"])
+    u, v = cos * dx + sin * dy, -sin * dx + cos * dy
     u, v = u / F.greatest(a, F.lit(1e-6)), v / F.greatest(b, F.lit(1e-6))
     return u * u + v * v
 
 
-def ellipse_contains(px, py, x, y, a, b, theta) -> Column:
-    return ellipse_form(px, py, x, y, a, b, theta) <= 1.0
+def ellipse_contains(px, py, x, y, a, b, theta, turn=None) -> Column:
+    return ellipse_form(px, py, x, y, a, b, theta, turn) <= 1.0
 
 
 _TILE = r"^(?:group_(\d+)_)?(?:.*_)?r(\d+)_c(\d+)_x(-?\d+)_y(-?\d+)$"

@@ -176,8 +176,8 @@ def shape_distance(spark, sf):
 
 @query("ellipse_contains", with_tables(S, "SELECT source_id, round(u * u + v * v, 6) AS form, u * u + v * v <= 1.0 AS inside FROM (SELECT source_id, (cos(theta) * xx + sin(theta) * yy) / a AS u, (-sin(theta) * xx + cos(theta) * yy) / b AS v FROM sources)"))
 def ellipse_contains(spark, sf):
-    args = (C("x") + C("xx"), C("y") + C("yy"), C("x"), C("y"), C("a"), C("b"), C("theta"))
-    return sources(spark, sf).select("source_id", F.round(E.ellipse_form(*args), 6).alias("form"), E.ellipse_contains(*args).alias("inside"))
+    args = (C("x") + C("xx"), C("y") + C("yy"), C("x"), C("y"), C("a"), C("b"), C("theta"), C("turn"))
+    return sources(spark, sf).withColumn("turn", E.turned("theta")).select("source_id", F.round(E.ellipse_form(*args), 6).alias("form"), E.ellipse_contains(*args).alias("inside"))
 
 
 _NAME = "concat('group_', lpad(CAST(event_id % 30 AS STRING), 2, '0'), '_grid_r', lpad(CAST(user_id % 20 AS STRING), 2, '0'), '_c', lpad(CAST(event_id % 11 AS STRING), 2, '0'), '_x', event_id, '_y', user_id)"
