@@ -83,7 +83,7 @@ def count_by_class(spark, sf):
 
 @query("flux_ratio_stats", with_tables(S, f"SELECT band, name, count(*) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.16), 6) AS p16, round(quantile_cont(r, 0.84), 6) AS p84 FROM (SELECT band, 'ap_kron' AS name, ap_flux / kron_flux AS r FROM sources UNION ALL SELECT band, 'ap_psf', ap_flux / flux FROM sources WHERE {sfin('flux')} AND flux > 0) GROUP BY ALL"))
 def flux_ratio_stats(spark, sf):
-    return A.flux_ratio_stats(sources(spark, sf), {"ap_kron": ("ap_flux", "kron_flux"), "ap_psf": ("ap_flux", "flux")}, "band").select("band", "name", "n", *rd("mean", "median", "p16", "p84"))
+    return A.flux_ratio_stats(sources(spark, sf), {"ap_kron": ("ap_flux", "kron_flux"), "ap_psf": ("ap_flux", "flux")}, "band", ("ap_psf",)).select("band", "name", "n", *rd("mean", "median", "p16", "p84"))
 
 
 @query("per_tile_summary", with_tables(S, "SELECT user_id, count(*) AS detections, count(*) FILTER (WHERE f_edge) AS kept, quantile_cont(area, 0.5) AS median_area, count(DISTINCT band) AS bands FROM sources GROUP BY user_id"))
