@@ -207,14 +207,14 @@ def shape_distance(area1: Column, a1: Column, b1: Column, t1: Column, area2: Col
 def turned(theta: str | Column) -> Column:
     """The struct of cos and sin of an angle by the C library, whose last bit is right where that of the JVM may not be.
 
-    One Python call a row: for tables of sources, where the last bit tells whether a point on a rim is inside.
+    For tables of sources, where the last bit tells whether a point on a rim is inside.
     """
 
     @F.arrow_udf("cos double, sin double")
     def both(angles: pa.Array) -> pa.Array:
-        values = angles.to_pylist()
-        known = [t is not None and math.isfinite(t) for t in values]
-        made = [pa.array([g(t) if ok else (None if t is None else math.nan) for t, ok in zip(values, known, strict=True)], pa.float64()) for g in (math.cos, math.sin)]
+        known = angles.dictionary_encode()
+        values = known.dictionary.to_pylist()
+        made = [pa.array([g(t) if math.isfinite(t) else math.nan for t in values], pa.float64()).take(known.indices) for g in (math.cos, math.sin)]
         return pa.StructArray.from_arrays(made, ["cos", "sin"])
 
     return both(col(theta).cast("double"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.expr import finite
+from lumenfold.functions.expr import finite, turned
 from lumenfold.operators import sequential as Q
 from lumenfold.operators.ellipses import coverage, pixel_iou, unit_grid
 from lumenfold.operators.graph import connected_components
@@ -151,8 +151,9 @@ def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None
     large ellipse does not make the cells of all others large. Ellipses without finite axes meet none.
     """
     reach = F.greatest("a", "b")
-    e = F.struct(F.col("source_id").alias("id"), "x", "y", "a", "b", "area", "theta", F.cos("theta").alias("cos"), F.sin("theta").alias("sin"), reach.alias("reach"), *carry)
-    rows = sources.filter(finite("x") & finite("y") & finite("a") & finite("b") & finite("theta")).select(*by, e.alias("e"))
+    e = F.struct(F.col("source_id").alias("id"), "x", "y", "a", "b", "area", "theta", "__turn.cos", "__turn.sin", reach.alias("reach"), *carry)
+    real = sources.filter(finite("x") & finite("y") & finite("a") & finite("b") & finite("theta"))
+    rows = real.withColumn("__turn", turned("theta")).select(*by, e.alias("e"))
     if radius is not None:
         big = rows.withColumns({"level": F.lit(0), "width": F.lit(float(radius))})
         small = big

@@ -30,3 +30,13 @@ def test_points_on_a_rim_follow_the_last_bit_of_the_sine(spark, tmp_path, ids):
 def test_ratios_of_fluxes_count_rows_without_light(spark, tmp_path):
     rows = [(i, 7, "view" if i < 30 else "click", 0.0 if i == 4 else 10.0 + i) for i in range(1, 60)] + [(60, 8, "error", -0.0), (61, 8, "error", -2.0)]
     same(spark, "flux_ratio_stats", events(tmp_path, rows))
+
+
+def test_coverage_follows_the_last_bit_of_the_sine(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators import joins as J
+
+    row = spark.range(2).select(F.col("id").alias("source_id"), F.lit("v").alias("band"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(3.0).alias("a"), F.lit(2.0).alias("b"), F.lit(2.5).alias("theta"), F.lit(1.0).alias("area"))
+    # The sine of 2.5, rightly rounded; the JVM's is one unit less.
+    assert J.ellipse_pairs(row, ["band"]).select("s.sin").first()[0] == float.fromhex("0x1.326af0dcfcab1p-1")
