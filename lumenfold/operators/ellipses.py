@@ -2,7 +2,8 @@
 
 An ellipse is a struct of x, y, a, b, cos, sin and reach. In a pixel row it covers one interval, whose ends
 a quadratic equation gives, so counts over pixels are sums of interval lengths over rows. A pixel
-whose centre lies on the rim counts as inside: the one tolerance for that is ``RIM``.
+whose centre lies on the rim counts as inside: the one tolerance for that is ``RIM``. Measures of pairs are
+NumPy over Arrow batches, by the same arithmetic as columns.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 RIM = 1e-9
 #: Axes count as so much at least.
 THIN = 1e-6
+#: Pixel rows of pairs that are counted in one step.
+ROWS_AT_ONCE = 1 << 18
 
 
 def shape(x: Column, y: Column, a: Column, b: Column, theta: Column) -> Column:
@@ -47,28 +52,47 @@ def row_span(r: Column, y: Column, use: Callable[[Column, Column], Column]) -> C
     return bound([r["x"] - r["slope"] * dy, F.sqrt(r["top"] - r["bend"] * dy * dy)], lambda mid, half: use(mid - half, mid + half))
 
 
-def _on_grid(r: Column, y: Column, x0: Column, x1: Column, step: Column) -> Column:
-    """Numbers (f, l) of the first and last of the grid places x0, x0 + step, ... up to x1 that an ellipse covers; f > l where there are none."""
-    first = lambda left: F.greatest(F.lit(0).cast("long"), F.ceil((left - x0) / step).cast("long"))
-    last = lambda right: F.floor((F.least(right, x1.cast("double")) - x0) / step).cast("long")
-    none = F.struct(F.lit(1).cast("long").alias("f"), F.lit(0).cast("long").alias("l"))
-    return row_span(r, y, lambda left, right: F.when(F.isnan(left), none).otherwise(F.struct(first(left).alias("f"), last(right).alias("l"))))
-
-
-def _counts(s: Column, t: Column, box: list[Column], use: Callable[[Column], Column]) -> Column:
-    """``use`` of the struct of the grid places inside ``s``, inside ``t`` and inside both, row by row; ``box``: x0, x1, y0, y1, step."""
-    zero = F.lit(0).cast("long")
-    length = lambda first, last: F.greatest(zero, last - first + 1)
-
-    def count(u: Column, v: Column, x0: Column, x1: Column, y0: Column, y1: Column, step: Column) -> Column:
-        def add(acc: Column, y: Column) -> Column:
-            both = lambda a, b: F.struct((acc["s"] + length(a["f"], a["l"])).alias("s"), (acc["t"] + length(b["f"], b["l"])).alias("t"), (acc["both"] + length(F.greatest(a["f"], b["f"]), F.least(a["l"], b["l"]))).alias("both"))
-            return bound([_on_grid(u, y.cast("double"), x0, x1, step), _on_grid(v, y.cast("double"), x0, x1, step)], both)
-
-        rows = F.when(y0 <= y1, F.sequence(y0, y1, step)).otherwise(F.array().cast("array<long>"))
-        return F.aggregate(rows, F.struct(zero.alias("s"), zero.alias("t"), zero.alias("both")), add, use)
-
-    return bound([rows_of(s), rows_of(t), *box], count)
+def _counts(s: Column, t: Column, box: list[Column]) -> Column:
+    """The struct of the numbers of grid places inside ``s``, inside ``t`` and inside both, row by row; ``box``: x0, x1, y0, y1, step."""
+    rim, thin, at_once = RIM, THIN, ROWS_AT_ONCE
+
+    @F.arrow_udf("s long, t long, both long")
+    def count(one: pa.Array, two: pa.Array, places: pa.Array) -> pa.Array:
+        def shaped(e):
+            x, y, a, b, cos, sin = (e.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "a", "b", "cos", "sin"))
+            a, b = np.fmax(a, thin), np.fmax(b, thin)
+            p = cos * cos / (a * a) + sin * sin / (b * b)
+            q = cos * sin * (1.0 / (a * a) - 1.0 / (b * b))
+            return x, y, q / p, (1.0 + rim) / p, 1.0 / (a * b * p * (a * b * p))
+
+        def spans(e, i, y, x0, x1, step):
+            """Numbers of the first and last grid place of each row that an ellipse covers, 1 and 0 where there are none."""
+            x, cy, slope, top, bend = (v[i] for v in e)
+            dy = y - cy
+            mid, half = x - slope * dy, np.sqrt(top - bend * dy * dy)
+            none = np.isnan(mid - half)
+            first = np.maximum(0.0, np.ceil((mid - half - x0) / step))
+            last = np.floor((np.minimum(mid + half, x1) - x0) / step)
+            return np.where(none, 1.0, first), np.where(none, 0.0, last)
+
+        us, vs = shaped(one), shaped(two)
+        x0, x1, y0, y1, step = (places.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        rows = np.where(y0 <= y1, (y1 - y0) // step + 1, 0)
+        out = np.zeros((3, len(rows)), np.int64)
+        upto = np.concatenate([[0], np.cumsum(rows)])
+        begin = 0
+        while begin < len(rows):
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + at_once, "right")) - 1)
+            i = np.repeat(np.arange(begin, end), rows[begin:end])
+            y = (y0[i] + (np.arange(len(i)) - (upto[i] - upto[begin])) * step[i]).astype(np.float64)
+            grid = y, x0[i], x1[i].astype(np.float64), step[i]
+            (sf, sl), (tf, tl) = spans(us, i, *grid), spans(vs, i, *grid)
+            for k, (f, l) in enumerate([(sf, sl), (tf, tl), (np.maximum(sf, tf), np.minimum(sl, tl))]):
+                out[k, begin:end] = np.bincount(i - begin, np.maximum(0.0, l - f + 1), end - begin).astype(np.int64)
+            begin = end
+        return pa.StructArray.from_arrays([pa.array(n) for n in out], ["s", "t", "both"])
+
+    return count(s, t, F.struct(*[c.cast("long").alias(n) for n, c in zip(("x0", "x1", "y0", "y1", "step"), box, strict=True)]))
 
 
 def _step(x0: Column, x1: Column, y0: Column, y1: Column, most: int | None) -> Column:
@@ -95,7 +119,8 @@ def pixel_iou(s: Column, t: Column, most: int | None = 512, frame: tuple[int, in
         zero = F.lit(0).cast("long")
         x0, y0 = F.greatest(zero, x0), F.greatest(zero, y0)
         x1, y1 = F.least(F.lit(frame[0] - 1).cast("long"), x1), F.least(F.lit(frame[1] - 1).cast("long"), y1)
-    share = _counts(s, t, [x0, x1, y0, y1, _step(x0, x1, y0, y1, most)], lambda c: F.when(c["s"] + c["t"] > c["both"], c["both"] / (c["s"] + c["t"] - c["both"])).otherwise(0.0))
+    c = _counts(s, t, [x0, x1, y0, y1, _step(x0, x1, y0, y1, most)])
+    share = F.when(c["s"] + c["t"] > c["both"], c["both"] / (c["s"] + c["t"] - c["both"])).otherwise(0.0)
     return F.when(_near(s, t), share).otherwise(0.0)
 
 
@@ -104,7 +129,8 @@ def area_share(outer: Column, inner: Column, most: int = 384) -> Column:
     lo = lambda c: F.floor(inner[c] - inner["reach"]).cast("long")
     hi = lambda c: F.ceil(inner[c] + inner["reach"]).cast("long")
     x0, x1, y0, y1 = lo("x"), hi("x"), lo("y"), hi("y")
-    share = _counts(inner, outer, [x0, x1, y0, y1, _step(x0, x1, y0, y1, most)], lambda c: F.when(c["s"] > 0, c["both"] / c["s"]).otherwise(0.0))
+    c = _counts(inner, outer, [x0, x1, y0, y1, _step(x0, x1, y0, y1, most)])
+    share = F.when(c["s"] > 0, c["both"] / c["s"]).otherwise(0.0)
     return F.when(_near(outer, inner), share).otherwise(0.0)
 
 
@@ -126,13 +152,18 @@ def unit_grid(n: int = 9) -> list[tuple[float, float]]:
 
 def coverage(points: list[tuple[float, float]], s: Column, d: Column, slack: float = 0.0) -> Column:
     """Share of the ellipse ``s``, sampled at unit points, that lies inside ``d``."""
-    grid = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in points])
-    da, db = F.greatest(d["a"], F.lit(THIN)), F.greatest(d["b"], F.lit(THIN))
-
-    def inside(p: Column) -> Column:
-        px = s["x"] + s["cos"] * (s["a"] * p["u"]) - s["sin"] * (s["b"] * p["v"]) - d["x"]
-        py = s["y"] + s["sin"] * (s["a"] * p["u"]) + s["cos"] * (s["b"] * p["v"]) - d["y"]
-        u, v = (d["cos"] * px + d["sin"] * py) / da, (-d["sin"] * px + d["cos"] * py) / db
-        return u * u + v * v <= 1.0 + slack
-
-    return F.size(F.filter(grid, inside)) / float(len(points))
+    thin = THIN
+
+    @F.arrow_udf("double")
+    def share(one: pa.Array, two: pa.Array) -> pa.Array:
+        sx, sy, sa, sb, sc, ss = (one.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "a", "b", "cos", "sin"))
+        dx, dy, da, db, dc, ds = (two.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "a", "b", "cos", "sin"))
+        da, db, n = np.fmax(da, thin), np.fmax(db, thin), np.zeros(len(one), np.int64)
+        for u, v in points:
+            px = sx + sc * (sa * u) - ss * (sb * v) - dx
+            py = sy + ss * (sa * u) + sc * (sb * v) - dy
+            p, q = (dc * px + ds * py) / da, (-ds * px + dc * py) / db
+            n += p * p + q * q <= 1.0 + slack
+        return pa.array(n / float(len(points)))
+
+    return share(s, d)

@@ -165,10 +165,12 @@ def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None
         big = leveled.withColumn("width", width)
         small = leveled.withColumnRenamed("level", "own").withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("own")))) if levels else leveled.withColumn("own", F.col("level"))
         small = small.withColumn("width", width)
-    cell = lambda c: F.floor(F.col(f"e.{c}") / F.col("width"))
-    around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = big.select(*by, "level", F.col("e").alias("l"), F.explode(around).alias("c")).select(*by, "level", "l", "c.cx", "c.cy")
-    right = small.select(*by, "level", F.col("e").alias("r"), *([F.col("own")] if "own" in small.columns else []), cell("x").alias("cx"), cell("y").alias("cy"))
+    # Cells are as wide as four limits: one side stands in its own, the other in all that its limit reaches, mostly one.
+    cell = lambda c: F.floor(c / (4.0 * F.col("width")))
+    reached = lambda c: F.sequence(cell(F.col(f"e.{c}") - 1.001 * F.col("width")), cell(F.col(f"e.{c}") + 1.001 * F.col("width")))
+    spread = big.withColumn("cx", F.explode(reached("x"))).withColumn("cy", F.explode(reached("y")))
+    left = spread.select(*by, "level", F.col("e").alias("l"), "cx", "cy")
+    right = small.select(*by, "level", F.col("e").alias("r"), *([F.col("own")] if "own" in small.columns else []), cell(F.col("e.x")).alias("cx"), cell(F.col("e.y")).alias("cy"))
     both = left.join(right, [*by, "level", "cx", "cy"])
     # Of one level a pair comes up from both sides.
     once = F.col("l.id") < F.col("r.id") if "own" not in small.columns else (F.col("own") < F.col("level")) | (F.col("l.id") < F.col("r.id"))
