@@ -50,6 +50,5 @@ def test_measures_of_pairs_are_not_made_point_by_point(spark):
     row = spark.range(2).select(F.col("id").alias("source_id"), F.lit("v").alias("band"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(3.0).alias("a"), F.lit(2.0).alias("b"), F.lit(2.5).alias("theta"), F.lit(1.0).alias("area"))
     pairs = J.ellipse_pairs(row, ["band"])
     for made in (J.ellipse_overlap_join(row, None, ["band"]), pairs.select(J.pixel_iou(F.col("s"), F.col("t")))):
-        plan = made._jdf.queryExecution().optimizedPlan().toString()
-        assert "lambda" not in plan
+        assert "ArrowEvalPython" in made._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
         assert len(made.collect()) == 1
