@@ -1,7 +1,8 @@
 """Equi-joins by id, and joins by sky position.
 
-Positions are joined through cells: a cell is as wide as the radius, one side goes to its own cell and
-the other to the nine around it, so that Spark joins on equal cells and compares the distance after.
+Positions are joined through cells: a cell is as wide as four radii, one side goes to its own cell and
+the other to those that the radius reaches, mostly one, so that Spark joins on equal cells and compares the distance after.
+These joins are by shuffle: the size of a file says little about the rows of points in it, which a broadcast would hold whole.
 """
 
 from __future__ import annotations
@@ -37,13 +38,14 @@ def id_exclude(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key).distinct(), key, "left_anti")
 
 
-def _cells(df: DataFrame, radius: float, reach: int) -> DataFrame:
-    """``df`` with its cell, once for each cell within ``reach`` of its own."""
-    cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
+def _cells(df: DataFrame, radius: float, reach: bool) -> DataFrame:
+    """``df`` with its cell, as wide as four radii; with ``reach`` once for each cell within the radius, mostly one."""
+    cell = lambda c: F.floor(c / (4.0 * radius))
     if not reach:
-        return df.withColumns({"cx": cx, "cy": cy})
-    around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-    return df.withColumn("__c", F.explode(around)).select(*df.columns, "__c.cx", "__c.cy")
+        return df.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
+    # Slack, as a cell's edge is met by another sum than the distance; places that are not finite are near nothing.
+    near = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * radius), cell(F.col(c) + 1.001 * radius)))
+    return df.filter(finite("x") & finite("y")).withColumn("cx", near("x")).withColumn("cy", near("y"))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: list[str], left_id: str = "id", right_id: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -53,7 +55,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: list[str]
     """
     a = left.select(*by, F.col(left_id).alias("a"), "x", "y", *[F.col(c).alias(f"a_{c}") for c in carry])
     b = right.select(*by, F.col(right_id).alias("b"), "x", "y", *[F.col(c).alias(f"b_{c}") for c in carry])
-    joined = _cells(a, radius, 0).withColumnsRenamed({"x": "ax", "y": "ay"}).join(_cells(b, radius, 1), [*by, "cx", "cy"])
+    joined = _cells(a, radius, False).withColumnsRenamed({"x": "ax", "y": "ay"}).join(_cells(b, radius, True).hint("merge"), [*by, "cx", "cy"])
     dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
     return joined.withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= radius).select(*by, "a", "b", "d", *[f"{p}_{c}" for c in carry for p in "ab"])
 
@@ -171,7 +173,7 @@ def ellipse_pairs(sources: DataFrame, by: list[str], radius: float | None = None
     spread = big.withColumn("cx", F.explode(reached("x"))).withColumn("cy", F.explode(reached("y")))
     left = spread.select(*by, "level", F.col("e").alias("l"), "cx", "cy")
     right = small.select(*by, "level", F.col("e").alias("r"), *([F.col("own")] if "own" in small.columns else []), cell(F.col("e.x")).alias("cx"), cell(F.col("e.y")).alias("cy"))
-    both = left.join(right, [*by, "level", "cx", "cy"])
+    both = left.join(right.hint("merge"), [*by, "level", "cx", "cy"])
     # Of one level a pair comes up from both sides.
     once = F.col("l.id") < F.col("r.id") if "own" not in small.columns else (F.col("own") < F.col("level")) | (F.col("l.id") < F.col("r.id"))
     dx, dy = F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")
