@@ -66,10 +66,15 @@ def link_metrics(members: DataFrame, targets: DataFrame) -> DataFrame:
     return found.unionByName(missed).groupBy("kind", "pattern").agg(F.count("*").alias("n"))
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """``table`` as a join's side that is not broadcast: it has rows by the number of sources or regions, of which the size of its file says little."""
+    return table.hint("merge")
+
+
 def component_of(points: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """``points`` (keys, px, py) with the region of ``runs`` that holds their pixel, or null."""
     cells = runs.withColumn("px", F.explode(F.sequence("x0", "x1"))).select(*keys, "px", F.col("y").alias("py"), "region")
-    return points.join(cells, [*keys, "px", "py"], "left")
+    return points.join(by_shuffle(cells), [*keys, "px", "py"], "left")
 
 
 def seeded_component_centers(runs: DataFrame, seeds: DataFrame, positives: DataFrame, keys: list[str], width: int, height: int, least: int) -> DataFrame:
@@ -147,7 +152,7 @@ def component_bright_labels(sources: DataFrame, runs: DataFrame, stars: DataFram
     """
     at = lambda c: F.floor(F.col(c) + 0.5).cast("int")
     area = runs.groupBy(*keys, "region").agg(F.sum("n").alias("pixels"), (F.sum((F.col("x0") + F.col("x1")) / 2.0 * F.col("n")) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.bool_or((F.col("x0") == 0) | (F.col("x1") == width - 1) | (F.col("y") == 0) | (F.col("y") == height - 1)).alias("edge"))
-    own = component_of(sources.withColumns({"px": at("x"), "py": at("y")}), runs, keys).drop("px", "py").join(area.select(*keys, "region", "pixels"), [*keys, "region"], "left")
+    own = component_of(sources.withColumns({"px": at("x"), "py": at("y")}), runs, keys).drop("px", "py").join(by_shuffle(area.select(*keys, "region", "pixels")), [*keys, "region"], "left")
     own = stash(own.withColumns({"blended": F.coalesce(F.col("blendedness") > p.blendedness, F.lit(False)), "dropped": F.col("area") >= p.drop_area, "place": F.coalesce("region", F.lit(0).cast("long"))}), "members")
     pending = own.filter("NOT dropped")
     # Sources of one component, or outside of all, may form a cluster; touching counts among them too.
@@ -156,12 +161,12 @@ def component_bright_labels(sources: DataFrame, runs: DataFrame, stars: DataFram
     links = overlaps.filter((F.col("iou") >= p.cluster_iou) & (F.col("d") <= p.cluster_distance) & (F.col("larger") < p.cluster_area))
     cluster = connected_components(links)
     crowds = pending.filter("region is not null").groupBy(*keys, "region").agg(F.count("*").alias("crowd"), F.min("source_id").alias("head")).filter(F.col("crowd") >= p.crowded)
-    grouped = pending.join(cluster.select(F.col("id").alias("source_id"), "component"), "source_id", "left").join(crowds, [*keys, "region"], "left")
+    grouped = pending.join(by_shuffle(cluster.select(F.col("id").alias("source_id"), "component")), "source_id", "left").join(by_shuffle(crowds), [*keys, "region"], "left")
     grouped = grouped.withColumn("cluster", F.coalesce("head", "component", "source_id")).drop("component", "crowd", "head")
     touched = overlaps.select(F.explode(F.array("a", "b")).alias("source_id")).distinct().withColumn("touched", F.lit(True))
     sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
     groups = grouped.groupBy(*keys, "place").agg(F.countDistinct("cluster").alias("clusters"))
-    grouped = stash(grouped.join(sizes, "cluster").join(groups, [*keys, "place"]).join(touched, "source_id", "left").withColumn("touched", F.coalesce("touched", F.lit(False))), "grouped")
+    grouped = stash(grouped.join(by_shuffle(sizes), "cluster").join(by_shuffle(groups), [*keys, "place"]).join(by_shuffle(touched), "source_id", "left").withColumn("touched", F.coalesce("touched", F.lit(False))), "grouped")
     inside = F.col("region").isNotNull()
     usable = (F.col("area") < p.shape_area) & (F.greatest("a", "b") <= p.shape_ratio * F.least("a", "b"))
     small = F.greatest(F.coalesce("pixels", F.lit(0)), "area") < p.isolated_area
@@ -178,21 +183,21 @@ def component_bright_labels(sources: DataFrame, runs: DataFrame, stars: DataFram
     loose = held.filter("region is null")
     met = assign_stars(stars_near_clusters(grouped.select(*keys, "cluster", "x", "y"), loose, p.source_match, p.centroid_match, keys), keys)
     home = grouped.groupBy("cluster").agg(F.first("region").alias("region"))
-    met = met.join(home, "cluster")
+    met = met.join(by_shuffle(home), "cluster")
     starred = held.filter("region is not null").select(*keys, "star_id", "region").unionByName(met.filter("region is not null").select(*keys, "star_id", "region"))
     outside = met.filter("region is null").select("cluster", "star_id")
     starred_regions = starred.select(*keys, "region").distinct().withColumn("starred", F.lit(True))
     starred_clusters = outside.select("cluster").distinct().withColumn("met", F.lit(True))
-    labelled = grouped.withColumn("state", state).join(starred_clusters, "cluster", "left").select(*keys, "source_id", "region", "state", "met")
+    labelled = grouped.withColumn("state", state).join(by_shuffle(starred_clusters), "cluster", "left").select(*keys, "source_id", "region", "state", "met")
     labelled = labelled.unionByName(own.filter("dropped").select(*keys, "source_id", "region", _state("ignore", "large_area").alias("state"), F.lit(None).cast("boolean").alias("met")))
-    labelled = labelled.join(starred_regions, [*keys, "region"], "left")
+    labelled = labelled.join(by_shuffle(starred_regions), [*keys, "region"], "left")
     final = F.when(F.col("starred") | F.col("met"), _state("restricted", "fragment_of_star")).otherwise(F.col("state"))
     rows = stash(labelled.select(*keys, F.col("source_id").alias("id"), "region", final.alias("state")).select(*keys, "id", "region", F.col("state.label").alias("label"), F.col("state.reason").alias("reason")), "labels")
     added = starred.select(*keys, (-F.col("star_id") - 1).alias("id"), "region").unionByName(met.filter("region is null").select(*keys, (-F.col("star_id") - 1).alias("id"), F.lit(None).cast("long").alias("region")))
     added = added.distinct().select(*keys, "id", "region", F.lit("strict").alias("label"), F.lit("reliable_star").alias("reason"))
     kinds = own.filter("region is not null").groupBy(*keys, "region").agg(F.bool_or("blended").alias("blended"), F.bool_and(~F.col("star")).alias("no_star"))
     taken = rows.filter("label <> 'ignore'").select(*keys, "region").unionByName(added.select(*keys, "region")).distinct()
-    empty = area.join(kinds, [*keys, "region"], "left").join(taken, [*keys, "region"], "left_anti").filter((F.col("pixels") > p.empty_area) & ~F.col("edge") & ~F.coalesce("blended", F.lit(False)) & ~F.coalesce("no_star", F.lit(False)))
+    empty = area.join(by_shuffle(kinds), [*keys, "region"], "left").join(by_shuffle(taken), [*keys, "region"], "left_anti").filter((F.col("pixels") > p.empty_area) & ~F.col("edge") & ~F.coalesce("blended", F.lit(False)) & ~F.coalesce("no_star", F.lit(False)))
     centers = empty.select(*keys, F.lit(None).cast("long").alias("id"), "region", F.lit("strict").alias("label"), F.lit("empty_component_center").alias("reason"), "cx", "cy")
     return rows.unionByName(added).unionByName(centers, allowMissingColumns=True)
 

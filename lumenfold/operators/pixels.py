@@ -44,9 +44,9 @@ def regions(pixels: DataFrame, keys: list[str], diagonal: bool = False) -> DataF
     reach = 1 if diagonal else 0
     runs = row_runs(pixels, keys).withColumn("run", F.xxhash64(*keys, "y", "x0"))
     below = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("b"))
-    touch = runs.join(below, [*keys, "y"]).filter((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
+    touch = runs.join(below.hint("merge"), [*keys, "y"]).filter((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
     found = connected_components(touch.select(F.col("run").alias("a"), "b"))
-    return runs.join(found.withColumnRenamed("id", "run"), "run", "left").withColumn("region", F.coalesce("component", "run")).drop("component")
+    return runs.join(found.withColumnRenamed("id", "run").hint("merge"), "run", "left").withColumn("region", F.coalesce("component", "run")).drop("component")
 
 
 def component_stats(pixels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:

@@ -52,3 +52,18 @@ def test_measures_of_pairs_are_not_made_point_by_point(spark):
     for made in (J.ellipse_overlap_join(row, None, ["band"]), pairs.select(J.pixel_iou(F.col("s"), F.col("t")))):
         assert "ArrowEvalPython" in made._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
         assert len(made.collect()) == 1
+
+
+def test_points_and_regions_are_not_broadcast_by_the_size_of_a_file(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators import joins as J
+    from lumenfold.operators import objects as O
+
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    points = spark.range(4).select(F.col("id"), F.lit("v").alias("band"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert "Broadcast" not in plan(J.pairs_within(points, points, 1.0, ["band"]))
+    runs = spark.range(4).select(F.lit("v").alias("band"), F.col("id").alias("region"), F.col("id").cast("int").alias("y"), F.lit(0).alias("x0"), F.lit(2).alias("x1"))
+    found = O.component_of(points.selectExpr("band", "CAST(x AS INT) AS px", "CAST(id AS INT) AS py"), runs, ["band"])
+    assert "Broadcast" not in plan(found)
+    assert sorted(r["region"] for r in found.select("region").collect() if r["region"] is not None) == [0, 1, 2]
