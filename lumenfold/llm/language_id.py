@@ -161,18 +161,20 @@ def build_model(languages: list[str], grams: list[np.ndarray], counts: list[np.n
     return PpmModel(list(languages), [build_tree(g, n) for g, n in zip(grams, counts, strict=True)])
 
 
-def sample_of(docs: DataFrame, salt: str, most: int, lang_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(lang, text) of about ``most`` documents of each language, by a hash of ``id_col``; rows without either are out."""
+def sample_of(docs: DataFrame, salt: str, most: int | None, lang_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(lang, text) of about ``most`` documents of each language, by a hash of ``id_col``, or of all; rows without either are out."""
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    if most is None:
+        return docs.select("lang", "text")
     sizes = docs.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
     chance = F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     return docs.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, F.col("lang") == F.col("__lang")).filter(chance * F.col("__n") < most).select("lang", "text")
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_DOCS) -> PpmModel | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int | None = TRAIN_DOCS) -> PpmModel | None:
     """A model of all languages in ``docs``; None if no row has both a text and a language.
 
-    Counts come from about ``most`` documents of each language, taken by a hash of ``id_col``, whole.
+    Counts come from about ``most`` documents of each language, taken by a hash of ``id_col``, whole; without ``most``, from all.
     The driver builds one tree after another, from the counts of a few languages at a time.
     """
     ship_package(docs.sparkSession)
@@ -291,7 +293,11 @@ def spreads(docs: DataFrame, model: PpmModel | None, text_col: str = "text", lan
 
     From about ``most`` documents of each language, by another hash than that of training.
     """
-    sample = sample_of(docs, "language spread", most, lang_col, id_col, text_col)
-    scored = identify(sample, model).filter("lang_pred = lang").withColumn("size_class", size_class("text"))
+    return spreads_of(identify(sample_of(docs, "language spread", most, lang_col, id_col, text_col), model))
+
+
+def spreads_of(named: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """:func:`spreads` from all rows of what :func:`identify` gave."""
+    scored = named.filter(F.col("lang_pred") == F.col(lang_col)).withColumn("size_class", size_class(text_col))
     by = scored.groupBy("lang_pred", "size_class").agg(F.percentile_approx("bits_per_byte", [0.5, 0.75], 1000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
     return by.select("lang_pred", "size_class", (F.col("q")[1] + F.greatest(F.lit(LEAST_SPREAD), SPREADS * (F.col("q")[1] - F.col("q")[0]))).alias("most_bits"))

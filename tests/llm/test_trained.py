@@ -176,3 +176,20 @@ def test_quality_odd_rows(spark, odd, empty):
     assert all(r.score == pytest.approx(bare, rel=1e-5) for r in rows if not (r.text or "").strip())
     assert quality_model.score(empty, weights).count() == 0
     assert not quality_model.train(empty, labels.limit(0), "quality").any()
+
+
+def test_the_pipeline_learns_languages_from_all_documents(spark, sf, docs, monkeypatch):
+    import corpus_pipeline
+    from lumenfold.llm import language_id as L
+
+    read = []
+    plain = L.sample_of
+
+    def noted(*args):
+        read.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(L, "sample_of", noted)
+    many = docs.crossJoin(spark.range(40).withColumnRenamed("id", "copy"))
+    corpus_pipeline.language_stage(spark, many, sf)
+    assert read == [many.filter("lang IS NOT NULL AND text IS NOT NULL").count()]
