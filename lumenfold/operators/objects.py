@@ -12,7 +12,7 @@ from lumenfold.operators import joins as J
 from lumenfold.operators import pixels as P
 from lumenfold.operators.graph import connected_components
 from lumenfold.operators.windows import assign_stars, stars_near_clusters
-from lumenfold.session import stash
+from lumenfold.session import discard, stash
 
 
 def footprint_span_join(spans: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,27 +95,32 @@ def nested_component_centers(runs: DataFrame, parents: DataFrame, centers: DataF
     middle = (F.col("x0") + F.col("x1")) / 2.0 * F.col("n")
     size = runs.groupBy(*keys, "region").agg(F.count("*").alias("rows"), (F.sum(middle) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.min(F.struct(F.col("y").alias("fy"), F.col("x0").alias("fx"))).alias("first"))
     size = stash(size.select(*keys, "region", "rows", "cx", "cy", "first.*"), "regions")
-    # A parent of the region holds its first pixel. Parents of one power of two share a grid, to which pixels come.
-    leveled = parents.filter(finite("a") & finite("b") & finite("x") & finite("y")).withColumn("level", F.ceil(F.log2(F.greatest("a", "b", F.lit(1.0)))).cast("int"))
+    # A parent of the region holds its first pixel. Parents of one power of two share a grid, to which pixels come;
+    # its cells are as wide as four axes, and a parent stands in all that it reaches, mostly one.
+    real = parents.filter(finite("a") & finite("b") & finite("x") & finite("y"))
+    turn = F.struct(F.cos("theta").alias("cos"), F.sin("theta").alias("sin"))
+    leveled = stash(real.select(*keys, F.struct("id", "x", "y", "a", "b", "theta", "area", turn.alias("turn")).alias("p"), F.ceil(F.log2(F.greatest("a", "b", F.lit(1.0)))).cast("int").alias("level")), "parents")
     levels = sorted(r[0] for r in leveled.select("level").distinct().collect())  # as many as powers of two among the axes
     width = F.pow(F.lit(2.0), F.col("level"))
-    at = lambda c: F.floor(F.col(c) / width)
-    around = F.array(*[F.struct((at("x") + i).alias("gx"), (at("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = leveled.withColumn("g", F.explode(around)).select(*keys, "id", "x", "y", "a", "b", "theta", "area", "level", "g.gx", "g.gy")
-    firsts = size.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumns({"gx": at("fx"), "gy": at("fy")})
-    inside = lambda px: ellipse_contains(F.col(px), F.col("y"), F.col("p.x"), F.col("p.y"), F.col("p.a"), F.col("p.b"), F.col("p.theta"))
-    near = firsts.join(spread, [*keys, "level", "gx", "gy"]).filter(ellipse_contains(F.col("fx"), F.col("fy"), F.col("x"), F.col("y"), F.col("a"), F.col("b"), F.col("theta")))
-    near = near.select(*keys, "region", "rows", "cx", "cy", F.struct("id", "x", "y", "a", "b", "theta", "area").alias("p"))
+    cell = lambda c: F.floor(c / (4.0 * width))
+    reached = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * width), cell(F.col(c) + 1.001 * width)))
+    spread = leveled.withColumn("gx", reached("p.x")).withColumn("gy", reached("p.y"))
+    firsts = size.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumns({"gx": cell(F.col("fx")), "gy": cell(F.col("fy"))})
+    inside = lambda px, py: ellipse_contains(F.col(px), F.col(py), F.col("p.x"), F.col("p.y"), F.col("p.a"), F.col("p.b"), F.col("p.theta"), F.col("p.turn"))
+    near = firsts.join(by_shuffle(spread), [*keys, "level", "gx", "gy"]).filter(inside("fx", "fy")).select(*keys, "region", "rows", "cx", "cy", "fy", "fx", "p")
     # An ellipse that holds both ends of a row's run holds the run.
-    held = runs.select(*keys, "region", "y", "x0", "x1").join(near, [*keys, "region"]).filter(inside("x0") & inside("x1"))
-    whole = held.groupBy(*keys, "region", "rows", "cx", "cy", F.col("p.id").alias("id"), F.col("p.area").alias("area")).agg(F.count("*").alias("inside")).filter("inside = rows")
-    best = whole.groupBy(*keys, "region", "cx", "cy").agg(F.min(F.struct("area", "id")).alias("p")).select(*keys, "region", "cx", "cy", F.col("p.area").alias("area"), F.col("p.id").alias("parent"))
-    points = best.join(size.select(*keys, "region", "fy", "fx"), [*keys, "region"]).select(*keys, F.col("region").alias("source_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area", "fy", "fx")
-    near = J.pairs_within(points, centers, radius, keys, "source_id", "id").select(F.col("a").alias("region")).distinct()
-    free = best.join(near, "region", "left_anti")
-    points = points.join(near, points["source_id"] == near["region"], "left_anti")
-    lost = J.priority_dedup(points, radius, keys, [F.col("area"), F.col("fy"), F.col("fx")]).select(F.col("a").alias("region"))
-    return free.join(lost, "region", "left_anti").select(*keys, "parent", "region", "cx", "cy")
+    held = near.join(by_shuffle(runs.select(*keys, "region", "y", "x0", "x1")), [*keys, "region"]).filter(inside("x0", "y") & inside("x1", "y"))
+    place = [*keys, "region", "cx", "cy", "fy", "fx"]
+    whole = held.groupBy(*place, "rows", F.col("p.id").alias("id"), F.col("p.area").alias("area")).agg(F.count("*").alias("inside")).filter("inside = rows")
+    best = whole.groupBy(*place).agg(F.min(F.struct("area", "id")).alias("p"))
+    # Each is read more than once: by the search for centres and what that leaves, by the choice and its result.
+    best = stash(best.select(*keys, F.col("region").alias("source_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "fy", "fx", F.col("p.area").alias("area"), F.col("p.id").alias("parent")), "nested")
+    discard(size, leveled)
+    near = J.pairs_within(best, centers, radius, keys, "source_id", "id").select(F.col("a").alias("source_id")).distinct()
+    free = stash(best.join(by_shuffle(near), "source_id", "left_anti"), "free")
+    discard(best)
+    lost = J.priority_dedup(free, radius, keys, [F.col("area"), F.col("fy"), F.col("fx")]).select(F.col("a").alias("source_id"))
+    return free.join(by_shuffle(lost), "source_id", "left_anti").select(*keys, "parent", F.col("source_id").alias("region"), F.col("x").alias("cx"), F.col("y").alias("cy"))
 
 
 @dataclass(frozen=True)

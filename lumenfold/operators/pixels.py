@@ -42,7 +42,7 @@ def row_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def regions(pixels: DataFrame, keys: list[str], diagonal: bool = False) -> DataFrame:
     """The runs of ``pixels`` with region, the least run id that touching rows connect."""
     reach = 1 if diagonal else 0
-    runs = row_runs(pixels, keys).withColumn("run", F.xxhash64(*keys, "y", "x0"))
+    runs = stash(row_runs(pixels, keys).withColumn("run", F.xxhash64(*keys, "y", "x0")), "rows")  # read three times
     below = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("b"))
     touch = runs.join(below.hint("merge"), [*keys, "y"]).filter((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
     found = connected_components(touch.select(F.col("run").alias("a"), "b"))

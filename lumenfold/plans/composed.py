@@ -160,12 +160,19 @@ def remeasure_rescue(spark, sf):
     return jobs.remeasure_rescue(s, ["band"])
 
 
-def _runs(spark, sf):
-    return stash(P.regions(pixels(spark, sf).filter(E.mask_bit(C("mask"), 0)), ["band"]), "runs")
+def _planes(spark, sf):
+    """The pixels' places and masks, made once for all that a query takes from them."""
+    return stash(pixels(spark, sf).select("band", "x", "y", "mask", "cell"), "planes")
 
 
-def _points(spark, sf, bit):
-    return pixels(spark, sf).filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "x AS px", "y AS py", "cell AS id")
+def _runs(spark, sf, planes=None):
+    planes = pixels(spark, sf) if planes is None else planes
+    return stash(P.regions(planes.filter(E.mask_bit(C("mask"), 0)), ["band"]), "runs")
+
+
+def _points(spark, sf, bit, planes=None):
+    planes = pixels(spark, sf) if planes is None else planes
+    return planes.filter(E.mask_bit(C("mask"), bit)).selectExpr("band", "x AS px", "y AS py", "cell AS id")
 
 
 @query("footprint_span_join", with_tables("pixels", "SELECT c.band, c.cell AS id, p.x, p.y, round(p.image) AS image FROM pixels c JOIN pixels p ON p.band = c.band AND p.y = c.y AND p.x BETWEEN c.x - 2 AND c.x + 1 WHERE (c.mask & 4) <> 0"))
@@ -239,8 +246,9 @@ lit AS MATERIALIZED (SELECT r.band, r.region, p.x, p.y, p.mask FROM regions r JO
 @query("seeded_component_centers", with_tables("pixels", "SELECT band, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS area FROM lit GROUP BY band, region HAVING count(*) >= 3 AND NOT bool_or(x = 0 OR x = 63 OR y = 0 OR y = 63) AND bool_or((mask & 2) <> 0) AND NOT bool_or(mask = 7)", _REGIONS))
 def seeded_component_centers(spark, sf):
     """Regions of the first mask bit, with seeds where the second is on and positives where all are."""
-    positives = _points(spark, sf, 0).join(pixels(spark, sf).filter("mask = 7").select(C("cell").alias("id")), "id", "left_semi")
-    found = O.seeded_component_centers(_runs(spark, sf), _points(spark, sf, 1), positives, ["band"], 64, 64, 3)
+    planes = _planes(spark, sf)
+    positives = _points(spark, sf, 0, planes.filter("mask = 7"))
+    found = O.seeded_component_centers(_runs(spark, sf, planes), _points(spark, sf, 1, planes), positives, ["band"], 64, 64, 3)
     return found.select("band", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
 
 
@@ -254,9 +262,10 @@ together AS MATERIALIZED (SELECT l.k AS later, e.k AS earlier FROM nested l JOIN
 
 @query("nested_component_centers", with_tables("pixels", "SELECT band, parent, round(x, 6) AS cx, round(y, 6) AS cy FROM nested WHERE k NOT IN (SELECT k FROM turn WHERE s = 2)", _REGIONS, _NESTED, decided("turn", "together")))
 def nested_component_centers(spark, sf):
-    parents = _points(spark, sf, 2).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
-    centers = pixels(spark, sf).filter("mask = 7").selectExpr("band", "cell AS id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y")
-    found = O.nested_component_centers(_runs(spark, sf), parents, centers, 1.0, ["band"])
+    planes = _planes(spark, sf)
+    parents = _points(spark, sf, 2, planes).selectExpr("band", "id", "CAST(px AS DOUBLE) AS x", "CAST(py AS DOUBLE) AS y", "CAST(id % 4 + 3 AS DOUBLE) AS a", "CAST(id % 3 + 2 AS DOUBLE) AS b", "0D AS theta", "CAST((id % 4 + 3) * (id % 3 + 2) AS DOUBLE) AS area")
+    centers = planes.filter("mask = 7").selectExpr("band", "cell AS id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y")
+    found = O.nested_component_centers(_runs(spark, sf, planes), parents, centers, 1.0, ["band"])
     return found.select("band", "parent", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
