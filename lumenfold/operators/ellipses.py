@@ -9,7 +9,6 @@ NumPy over Arrow batches, by the same arithmetic as columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +28,8 @@ def shape(x: Column, y: Column, a: Column, b: Column, theta: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), a.alias("a"), b.alias("b"), F.cos(theta).alias("cos"), F.sin(theta).alias("sin"), F.greatest(a, b).alias("reach"))
 
 
-def bound(values: list[Column], use: Callable[..., Column]) -> Column:
-    """``use`` of values that are computed once, however often it names them."""
-    names = [f"v{i}" for i in range(len(values))]
-    return F.element_at(F.transform(F.array(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])), lambda t: use(*[t[n] for n in names])), 1)
-
-
 def rows_of(e: Column) -> Column:
-    """What :func:`row_span` needs of an ellipse: x, y, slope, top and bend.
+    """What tells the span of an ellipse in a pixel row: x, y, slope, top and bend.
 
     In the row that lies dy from the centre the ellipse covers x - slope dy, give or take the root of top - bend dy dy.
     """
@@ -46,12 +39,6 @@ def rows_of(e: Column) -> Column:
     return F.struct(e["x"].alias("x"), e["y"].alias("y"), (q / p).alias("slope"), ((1.0 + RIM) / p).alias("top"), (1.0 / (a * b * p * (a * b * p))).alias("bend"))
 
 
-def row_span(r: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
-    """``use`` of the first and last real x that an ellipse covers in the row ``y``; both are NaN where it does not reach the row."""
-    dy = y - r["y"]
-    return bound([r["x"] - r["slope"] * dy, F.sqrt(r["top"] - r["bend"] * dy * dy)], lambda mid, half: use(mid - half, mid + half))
-
-
 def _counts(s: Column, t: Column, box: list[Column]) -> Column:
     """The struct of the numbers of grid places inside ``s``, inside ``t`` and inside both, row by row; ``box``: x0, x1, y0, y1, step."""
     rim, thin, at_once = RIM, THIN, ROWS_AT_ONCE

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import NAN, ellipse_contains, finite
-from lumenfold.operators.ellipses import row_span, rows_of, shape
+from lumenfold.operators.ellipses import rows_of, shape
 from lumenfold.operators.graph import connected_components
 from lumenfold.operators.rules import pixel_half_even, pixel_half_up
 from lumenfold.operators.selection import clipped, exact_quantiles, robust_sigma  # noqa: F401
@@ -162,15 +162,23 @@ def dense_label_priority(claims: DataFrame, keys: list[str]) -> DataFrame:
 def rasterize_ellipse(ellipses: DataFrame, width: int, height: int) -> DataFrame:
     """(id, x, y): pixels inside each ellipse (id, cx, cy, a, b, theta), clipped to the frame; a pixel on the rim is inside.
 
-    Rows are spanned in closed form, so no pixel is made that is not inside.
+    Rows are spanned in closed form, so no pixel is made that is not inside. Ellipses are dealt to all tasks
+    before they become pixels, as the file of a table of ellipses may be small enough for a few tasks.
     """
     reach = F.greatest("a", "b")
-    low, high = F.greatest(F.lit(0), F.ceil(F.col("cy") - reach).cast("int") - 1), F.least(F.lit(height - 1), F.floor(F.col("cy") + reach).cast("int") + 1)
+    low, high = F.greatest(F.lit(0), F.ceil(F.col("cy") - reach) - 1), F.least(F.lit(height - 1), F.floor(F.col("cy") + reach) + 1)
     real = finite("cx") & finite("cy") & finite("a") & finite("b") & finite("theta") & (F.least("a", "b") > 0)
-    rows = ellipses.filter(real & (low <= high)).select("id", rows_of(shape(F.col("cx"), F.col("cy"), F.col("a"), F.col("b"), F.col("theta"))).alias("e"), F.explode(F.sequence(low, high)).alias("y"))
-    ends = row_span(F.col("e"), F.col("y").cast("double"), lambda left, right: F.when(~F.isnan(left), F.struct(F.greatest(F.lit(0), F.ceil(left).cast("int")).alias("x0"), F.least(F.lit(width - 1), F.floor(right).cast("int")).alias("x1"))))
-    rows = rows.select("id", "y", ends.alias("s")).select("id", "y", "s.*")
-    return rows.filter("x0 <= x1").select("id", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+    tasks = int(ellipses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ellipses.select("id", "cx", "cy", "a", "b", "theta").filter(real & (low <= high)).repartition(tasks, "id")
+    shaped = dealt.select("id", low.alias("low"), high.alias("high"), rows_of(shape(F.col("cx"), F.col("cy"), F.col("a"), F.col("b"), F.col("theta"))).alias("e")).select("id", "low", "high", "e.*")
+    rows = shaped.select("id", F.col("x").alias("cx"), F.col("y").alias("cy"), "slope", "top", "bend", F.explode(F.sequence("low", "high")).alias("y"))
+    dy = F.col("y").cast("double") - F.col("cy")
+    # Plain columns, not a lambda, so that all of it runs inside the generated code.
+    ends = rows.select("id", "y", (F.col("cx") - F.col("slope") * dy).alias("mid"), F.sqrt(F.col("top") - F.col("bend") * dy * dy).alias("half"))
+    x0, x1 = F.ceil(F.greatest(F.lit(0.0), F.col("mid") - F.col("half"))).cast("int"), F.floor(F.least(F.lit(width - 1.0), F.col("mid") + F.col("half"))).cast("int")
+    meets = ~F.isnan("half") & (F.col("mid") - F.col("half") <= width - 1.0) & (F.col("mid") + F.col("half") >= 0.0)
+    spans = ends.select("id", F.col("y").cast("int").alias("y"), F.when(meets, F.struct(x0.alias("x0"), x1.alias("x1"))).alias("s")).select("id", "y", "s.x0", "s.x1")
+    return spans.select("id", F.explode(F.when(F.col("x0") <= F.col("x1"), F.sequence("x0", "x1"))).alias("x"), "y")
 
 
 def bright_region_mask(pixels: DataFrame, z: str, threshold: float, grow: float, keys: list[str]) -> DataFrame:

@@ -60,3 +60,13 @@ def test_nested_centers_of_parents_of_all_sizes(spark):
     got = O.nested_component_centers(P.regions(pixels, ["band"]), table, points, 2.0, ["band"])
     assert sorted((r.parent, round(r.cx, 6), round(r.cy, 6)) for r in got.collect()) == sorted((k[2], round(k[3], 6), round(k[4], 6)) for k in kept)
     assert len({k[2] for k in kept}) > 5 and len(kept) < len(found)
+
+
+def test_ellipses_are_dealt_to_tasks_and_far_ones_are_off_the_frame(spark):
+    rows = [(0, 3.0, 4.0, 5.0, 5.0, 2.5), (1, 1e12, 5.0, 3.0, 2.0, 0.0), (2, 5.0, -1e12, 3.0, 2.0, 0.0), (3, 22.0, 9.0, 3.5, 1.0, 0.4), (4, -1.5, 9.0, 2.0, 2.0, 0.0), (5, 10.0, 10.0, 1e12, 1e12, 0.0)]
+    made = P.rasterize_ellipse(spark.createDataFrame(rows, "id int, cx double, cy double, a double, b double, theta double").coalesce(1), 20, 20)
+    assert "Repartition" in plan(made) and "lambda" not in plan(made)
+    inside = lambda i, cx, cy, a, b, t, x, y: ((math.cos(t) * (x - cx) + math.sin(t) * (y - cy)) / a) ** 2 + ((-math.sin(t) * (x - cx) + math.cos(t) * (y - cy)) / b) ** 2 <= 1 + 1e-9
+    want = sorted((r[0], x, y) for r in rows for x in range(20) for y in range(20) if inside(*r, x, y))
+    assert sorted((r.id, r.x, r.y) for r in made.collect()) == want
+    assert {i for i, _, _ in want} == {0, 3, 4, 5}
