@@ -34,13 +34,9 @@ def ap2_snr_measure(centers: DataFrame, pixels: DataFrame, radius: float, inner:
     all of it does. Trusted are internal measurements with a finite ratio, enough annulus pixels and a trusted noise.
     """
     noise = P.blank_aperture_noise(pixels, radius, keys, least).select(*keys, "sd", F.col("trusted").alias("known"))
-    offsets = P.disk_offsets(outer)
-    got = P.at_offsets(centers, pixels, offsets, keys).filter(finite("image") & ~F.col("excluded"))
-    r2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    ap, ann = F.when(r2 <= radius * radius, F.col("image")), F.when(r2 > inner * inner, F.col("image"))
-    sums = got.groupBy(*keys, "id").agg(F.sum(ap).alias("s"), F.count(ap).alias("n"), F.median(ann).alias("m"), F.count(ann).alias("n_ann")).join(noise, keys)
+    sums = P.apertures(centers, pixels, radius, inner, outer, keys, rim=False).drop("sd").withColumnRenamed("n_ap", "n").join(noise, keys)
     whole = len(P.disk_offsets(radius))
-    flux = F.col("s") - F.coalesce("m", F.lit(0.0)) * F.col("n")
+    flux = F.col("s") - F.nanvl(F.coalesce("m", F.lit(0.0)), F.lit(0.0)) * F.col("n")
     sigma = F.col("sd") * F.sqrt(F.col("n") / whole)
     found = sums.filter("n > 0").select(*keys, "id", flux.alias("flux"), F.when(sigma > 0, flux / sigma).otherwise(NAN).alias("snr"), (F.col("n") == whole).alias("internal"), "n_ann", "known")
     trusted = F.col("known") & F.col("internal") & (F.col("n_ann") >= least_annulus) & finite("snr")

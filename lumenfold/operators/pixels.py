@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenfold.functions.expr import NAN, ellipse_contains, finite
+from lumenfold.functions.expr import NAN, finite
 from lumenfold.operators.ellipses import rows_of, shape
 from lumenfold.operators.graph import connected_components
 from lumenfold.operators.rules import pixel_half_even, pixel_half_up
 from lumenfold.operators.selection import clipped, exact_quantiles, robust_sigma  # noqa: F401
-from lumenfold.session import stash
+from lumenfold.session import ship_package, stash
 
 
 def disk_offsets(radius: float, inner: float = -1.0) -> list[tuple[int, int]]:
@@ -25,11 +30,69 @@ def offset_table(spark: SparkSession, offsets: list[tuple[int, int]]) -> DataFra
     return spark.createDataFrame(offsets, "dx int, dy int")
 
 
-def at_offsets(centers: DataFrame, pixels: DataFrame, offsets: list[tuple[int, int]], keys: list[str]) -> DataFrame:
-    """``centers`` (keys, id, px, py) with the pixels at the given offsets; those out of the frame are not there."""
-    spread = centers.withColumn("__o", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])))
-    spread = spread.select(*centers.columns, (F.col("px") + F.col("__o.dx")).cast("int").alias("x"), (F.col("py") + F.col("__o.dy")).cast("int").alias("y"))
-    return spread.join(pixels, [*keys, "x", "y"])
+#: The least side of a tile, and the values of pixels that are looked up in one step.
+TILE, VALUES_AT_ONCE = 64, 1 << 20
+
+
+def measured_around(centers: DataFrame, pixels: DataFrame, offsets: list[tuple[int, int]], keys: list[str], carry: list[str], measure: Callable[..., dict], fields: str, value: str = "image") -> DataFrame:
+    """(keys, id, fields): what ``measure`` makes of the pixels at the offsets around each of ``centers`` (keys, id, px, py).
+
+    Centres and pixels go to square tiles, pixels also to those next to theirs that they are in reach of, so that a
+    pixel travels about once and not once for each centre. In a tile ``measure`` gets NumPy arrays: the values (a row a
+    centre, a column an offset; NaN where there is no pixel), the pixels' distances dx and dy alike, and the columns
+    ``carry`` of the centres, as doubles; it gives arrays by name, and ``found``, which centres have a row.
+    ``pixels`` has one row a pixel, with a finite value, and ``centers`` one an id.
+    """
+    ship_package(centers.sparkSession)
+    reach = max(max(abs(dx), abs(dy)) for dx, dy in offsets) + 1  # a centre between pixels is that much farther from some
+    side, at_once = max(TILE, 4 * reach), VALUES_AT_ONCE
+    ox, oy = np.array([o[0] for o in offsets]), np.array([o[1] for o in offsets])
+    tile = lambda c: F.floor(c / side).cast("long")
+    held = centers.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in ("px", "py", *carry)]).filter(finite("px") & finite("py"))
+    held = held.dropna(subset=keys).withColumns({"__tx": tile(F.col("px")), "__ty": tile(F.col("py"))})
+    near = lambda c: F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach)))
+    known = pixels.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("v")).withColumn("__tx", near("x")).withColumn("__ty", near("y"))
+    schema = T.StructType([*[held.schema[k] for k in [*keys, "id"]], *T.StructType.fromDDL(fields).fields])
+    first, names = len(keys), schema.names
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        column = lambda t, n: t.column(n).to_numpy()
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_pydict({n: [] for n in names}, wanted)
+        px, py = column(left, "px"), column(left, "py")
+        x0, y0 = column(left, "__tx")[0] * side - reach, column(left, "__ty")[0] * side - reach
+        grid = np.full((side + 2 * reach, side + 2 * reach), np.nan)
+        grid[column(right, "y") - y0, column(right, "x") - x0] = column(right, "v")
+        made, kept, step = [], [], max(1, at_once // len(ox))
+        for i in range(0, len(px), step):
+            j = slice(i, i + step)
+            x, y = (np.trunc(p[j][:, None] + o).astype(np.int64) for p, o in ((px, ox), (py, oy)))
+            got = measure(grid[y - y0, x - x0], x - px[j][:, None], y - py[j][:, None], *[column(left, c)[j][:, None] for c in carry])
+            kept.append(got.pop("found"))
+            made.append(got)
+        keep = np.concatenate(kept)
+        columns = [left.column(n).filter(pa.array(keep)) for n in names[: first + 1]]
+        return pa.Table.from_arrays([*columns, *[pa.array(np.concatenate([g[n] for g in made])[keep]) for n in names[first + 1 :]]], names=names).cast(wanted)
+
+    wanted = to_arrow_schema(schema)
+    by = [*keys, "__tx", "__ty"]
+    return held.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(work, schema)
+
+
+def aperture_sums(values: np.ndarray, dx: np.ndarray, dy: np.ndarray, radius: float, inner: float, outer: float) -> dict[str, np.ndarray]:
+    """Sum and number of the values within ``radius``; number, median and sample deviation of those beyond ``inner`` and within ``outer``."""
+    r2 = dx * dx + dy * dy
+    ap, ann = np.where(r2 <= radius * radius, values, np.nan), np.where((r2 > inner * inner) & (r2 <= outer * outer), values, np.nan)
+    n_ap, n = np.isfinite(ap).sum(1), np.isfinite(ann).sum(1)
+    ranked = np.sort(ann, axis=1)  # NaN come last
+    at = lambda k: np.take_along_axis(ranked, np.clip(k, 0, ranked.shape[1] - 1)[:, None], 1)[:, 0]
+    low, high = at((n - 1) // 2), at(n // 2)
+    m = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    # About the median, so that equal values deviate by exactly nothing.
+    off = ann - m[:, None]
+    off = off - (np.nansum(off, axis=1) / np.maximum(n, 1))[:, None]
+    sd = np.where(n > 1, np.sqrt(np.nansum(off * off, axis=1) / np.maximum(n - 1, 1)), np.nan)
+    return {"found": np.isfinite(values).any(1), "s": np.nansum(ap, axis=1), "n_ap": n_ap, "n_ann": n, "m": m, "sd": sd}
 
 
 def row_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,8 +149,12 @@ def tile_bad_score(pixels: DataFrame, score: Column, tile: int, stride: int, key
 
 def mean_in_aperture(centers: DataFrame, pixels: DataFrame, radius: float, keys: list[str], value: str = "image") -> DataFrame:
     """(keys, id, mean, n): mean of finite positive values in a disk."""
-    got = at_offsets(centers, pixels, disk_offsets(radius), keys).filter(finite(value) & (F.col(value) > 0))
-    return got.groupBy(*keys, "id").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+    def means(values, dx, dy):
+        n = np.isfinite(values).sum(1)
+        return {"found": n > 0, "mean": np.nansum(values, axis=1) / np.maximum(n, 1), "n": n}
+
+    return measured_around(centers, pixels.filter(finite(value) & (F.col(value) > 0)), disk_offsets(radius), keys, [], means, "mean double, n long", value)
 
 
 def ellipse_aperture_sum(centers: DataFrame, pixels: DataFrame, reach: int, keys: list[str], value: str = "image") -> DataFrame:
@@ -96,9 +163,32 @@ def ellipse_aperture_sum(centers: DataFrame, pixels: DataFrame, reach: int, keys
     ``reach`` bounds the axes: pixels farther from the centre are not looked at.
     """
     box = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
-    got = at_offsets(centers, pixels, box, keys)
-    inside = ellipse_contains(F.col("x"), F.col("y"), F.col("px"), F.col("py"), F.col("a"), F.col("b"), F.col("theta"))
-    return got.filter(inside & finite(value)).groupBy(*keys, "id").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    shaped = centers.withColumns({"__a": F.greatest("a", F.lit(1e-6)), "__b": F.greatest("b", F.lit(1e-6)), "__cos": F.cos("theta"), "__sin": F.sin("theta")})
+
+    def sums(values, dx, dy, a, b, cos, sin):
+        u, v = (cos * dx + sin * dy) / a, (-sin * dx + cos * dy) / b
+        inside = np.where(u * u + v * v <= 1.0, values, np.nan)
+        n = np.isfinite(inside).sum(1)
+        return {"found": n > 0, "total": np.nansum(inside, axis=1), "n": n}
+
+    return measured_around(shaped, pixels.filter(finite(value)), box, keys, ["__a", "__b", "__cos", "__sin"], sums, "total double, n long", value)
+
+
+def count_around(centers: DataFrame, pixels: DataFrame, offsets: list[tuple[int, int]], keys: list[str]) -> DataFrame:
+    """(keys, id, n): number of pixels (keys, x, y) at the offsets around each centre that has any."""
+
+    def count(values, dx, dy):
+        n = np.isfinite(values).sum(1)
+        return {"found": n > 0, "n": n}
+
+    return measured_around(centers, pixels.withColumn("__one", F.lit(1.0)), offsets, keys, [], count, "n long", "__one")
+
+
+def apertures(centers: DataFrame, pixels: DataFrame, radius: float, inner: float, outer: float, keys: list[str], rim: bool = True) -> DataFrame:
+    """(keys, id, s, n_ap, n_ann, m, sd): :func:`aperture_sums` of the finite pixels that are not ``excluded``; without ``rim`` all that are looked at are within ``outer``."""
+    end = outer if rim else math.inf
+    measure = lambda values, dx, dy: aperture_sums(values, dx, dy, radius, inner, end)
+    return measured_around(centers, pixels.filter(finite("image") & ~F.col("excluded")), disk_offsets(outer), keys, [], measure, "s double, n_ap long, n_ann long, m double, sd double")
 
 
 def aperture_annulus_snr(centers: DataFrame, pixels: DataFrame, radius: float, inner: float, outer: float, keys: list[str], least: int = 2) -> DataFrame:
@@ -106,11 +196,7 @@ def aperture_annulus_snr(centers: DataFrame, pixels: DataFrame, radius: float, i
 
     Excluded pixels (a true column ``excluded``) count in neither. Too few annulus pixels give NaN.
     """
-    offsets = disk_offsets(outer)
-    got = at_offsets(centers, pixels, offsets, keys).filter(finite("image") & ~F.col("excluded"))
-    r2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    ap, ann = F.when(r2 <= radius * radius, F.col("image")), F.when((r2 > inner * inner) & (r2 <= outer * outer), F.col("image"))
-    sums = got.groupBy(*keys, "id").agg(F.sum(ap).alias("s"), F.count(ap).alias("n_ap"), F.count(ann).alias("n_ann"), F.median(ann).alias("m"), F.stddev_samp(ann).alias("sd"))
+    sums = apertures(centers, pixels, radius, inner, outer, keys)
     good = (F.col("n_ann") >= least) & (F.col("n_ap") > 0) & (F.col("sd") > 0)
     return sums.select(*keys, "id", F.when(good, (F.col("s") - F.col("m") * F.col("n_ap")) / (F.col("sd") * F.sqrt("n_ap"))).otherwise(NAN).alias("snr"), "n_ap", "n_ann")
 

@@ -183,7 +183,7 @@ def footprint_span_join(spark, sf):
 
 @query("disk_offsets", with_tables("pixels", "SELECT c.cell AS id, count(*) AS n FROM pixels c JOIN pixels p ON p.band = c.band AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 12.25 WHERE (c.mask & 1) <> 0 GROUP BY c.cell"))
 def disk_offsets(spark, sf):
-    return P.at_offsets(_points(spark, sf, 0), pixels(spark, sf).select("band", "x", "y"), P.disk_offsets(3.5), ["band"]).groupBy("id").agg(F.count("*").alias("n"))
+    return P.count_around(_points(spark, sf, 0), pixels(spark, sf).select("band", "x", "y"), P.disk_offsets(3.5), ["band"]).select("id", "n")
 
 
 def _measured(name: str, centers: str, planes: str = "pixels") -> str:

@@ -13,6 +13,7 @@ from lumenfold.plans.joins import _MUTUAL, NEAR, RADIUS, det_pairs
 from lumenfold.plans.registry import query
 from lumenfold.plans.rules import _RICH_SQL, r, rich
 from lumenfold.plans.tables import detections, out, pixels, read, samples, sfin, smag, sources, sout, weights, with_tables
+from lumenfold.session import stash
 
 S, SD = "sources", "sources detections"
 C = F.col
@@ -199,8 +200,13 @@ def tile_bad_score(spark, sf):
 _CENTERS = "centers AS (SELECT cell AS id, band, x AS px, y AS py FROM pixels WHERE (mask & 4) <> 0)"
 
 
-def centers(spark, sf):
-    return pixels(spark, sf).filter(E.mask_bit(C("mask"), 2)).selectExpr("cell AS id", "band", "x AS px", "y AS py")
+def planes(spark, sf):
+    """The pixels, made once for the centres among them and what is measured around those."""
+    return stash(pixels(spark, sf).select("band", "x", "y", "mask", "cell", "image"), "planes")
+
+
+def centers(p):
+    return p.filter(E.mask_bit(C("mask"), 2)).selectExpr("cell AS id", "band", "x AS px", "y AS py")
 
 
 _D2 = "((p.x - c.px) * (p.x - c.px) + (p.y - c.py) * (p.y - c.py))"
@@ -208,19 +214,21 @@ _D2 = "((p.x - c.px) * (p.x - c.px) + (p.y - c.py) * (p.y - c.py))"
 
 @query("mean_in_aperture", with_tables(PX, f"SELECT c.band, c.id, round(avg(p.image), 2) AS mean, count(*) AS n FROM centers c JOIN pixels p ON p.band = c.band AND {_D2} <= 9 GROUP BY ALL", _CENTERS))
 def mean_in_aperture(spark, sf):
-    return P.mean_in_aperture(centers(spark, sf), pixels(spark, sf), 3.0, ["band"]).withColumn("mean", F.round("mean", 2))
+    p = planes(spark, sf)
+    return P.mean_in_aperture(centers(p), p, 3.0, ["band"]).withColumn("mean", F.round("mean", 2))
 
 
 @query("ellipse_aperture_sum", with_tables(PX, "SELECT band, id, round(sum(image)) AS total, count(*) AS n FROM (SELECT c.band, c.id, p.image, (0.8::DOUBLE * (p.x - c.px) + 0.6::DOUBLE * (p.y - c.py)) / 3.3::DOUBLE AS u, (-0.6::DOUBLE * (p.x - c.px) + 0.8::DOUBLE * (p.y - c.py)) / 1.7::DOUBLE AS v FROM centers c JOIN pixels p ON p.band = c.band AND abs(p.x - c.px) <= 4 AND abs(p.y - c.py) <= 4) WHERE u * u + v * v <= 1 GROUP BY ALL", _CENTERS))
 def ellipse_aperture_sum(spark, sf):
-    c = centers(spark, sf).withColumns({"a": F.lit(3.3), "b": F.lit(1.7), "theta": F.atan2(F.lit(0.6), F.lit(0.8))})
-    return P.ellipse_aperture_sum(c, pixels(spark, sf), 4, ["band"]).withColumn("total", F.round("total", 0))
+    p = planes(spark, sf)
+    c = centers(p).withColumns({"a": F.lit(3.3), "b": F.lit(1.7), "theta": F.atan2(F.lit(0.6), F.lit(0.8))})
+    return P.ellipse_aperture_sum(c, p, 4, ["band"]).withColumn("total", F.round("total", 0))
 
 
 @query("aperture_annulus_snr", with_tables(PX, f"SELECT band, id, n_ap, n_ann, CASE WHEN n_ann >= 2 AND n_ap > 0 AND sd > 0 THEN round((s - m * n_ap) / (sd * sqrt(n_ap)), 4) END AS snr FROM (SELECT c.band, c.id, sum(image) FILTER (WHERE {_D2} <= 4) AS s, count(*) FILTER (WHERE {_D2} <= 4) AS n_ap, count(*) FILTER (WHERE {_D2} > 9) AS n_ann, quantile_cont(image, 0.5) FILTER (WHERE {_D2} > 9) AS m, stddev_samp(image) FILTER (WHERE {_D2} > 9) AS sd FROM centers c JOIN pixels p ON p.band = c.band AND {_D2} <= 36 AND (mask & 1) = 0 GROUP BY ALL)", _CENTERS))
 def aperture_annulus_snr(spark, sf):
-    p = pixels(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0))
-    return P.aperture_annulus_snr(centers(spark, sf), p, 2.0, 3.0, 6.0, ["band"]).withColumn("snr", out("snr", 4))
+    p = planes(spark, sf).withColumn("excluded", E.mask_bit(C("mask"), 0))
+    return P.aperture_annulus_snr(centers(p), p, 2.0, 3.0, 6.0, ["band"]).withColumn("snr", out("snr", 4))
 
 
 def _mad(source: str, keys: str, value: str) -> str:
@@ -323,7 +331,7 @@ def kron_sql(centers: str, reach: tuple[int, int], a: float, b: float, sigma: fl
 
 @query("kron_moment", with_tables(PX, "SELECT id, round(radius, 6) AS radius, round(candidate, 6) AS candidate, round(total) AS total, round(positive) AS positive, round(negative) AS negative, n, central FROM kron", _CENTERS, kron_sql("centers", (5, 3), 2.0, 1.25, 2.0)))
 def kron_moment(spark, sf):
-    c = centers(spark, sf)
+    c = centers(pixels(spark, sf))
     spans = c.withColumn("y", F.explode(F.sequence(C("py") - 3, C("py") + 3))).selectExpr("band", "id", "y", "px - 5 AS x0", "px + 5 AS x1")
     shape = c.selectExpr("id", "CAST(px AS DOUBLE) AS cx", "CAST(py AS DOUBLE) AS cy", "2D AS a", "1.25D AS b", "0D AS theta")
     m = P.kron_moment(spans, pixels(spark, sf), shape, ["band"], 2.0)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
@@ -70,3 +71,44 @@ def test_ellipses_are_dealt_to_tasks_and_far_ones_are_off_the_frame(spark):
     want = sorted((r[0], x, y) for r in rows for x in range(20) for y in range(20) if inside(*r, x, y))
     assert sorted((r.id, r.x, r.y) for r in made.collect()) == want
     assert {i for i, _, _ in want} == {0, 3, 4, 5}
+
+
+def test_apertures_are_measured_in_tiles_and_not_pixel_by_centre(spark):
+    """Planes of several tiles with holes, excluded and broken pixels, equal values, and centres off the frame, between pixels and on the edges of tiles."""
+    rnd = random.Random(6)
+    image = {(x, y): 2.5 if x < 20 else rnd.choice([rnd.gauss(3, 1), rnd.gauss(3, 1), float("nan"), None]) for x in range(-5, 140) for y in range(60, 72) if rnd.random() < 0.9}
+    shut = {q: rnd.random() < 0.1 for q in image}
+    places = [(i, float(rnd.randrange(-8, 145)), float(rnd.randrange(56, 76))) for i in range(150)] + [(200, 63.0, 64.0), (201, 64.0, 63.0), (202, 127.5, 64.25), (203, -2.5, 63.75), (204, 500.0, 64.0), (205, 5.0, 66.0)]
+    pixels = spark.createDataFrame([("v", x, y, v, shut[x, y]) for (x, y), v in image.items()], "band string, x int, y int, image double, excluded boolean")
+    centers = spark.createDataFrame([("v", *p) for p in places], "band string, id long, px double, py double")
+    got = {r.id: r for r in P.apertures(centers, pixels, 2.0, 3.0, 6.0, ["band"]).collect()}
+    light = {r.id: (r.mean, r.n) for r in P.mean_in_aperture(centers, pixels, 3.0, ["band"]).collect()}
+    shaped = centers.selectExpr("*", "3.3D AS a", "1.7D AS b", "0.6D AS theta")
+    held = {r.id: (r.total, r.n) for r in P.ellipse_aperture_sum(shaped, pixels, 4, ["band"]).collect()}
+    counts = {r.id: r.n for r in P.count_around(centers, pixels, P.disk_offsets(3.5), ["band"]).collect()}
+    known = lambda v: v is not None and math.isfinite(v)
+    for i, px, py in places:
+        near = lambda r, px=px, py=py: [(q, image[q], (q[0] - px) ** 2 + (q[1] - py) ** 2) for q in ((math.trunc(px + dx), math.trunc(py + dy)) for dx, dy in P.disk_offsets(r)) if q in image]
+        free = [(v, d) for q, v, d in near(6.0) if known(v) and not shut[q]]
+        ap, ann = [v for v, d in free if d <= 4], [v for v, d in free if 9 < d <= 36]
+        assert (i in got) == bool(free)
+        if free:
+            r = got[i]
+            assert (r.n_ap, r.n_ann) == (len(ap), len(ann)) and abs(r.s - sum(ap)) < 1e-9
+            assert not ann or abs(r.m - statistics.median(ann)) < 1e-12
+            assert len(ann) < 2 or abs(r.sd - statistics.stdev(ann)) < 1e-9
+            assert len(set(ann)) != 1 or len(ann) < 2 or r.sd == 0.0
+        bright = [v for _, v, _ in near(3.0) if known(v) and v > 0]
+        assert (i in light) == bool(bright) and (not bright or (abs(light[i][0] - sum(bright) / len(bright)) < 1e-9 and light[i][1] == len(bright)))
+        assert counts.get(i, 0) == len(near(3.5))
+        if px == int(px) and py == int(py):
+            c, s = math.cos(0.6), math.sin(0.6)
+            within = [v for (x, y), v in image.items() if known(v) and max(abs(x - px), abs(y - py)) <= 4 and ((c * (x - px) + s * (y - py)) / 3.3) ** 2 + ((c * (y - py) - s * (x - px)) / 1.7) ** 2 <= 1]
+            assert (i in held) == bool(within) and (not within or (held[i][1] == len(within) and abs(held[i][0] - sum(within)) < 1e-9))
+    assert 204 not in got and any(r.sd == 0.0 for r in got.values())
+
+
+def test_apertures_do_not_shuffle_a_row_for_each_offset(spark):
+    for name in ("aperture_annulus_snr", "mean_in_aperture", "ellipse_aperture_sum", "ap2_snr_measure", "disk_offsets"):
+        made = plan(registry.QUERIES[name](spark, SF))
+        assert "CoGroup" in made and "explode(array(struct" not in made
