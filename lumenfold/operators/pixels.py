@@ -51,7 +51,8 @@ def measured_around(centers: DataFrame, pixels: DataFrame, offsets: list[tuple[i
     held = centers.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in ("px", "py", *carry)]).filter(finite("px") & finite("py"))
     held = held.dropna(subset=keys).withColumns({"__tx": tile(F.col("px")), "__ty": tile(F.col("py"))})
     near = lambda c: F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach)))
-    known = pixels.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("v")).withColumn("__tx", near("x")).withColumn("__ty", near("y"))
+    # Keys by new columns: those of centres and pixels of one table would else be the same ones, which a cogroup cannot tell apart.
+    known = pixels.select(*[F.col(k).alias(k) for k in keys], F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("v")).withColumn("__tx", near("x")).withColumn("__ty", near("y"))
     schema = T.StructType([*[held.schema[k] for k in [*keys, "id"]], *T.StructType.fromDDL(fields).fields])
     first, names = len(keys), schema.names
 

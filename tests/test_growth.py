@@ -4,6 +4,8 @@ import math
 import random
 import statistics
 
+from pyspark.sql import functions as F
+
 from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
 from lumenfold.plans import registry
@@ -112,3 +114,13 @@ def test_apertures_do_not_shuffle_a_row_for_each_offset(spark):
     for name in ("aperture_annulus_snr", "mean_in_aperture", "ellipse_aperture_sum", "ap2_snr_measure", "disk_offsets"):
         made = plan(registry.QUERIES[name](spark, SF))
         assert "CoGroup" in made and "explode(array(struct" not in made
+
+
+def test_centres_and_pixels_may_be_of_one_table(spark):
+    """Keys that both sides of a cogroup have from one table are not ambiguous, also where the centres come from a join."""
+    one = spark.createDataFrame([("v", 10 * y + x, x, y, float(x + y)) for x in range(10) for y in range(10)], "band string, cell int, x int, y int, image double")
+    part = lambda k: one.filter(f"cell % 45 = {k}").select("band", F.col("cell").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    rest = part(0).join(part(1).select("band", "id"), ["band", "id"], "left_anti")
+    for pixels in (one, one.select("band", "x", "y", "image")):
+        found = P.count_around(rest, pixels, P.disk_offsets(1.0), ["band"])
+        assert sorted((r.id, r.n) for r in found.collect()) == [(0, 3), (45, 5), (90, 3)]
