@@ -372,8 +372,8 @@ def brightest_member(df: DataFrame, group: str, flux: str, id_col: str = "source
     return df.groupBy(group).agg(F.min_by(id_col, F.struct(-F.col(flux), F.col(id_col))).alias(id_col))
 
 
-def isolated_flag(sources: DataFrame, by: list[str], iou: float = 0.05, radius: float | None = None) -> DataFrame:
-    """(source_id, isolated): whether no other ellipse overlaps a source by more than ``iou``."""
-    o = ellipse_overlap_join(sources, radius, by).filter(F.col("iou") > iou)
+def isolated_flag(sources: DataFrame, by: list[str], iou: float = 0.05) -> DataFrame:
+    """(source_id, isolated): whether no other ellipse overlaps a source by more than ``iou``; all pairs that touch are looked at."""
+    o = ellipse_overlap_join(sources, None, by).filter(F.col("iou") > iou)
     crowded = o.select(F.explode(F.array("a", "b")).alias("source_id")).distinct().withColumn("__over", F.lit(True))
     return sources.select("source_id").join(crowded, "source_id", "left").select("source_id", F.col("__over").isNull().alias("isolated"))

@@ -320,9 +320,9 @@ def track_length(spark, sf):
     return W.track_length(e, "user_id", "t").select("event_id", "frames")
 
 
-@query("isolated_flag", with_tables(S, "SELECT source_id, coalesce(max(m), 0) <= 0.05 AS isolated FROM sources LEFT JOIN (SELECT a AS source_id, iou AS m FROM ious UNION ALL SELECT b, iou FROM ious) USING (source_id) GROUP BY source_id", SELF, _GRID, _OVER))
+@query("isolated_flag", with_tables(S, "SELECT source_id, coalesce(max(m), 0) <= 0.05 AS isolated FROM sources LEFT JOIN (SELECT a AS source_id, iou AS m FROM ious UNION ALL SELECT b, iou FROM ious) USING (source_id) GROUP BY source_id", *_TOUCHING, _GRID, _OVER))
 def isolated_flag(spark, sf):
-    return J.isolated_flag(sources(spark, sf), ["band"], 0.05, RADIUS)
+    return J.isolated_flag(sources(spark, sf), ["band"], 0.05)
 
 
 _N = 16

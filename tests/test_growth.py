@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import objects as O  # noqa: N812
 from lumenfold.operators import pixels as P
+from lumenfold.operators.ellipses import unit_grid
 from lumenfold.plans import registry
+from lumenfold.plans.tables import sources
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,3 +126,26 @@ def test_centres_and_pixels_may_be_of_one_table(spark):
     for pixels in (one, one.select("band", "x", "y", "image")):
         found = P.count_around(rest, pixels, P.disk_offsets(1.0), ["band"])
         assert sorted((r.id, r.n) for r in found.collect()) == [(0, 3), (45, 5), (90, 3)]
+
+
+def test_isolated_sources_overlap_none_at_any_distance(spark):
+    """Ellipses overlap as far as their axes reach: every pair of a band is looked at here."""
+    rows = [r.asDict() for r in sources(spark, SF).select("source_id", "band", "x", "y", "a", "b", "theta", "area").collect()]
+
+    def share(s, t):
+        c, w, e, z = math.cos(s["theta"]), math.sin(s["theta"]), math.cos(t["theta"]), math.sin(t["theta"])
+        at = [(s["x"] + c * s["a"] * u - w * s["b"] * v - t["x"], s["y"] + w * s["a"] * u + c * s["b"] * v - t["y"]) for u, v in unit_grid()]
+        return sum(((e * x + z * y) / t["a"]) ** 2 + ((-z * x + e * y) / t["b"]) ** 2 <= 1.0 for x, y in at) / len(at)
+
+    crowded, farthest = set(), 0.0
+    for i, s in enumerate(rows):
+        for t in rows[:i]:
+            d = math.hypot(s["x"] - t["x"], s["y"] - t["y"])
+            if s["band"] == t["band"] and d <= max(s["a"], s["b"]) + max(t["a"], t["b"]):
+                shared = 0.5 * (share(s, t) * s["area"] + share(t, s) * t["area"])
+                if shared / (s["area"] + t["area"] - shared) > 0.05:
+                    crowded |= {s["source_id"], t["source_id"]}
+                    farthest = max(farthest, d)
+    got = {r.source_id: r.isolated for r in registry.QUERIES["isolated_flag"](spark, SF).collect()}
+    assert got == {r["source_id"]: r["source_id"] not in crowded for r in rows}
+    assert crowded and farthest > 3.0
