@@ -7,16 +7,20 @@ what a rule does hangs on what it did before, the pairs act in their order, comp
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.functions.expr import finite
 from lumenfold.operators import joins as J
 from lumenfold.operators import rules as R
 from lumenfold.operators.ellipses import area_share, pixel_iou, rim_share
-from lumenfold.session import discard, stash
+from lumenfold.session import discard, ship_package, stash
 
 C = F.col
 
@@ -194,26 +198,71 @@ def label_ordinary_cosmos(sources: DataFrame, by: list[str], p: CosmosPolicy = C
 FOOTPRINT_ANGLES, FOOTPRINT_RADII = 48, (0.5, 1.0)
 
 
+#: Fixed value: the side of a tile of a mask, whose rows are the bits of a long.
+MASK_TILE = 64
+
+
+def _bitmaps(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tx, ty, rows): tiles of ``mask`` (keys, x, y) with pixels that are on, as structs of a row r and its bits."""
+    at = mask.select(*keys, C("x").cast("long").alias("x"), C("y").cast("long").alias("y"))
+    tile = lambda c: F.floor(C(c) / float(MASK_TILE)).alias(f"t{c}")
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(x, {MASK_TILE}) AS INT))")
+    rows = at.groupBy(*keys, tile("x"), tile("y"), F.pmod("y", F.lit(MASK_TILE)).cast("int").alias("r")).agg(F.bit_or(bit).alias("bits"))
+    return rows.groupBy(*keys, "tx", "ty").agg(F.collect_list(F.struct("r", "bits")).alias("rows"))
+
+
+def _reached_tiles(places: list[tuple[float, float, int]], frame: tuple[int, int]) -> Column:
+    """Tiles (tx, ty) of the frame that a footprint may have places in: those of its box or, of large ones, those of its places."""
+    side, reach = float(MASK_TILE), F.greatest("a", "b") + 1.0
+    within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(most - 1.0))
+    tile = lambda v, most: F.floor(within(v, most) / side)
+    span = lambda c, most: F.sequence(tile(C(c) - reach, most), tile(C(c) + reach, most))
+    box = F.flatten(F.transform(span("x", frame[0]), lambda tx: F.transform(span("y", frame[1]), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
+    grid = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v, _ in places])
+    c, s = F.cos("theta"), F.sin("theta")
+    at = F.transform(grid, lambda g: F.struct(F.rint(C("x") + c * C("a") * g["u"] - s * C("b") * g["v"]).alias("px"), F.rint(C("y") + s * C("a") * g["u"] + c * C("b") * g["v"]).alias("py")))
+    on_frame = F.filter(at, lambda q: (q["px"] >= 0) & (q["px"] < frame[0]) & (q["py"] >= 0) & (q["py"] < frame[1]))
+    own = F.array_distinct(F.transform(on_frame, lambda q: F.struct(F.floor(q["px"] / side).alias("tx"), F.floor(q["py"] / side).alias("ty"))))
+    return F.when(reach <= side, box).otherwise(own)
+
+
 def footprint_share(sources: DataFrame, mask: DataFrame, keys: list[str], frame: tuple[int, int]) -> DataFrame:
     """(source_id, share, center): of places in each ellipse the share that is on in ``mask`` (keys, x, y), and whether its centre is.
 
     Places are the centre, as often as there are angles, and those at two radii; each counts by its nearest pixel, halves
-    to even, and only inside the frame (width, height). Ellipses that are not valid have no row.
+    to even, and only inside the frame (width, height). Ellipses that are not valid, or have no place that is on, have no
+    row. An ellipse goes to the tiles of the mask that it reaches, mostly one, and its places are looked up in their
+    bits, so that no place travels by itself.
     """
+    ship_package(sources.sparkSession)
     turn = [2 * math.pi * i / FOOTPRINT_ANGLES for i in range(FOOTPRINT_ANGLES)]
     places = [(0.0, 0.0, FOOTPRINT_ANGLES)] + [(r * math.cos(t), r * math.sin(t), 1) for r in FOOTPRINT_RADII for t in turn]
-    grid = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), F.lit(w).alias("w")) for u, v, w in places])
-    c, s = F.cos("theta"), F.sin("theta")
-    at = F.transform(grid, lambda g: F.struct(F.rint(C("x") + c * C("a") * g["u"] - s * C("b") * g["v"]).cast("long").alias("px"), F.rint(C("y") + s * C("a") * g["u"] + c * C("b") * g["v"]).cast("long").alias("py"), g["w"].alias("w")))
-    inside = F.filter(at, lambda q: (q["px"] >= 0) & (q["px"] < frame[0]) & (q["py"] >= 0) & (q["py"] < frame[1]))
-    middle = lambda v: F.rint(v).cast("long")
-    rows = sources.filter(valid_ellipse()).select(*keys, "source_id", middle(C("x")).alias("cx"), middle(C("y")).alias("cy"), inside.alias("at"))
-    rows = stash(rows.withColumn("n", F.aggregate("at", F.lit(0), lambda acc, q: acc + q["w"])), "places")
-    spread = rows.select(*keys, "source_id", "cx", "cy", F.explode("at").alias("q")).groupBy(*keys, "source_id", "cx", "cy", C("q.px").alias("x"), C("q.py").alias("y")).agg(F.sum("q.w").alias("w"))
-    on = mask.select(*keys, C("x").cast("long").alias("x"), C("y").cast("long").alias("y")).distinct()
-    hit = spread.join(on, [*keys, "x", "y"], "left_semi").groupBy("source_id").agg(F.sum("w").alias("on"), F.bool_or((C("x") == C("cx")) & (C("y") == C("cy"))).alias("center"))
-    found = rows.join(hit, "source_id", "left")
-    return found.select("source_id", F.when(C("n") > 0, F.coalesce("on", F.lit(0)) / C("n")).otherwise(0.0).alias("share"), F.coalesce("center", F.lit(False)).alias("center"))
+    u, v, weight = (np.array(c) for c in zip(*places, strict=True))
+    side, (width, height) = MASK_TILE, frame
+    fields = ("x", "y", "a", "b", "cos", "sin")
+    rows = sources.filter(valid_ellipse()).withColumn("t", F.explode(_reached_tiles(places, frame)))
+    rows = rows.select(*keys, "source_id", *[C(c).cast("double").alias(c) for c in ("x", "y", "a", "b")], F.cos("theta").alias("cos"), F.sin("theta").alias("sin"), "t.tx", "t.ty")
+    met = rows.join(_bitmaps(mask, keys).hint("merge"), [*keys, "tx", "ty"]).select("source_id", *fields, "tx", "ty", "rows")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda n, b=batch: b.column(n).to_numpy(zero_copy_only=False)
+            x, y, a, b, cos, sin, tx, ty = (column(n)[:, None] for n in (*fields, "tx", "ty"))
+            lists = batch.column("rows")
+            lit, bits, at = np.zeros((len(batch), side), np.uint64), lists.flatten(), np.arange(len(batch))
+            lit[np.repeat(at, lists.value_lengths().to_numpy()), bits.field("r").to_numpy()] = bits.field("bits").to_numpy().view(np.uint64)
+            px, py = np.rint(x + cos * a * u - sin * b * v), np.rint(y + sin * a * u + cos * b * v)
+            inside = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+            px, py = (np.where(inside, c, 0.0).astype(np.int64) for c in (px, py))
+            here = inside & (px // side == tx) & (py // side == ty)
+            on = here & ((lit[at[:, None], py % side] >> (px % side).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            found = on.any(1)
+            made = {"source_id": batch.column("source_id").filter(pa.array(found)), "n": pa.array((inside * weight).sum(1)[found]), "on": pa.array((on * weight).sum(1)[found]), "center": pa.array(on[found, 0])}
+            yield pa.RecordBatch.from_pydict(made)
+
+    hit = met.mapInArrow(work, T.StructType([met.schema["source_id"], *T.StructType.fromDDL("n long, on long, center boolean").fields]))
+    sums = hit.groupBy("source_id").agg(F.max("n").alias("n"), F.sum("on").alias("on"), F.bool_or("center").alias("center"))
+    return sums.select("source_id", (C("on") / C("n")).alias("share"), "center")
 
 
 def _nested_pairs(s: DataFrame, by: list[str], p: A2744Policy) -> DataFrame:
@@ -259,20 +308,47 @@ def nested_labels(pairs: DataFrame, s: DataFrame, p: A2744Policy, most: int = J.
     hard = acting.join(edges.select("a", "b", "same"), ["a", "b"]).select("a", "b", F.struct(C("loser").alias("source_id"), F.lit("ignore").alias("class"), F.when(C("same"), "high_iou").otherwise("low_priority_parent").alias("reason")).alias("e"))
     order = F.create_map(*[F.lit(x) for kv in R.RANKS.items() for x in kv])
     every = mild.unionByName(hard).select("a", "b", "e.*").withColumn("level", order[C("class")])
-    return every.groupBy("source_id").agg(F.min_by(F.struct("class", "reason"), F.struct("level", "a", "b")).alias("n")).select("source_id", "n.class", "n.reason")
+    found = stash(every.groupBy("source_id").agg(F.min_by(F.struct("class", "reason"), F.struct("level", "a", "b")).alias("n")).select("source_id", "n.class", "n.reason"), "nested")
+    discard(edges, acting)
+    return found
 
 
-def _protected(s: DataFrame, pairs: DataFrame, p: A2744Policy) -> tuple[DataFrame, bool]:
-    """``s`` in which usable sources that hold an ignored one of at most their area are strict, and whether any is new."""
-    state = s.filter("__seen").select("source_id", C("label.class").alias("class"))
+def _holds(pairs: DataFrame, p: A2744Policy) -> DataFrame:
+    """(outer, inner): ellipses that hold one of at most their area."""
     holds = pairs.filter(f"in_a >= {p.containment} AND a_area >= b_area").select(C("a").alias("outer"), C("b").alias("inner"))
-    holds = holds.unionByName(pairs.filter(f"in_b >= {p.containment} AND b_area >= a_area").select(C("b").alias("outer"), C("a").alias("inner")))
-    ignored = state.filter("class = 'ignore'").select(C("source_id").alias("inner"))
-    usable = state.filter("class IN ('clean', 'weak')").select(C("source_id").alias("outer"))
-    hit = stash(holds.join(ignored, "inner", "left_semi").join(usable, "outer", "left_semi").select(C("outer").alias("id")).distinct(), "holders")
-    if hit.isEmpty():
-        return s, False
-    return stash(lowered(marked(s.drop("hit"), hit, "hit"), C("hit"), "strict", "contains_ignore").drop("hit"), "labels"), True
+    return holds.unionByName(pairs.filter(f"in_b >= {p.containment} AND b_area >= a_area").select(C("b").alias("outer"), C("a").alias("inner")))
+
+
+def _holders(s: DataFrame, holds: DataFrame, *carry: Column) -> tuple[DataFrame, DataFrame]:
+    """``holds`` of usable outer sources, with ``carry``, and (inner): the ignored sources."""
+    usable = s.filter(C("__seen") & C("label.class").isin("clean", "weak")).select(C("source_id").alias("outer"), *carry)
+    return holds.join(usable, "outer"), s.filter(C("__seen") & ~retained()).select(C("source_id").alias("inner"))
+
+
+def _protected(s: DataFrame, holds: DataFrame) -> DataFrame:
+    """``s`` in which usable sources that hold an ignored one are strict."""
+    edges, ignored = _holders(s, holds)
+    hit = edges.join(ignored, "inner", "left_semi").select(C("outer").alias("id"))
+    return lowered(marked(s, hit, "hit"), C("hit"), "strict", "contains_ignore").drop("hit")
+
+
+def _protected_in_turns(s: DataFrame, holds: DataFrame) -> DataFrame:
+    """``s`` after protection and the aperture rule in turns, until nothing changes; ``falls``: whether the rule ignores a strict source.
+
+    Only a source that a turn makes strict can change by the rule, and what falls is all that the next turn
+    starts from, so turns pass on these alone.
+    """
+    edges, ignored = _holders(s, holds, C("falls"))
+    edges = stash(edges, "holders")
+    hit = stash(edges.join(ignored, "inner", "left_semi").select("outer", "falls").distinct(), "hit")
+    every = hit
+    while not hit.filter("falls").isEmpty():
+        fallen = hit.filter("falls").select(C("outer").alias("inner"))
+        hit = stash(edges.join(fallen, "inner", "left_semi").select("outer", "falls").distinct().join(every.select("outer"), "outer", "left_anti"), "hit")
+        every = every.unionByName(hit)
+    discard(edges)
+    s = lowered(marked(s, every, "hit", "outer"), C("hit"), "strict", "contains_ignore")
+    return lowered(s, C("hit") & C("falls"), "ignore", "aperture_snr_ignore")
 
 
 def _remeasured(s: DataFrame, p: A2744Policy) -> DataFrame:
@@ -296,33 +372,41 @@ def label_ordinary_a2744(sources: DataFrame, by: list[str], p: A2744Policy = A27
     labels only fall, so that ends.
     """
     low, high = p.snr
-    s = lowered(started(sources), ~valid_ellipse(), "ignore", "invalid_geometry")
+    shape = ["x", "y", "a", "b", "theta", "area"]
+    given = [c for c in ("center_ok", *(("star_mask",) if star_mask is None else ())) if c in sources.columns]
+    s = lowered(started(sources.select(*by, "source_id", *shape, "mag", "snr", "warn", *given)), ~valid_ellipse(), "ignore", "invalid_geometry")
     s = s.withColumn("flagged", F.coalesce(C("__seen") & valid_ellipse() & C("warn").isin(*p.flag_ignore), F.lit(False)))
     s = lowered(s, C("flagged"), "ignore", "flag")
-    s = stash(lowered(s, retained() & ((C("a") < p.fwhm) | (C("b") < p.fwhm)), "ignore", "psf_size"), "labels")
-    s = lowered(marked(s, brighter_of_close(s.filter(retained()), p.fwhm, by, most), "close"), C("close"), "ignore", "close_brighter")
-    s = stash(s, "labels")
-    pairs = _nested_pairs(s.filter("__seen"), by, p)
-    s, _ = _protected(s, pairs, p)
-    found = nested_labels(pairs, s, p, most).select("source_id", C("class").alias("new_class"), C("reason").alias("new_reason"))
-    s = lowered(s.join(found, "source_id", "left"), C("new_class").isNotNull(), C("new_class"), C("new_reason")).drop("new_class", "new_reason")
-    s = lowered(s, retained() & ~R.at_least(C("snr"), low), "ignore", "snr_ignore")
-    s = lowered(s, retained() & (C("snr") < high), "weak", "snr_weak")
+    placed = stash(lowered(s, retained() & ((C("a") < p.fwhm) | (C("b") < p.fwhm)), "ignore", "psf_size").drop("center_ok"), "labels")
+    pairs = _nested_pairs(placed.filter("__seen"), by, p)
+    holds = stash(_holds(pairs, p), "holds")
+    # Ellipses end here: what comes after goes by ids, and passes on labels and the few columns that rules look at.
+    s = marked(placed.drop(*shape, *by), brighter_of_close(placed.filter(retained()), p.fwhm, by, most), "close")
+    s = lowered(s, C("close"), "ignore", "close_brighter").drop("close")
+    faint = R.at_least(C("mag"), p.star_mag)
     if star_mask is not None:
-        hits = footprint_share(s, star_mask, by, frame).select("source_id", (C("center") | (C("share") >= p.star_overlap)).alias("__star"))
-        s = s.join(hits, "source_id", "left")
+        # Labels only fall, so what is ignored before stars are looked at is left as it is.
+        hits = footprint_share(placed.filter(retained() & faint), star_mask, by, frame)
+        s = marked(s, hits.filter(C("center") | (C("share") >= p.star_overlap)), "__star", "source_id")
     else:
-        s = s.withColumn("__star", C("star_mask") if "star_mask" in s.columns else F.lit(False))
-    s = stash(lowered(s, C("__star") & R.at_least(C("mag"), p.star_mag), "ignore", "star_mask").drop("__star"), "labels")
-    s, _ = _protected(s, pairs, p)
+        s = s.withColumn("__star", C("star_mask") if "star_mask" in s.columns else F.lit(False)).drop("star_mask")
     if measured is not None:
-        s = s.drop("ap_snr", "trusted").join(measured.select("source_id", C("snr").alias("ap_snr"), "trusted"), "source_id", "left")
-        s = stash(_remeasured(s, p), "labels")
-    while True:
-        before, (s, changed) = s, _protected(s, pairs, p)
-        if not changed:
-            return labels(s)
-        if measured is not None:
-            s, more = stash(_remeasured(s, p), "labels"), s
-            discard(more)
-        discard(before)
+        s = s.join(measured.select("source_id", C("snr").alias("ap_snr"), "trusted"), "source_id", "left")
+    first = stash(s, "labels")
+    discard(placed)
+    # Protection makes strict what was usable, so that the next rule sees the same sources before and after.
+    found = nested_labels(pairs, first, p, most)
+    discard(pairs)
+    s = _protected(first, holds).join(found.select("source_id", C("class").alias("new_class"), C("reason").alias("new_reason")), "source_id", "left")
+    s = lowered(s, C("new_class").isNotNull(), C("new_class"), C("new_reason")).drop("new_class", "new_reason", "warn", "flagged")
+    s = lowered(s, retained() & ~R.at_least(C("snr"), low), "ignore", "snr_ignore")
+    s = lowered(s, retained() & (C("snr") < high), "weak", "snr_weak")
+    second = stash(lowered(s, C("__star") & faint, "ignore", "star_mask").drop("__star", "snr"), "labels")
+    discard(first, found)
+    s = _protected(second, holds)
+    if measured is None:
+        return labels(s)
+    tested = F.lit(True) if p.aperture_mag is None else R.above(C("mag"), p.aperture_mag)
+    third = stash(_remeasured(s, p).withColumn("falls", tested & ~R.at_least(C("ap_snr"), low)).select("source_id", "label", "__seen", "falls"), "labels")
+    discard(second)
+    return labels(_protected_in_turns(third, holds))

@@ -90,9 +90,9 @@ def label_ordinary_cosmos(spark, sf):
 def label_ordinary_a2744(spark, sf):
     """Stars are every 97th source, three times as large, as pixels; aperture ratios are those of the aperture's flux."""
     s = full(spark, sf)
-    stars = s.filter("source_id % 97 = 0").selectExpr("band", "source_id AS id", "x AS cx", "y AS cy", "a * 3 AS a", "b * 3 AS b", "theta")
+    stars = s.filter("source_id % 97 = 0").selectExpr("struct(band, source_id) AS id", "x AS cx", "y AS cy", "a * 3 AS a", "b * 3 AS b", "theta")
     frame = (1 << 30, 1024)
-    mask = P.rasterize_ellipse(stars, *frame).join(stars.select("id", "band"), "id")
+    mask = P.rasterize_ellipse(stars, *frame).select("id.band", "x", "y")
     measured = s.select("source_id", (C("ap_flux") / C("flux_err")).alias("snr"), (C("source_id") % 3 > 0).alias("trusted"))
     return ordinary.label_ordinary_a2744(s, ["band"], star_mask=mask, frame=frame, measured=measured)
 

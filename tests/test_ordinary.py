@@ -420,3 +420,34 @@ def test_one_wide_tile_among_small_ones(spark):
     points = [(i, rnd.uniform(-10, 900), rnd.uniform(-10, 60)) for i in range(300)]
     got = {(r.id, r.name) for r in J.source_in_tile(spark.createDataFrame(points, "id int, x double, y double"), tiles, 2.0).collect()}
     assert got == {(i, n) for i, x, y in points for n, x0, y0, s in [tuple(t) for t in tiles.collect()] if x0 - 2 <= x < x0 + s + 2 and y0 - 2 <= y < y0 + s + 2}
+
+
+def test_footprints_meet_a_mask_in_tiles(spark):
+    """Ellipses on the edges of tiles and of the frame, far off, and larger than many tiles; a mask with repeats and pixels off the frame."""
+    rnd, frame = random.Random(9), (200, 150)
+    shapes = [(rnd.uniform(-5, 205), rnd.uniform(-5, 155), rnd.choice([0.4, 3.0, 9.0, 30.0, 70.0, 300.0]), rnd.choice([0.4, 2.0, 8.0, 90.0]), rnd.choice([0.0, 0.7, 2.0])) for _ in range(150)]
+    shapes += [(64.0, 64.0, 1.0, 1.0, 0.0), (63.5, 127.5, 2.0, 1.0, 0.3), (0.0, 0.0, 5.0, 5.0, 0.0), (199.0, 149.0, 5.0, 5.0, 0.0), (1e200, 5.0, 3.0, 3.0, 0.0), (100.0, 70.0, 1e200, 1e200, 0.5), (100.0, -400.0, 3.0, 2.0, 0.0), (5.0, 5.0, 0.0, 2.0, 0.0)]
+    rows = [(i, rnd.choice("gh"), x, y, a, b, t, 10.0) for i, (x, y, a, b, t) in enumerate(shapes)]
+    lit = [(rnd.choice("gh"), rnd.randrange(-9, 209), rnd.randrange(-9, 159)) for _ in range(9000)]
+    sources = spark.createDataFrame(rows, "source_id long, g string, x double, y double, a double, b double, theta double, area double")
+    made = O.footprint_share(sources, spark.createDataFrame(lit + lit[:500], "g string, x int, y int"), ["g"], frame)
+    want, set_of = {}, set(lit)
+    for i, g, x, y, a, b, t, _ in rows:
+        c, s = math.cos(t), math.sin(t)
+        angles = [2 * math.pi * k / O.FOOTPRINT_ANGLES for k in range(O.FOOTPRINT_ANGLES)]
+        places = [(0.0, 0.0)] * O.FOOTPRINT_ANGLES + [(r * math.cos(q), r * math.sin(q)) for r in O.FOOTPRINT_RADII for q in angles]
+        at = [(round(x + c * a * u - s * b * v), round(y + s * a * u + c * b * v)) for u, v in places] if a > 0 else []
+        at = [q for q in at if 0 <= q[0] < frame[0] and 0 <= q[1] < frame[1]]
+        on = sum((g, *q) in set_of for q in at)
+        if on:
+            want[i] = (on / len(at), (g, round(x), round(y)) in set_of and 0 <= round(x) < frame[0] and 0 <= round(y) < frame[1])
+    assert {r.source_id: (r.share, r.center) for r in made.collect()} == want
+    assert len(want) > 100 and any(c for _, c in want.values()) and 155 in want
+    # Not a row for each place of each ellipse.
+    assert "explode(at#" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_between_rules_hold_no_column_that_no_rule_looks_at(spark):
+    wide = spark.createDataFrame(catalog(13, 40, 30.0), FIELDS).withColumn("wide", F.raise_error(F.lit("looked at")).cast("string"))
+    table = spark.createDataFrame([(i, 6.0, True, 1.0) for i in range(40)], "source_id long, snr double, trusted boolean, area double")
+    assert O.label_ordinary_a2744(wide, ["g"], measured=table).count() == 40
